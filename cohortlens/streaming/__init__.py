@@ -1,0 +1,5 @@
+"""No streaming operators: every input is a bounded day-grain event table.
+
+Windows in this library are half-open date predicates on batch tables, so
+there is no watermark or state to keep.
+"""
