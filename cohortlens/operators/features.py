@@ -74,6 +74,22 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     )
 
 
+def kind_aggregates(facts: DataFrame) -> DataFrame:
+    """Number of events and last day per stream and user."""
+    return facts.groupBy("kind", "user_id").agg(
+        F.sum("n").alias("n_events"), F.max("event_date").alias("last_date")
+    )
+
+
+def last_readings(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
+    """The last odometer reading per period and user with registers."""
+    days = calendar(facts.sparkSession, periods).filter(~F.col("is_label"))
+    return (
+        facts.filter(F.col("kind") == REGISTER).join(days, "event_date")
+        .groupBy(*KEYS).agg(last_km(skip_null_km).alias("reg_km_last"))
+    )
+
+
 def keep_leads_of(features: DataFrame, accounts: DataFrame) -> DataFrame:
     """Blank the lead columns of users that are not among ``accounts`` (``user_id``).
 

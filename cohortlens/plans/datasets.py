@@ -17,51 +17,52 @@ from cohortlens.sources.schema import DATASET_COLUMNS, WEEKLY_COLUMNS
 from cohortlens.sources.tables import Rules, Sources
 
 
-def period_dataset(
+def signal_features(
     sources: Sources,
     periods: Sequence[Period],
     rules: Rules = Rules(),
     km_mode: str = "digits",
     km_in_key: bool = False,
     skip_null_km: bool = False,
-    mod_mode: str = "circular",
 ) -> DataFrame:
-    """One row per period and user with a signal in that period.
-
-    The defaults are those of the train/test dataset; ``holdout_dataset`` sets the
-    others.
-    """
+    """Counts, recencies, last reading and label of every user with a signal in a period."""
     events = facts(
         sources, rules, feature_span(periods), label_span(periods), km_mode=km_mode, km_in_key=km_in_key
     )
     features = ft.period_features(events, periods, skip_null_km)
-    features = ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules))
-    features = ft.add_km_features(ft.with_signals(features), mod_mode)
-    return features.withColumns({
+    return ft.with_signals(ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules)))
+
+
+def complete(features: DataFrame, mod_mode: str) -> DataFrame:
+    """Add the derived columns and put the dataset columns in order."""
+    return ft.add_km_features(features, mod_mode).withColumns({
         "user_id": F.col("user_id").cast("string"),
         "total_signals_90d": F.col("n_qleads_90d") + F.col("n_registers_90d"),
     }).select(*DATASET_COLUMNS)
 
 
 def train_test_dataset(sources: Sources, periods: Sequence[Period], rules: Rules = Rules()) -> DataFrame:
-    return period_dataset(sources, periods, rules)
+    """One row per period and user with a signal in that period."""
+    return complete(signal_features(sources, periods, rules), "circular")
+
+
+# How the holdout reads odometers: cast instead of stripped, each reading an event of
+# its own, missing readings passed over when looking for the last.
+HOLDOUT_KM = {"km_mode": "cast", "km_in_key": True, "skip_null_km": True}
 
 
 def holdout_dataset(
     sources: Sources, period: Period, rules: Rules = Rules(), mod_mode: str = "plain"
 ) -> DataFrame:
-    """A later period, with each odometer reading an event of its own.
+    """The dataset of a later period.
 
-    Readings are cast rather than stripped, missing ones are skipped when looking for
-    the last, and the modulo features are plain unless ``mod_mode`` says otherwise (a
-    model fitted on the train dataset expects ``circular``).
+    The modulo features are plain unless ``mod_mode`` says otherwise; a model fitted on
+    the train dataset expects ``circular``.
     """
-    return period_dataset(
-        sources, [period], rules, km_mode="cast", km_in_key=True, skip_null_km=True, mod_mode=mod_mode
-    )
+    return complete(signal_features(sources, [period], rules, **HOLDOUT_KM), mod_mode)
 
 
-def weekly_dataset(
+def weekly_features(
     sources: Sources,
     week: Week,
     rules: Rules = Rules(),
@@ -69,11 +70,9 @@ def weekly_dataset(
     fanout: bool = True,
     max_broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """One row per account created in the week, with a forward label.
+    """The accounts of the week with their trailing counts, recencies and label.
 
-    ``fanout`` keeps the 7- and 30-day counts as produced by joining leads and
-    registers before counting; without it each event counts once. A cohort that is
-    small enough is broadcast so that only its events are shuffled.
+    A cohort that is small enough is broadcast so that only its events are shuffled.
     """
     cohort = new_accounts(sources.accounts, rules, week)
     users, small = broadcast_checked(cohort.select("user_id"), max_broadcast_rows)
@@ -90,17 +89,34 @@ def weekly_dataset(
     features = ft.trailing_features(events, week)
     if fanout:
         features = ft.fan_out(features)
-    joined = cohort.join(features, "user_id", "left")
     zero = F.lit(0).cast("bigint")
     counts = [c for c in WEEKLY_COLUMNS if c.startswith("n_")]
-    filled = joined.withColumns({c: F.coalesce(F.col(c), zero) for c in counts})
-    return filled.withColumns({
+    return cohort.join(features, "user_id", "left").withColumns({
+        **{c: F.coalesce(F.col(c), zero) for c in counts},
+        "target_30d": F.coalesce("target_30d", F.lit(0)),
+    })
+
+
+def weekly_dataset(
+    sources: Sources,
+    week: Week,
+    rules: Rules = Rules(),
+    km_mode: str = "raw",
+    fanout: bool = True,
+    max_broadcast_rows: int = 200_000,
+) -> DataFrame:
+    """One row per account created in the week, with a forward label.
+
+    ``fanout`` keeps the 7- and 30-day counts as produced by joining leads and
+    registers before counting; without it each event counts once.
+    """
+    features = weekly_features(sources, week, rules, km_mode, fanout, max_broadcast_rows)
+    return features.withColumns({
         "user_id": F.col("user_id").cast("string"),
         "total_signals_90d": F.col("n_qleads_90d") + F.col("n_registers_90d"),
         "origin_inferred": inferred_origin(
             F.col("n_qleads_90d"), F.col("n_registers_90d"), F.col("n_online_schedules_90d")
         ),
-        "target_30d": F.coalesce("target_30d", F.lit(0)),
     }).select(*WEEKLY_COLUMNS)
 
 
