@@ -1,4 +1,4 @@
-"""Odometer ("km") parsing and roundness features."""
+"""Odometer ("km") parsing and roundness features, as SQL expressions on a column name."""
 
 from __future__ import annotations
 
@@ -10,10 +10,8 @@ from pyspark.sql import types as T
 ROUND_STEPS = (1000, 500, 100, 50, 10)
 MOD_STEPS = (1000, 100)
 
-_LONG_MIN = -(2**63)
 
-
-def parse_km(km: Column, data_type: T.DataType, mode: str = "digits") -> Column:
+def parse_km(km: str, data_type: T.DataType, mode: str = "digits") -> str:
     """Odometer reading as a number.
 
     ``digits`` keeps only the digits of the text (sign, separators and units are
@@ -23,46 +21,44 @@ def parse_km(km: Column, data_type: T.DataType, mode: str = "digits") -> Column:
     if mode == "raw":
         return km
     if mode == "cast":
-        return km.try_cast("bigint")
+        return f"try_cast({km} AS bigint)"
     if mode != "digits":
         raise ValueError(f"Unknown km mode: {mode}")
     if isinstance(data_type, T.IntegralType):
         # Same digits, without a regular expression per row.
-        value = km.cast("bigint")
-        return F.when(value > F.lit(_LONG_MIN), F.abs(value))
-    digits = F.regexp_replace(km.cast("string"), "[^0-9]", "")
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+        return f"CASE WHEN {km} > -9223372036854775808BD THEN abs(cast({km} AS bigint)) END"
+    return f"try_cast(nullif(regexp_replace(cast({km} AS string), '[^0-9]', ''), '') AS bigint)"
 
 
-def trailing_zeros(km: Column) -> Column:
-    text = km.cast("string")
-    return F.length(text) - F.length(F.rtrim(text, F.lit("0")))
+def trailing_zeros(km: str) -> Column:
+    text = f"cast({km} AS string)"
+    return F.expr(f"length({text}) - length(trim(TRAILING '0' FROM {text}))")
 
 
-def is_round(km: Column, step: int) -> Column:
+def is_round(km: str, step: int) -> Column:
     """1 when ``km`` is a multiple of ``step``; a missing reading is not round."""
-    return F.when(km % F.lit(step) == 0, 1).otherwise(0)
+    return F.expr(f"CASE WHEN {km} % {step} = 0 THEN 1 ELSE 0 END")
 
 
-def mod_norm(km: Column, step: int, mode: str = "circular") -> Column:
+def mod_norm(km: str, step: int, mode: str = "circular") -> Column:
     """Distance of ``km`` to a multiple of ``step``, as a share of ``step``.
 
     ``circular`` measures to the nearest multiple, ``plain`` to the one below.
     """
-    rest = km % F.lit(step)
+    rest = f"{km} % {step}"
     if mode == "circular":
-        rest = F.least(rest, F.lit(step) - rest)
+        rest = f"least({rest}, {step} - {rest})"
     elif mode != "plain":
         raise ValueError(f"Unknown modulo mode: {mode}")
-    return rest.cast("double") / F.lit(float(step))
+    return F.expr(f"cast({rest} AS double) / {step}D")
 
 
-def log_km(km: Column) -> Column:
+def log_km(km: str) -> Column:
     """Base-10 logarithm of ``km + 1``; NULL below zero."""
-    return F.when(km >= 0, F.log10(km.cast("double") + F.lit(1.0)))
+    return F.expr(f"CASE WHEN {km} >= 0 THEN log10(cast({km} AS double) + 1D) END")
 
 
-def km_columns(km: Column, mode: str = "circular") -> dict[str, Column]:
+def km_columns(km: str, mode: str = "circular") -> dict[str, Column]:
     """The derived odometer columns by name, in dataset order."""
     columns = {
         "reg_km_log1p": log_km(km),

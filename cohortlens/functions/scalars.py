@@ -8,26 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def in_range(day: Column, start: date | None, end: date | None) -> Column:
-    """Half-open ``[start, end)`` test; a missing bound is open.
+def in_range(day: str, start: date | None, end: date | None) -> str:
+    """Half-open ``[start, end)`` test in SQL; a missing bound is open.
 
     With no bound at all every row passes, rows without a day included.
-    Bounds are literals so that Spark turns ``cast(ts as date)`` tests into
+
+    Bounds are literals so that Spark turns ``cast(ts AS date)`` tests into
     timestamp ranges on the stored column and pushes them to the scan.
     """
-    if start is None and end is None:
-        return F.lit(True)
-    test = day.isNotNull()
+    tests = []
     if start is not None:
-        test = test & (day >= F.lit(start))
+        tests.append(f"{day} >= DATE'{start}'")
     if end is not None:
-        test = test & (day < F.lit(end))
-    return test
-
-
-def recency(last_day: Column, as_of: Column) -> Column:
-    """Whole days from the last event to the reference day; NULL if it never happened."""
-    return F.datediff(as_of, last_day)
+        tests.append(f"{day} < DATE'{end}'")
+    return f"({' AND '.join(tests)})" if tests else "true"
 
 
 def ratio(num: Column, den: Column) -> Column:

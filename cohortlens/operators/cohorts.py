@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalars import in_range
 from cohortlens.plans.periods import Period, Week, calendar
 from cohortlens.sources.tables import Rules
 
 
 def universe_by_signal(signals: DataFrame, periods: Sequence[Period]) -> DataFrame:
     """Distinct ``(set, cutoff_date, user_id)`` with a signal in the feature window."""
-    days = calendar(signals.sparkSession, periods).filter(~F.col("is_label"))
+    days = calendar(signals.sparkSession, periods).filter("NOT is_label")
     return (
         signals.filter(F.col("user_id").isNotNull())
         .join(days, "event_date").select("set", "cutoff_date", "user_id").distinct()

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.km import parse_km
@@ -30,96 +30,96 @@ Span = tuple[date | None, date | None]
 ANY_DAY: Span = (None, None)
 
 
-def _day(name: str) -> Column:
-    return F.col(name).cast("date")
+def _day(name: str) -> str:
+    return f"cast({name} AS date)"
+
+
+def _rows(df: DataFrame, kind: str, conditions: list[str], columns: list[str]) -> DataFrame:
+    return df.filter(" AND ".join(f"({c})" for c in conditions)).selectExpr(f"'{kind}' AS kind", *columns)
 
 
 def _lead_rows(leads: DataFrame, rules: Rules, span: Span) -> DataFrame:
     day = _day("createddate")
-    return leads.filter(rules.lead).filter(in_range(day, *span)).filter("accountid IS NOT NULL").select(
-        F.lit(LEAD).alias("kind"),
-        F.col("accountid").alias("user_id"),
-        F.col("opp_id").alias("opportunity_id"),
-        day.alias("event_date"),
+    return _rows(
+        leads, LEAD, [rules.lead, in_range(day, *span), "accountid IS NOT NULL"],
+        ["accountid AS user_id", "opp_id AS opportunity_id", f"{day} AS event_date"],
     )
 
 
 def _booking_rows(reservations: DataFrame, rules: Rules, span: Span) -> DataFrame:
     day = _day("paymentdate")
-    return (
-        reservations.filter(rules.booking).filter(in_range(day, *span))
-        .filter("account IS NOT NULL AND opportunity IS NOT NULL")
-        .select(
-            F.lit(BOOKING).alias("kind"),
-            F.col("account").alias("user_id"),
-            F.col("opportunity").alias("opportunity_id"),
-            day.alias("event_date"),
-        )
+    return _rows(
+        reservations, BOOKING,
+        [rules.booking, in_range(day, *span), "account IS NOT NULL", "opportunity IS NOT NULL"],
+        ["account AS user_id", "opportunity AS opportunity_id", f"{day} AS event_date"],
     )
 
 
-def _km(funnel: DataFrame, km_mode: str) -> Column:
-    return parse_km(F.col("km"), funnel.schema["km"].dataType, km_mode)
+def _km(funnel: DataFrame, km_mode: str) -> str:
+    return parse_km("km", funnel.schema["km"].dataType, km_mode)
 
 
 def _register_rows(funnel: DataFrame, rules: Rules, span: Span, km_mode: str) -> DataFrame:
     day = _day("fecha_registro")
-    return funnel.filter(rules.funnel).filter(in_range(day, *span)).select(
-        F.lit(REGISTER).alias("kind"), "opportunity_id", day.alias("event_date"),
-        _km(funnel, km_mode).alias("km"),
+    return _rows(
+        funnel, REGISTER, [rules.funnel, in_range(day, *span)],
+        ["opportunity_id", f"{day} AS event_date", f"{_km(funnel, km_mode)} AS km"],
     )
 
 
 def _schedule_rows(funnel: DataFrame, rules: Rules, span: Span) -> DataFrame:
-    day = F.coalesce(_day("fecha_inspeccion_agendada"), _day("fecha_registro"))
-    return funnel.filter(rules.funnel).filter(rules.schedule).filter(in_range(day, *span)).select(
-        F.lit(SCHEDULE).alias("kind"), "opportunity_id", day.alias("event_date"),
+    day = f"coalesce({_day('fecha_inspeccion_agendada')}, {_day('fecha_registro')})"
+    return _rows(
+        funnel, SCHEDULE, [rules.funnel, rules.schedule, in_range(day, *span)],
+        ["opportunity_id", f"{day} AS event_date"],
     )
 
 
 def _funnel_rows(funnel: DataFrame, rules: Rules, span: Span, km_mode: str) -> DataFrame:
     """Register and schedule rows from a single scan of the funnel."""
-    registered = _day("fecha_registro")
-    inspected = _day("fecha_inspeccion_agendada")
-    km = _km(funnel, km_mode)
-    km_type = funnel.select(km.alias("km")).schema["km"].dataType
-    entry = lambda kind, day, reading: F.struct(
-        F.lit(kind).alias("kind"), day.alias("event_date"), reading.alias("km")
-    )
+    registered, inspected = _day("fecha_registro"), _day("fecha_inspeccion_agendada")
     # Either date may place a row inside the span; this wider test reaches the scan.
-    either = in_range(registered, *span) | in_range(inspected, *span)
-    return (
-        funnel.filter(rules.funnel).filter(either)
-        .withColumn("_scheduled", F.coalesce(F.expr(rules.schedule), F.lit(False)))
-        .select(
-            "opportunity_id",
-            "_scheduled",
-            F.inline(F.array(
-                entry(REGISTER, registered, km),
-                entry(SCHEDULE, F.coalesce(inspected, registered), F.lit(None).cast(km_type)),
-            )),
-        )
-        .filter((F.col("kind") == REGISTER) | F.col("_scheduled"))
-        .filter(in_range(F.col("event_date"), *span))
-        .select("kind", "opportunity_id", "event_date", "km")
+    either = f"{in_range(registered, *span)} OR {in_range(inspected, *span)}"
+    readings = funnel.filter(f"({rules.funnel}) AND ({either})").selectExpr(
+        "opportunity_id",
+        f"{registered} AS registered",
+        f"CASE WHEN {rules.schedule} THEN coalesce({inspected}, {registered}) END AS scheduled",
+        f"coalesce({rules.schedule}, false) AS is_scheduled",
+        f"{_km(funnel, km_mode)} AS km",
     )
+    km_type = readings.schema["km"].dataType.simpleString()
+    return readings.selectExpr(
+        "opportunity_id",
+        "is_scheduled",
+        f"""inline(array(
+            named_struct('kind', '{REGISTER}', 'event_date', registered, 'km', km),
+            named_struct('kind', '{SCHEDULE}', 'event_date', scheduled, 'km', cast(NULL AS {km_type}))
+        ))""",
+    ).filter(
+        f"(kind = '{REGISTER}' OR is_scheduled) AND {in_range('event_date', *span)}"
+    ).select("kind", "opportunity_id", "event_date", "km")
 
 
 def _won_rows(history: DataFrame, rules: Rules, span: Span) -> DataFrame:
     day = _day("createddate")
-    return history.filter(rules.won).filter(in_range(day, *span)).select(
-        F.lit(TX).alias("kind"), F.col("opportunityid").alias("opportunity_id"), day.alias("event_date"),
+    return _rows(
+        history, TX, [rules.won, in_range(day, *span)],
+        ["opportunityid AS opportunity_id", f"{day} AS event_date"],
     )
 
 
 def opportunity_users(opportunities: DataFrame, rules: Rules) -> DataFrame:
     """Distinct ``(opportunity_id, user_id)`` with a flag for won deals that count."""
-    types = [*rules.sales_types, *rules.supply_types]
-    counts = F.expr(rules.opportunity) & F.col("recordtypename").isin(types)
+    counts = F.expr(rules.opportunity) & F.col("recordtypename").isin(
+        *rules.sales_types, *rules.supply_types
+    )
     return (
         opportunities.filter("id IS NOT NULL AND accountid IS NOT NULL")
-        .groupBy(F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id"))
-        .agg(F.coalesce(F.bool_or(counts), F.lit(False)).alias("deal"))
+        .select(
+            F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id"),
+            F.coalesce(counts, F.lit(False)).alias("deal"),
+        )
+        .groupBy("opportunity_id", "user_id").agg(F.bool_or("deal").alias("deal"))
     )
 
 
@@ -153,28 +153,25 @@ def facts(
         owners = owners.join(users, "user_id", "left_semi")
 
     funnel = _funnel_rows(sources.register_funnel, rules, feature_span, km_mode)
-    km_type = funnel.schema["km"].dataType
+    km_type = funnel.schema["km"].dataType.simpleString()
+    no_km = f"cast(NULL AS {km_type}) AS km"
     won = _won_rows(sources.stage_history, rules, label_span)
-    by_opp = funnel.unionByName(won.withColumn("km", F.lit(None).cast(km_type)))
+    by_opp = funnel.unionByName(won.selectExpr("*", no_km))
     if only_users is not None:
         owners, small = broadcast_checked(owners)
         if small:
             by_opp = by_opp.join(owners, "opportunity_id", "left_semi")
     day_key = ["kind", "opportunity_id", "event_date"]
-    n = F.lit(1).cast("bigint")
+    n = "1L"
     if km_in_key:
         by_opp = by_opp.dropDuplicates([*day_key, "km"])
-        n = F.count("*")
-    by_opp = by_opp.groupBy(*day_key).agg(n.alias("n"), F.max("km").alias("km"))
+        n = "count(*)"
+    by_opp = by_opp.groupBy(*day_key).agg(F.expr(f"{n} AS n"), F.expr("max(km) AS km"))
 
-    user_facts = by_user.dropDuplicates(["kind", "user_id", "opportunity_id", "event_date"]).select(
-        "kind", "user_id", "opportunity_id", "event_date",
-        F.lit(1).cast("bigint").alias("n"), F.lit(None).cast(km_type).alias("km"),
-    )
+    columns = ["kind", "user_id", "opportunity_id", "event_date", "n", "km"]
+    user_facts = by_user.distinct().selectExpr(*columns[:4], "1L AS n", no_km)
     opp_facts = (
-        by_opp.join(owners, "opportunity_id")
-        .filter((F.col("kind") != TX) | F.col("deal"))
-        .select("kind", "user_id", "opportunity_id", "event_date", "n", "km")
+        by_opp.join(owners, "opportunity_id").filter(f"kind <> '{TX}' OR deal").select(*columns)
     )
     return user_facts.unionByName(opp_facts)
 
@@ -182,13 +179,11 @@ def facts(
 # -- one stream at a time ------------------------------------------------------------
 
 
-def _event(*extra: str) -> list[Column]:
-    return [
-        F.col("user_id").cast("string").alias("user_id"),
-        F.col("opportunity_id").cast("string").alias("opportunity_id"),
-        F.col("event_date"),
-        *[F.col(c) for c in extra],
-    ]
+def _event(rows: DataFrame, *extra: str) -> DataFrame:
+    return rows.selectExpr(
+        "cast(user_id AS string) AS user_id", "cast(opportunity_id AS string) AS opportunity_id",
+        "event_date", *extra,
+    )
 
 
 def eligible_accounts(accounts: DataFrame, rules: Rules) -> DataFrame:
@@ -201,18 +196,18 @@ def sales_lead_events(sources: Sources, rules: Rules, span: Span = ANY_DAY) -> D
     kept = semi_join_salted(
         leads, eligible_accounts(sources.accounts, rules), "user_id", ["opportunity_id", "event_date"]
     )
-    return kept.select(*_event())
+    return _event(kept)
 
 
 def booking_events(sources: Sources, rules: Rules, span: Span = ANY_DAY) -> DataFrame:
-    return _booking_rows(sources.reservations, rules, span).select(*_event()).distinct()
+    return _event(_booking_rows(sources.reservations, rules, span).distinct())
 
 
 def _owned(rows: DataFrame, opportunities: DataFrame, *extra: str) -> DataFrame:
     owners = opportunities.filter("accountid IS NOT NULL").select(
         F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id")
     ).distinct()
-    return rows.drop("kind").distinct().join(owners, "opportunity_id").select(*_event(*extra))
+    return _event(rows.drop("kind").distinct().join(owners, "opportunity_id"), *extra)
 
 
 def transaction_events(

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.km import km_columns
-from cohortlens.functions.scalars import recency
+from cohortlens.functions.scalars import in_range
 from cohortlens.operators.events import BOOKING, LEAD, REGISTER, SCHEDULE, SIGNALS, TX
 from cohortlens.plans.periods import Period, Week, calendar
 
@@ -27,26 +26,25 @@ RECENCY_NAMES = {
     REGISTER: "recency_last_register",
     SCHEDULE: "recency_last_online_schedule",
 }
+TRAILING_STEMS = {LEAD: "n_qleads", REGISTER: "n_registers"}
 
 
-def _total(test: Column) -> Column:
-    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0).cast("bigint"))
+def _total(test: str) -> str:
+    return f"coalesce(sum(CASE WHEN {test} THEN n END), 0L)"
 
 
-def last_km(skip_null: bool) -> Column:
+def last_km(skip_null: bool) -> str:
     """Reading of the newest register day, the highest one if the day has several.
 
     With ``skip_null`` rows without a reading are passed over; otherwise a newest day
-    without any reading gives NULL. Day and reading are ordered as one decimal: a
-    struct would not fit a fixed-width buffer, and Spark would sort all facts instead
-    of hashing them.
+    without any reading gives NULL. Day and reading are ordered as one decimal (any
+    reading above none): a struct would not fit a fixed-width buffer, and Spark would
+    sort all facts instead of hashing them.
     """
-    test = F.col("kind") == REGISTER
-    if skip_null:
-        test = test & F.col("km").isNotNull()
-    above_null = F.col("km").cast("decimal(20,0)") + F.lit(Decimal(2**63 + 1))
-    day = F.unix_date("event_date").cast("decimal(7,0)") * F.lit(Decimal(10**20))
-    return F.max_by("km", F.when(test, day + F.coalesce(above_null, F.lit(Decimal(0)))))
+    test = f"kind = '{REGISTER}'" + (" AND km IS NOT NULL" if skip_null else "")
+    day = "cast(unix_date(event_date) AS decimal(7, 0)) * 100000000000000000000BD"
+    reading = "coalesce(cast(km AS decimal(20, 0)) + 9223372036854775809BD, 0BD)"
+    return f"max_by(km, CASE WHEN {test} THEN {day} + {reading} END)"
 
 
 def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
@@ -57,21 +55,17 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     partial aggregation leaves each task at most one row per period and user. Users
     who only have deals are kept here with no signals.
     """
-    dated = facts.withColumn("is_label", F.col("kind") == TX).join(
+    dated = facts.selectExpr("*", f"kind = '{TX}' AS is_label").join(
         calendar(facts.sparkSession, periods), ["event_date", "is_label"]
     )
-    is_kind = {k: F.col("kind") == k for k in SIGNALS}
-    aggregates = [_total(is_kind[k]).alias(COUNT_NAMES[k]) for k in SIGNALS]
+    last = lambda k: f"max(CASE WHEN kind = '{k}' THEN event_date END)"
+    aggregates = [f"{_total(f'kind = {k!r}')} AS {COUNT_NAMES[k]}" for k in SIGNALS]
+    aggregates += [f"datediff(max(period_end_excl), {last(k)}) AS {RECENCY_NAMES[k]}" for k in SIGNALS]
     aggregates += [
-        recency(F.max(F.when(is_kind[k], F.col("event_date"))), F.max("period_end_excl"))
-        .alias(RECENCY_NAMES[k])
-        for k in SIGNALS
+        f"{last_km(skip_null_km)} AS reg_km_last",
+        "max(CASE WHEN is_label THEN 1 ELSE 0 END) AS target_30d",
     ]
-    return dated.groupBy(*KEYS).agg(
-        *aggregates,
-        last_km(skip_null_km).alias("reg_km_last"),
-        F.max(F.when(F.col("is_label"), 1).otherwise(0)).alias("target_30d"),
-    )
+    return dated.groupBy(*KEYS).agg(*map(F.expr, aggregates))
 
 
 def kind_aggregates(facts: DataFrame) -> DataFrame:
@@ -83,10 +77,10 @@ def kind_aggregates(facts: DataFrame) -> DataFrame:
 
 def last_readings(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
     """The last odometer reading per period and user with registers."""
-    days = calendar(facts.sparkSession, periods).filter(~F.col("is_label"))
+    days = calendar(facts.sparkSession, periods).filter("NOT is_label")
     return (
         facts.filter(F.col("kind") == REGISTER).join(days, "event_date")
-        .groupBy(*KEYS).agg(last_km(skip_null_km).alias("reg_km_last"))
+        .groupBy(*KEYS).agg(F.expr(f"{last_km(skip_null_km)} AS reg_km_last"))
     )
 
 
@@ -96,24 +90,21 @@ def keep_leads_of(features: DataFrame, accounts: DataFrame) -> DataFrame:
     Whether leads count depends on the user alone, so it is decided on one row per
     period and user rather than on every lead.
     """
-    known = accounts.withColumn("_known", F.lit(True))
-    joined = features.join(known, "user_id", "left")
+    joined = features.join(accounts.selectExpr("user_id", "true AS is_known"), "user_id", "left")
+    n, recency = COUNT_NAMES[LEAD], RECENCY_NAMES[LEAD]
     return joined.withColumns({
-        COUNT_NAMES[LEAD]: F.when(F.col("_known"), F.col(COUNT_NAMES[LEAD])).otherwise(0),
-        RECENCY_NAMES[LEAD]: F.when(F.col("_known"), F.col(RECENCY_NAMES[LEAD])),
-    }).drop("_known")
+        n: F.expr(f"CASE WHEN is_known THEN {n} ELSE 0L END"),
+        recency: F.expr(f"CASE WHEN is_known THEN {recency} END"),
+    }).drop("is_known")
 
 
 def with_signals(features: DataFrame) -> DataFrame:
     """Users with at least one signal of any kind: the universe of a period."""
-    test = F.lit(False)
-    for name in COUNT_NAMES.values():
-        test = test | (F.col(name) > 0)
-    return features.filter(test)
+    return features.filter(" OR ".join(f"{name} > 0" for name in COUNT_NAMES.values()))
 
 
 def add_km_features(features: DataFrame, mode: str = "circular") -> DataFrame:
-    return features.withColumns(km_columns(F.col("reg_km_last"), mode))
+    return features.withColumns(km_columns("reg_km_last", mode))
 
 
 def trailing_features(facts: DataFrame, week: Week, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -123,26 +114,23 @@ def trailing_features(facts: DataFrame, week: Week, windows: Sequence[int] = (7,
     without limit. ``_all_*`` are the numbers of lead and register events of any day,
     which ``fan_out`` needs.
     """
-    as_of = F.lit(week.as_of)
-    day = F.col("event_date")
-    past = day < as_of
-    since = lambda days: past & (day >= F.lit(week.back(days)))
-    is_kind = {k: F.col("kind") == k for k in SIGNALS}
-    aggregates = [
-        _total(is_kind[k] & since(week.lookback_days)).alias(COUNT_NAMES[k]) for k in SIGNALS
+    past = f"event_date < DATE'{week.as_of}'"
+    since = lambda days: f"{past} AND event_date >= DATE'{week.back(days)}'"
+    kind = lambda k: f"kind = '{k}'"
+    aggregates = [f"{_total(f'{kind(k)} AND {since(week.lookback_days)}')} AS {COUNT_NAMES[k]}" for k in SIGNALS]
+    aggregates += [
+        f"datediff(DATE'{week.as_of}', max(CASE WHEN {kind(k)} AND {past} THEN event_date END)) AS {RECENCY_NAMES[k]}"
+        for k in SIGNALS
     ]
+    for k, stem in TRAILING_STEMS.items():
+        aggregates += [f"{_total(f'{kind(k)} AND {since(d)}')} AS {stem}_{d}d" for d in windows]
+        aggregates.append(f"{_total(kind(k))} AS _all_{k}")
+    deal = f"{kind(TX)} AND {in_range('event_date', week.as_of, week.horizon_end)}"
     aggregates += [
-        recency(F.max(F.when(is_kind[k] & past, day)), as_of).alias(RECENCY_NAMES[k]) for k in SIGNALS
+        f"max(CASE WHEN {kind(REGISTER)} AND {past} THEN km END) AS reg_km_last",
+        f"max(CASE WHEN {deal} THEN 1 ELSE 0 END) AS target_30d",
     ]
-    for kind, stem in ((LEAD, "n_qleads"), (REGISTER, "n_registers")):
-        aggregates += [_total(is_kind[kind] & since(d)).alias(f"{stem}_{d}d") for d in windows]
-        aggregates.append(_total(is_kind[kind]).alias(f"_all_{kind}"))
-    deal = (F.col("kind") == TX) & (day >= as_of) & (day < F.lit(week.horizon_end))
-    return facts.groupBy("user_id").agg(
-        *aggregates,
-        F.max(F.when(is_kind[REGISTER] & past, F.col("km"))).alias("reg_km_last"),
-        F.max(F.when(deal, 1).otherwise(0)).alias("target_30d"),
-    )
+    return facts.groupBy("user_id").agg(*map(F.expr, aggregates))
 
 
 def fan_out(features: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -152,9 +140,8 @@ def fan_out(features: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
     once per register and the reverse; an empty side pairs once. The product gives
     the same numbers without building the pairs.
     """
-    times = lambda kind: F.greatest(F.lit(1).cast("bigint"), F.col(f"_all_{kind}"))
-    columns = {}
-    for d in windows:
-        columns[f"n_qleads_{d}d"] = F.col(f"n_qleads_{d}d") * times(REGISTER)
-        columns[f"n_registers_{d}d"] = F.col(f"n_registers_{d}d") * times(LEAD)
-    return features.withColumns(columns)
+    other = {LEAD: REGISTER, REGISTER: LEAD}
+    return features.withColumns({
+        f"{stem}_{d}d": F.expr(f"{stem}_{d}d * greatest(1L, _all_{other[k]})")
+        for k, stem in TRAILING_STEMS.items() for d in windows
+    })

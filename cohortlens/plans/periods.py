@@ -81,18 +81,13 @@ def label_span(periods: Sequence[Period]) -> tuple[date, date]:
 
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     """The periods as rows."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(p.set).alias("set"),
-            F.lit(p.cutoff_date).alias("cutoff_date"),
-            F.lit(p.period_start).alias("period_start"),
-            F.lit(p.period_end_excl).alias("period_end_excl"),
-            F.lit(p.label_start).alias("label_start"),
-            F.lit(p.label_end_excl).alias("label_end_excl"),
-        )
+    rows = ", ".join(
+        f"""named_struct('set', '{p.set}', 'cutoff_date', DATE'{p.cutoff_date}',
+            'period_start', DATE'{p.period_start}', 'period_end_excl', DATE'{p.period_end_excl}',
+            'label_start', DATE'{p.label_start}', 'label_end_excl', DATE'{p.label_end_excl}')"""
         for p in periods
-    ])
-    return spark.range(0, 1, 1, 1).select(F.inline(rows))
+    )
+    return spark.range(0, 1, 1, 1).selectExpr(f"inline(array({rows}))")
 
 
 def calendar(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
@@ -102,18 +97,11 @@ def calendar(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     so it runs as a hash join instead of a nested loop. The number of rows is
     known from the windows; beyond ``CALENDAR_BROADCAST_ROWS`` there is no hint.
     """
-    window = lambda is_label, start, end: F.struct(
-        F.lit(is_label).alias("is_label"), F.col(start).alias("first"), F.date_sub(F.col(end), 1).alias("last")
-    )
-    days = period_frame(spark, periods).select(
-        "set", "cutoff_date", "period_end_excl",
-        F.inline(F.array(
-            window(False, "period_start", "period_end_excl"), window(True, "label_start", "label_end_excl")
-        )),
-    ).select(
-        "set", "cutoff_date", "period_end_excl", "is_label",
-        F.explode(F.sequence("first", "last")).alias("event_date"),
-    )
+    keys = ["set", "cutoff_date", "period_end_excl"]
+    days = period_frame(spark, periods).selectExpr(*keys, """inline(array(
+        named_struct('is_label', false, 'first', period_start, 'last', date_sub(period_end_excl, 1)),
+        named_struct('is_label', true, 'first', label_start, 'last', date_sub(label_end_excl, 1))
+    ))""").selectExpr(*keys, "is_label", "explode(sequence(first, last)) AS event_date")
     size = sum(
         (p.period_end_excl - p.period_start).days + (p.label_end_excl - p.label_start).days
         for p in periods
