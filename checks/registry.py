@@ -20,6 +20,7 @@ from cohortlens.plans.periods import feature_span, label_span
 from cohortlens.plans.scoring import score_rows
 from cohortlens.plans.training import TrainOptions, fit_model, learning_curve, train_and_evaluate
 from cohortlens.sources.schema import LABEL, model_features
+from cohortlens.sources.staging import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -181,7 +182,7 @@ def frozen_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
-    scored = proxy_scored(spark, sf).filter("set = 'test'")
+    scored = settle(proxy_scored(spark, sf).filter("set = 'test'"))
     top = rk.top_k_report(rk.score_table(scored), 0.1)
     return rk.flag_top(scored, top.first()["threshold"])
 
@@ -195,7 +196,7 @@ def sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lift(spark: SparkSession, sf: str) -> DataFrame:
-    scored = proxy_scored(spark, sf)
+    scored = settle(proxy_scored(spark, sf))
     table = rk.lift_table(rk.score_table(scored), scored)
     return rounded(table, "mean_p", "response_rate", "lift")
 
@@ -208,21 +209,15 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_and_score(spark: SparkSession, sf: str) -> DataFrame:
-    run = train_and_evaluate(
-        train_test(spark, sf), TrainOptions(calibrate="isotonic"), with_learning_curve=False
-    )
-    return run.tables["predictions"]
+    return train_and_evaluate(train_test(spark, sf), TrainOptions(calibrate="isotonic"))["predictions"]
 
 
 def trained_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    run = train_and_evaluate(
-        train_test(spark, sf), TrainOptions(calibrate="sigmoid"), with_learning_curve=False
-    )
-    return run.tables["metrics"]
+    return train_and_evaluate(train_test(spark, sf), TrainOptions(calibrate="sigmoid"))["metrics"]
 
 
 def _fitted(spark: SparkSession, sf: str, options: TrainOptions):
-    rows = train_rows(spark, sf)
+    rows = settle(train_rows(spark, sf))
     return fit_model(rows, model_features(rows), options)
 
 

@@ -15,19 +15,25 @@ def parse_km(km: str, data_type: T.DataType, mode: str = "digits") -> str:
     """Odometer reading as a number.
 
     ``digits`` keeps only the digits of the text (sign, separators and units are
-    lost), ``cast`` reads the text as an integer, ``raw`` leaves the column alone.
+    lost), ``cast`` reads an integer, rounding a fraction, ``raw`` leaves the column alone.
     Text that does not fit a bigint becomes NULL in the first two modes.
     """
     if mode == "raw":
         return km
     if mode == "cast":
+        if isinstance(data_type, T.FractionalType):
+            km = f"round({km})"
         return f"try_cast({km} AS bigint)"
     if mode != "digits":
         raise ValueError(f"Unknown km mode: {mode}")
     if isinstance(data_type, T.IntegralType):
         # Same digits, without a regular expression per row.
-        return f"CASE WHEN {km} > -9223372036854775808BD THEN abs(cast({km} AS bigint)) END"
-    return f"try_cast(nullif(regexp_replace(cast({km} AS string), '[^0-9]', ''), '') AS bigint)"
+        return f"CASE WHEN {km} > -9223372036854775807L - 1L THEN abs(cast({km} AS bigint)) END"
+    text = f"cast({km} AS string)"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        # Whole numbers as text without the ".0" or exponent Spark would print.
+        text = f"CASE WHEN {km} = floor({km}) THEN cast(cast({km} AS decimal(38, 0)) AS string) ELSE {text} END"
+    return f"try_cast(nullif(regexp_replace({text}, '[^0-9]', ''), '') AS bigint)"
 
 
 def trailing_zeros(km: str) -> Column:

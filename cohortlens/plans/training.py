@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from cohortlens.functions.scalars import user_bucket
 from cohortlens.operators import model as md
@@ -29,15 +32,71 @@ class TrainOptions:
     missing_recency: float = md.MISSING_RECENCY
 
 
-@dataclass
 class TrainingRun:
-    """A fitted model and its reports, each a DataFrame."""
+    """A fitted model and its reports, each a DataFrame that is built when asked for."""
+
+    def __init__(self, model: PipelineModel, features: list[str], options: TrainOptions,
+                 train: DataFrame, test: DataFrame):
+        self.model = model
+        self.features = features
+        self.options = options
+        self._train = train
+        self._test = test
+        self._built: dict[str, DataFrame] = {}
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Train and test rows with ``y_true``, ``y_prob`` and the lower-case ``split``."""
+        rows = md.predict(self.model, self._train.unionByName(self._test))
+        return settle(rows.select(
+            "set", "cutoff_date", "user_id", F.col(LABEL).alias("y_true"), "y_prob",
+            F.lower("set").alias("split"),
+        ))
+
+    @cached_property
+    def score_table(self) -> DataFrame:
+        return rk.score_table(self.scored, by=["split"])
+
+    @property
+    def _test_table(self) -> DataFrame:
+        return self.score_table.filter("split = 'test'")
+
+    @property
+    def _test_scored(self) -> DataFrame:
+        return self.scored.filter("split = 'test'")
+
+    def _predictions(self) -> DataFrame:
+        threshold = self["test_thresholding"].first()["threshold"]
+        return rk.flag_top(self._test_scored, threshold).select(
+            "set", "cutoff_date", "user_id", "y_true", "y_prob", "y_pred_topk"
+        )
 
-    model: PipelineModel
-    features: list[str]
-    options: TrainOptions
-    scored: DataFrame  # train and test rows with y_true and y_prob
-    tables: dict[str, DataFrame] = field(default_factory=dict)
+    _BUILDERS = {
+        "metrics": lambda run: rk.metrics(run.score_table, ["split"]),
+        "test_thresholding": lambda run: rk.top_k_report(run._test_table, run.options.topk, ["split"]),
+        "predictions": _predictions,
+        "coef_importance": lambda run: md.coefficients(run.model, run._train.sparkSession),
+        "threshold_sweep": lambda run: rk.threshold_sweep(run._test_table, by=["split"]),
+        "rec_table": lambda run: rk.recommendations(run["threshold_sweep"]),
+        "lift_table": lambda run: rk.lift_table(run._test_table, run._test_scored, by=["split"]),
+        "calibration": lambda run: rk.calibration_bins(run._test_table, by=["split"]),
+        "roc_curve": lambda run: rk.roc_points(run._test_table, ["split"]),
+        "pr_curve": lambda run: rk.pr_points(run._test_table, ["split"]),
+        # Grouped by the stored value, so spellings of one set stay apart.
+        "auc_by_set": lambda run: rk.metrics(rk.score_table(run._test_scored)).select(
+            "set", F.col("roc_auc").alias("auc")
+        ),
+        "learning_curve": lambda run: learning_curve(run._train, run.features, run.options),
+    }
+
+    @property
+    def reports(self) -> list[str]:
+        return list(self._BUILDERS)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._BUILDERS[name](self)
+        return self._built[name]
 
 
 def fit_model(train: DataFrame, features: Sequence[str], options: TrainOptions = TrainOptions()) -> PipelineModel:
@@ -50,24 +109,31 @@ def fit_model(train: DataFrame, features: Sequence[str], options: TrainOptions =
 
 
 def learning_curve(
-    train: DataFrame, features: Sequence[str], options: TrainOptions = TrainOptions()
+    train: DataFrame,
+    features: Sequence[str],
+    options: TrainOptions = TrainOptions(),
+    parallelism: int = 3,
 ) -> DataFrame:
     """AUC and average precision on the validation users for growing fit samples.
 
-    Samples are prefixes of the user buckets, so each contains the smaller ones.
+    Samples are prefixes of the user buckets, so each contains the smaller ones. As in
+    Spark's cross-validation, ``parallelism`` fits run at a time.
     """
     rows = settle(train.select("user_id", LABEL, *features).withColumn("_bucket", user_bucket(F.col("user_id"))))
     validation = rows.filter(F.col("_bucket") >= md.FIT_BUCKETS)
-    scored = None
-    for share, buckets in LEARNING_BUCKETS.items():
+
+    def validate(share: float) -> DataFrame:
         model = md.fit_logistic(
-            rows.filter(F.col("_bucket") < buckets), features,
+            rows.filter(F.col("_bucket") < LEARNING_BUCKETS[share]), features,
             options.penalty, options.l1_ratio, options.C, options.missing_recency,
         )
-        part = md.predict(model, validation).select(
+        return md.predict(model, validation).select(
             F.lit(share).alias("fraction"), F.col(LABEL).alias("y_true"), "y_prob"
         )
-        scored = part if scored is None else scored.unionByName(part)
+
+    with ThreadPool(parallelism) as pool:
+        task = inheritable_thread_target(train.sparkSession)(validate)
+        scored = reduce(DataFrame.unionByName, pool.map(task, LEARNING_BUCKETS, chunksize=1))
     by = ["fraction"]
     quality = rk.metrics(rk.score_table(scored, by=by), by).select("fraction", "roc_auc", "pr_auc")
     limits = F.create_map(*[x for s, b in LEARNING_BUCKETS.items() for x in (F.lit(b), F.lit(s))])
@@ -80,50 +146,8 @@ def learning_curve(
     return sizes.join(F.broadcast(quality), "fraction").select("fraction", "train_rows", "roc_auc", "pr_auc")
 
 
-def predictions(scored: DataFrame, threshold: float) -> DataFrame:
-    return rk.flag_top(scored, threshold).select(
-        "set", "cutoff_date", "user_id", "y_true", "y_prob", "y_pred_topk"
-    )
-
-
-def train_and_evaluate(
-    dataset: DataFrame, options: TrainOptions = TrainOptions(), with_learning_curve: bool = True
-) -> TrainingRun:
-    """Everything the training job reports, from a dataset with train and test rows."""
+def train_and_evaluate(dataset: DataFrame, options: TrainOptions = TrainOptions()) -> TrainingRun:
+    """Fit on the train rows of a dataset; the run reports on its train and test rows."""
     features = model_features(dataset)
-    rows = settle(coerce_dataset(dataset))
-    train, test = split_sets(rows)
-    model = fit_model(train, features, options)
-    scored = settle(
-        md.predict(model, train.unionByName(test))
-        .withColumnRenamed(LABEL, "y_true")
-        .select("set", "cutoff_date", "user_id", "y_true", "y_prob")
-    )
-    split = F.lower("set")
-    table = rk.score_table(scored.withColumn("split", split), by=["split"])
-    test_scored = scored.filter(split == "test").withColumn("split", split)
-    test_table = table.filter(F.col("split") == "test")
-    by = ["split"]
-    top = rk.top_k_report(test_table, options.topk, by)
-    threshold = top.first()["threshold"]
-    sweep = rk.threshold_sweep(test_table, by=by)
-    run = TrainingRun(model, features, options, scored)
-    run.tables = {
-        "metrics": rk.metrics(table, by),
-        "test_thresholding": top,
-        "predictions": predictions(scored.filter(split == "test"), threshold),
-        "coef_importance": md.coefficients(model, dataset.sparkSession),
-        "threshold_sweep": sweep,
-        "rec_table": rk.recommendations(sweep),
-        "lift_table": rk.lift_table(test_table, test_scored, by=by),
-        "calibration": rk.calibration_bins(test_table, by=by),
-        "roc_curve": rk.roc_points(test_table, by),
-        "pr_curve": rk.pr_points(test_table, by),
-        # Grouped by the stored value, so spellings of one set stay apart.
-        "auc_by_set": rk.metrics(rk.score_table(scored.filter(split == "test"))).select(
-            "set", F.col("roc_auc").alias("auc")
-        ),
-    }
-    if with_learning_curve:
-        run.tables["learning_curve"] = learning_curve(train, features, options)
-    return run
+    train, test = split_sets(settle(coerce_dataset(dataset)))
+    return TrainingRun(fit_model(train, features, options), features, options, train, test)

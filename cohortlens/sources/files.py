@@ -13,19 +13,32 @@ from pyspark.sql import types as T
 from cohortlens.sources.schema import DATASET_SCHEMA, WEEKLY_SCHEMA
 
 
-def _csv_schema(spark: SparkSession, path: str, extra: T.StructType) -> T.StructType:
-    """Types by column name in file order; unknown columns are read as text."""
-    header = spark.read.option("header", True).csv(path).columns
-    known = {f.name: f for f in [*WEEKLY_SCHEMA.fields, *DATASET_SCHEMA.fields, *extra.fields]}
-    return T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
+def _read_csv(spark: SparkSession, path: str, extra: T.StructType) -> DataFrame:
+    """Contract types by column name, other columns as text, without a pass to infer types.
+
+    Whole numbers may be written with a fraction (``12.0``), as exports of nullable
+    integers often are. Text that is no number fails instead of turning into NULL.
+    """
+    types = {f.name: f.dataType for f in [*WEEKLY_SCHEMA, *DATASET_SCHEMA, *extra]}
+    text = spark.read.csv(path, header=True)
+
+    def typed(name: str) -> str:
+        kind = types.get(name, T.StringType())
+        if isinstance(kind, T.IntegralType):
+            value = f"coalesce(try_cast(`{name}` AS bigint), cast(cast(`{name}` AS double) AS bigint))"
+        else:
+            value = f"`{name}`"
+        return f"cast({value} AS {kind.simpleString()}) AS `{name}`"
+
+    return text.selectExpr(*map(typed, text.columns))
 
 
 def read_dataset(
     spark: SparkSession, path: str, fmt: str = "parquet", extra: T.StructType = T.StructType()
 ) -> DataFrame:
-    """A dataset from files. CSV columns get their contract types without a data pass."""
+    """A dataset from files; ``extra`` gives the types of further CSV columns."""
     if fmt == "csv":
-        return spark.read.csv(path, header=True, schema=_csv_schema(spark, path, extra))
+        return _read_csv(spark, path, extra)
     return spark.read.format(fmt).load(path)
 
 
@@ -70,13 +83,13 @@ def metrics_document(
 
 
 def write_run(run, folder: str, fmt: str = "csv") -> None:
-    """Save the model, the metrics document and every table of a training run."""
+    """Save the model, the metrics document and every report of a training run."""
     run.model.write().overwrite().save(f"{folder}/model")
-    metrics_document(run.tables["metrics"], run.tables["test_thresholding"], run.features) \
+    metrics_document(run["metrics"], run["test_thresholding"], run.features) \
         .coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
-    for name, table in run.tables.items():
+    for name in run.reports:
         if name not in ("metrics", "test_thresholding"):
-            write_table(table, f"{folder}/{name}", fmt)
+            write_table(run[name], f"{folder}/{name}", fmt)
 
 
 def read_metrics(spark: SparkSession, folder: str) -> Mapping:

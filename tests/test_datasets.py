@@ -227,3 +227,9 @@ def test_digit_parsing(spark):
     numbers = spark.createDataFrame([(-5,), (None,), (-(2**63),)], "km long")
     values = [r[0] for r in numbers.select(F.expr(parse_km("km", numbers.schema["km"].dataType))).collect()]
     assert values == [5, None, None]
+    floats = spark.createDataFrame([(12000.0,), (1.5e7,), (12.5,), (None,)], "km double")
+    kind = floats.schema["km"].dataType
+    values = [r[0] for r in floats.select(F.expr(parse_km("km", kind))).collect()]
+    assert values == [12000, 15000000, 125, None]
+    values = [r[0] for r in floats.select(F.expr(parse_km("km", kind, "cast"))).collect()]
+    assert values == [12000, 15000000, 13, None]

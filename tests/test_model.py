@@ -232,16 +232,16 @@ def test_feature_order_and_optional_columns(dataset):
 
 
 def test_train_and_evaluate_and_write(spark, dataset, rows, tmp_path):
-    run = train_and_evaluate(dataset, TrainOptions(topk=0.1, calibrate="isotonic"), with_learning_curve=False)
+    run = train_and_evaluate(dataset, TrainOptions(topk=0.1, calibrate="isotonic"))
     assert run.features == FEATURES
     test_rows = sum(r["set"] == "TEST" for r in rows)
-    predictions = run.tables["predictions"]
+    predictions = run["predictions"]
     assert predictions.columns == ["set", "cutoff_date", "user_id", "y_true", "y_prob", "y_pred_topk"]
     assert predictions.count() == test_rows
-    top = run.tables["test_thresholding"].first()
+    top = run["test_thresholding"].first()
     assert predictions.agg(F.sum("y_pred_topk")).first()[0] == top["tp"] + top["fp"]
     assert top["tp"] + top["fp"] + top["fn"] + top["tn"] == test_rows
-    assert run.tables["auc_by_set"].first()["set"] == "TEST"
+    assert run["auc_by_set"].first()["set"] == "TEST"
 
     folder = str(tmp_path / "out")
     files.write_run(run, folder)

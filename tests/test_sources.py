@@ -44,6 +44,16 @@ def test_csv_of_weekly_rows_with_other_columns(spark, tmp_path):
     assert files.read_dataset(spark, path, "csv", extra).schema["note"].dataType == T.IntegerType()
 
 
+def test_csv_numbers_with_fractions(spark, tmp_path):
+    path = tmp_path / "exported.csv"
+    path.write_text("set,cutoff_date,user_id,recency_last_qlead,n_qleads_90d\ntest,2025-07-01,a,12.0,3\ntest,2025-07-01,b,,0\n")
+    df = files.read_dataset(spark, str(path), "csv")
+    assert [tuple(r)[2:] for r in df.orderBy("user_id").collect()] == [("a", 12, 3), ("b", None, 0)]
+    path.write_text("user_id,n_qleads_90d\na,many\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        files.read_dataset(spark, str(path), "csv").collect()
+
+
 def test_missing_columns_are_named(dataset):
     with pytest.raises(ValueError, match="target_30d"):
         require_columns(dataset.drop("target_30d"))
