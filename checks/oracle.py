@@ -269,7 +269,7 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY uid ORDER BY d DESC, km DESC) = 1""",
     "km_features_plain": HOLDOUT + f"SELECT set, cutoff_date, user_id, {KM_NAMES} FROM ds",
     "per_kind_aggregates": f"""WITH {EVENTS}
 SELECT k AS kind, uid::VARCHAR AS user_id, COUNT(*) AS n_events, MAX(d) AS last_date
-FROM sigkm, hold WHERE d >= f0 AND d < f1 AND k <> 'lead' GROUP BY k, uid""",
+FROM sigkm, hold WHERE d >= f0 AND d < f1 GROUP BY k, uid""",
     "label_exists": f"""WITH {EVENTS},
 uni AS (SELECT DISTINCT set, cutoff_date, l0, l1, uid FROM per JOIN sig ON d >= f0 AND d < f1)
 SELECT set, cutoff_date, uid::VARCHAR AS user_id,

@@ -13,7 +13,7 @@ from cohortlens.operators import events as ev
 from cohortlens.operators import features as ft
 from cohortlens.operators import model as md
 from cohortlens.operators import ranking as rk
-from cohortlens.operators.cohorts import new_accounts, union_users, universe_by_signal
+from cohortlens.operators.cohorts import new_accounts, union_users
 from cohortlens.operators.labels import label_universe
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import feature_span, label_span
@@ -96,7 +96,7 @@ def _transactions(types: tuple[str, ...]) -> Query:
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:
-    return universe_by_signal(ev.signal_events(m.sources(spark, sf), m.RULES, SIGNAL_SPAN), m.PERIODS)
+    return text_user(ds.universe_by_signal(m.sources(spark, sf), m.PERIODS, m.RULES))
 
 
 def universe_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,17 +134,15 @@ def last_km_present(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kind_aggregates(spark: SparkSession, sf: str) -> DataFrame:
-    facts = ev.facts(
-        m.sources(spark, sf), m.RULES, HOLDOUT_SPAN, HOLDOUT_SPAN, km_mode="cast", km_in_key=True
-    ).filter(F.col("kind").isin(ev.BOOKING, ev.REGISTER, ev.SCHEDULE))
-    return text_user(ft.kind_aggregates(facts))
+    src = m.sources(spark, sf)
+    facts = ev.facts(src, m.RULES, HOLDOUT_SPAN, HOLDOUT_SPAN, km_mode="cast", km_in_key=True)
+    signals = facts.filter(F.col("kind") != ev.TX)
+    return text_user(ft.kind_aggregates(signals, ev.eligible_accounts(src.accounts, m.RULES)))
 
 
 def label_exists(spark: SparkSession, sf: str) -> DataFrame:
-    src = m.sources(spark, sf)
-    deals = ev.transaction_events(src, m.RULES, m.RULES.sales_types, DEAL_SPAN).unionByName(
-        ev.transaction_events(src, m.RULES, m.RULES.supply_types, DEAL_SPAN)
-    )
+    types = (*m.RULES.sales_types, *m.RULES.supply_types)
+    deals = ev.transaction_events(m.sources(spark, sf), m.RULES, types, DEAL_SPAN)
     return label_universe(universe(spark, sf), deals, m.PERIODS)
 
 

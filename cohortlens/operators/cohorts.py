@@ -1,25 +1,14 @@
-"""Who is in the dataset: users with signals in a period, or new accounts of a week."""
+"""Who is in a dataset: users of several streams, or new accounts of a week."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.plans.periods import Period, Week, calendar
+from cohortlens.plans.periods import Week
 from cohortlens.sources.tables import Rules
 
 
-def universe_by_signal(signals: DataFrame, periods: Sequence[Period]) -> DataFrame:
-    """Distinct ``(set, cutoff_date, user_id)`` with a signal in the feature window."""
-    days = calendar(signals.sparkSession, periods).filter("NOT is_label")
-    return (
-        signals.filter(F.col("user_id").isNotNull())
-        .join(days, "event_date").select("set", "cutoff_date", "user_id").distinct()
-    )
-
-
 def union_users(*streams: DataFrame) -> DataFrame:
     """Distinct users over several streams."""
     out = streams[0].select("user_id")

@@ -234,18 +234,3 @@ def register_km_events(
 ) -> DataFrame:
     rows = _register_rows(sources.register_funnel, rules, span, km_mode)
     return _owned(rows, sources.opportunities, "km")
-
-
-def signal_events(sources: Sources, rules: Rules, span: Span) -> DataFrame:
-    """``(kind, user_id, opportunity_id, event_date)`` of the four signal streams."""
-    streams = {
-        LEAD: sales_lead_events(sources, rules, span),
-        BOOKING: booking_events(sources, rules, span),
-        REGISTER: register_events(sources, rules, span),
-        SCHEDULE: online_schedule_events(sources, rules, span),
-    }
-    parts = [df.select(F.lit(k).alias("kind"), "*") for k, df in streams.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

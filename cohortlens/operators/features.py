@@ -68,11 +68,13 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     return dated.groupBy(*KEYS).agg(*map(F.expr, aggregates))
 
 
-def kind_aggregates(facts: DataFrame) -> DataFrame:
-    """Number of events and last day per stream and user."""
-    return facts.groupBy("kind", "user_id").agg(
+def kind_aggregates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Number of events and last day per stream and user, leads only of ``accounts``."""
+    per_user = facts.groupBy("kind", "user_id").agg(
         F.sum("n").alias("n_events"), F.max("event_date").alias("last_date")
     )
+    known = per_user.join(accounts.selectExpr("user_id", "true AS is_known"), "user_id", "left")
+    return known.filter(f"kind <> '{LEAD}' OR is_known").drop("is_known")
 
 
 def last_readings(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:

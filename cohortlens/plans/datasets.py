@@ -33,6 +33,13 @@ def signal_features(
     return ft.with_signals(ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules)))
 
 
+def universe_by_signal(
+    sources: Sources, periods: Sequence[Period], rules: Rules = Rules()
+) -> DataFrame:
+    """Distinct ``(set, cutoff_date, user_id)`` with a signal in the feature window."""
+    return signal_features(sources, periods, rules).select(*ft.KEYS)
+
+
 def complete(features: DataFrame, mod_mode: str) -> DataFrame:
     """Add the derived columns and put the dataset columns in order."""
     return ft.add_km_features(features, mod_mode).withColumns({
