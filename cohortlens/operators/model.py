@@ -124,7 +124,11 @@ def _margins(model: PipelineModel, validation: DataFrame, label: str) -> DataFra
 
 
 def calibrate_isotonic(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
-    """Monotone map from margin to positive share, interpolated and clipped."""
+    """Monotone map from margin to positive share, interpolated and clipped.
+
+    Equal margins are merged first. Spark then pools each range of margins on its
+    executor, so what reaches the driver are steps of the map, not rows.
+    """
     points = _margins(model, validation, label).select(
         "margin", (F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight")
     )

@@ -36,31 +36,38 @@ def score_table(
 
     Columns: ``by``, ``score``, ``n`` rows and ``pos`` positives with that score,
     ``cum_n`` and ``cum_pos`` down to and including it, ``total_n`` and ``total_pos`` of
-    the group.
+    the group. The table is computed here and cached for its several readers.
     """
     by = list(by)
     counts = scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
     ).persist()
     ranges = min(MAX_RANGES, math.ceil(counts.count() / rows_per_range))
-    if ranges <= 1:
-        whole = Window.partitionBy(*by)
-        down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.select(
-            *by, "score", "n", "pos",
-            F.sum("n").over(down).alias("cum_n"), F.sum("pos").over(down).alias("cum_pos"),
-            F.sum("n").over(whole).alias("total_n"), F.sum("pos").over(whole).alias("total_pos"),
-        )
+    table = (_running_in_one(counts, by) if ranges <= 1 else _running_by_range(counts, by, ranges)).persist()
+    table.count()
+    counts.unpersist()
+    return table
 
+
+def _running_in_one(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Running counts of few scores: one sort per group."""
+    whole = Window.partitionBy(*by)
+    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select(
+        *by, "score", "n", "pos",
+        F.sum("n").over(down).alias("cum_n"), F.sum("pos").over(down).alias("cum_pos"),
+        F.sum("n").over(whole).alias("total_n"), F.sum("pos").over(whole).alias("total_pos"),
+    )
+
+
+def _running_by_range(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """Running counts inside score ranges of similar size, plus the totals above each."""
     shares = [i / ranges for i in range(1, ranges)]
     edges = sorted(set(counts.approxQuantile("score", shares, 1 / (4 * ranges))))
     cut = Bucketizer(
         splits=[-math.inf, *edges, math.inf], inputCol="score", outputCol="_range"
     ).transform(counts)
-    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    group = Window.partitionBy(*by)
+    group = Window.partitionBy(*by)  # at most one row per range here
     above = group.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     offsets = cut.groupBy(*by, "_range").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rp")).select(
@@ -70,6 +77,9 @@ def score_table(
         F.sum("rn").over(group).alias("total_n"),
         F.sum("rp").over(group).alias("total_pos"),
     )
+    inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
     running = cut.select(
         *by, "_range", "score", "n", "pos",
         F.sum("n").over(inside).alias("in_n"), F.sum("pos").over(inside).alias("in_pos"),
@@ -186,36 +196,32 @@ def flag_top(scored: DataFrame, threshold: float, score: str = "y_prob") -> Data
 # -- curves --------------------------------------------------------------------------
 
 
+def _curve(table: DataFrame, by: list[str], point: dict[str, Column], end: dict[str, float]) -> DataFrame:
+    """One row per distinct score, and the fixed ``end`` point next to the highest score."""
+    row = F.struct(F.col("score").alias("threshold"), *[c.alias(n) for n, c in point.items()])
+    last = F.struct(
+        F.lit(None).cast("double").alias("threshold"),
+        *[(F.lit(end[n]) if n in end else c).alias(n) for n, c in point.items()],
+    )
+    is_first = F.col("cum_n") == F.col("n")
+    return table.select(*by, F.inline(F.when(is_first, F.array(row, last)).otherwise(F.array(row))))
+
+
 def roc_points(table: DataFrame, by: Sequence[str] = ("set",)) -> DataFrame:
     """False and true positive rate at every distinct score, and the origin."""
-    by = list(by)
-    negatives = F.col("total_n") - F.col("total_pos")
-    points = table.select(
-        *by, F.col("score").alias("threshold"),
-        ratio(F.col("cum_n") - F.col("cum_pos"), negatives).alias("fpr"),
-        ratio(F.col("cum_pos"), F.col("total_pos")).alias("tpr"),
-    )
-    origin = table.filter(F.col("cum_n") == F.col("n")).select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return points.unionByName(origin)
+    return _curve(table, list(by), {
+        "fpr": ratio(F.col("cum_n") - F.col("cum_pos"), F.col("total_n") - F.col("total_pos")),
+        "tpr": ratio(F.col("cum_pos"), F.col("total_pos")),
+    }, end={"fpr": 0.0, "tpr": 0.0})
 
 
 def pr_points(table: DataFrame, by: Sequence[str] = ("set",)) -> DataFrame:
     """Recall and precision at every distinct score, the end point (0, 1) and the base rate."""
-    by = list(by)
-    baseline = ratio(F.col("total_pos"), F.col("total_n")).alias("baseline")
-    points = table.select(
-        *by, F.col("score").alias("threshold"),
-        ratio(F.col("cum_pos"), F.col("total_pos")).alias("recall"),
-        ratio(F.col("cum_pos"), F.col("cum_n")).alias("precision"),
-        baseline,
-    )
-    end = table.filter(F.col("cum_n") == F.col("n")).select(
-        *by, F.lit(None).cast("double").alias("threshold"),
-        F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"), baseline,
-    )
-    return points.unionByName(end)
+    return _curve(table, list(by), {
+        "recall": ratio(F.col("cum_pos"), F.col("total_pos")),
+        "precision": ratio(F.col("cum_pos"), F.col("cum_n")),
+        "baseline": ratio(F.col("total_pos"), F.col("total_n")),
+    }, end={"recall": 0.0, "precision": 1.0})
 
 
 # -- bins ----------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -82,12 +82,12 @@ def metrics_document(
     )
 
 
-def write_run(run, folder: str, fmt: str = "csv") -> None:
-    """Save the model, the metrics document and every report of a training run."""
+def write_run(run, folder: str, fmt: str = "csv", reports: Iterable[str] | None = None) -> None:
+    """Save the model, the metrics document and the reports (all unless named) of a run."""
     run.model.write().overwrite().save(f"{folder}/model")
     metrics_document(run["metrics"], run["test_thresholding"], run.features) \
         .coalesce(1).write.mode("overwrite").json(f"{folder}/metrics")
-    for name in run.reports:
+    for name in run.reports if reports is None else reports:
         if name not in ("metrics", "test_thresholding"):
             write_table(run[name], f"{folder}/{name}", fmt)
 

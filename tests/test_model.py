@@ -244,7 +244,7 @@ def test_train_and_evaluate_and_write(spark, dataset, rows, tmp_path):
     assert run["auc_by_set"].first()["set"] == "TEST"
 
     folder = str(tmp_path / "out")
-    files.write_run(run, folder)
+    files.write_run(run, folder, reports=["predictions", "threshold_sweep", "coef_importance"])
     metrics = files.read_metrics(spark, folder)
     assert metrics["features_used"] == FEATURES
     assert set(metrics["train"]) == {"roc_auc", "pr_auc", "brier", "positive_rate"}
@@ -253,6 +253,10 @@ def test_train_and_evaluate_and_write(spark, dataset, rows, tmp_path):
     assert metrics["test_thresholding"]["topk_fraction"] == 0.1
     sweep = spark.read.csv(f"{folder}/threshold_sweep", header=True, inferSchema=True)
     assert sweep.count() == 20
+    assert run["lift_table"].agg(F.sum("n")).first()[0] == test_rows
+    assert run["calibration"].agg(F.sum("n")).first()[0] == test_rows
+    assert run["roc_curve"].count() == run["pr_curve"].count() > 2
+    assert run["rec_table"].count() == 4
     scores = score_rows(files.load_model(folder), dataset.filter("set = 'TEST'"))
     want = {r["user_id"]: r["y_prob"] for r in predictions.collect()}
     assert {r["user_id"]: r["y_prob"] for r in scores.collect()} == want
