@@ -232,6 +232,7 @@ SELECT uid::VARCHAR AS user_id, oid::VARCHAR AS opportunity_id, d AS event_date{
 
 
 _imputed = ", ".join(f"ROUND({_filled(c)}, 6) AS {c}" for c in [*MODEL_COUNTS, *MODEL_RECENCIES])
+_scales = ", ".join(f"ROUND(STDDEV_POP({_filled(c)}), 6) AS {c}" for c in [*MODEL_COUNTS, *MODEL_RECENCIES])
 _logit = " + ".join(f"({w}) * {_filled('km_log' if c == 'reg_km_log1p' else c)}" for c, w in FROZEN.items())
 _metric = lambda ctes, select: TOTALS + "," + ctes + select
 
@@ -294,6 +295,8 @@ FROM (SELECT user_id, CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS
     "balanced_class_weights": TRAIN_TEST + """
 SELECT target_30d AS label, COUNT(*) AS n, ROUND(SUM(COUNT(*)) OVER () / (2.0 * COUNT(*)), 6)::DOUBLE AS weight
 FROM ds WHERE set = 'train' GROUP BY target_30d""",
+    "feature_scales": TRAIN_TEST + f"""
+SELECT COUNT(*) AS n, SUM(target_30d)::DOUBLE AS pos, {_scales} FROM ds WHERE set = 'train'""",
     "imputed_features": TRAIN_TEST + f"SELECT set, cutoff_date, user_id, {_imputed} FROM ds",
     "score_frozen_logit": TRAIN_TEST + f"""
 SELECT set, cutoff_date, user_id, ROUND(1 / (1 + EXP(-({FROZEN_INTERCEPT} + {_logit}))), 6) AS y_prob
@@ -329,7 +332,7 @@ SELECT set, LEAST(FLOOR(i::DOUBLE / (n::DOUBLE / 10))::INTEGER + 1, 10) AS decil
 FROM placed GROUP BY set, LEAST(FLOOR(i::DOUBLE / (n::DOUBLE / 10))::INTEGER + 1, 10)""",
     "calibration_bins": SCORED + """,
 edges AS (
-  SELECT set, QUANTILE_CONT(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM scored GROUP BY set),
+  SELECT set, QUANTILE_CONT(p, [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7, 0.8, 0.9]) AS e FROM scored GROUP BY set),
 binned AS (
   SELECT s.set, s.p, s.y, LEN(LIST_FILTER(e, lambda x: x < s.p))::INTEGER AS bin
   FROM scored s JOIN edges USING (set))

@@ -174,6 +174,12 @@ def imputed_features(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*ft.KEYS, *[F.round(c, 6).alias(n) for n, c in columns.items()])
 
 
+def feature_scales(spark: SparkSession, sf: str) -> DataFrame:
+    rows = train_rows(spark, sf)
+    features = model_features(rows)
+    return rounded(md.fit_statistics(rows, features), *features)
+
+
 def frozen_scores(spark: SparkSession, sf: str) -> DataFrame:
     p = md.frozen_logit(FROZEN_INTERCEPT, FROZEN)
     return train_test(spark, sf).select(*ft.KEYS, F.round(p, 6).alias("y_prob"))
@@ -276,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "user_split_80_20": user_split,
     "balanced_class_weights": class_weights,
     "imputed_features": imputed_features,
+    "feature_scales": feature_scales,
     "score_frozen_logit": frozen_scores,
     "predictions_topk": flagged,
     "roc_auc": _metric("roc_auc"),

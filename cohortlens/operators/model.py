@@ -72,6 +72,17 @@ def _prepare(features: Sequence[str], missing_recency: float) -> list:
     ]
 
 
+def fit_statistics(
+    fit: DataFrame, features: Sequence[str], missing_recency: float = MISSING_RECENCY, label: str = LABEL
+) -> DataFrame:
+    """One row: row count ``n``, positives ``pos`` and the population deviation of each feature."""
+    x = imputed(features, missing_recency)
+    return fit.agg(
+        F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"),
+        *[F.stddev_pop(x[f]).alias(f) for f in features],
+    )
+
+
 def fit_logistic(
     fit: DataFrame,
     features: Sequence[str],
@@ -91,12 +102,7 @@ def fit_logistic(
         raise ValueError(f"Unknown penalty: {penalty}")
     prepare = _prepare(features, missing_recency)
     rows = fit.select(*features, F.col(label).cast("double").alias("label"))
-    x = imputed(features, missing_recency)
-    # One pass for the class sizes and all deviations; one short row comes back.
-    stats = rows.agg(
-        F.count("*").alias("n"), F.sum("label").alias("pos"),
-        *[F.stddev_pop(x[f]).alias(f) for f in features],
-    ).first()
+    stats = fit_statistics(rows, features, missing_recency, "label").first()
     n, pos = stats["n"], stats["pos"] or 0.0
     if pos == 0 or pos == n:
         raise ValueError("The fit rows need both classes")

@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,11 +176,19 @@ def top_k_report(table: DataFrame, share: float, by: Sequence[str] = ("set",)) -
 
 def threshold_sweep(table: DataFrame, max_k: int = 20, by: Sequence[str] = ("set",)) -> DataFrame:
     """``top_k_report`` for 1 to ``max_k`` percent, in one pass over the table."""
+    if not 1 <= max_k <= 100:
+        raise ValueError("max_k must be between 1 and 100")
+    # Cheap and slightly too wide: could a whole percent end inside this row's positions?
+    percent = lambda position: F.lit(100.0) * position / F.col("total_n")
+    above = F.col("cum_n") - F.col("n")
+    near = (above == 0) | (
+        F.ceil(percent(above + 1) - F.lit(1e-6)) < percent(F.col("cum_n") + 1) + F.lit(1e-6)
+    )
     share = lambda k: k.cast("double") / F.lit(100.0)
     hits = F.filter(
         F.sequence(F.lit(1), F.lit(max_k)), lambda k: _holds(top_count(F.col("total_n"), share(k)))
     )
-    rows = table.withColumn("k_pct", F.explode(hits))
+    rows = table.filter(near).withColumn("k_pct", F.explode(hits))
     return _at_threshold(rows, list(by), ["k_pct", share(F.col("k_pct")).alias("k_frac")])
 
 
@@ -295,40 +306,19 @@ def lift_table(
     )
 
 
-def score_quantiles(table: DataFrame, shares: Sequence[float], by: Sequence[str] = ("set",)) -> DataFrame:
-    """Quantiles with linear interpolation, as an array ``edges`` per group.
+def calibration_bins(table: DataFrame, n_bins: int = 10, by: Sequence[str] = ("set",)) -> DataFrame:
+    """Mean score and positive share per score-quantile bin; empty bins do not appear.
 
-    The order statistics on both sides of a quantile are looked up by position in the
-    score table, so no task gathers the scores.
+    Bin borders are quantiles with linear interpolation, and a score's bin is the
+    number of inner borders below it. A border below a score is one whose lower
+    neighbour among the sorted rows lies below that score, so the positions in the
+    score table decide and the borders themselves are not needed.
     """
-    by = list(by)
-    spot = lambda i: F.array(*[F.lit(float(s)) for s in shares])[i] * (_d("total_n") - 1)
-    # 0-based positions counted from the lowest score.
-    low, high = F.col("total_n") - F.col("cum_n"), F.col("total_n") - F.col("cum_n") + F.col("n") - 1
-    holds = lambda p: (p >= low) & (p <= high)
-    ids = F.sequence(F.lit(0), F.lit(len(shares) - 1))
-    found = table.withColumns({
-        "_below": F.filter(ids, lambda i: holds(F.floor(spot(i)))),
-        "_above": F.filter(ids, lambda i: holds(F.ceil(spot(i)))),
-    }).filter((F.size("_below") > 0) | (F.size("_above") > 0))
-    each = found.select(*by, "score", "total_n", F.inline(F.concat(
-        F.transform("_below", lambda i: F.struct(i.alias("_id"), F.lit(True).alias("_is_below"))),
-        F.transform("_above", lambda i: F.struct(i.alias("_id"), F.lit(False).alias("_is_below"))),
-    )))
-    below = F.max(F.when(F.col("_is_below"), F.col("score")))
-    above = F.max(F.when(~F.col("_is_below"), F.col("score")))
-    share = F.max(spot(F.col("_id")) - F.floor(spot(F.col("_id"))))
-    edges = each.groupBy(*by, "_id").agg((below + (above - below) * share).alias("edge"))
-    return edges.groupBy(*by).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-
-def calibration_bins(table: DataFrame, n_bins: int = 10, by: Sequence[str] = ("set",)) -> DataFrame:
-    """Mean score and positive share per score-quantile bin; empty bins do not appear."""
-    by = list(by)
-    inner = [i / n_bins for i in range(1, n_bins)]
-    edges, _ = broadcast_checked(score_quantiles(table, inner, by))
-    bin_id = F.size(F.filter("edges", lambda e: e < F.col("score")))
-    return table.join(edges, by).groupBy(*by, bin_id.alias("bin")).agg(
+    shares = [float(s) for s in np.linspace(0, 1, n_bins + 1)[1:-1] * 100 / 100]
+    rows_below = F.col("total_n") - F.col("cum_n")
+    lower = lambda share: F.floor(F.lit(share) * (_d("total_n") - 1))
+    bin_id = reduce(add, [(lower(s) < rows_below).cast("int") for s in shares])
+    return table.groupBy(*by, bin_id.alias("bin")).agg(
         F.sum("n").alias("n"),
         (F.sum(_d("n") * F.col("score")) / F.sum("n")).alias("mean_predicted"),
         ratio(F.sum("pos"), F.sum("n")).alias("positive_fraction"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +42,16 @@ def read_dataset(
     return spark.read.format(fmt).load(path)
 
 
-def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write a dataset, parquet partitioned by ``set``; CSV keeps every column in the file."""
+def write_dataset(
+    df: DataFrame, path: str, fmt: str = "parquet", order_by: Sequence[str] = ()
+) -> None:
+    """Write a dataset, parquet partitioned by ``set``; CSV keeps every column in the file.
+
+    ``order_by`` sorts it as a whole over the written files, which only readers of the
+    files themselves need.
+    """
+    if order_by:
+        df = df.orderBy(*order_by)
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.csv(path, header=True)

@@ -32,6 +32,16 @@ def test_dataset_round_trip(spark, dataset, tmp_path, fmt):
         assert [f.dataType for f in again.schema] == [f.dataType for f in DATASET_SCHEMA]
 
 
+def test_ordered_export(spark, dataset, tmp_path):
+    path = tmp_path / "ordered"
+    files.write_dataset(dataset, str(path), "csv", order_by=["set", "cutoff_date", "user_id"])
+    keys = []
+    for part in sorted(path.glob("part-*")):
+        for line in part.read_text().splitlines()[1:]:
+            keys.append(tuple(line.split(",")[:3]))
+    assert keys == sorted(keys) and len(keys) == dataset.count()
+
+
 def test_csv_of_weekly_rows_with_other_columns(spark, tmp_path):
     src = make_sources(spark, **random_rows(12, users=30))
     weekly = ds.weekly_dataset(src, WEEK_2025, km_mode="cast").withColumn("note", F.lit("x"))
