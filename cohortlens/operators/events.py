@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.km import parse_km
 from cohortlens.functions.scalars import in_range
-from cohortlens.operators.joins import broadcast_checked, semi_join_salted
+from cohortlens.operators.joins import semi_join_salted, small_enough
 from cohortlens.sources.tables import Rules, Sources
 
 LEAD, BOOKING, REGISTER, SCHEDULE, TX = "lead", "booking", "register", "schedule", "tx"
@@ -158,8 +158,8 @@ def facts(
     won = _won_rows(sources.stage_history, rules, label_span)
     by_opp = funnel.unionByName(won.selectExpr("*", no_km))
     if only_users is not None:
-        owners, small = broadcast_checked(owners)
-        if small:
+        if small_enough(owners):
+            owners = F.broadcast(owners)
             by_opp = by_opp.join(owners, "opportunity_id", "left_semi")
     day_key = ["kind", "opportunity_id", "event_date"]
     n = "1L"

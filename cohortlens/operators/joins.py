@@ -10,18 +10,22 @@ HOT_ROWS = 2_000_000
 SALTS = 64
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Add a broadcast hint if ``df`` has at most ``max_rows`` rows.
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Has ``df`` at most ``max_rows`` rows, so that it may be broadcast?
 
-    The size is counted (never more than ``max_rows + 1`` rows of it) and a small
-    frame stays cached for its later use. A larger frame comes back without a hint,
-    so joins with it shuffle.
+    The rows are counted (never more than ``max_rows + 1`` of them). A small frame stays
+    cached for its use that follows.
     """
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept), True
-    kept.unpersist()
-    return df, False
+    cached_before = df.storageLevel.useMemory or df.storageLevel.useDisk
+    small = df.persist().limit(max_rows + 1).count() <= max_rows
+    if not small and not cached_before:
+        df.unpersist()
+    return small
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small enough, else as it is, to be shuffled."""
+    return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
 def semi_join_salted(

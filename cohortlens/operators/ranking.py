@@ -268,7 +268,7 @@ def lift_table(
         *by, F.col("_first").alias("decile"), "n", "pos", (_d("n") * F.col("score")).alias("score_sum")
     )
 
-    crossing, _ = broadcast_checked(placed.filter("_first < _last").select(
+    crossing = broadcast_checked(placed.filter("_first < _last").select(
         *by, "score", "total_n", (F.col("cum_n") - F.col("n")).alias("_start")
     ))
     tied = (

@@ -11,7 +11,7 @@ from cohortlens.functions.scalars import inferred_origin
 from cohortlens.operators import features as ft
 from cohortlens.operators.cohorts import new_accounts
 from cohortlens.operators.events import eligible_accounts, facts
-from cohortlens.operators.joins import broadcast_checked
+from cohortlens.operators.joins import small_enough
 from cohortlens.plans.periods import Period, Week, feature_span, label_span
 from cohortlens.sources.schema import DATASET_COLUMNS, WEEKLY_COLUMNS
 from cohortlens.sources.tables import Rules, Sources
@@ -82,7 +82,7 @@ def weekly_features(
     A cohort that is small enough is broadcast so that only its events are shuffled.
     """
     cohort = new_accounts(sources.accounts, rules, week)
-    users, small = broadcast_checked(cohort.select("user_id"), max_broadcast_rows)
+    small = small_enough(cohort, max_broadcast_rows)
     # Every cohort account passes the account rule, so its leads all count.
     events = facts(
         sources,
@@ -91,7 +91,7 @@ def weekly_features(
         label_span=(week.as_of, week.horizon_end),
         km_mode=km_mode,
         km_in_key=True,
-        only_users=users if small else None,
+        only_users=cohort.select("user_id") if small else None,
     )
     features = ft.trailing_features(events, week)
     if fanout:

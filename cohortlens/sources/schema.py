@@ -106,12 +106,16 @@ def model_features(df: DataFrame) -> list[str]:
 
 
 def coerce_dataset(df: DataFrame) -> DataFrame:
-    """Check the required columns and give keys and label their types."""
+    """Check the required columns and give keys and label their types.
+
+    A row without a label fails when it is read.
+    """
+    no_label = F.raise_error(F.lit(f"{LABEL} is NULL"))
     return require_columns(df).withColumns({
         "set": F.col("set").cast("string"),
         "cutoff_date": F.col("cutoff_date").cast("date"),
         "user_id": F.col("user_id").cast("string"),
-        LABEL: F.col(LABEL).cast("int"),
+        LABEL: F.coalesce(F.col(LABEL).cast("int"), no_label),
     })
 
 

@@ -82,6 +82,23 @@ def test_unused_columns_are_not_computed(spark):
     assert "max_by" not in text and "recency" not in text
 
 
+def test_small_cohort_is_read_from_cache_and_filters_before_the_shuffle(spark):
+    with cluster_like(spark):
+        text = plan(ds.weekly_dataset(m.sources_with_creation(spark, SF), m.WEEK, m.RULES))
+    # Leads, bookings, funnel rows and deals each meet a broadcast list in their scan stage.
+    assert text.count("LeftSemi, BuildRight") >= 4
+    assert "InMemoryTableScan" in text and "NestedLoop" not in text and "SortAggregate" not in text
+
+
+def test_large_cohort_is_not_broadcast(spark):
+    spark.catalog.clearCache()
+    with cluster_like(spark):
+        text = plan(ds.weekly_dataset(
+            m.sources_with_creation(spark, SF), m.WEEK, m.RULES, max_broadcast_rows=0
+        ))
+    assert "BroadcastExchange" not in text and "LeftSemi" not in text
+
+
 def test_ranking_sorts_only_inside_groups(spark):
     scored = spark.range(100).selectExpr(
         "'test' AS set", "cast(id AS string) AS user_id", "cast(id % 3 = 0 AS int) AS y_true", "id / 100.0D AS y_prob"

@@ -71,6 +71,14 @@ def test_missing_columns_are_named(dataset):
         coerce_dataset(dataset.drop("n_bookings_90d"))
 
 
+def test_rows_without_a_label_fail(dataset):
+    assert coerce_dataset(dataset).schema["target_30d"].dataType == T.IntegerType()
+    assert by_key(coerce_dataset(dataset)) == by_key(dataset)
+    unlabelled = dataset.withColumn("target_30d", F.lit(None).cast("int"))
+    with pytest.raises(Exception, match="target_30d is NULL"):
+        coerce_dataset(unlabelled).collect()
+
+
 def test_ensure_columns_adds_nulls(dataset):
     row = ensure_columns(dataset.drop("reg_km_log1p"), ["reg_km_log1p", "user_id"]).first()
     assert row["reg_km_log1p"] is None and row["user_id"] is not None
@@ -153,7 +161,10 @@ def test_salting_splits_a_hot_key(spark):
 
 
 def test_broadcast_only_below_the_limit(spark):
-    df = spark.range(50)
-    assert broadcast_checked(df, 50)[1] is True
-    same, small = broadcast_checked(df, 49)
-    assert small is False and same is df
+    df = spark.range(50).withColumn("x", F.lit(1))
+    assert broadcast_checked(df, 49) is df and not df.storageLevel.useMemory
+    hinted = broadcast_checked(df, 50)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString()
+    assert df.storageLevel.useMemory
+    assert broadcast_checked(df, 49) is df and df.storageLevel.useMemory  # cached before, stays so
+    df.unpersist()
