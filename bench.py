@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the table folder and ``BENCH_CPUS`` the number of cores. Every
-query runs ``BENCH_RUNS`` times (2 unless set) and reports its fastest run; building
+query runs ``BENCH_RUNS`` times (3 unless set) and reports its fastest run; building
 the query, its eager steps and the full result are all inside the timing.
 """
 
@@ -37,7 +37,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = session(cpus, "16g")
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -186,7 +186,7 @@ def frozen_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
-    scored = settle(proxy_scored(spark, sf).filter("set = 'test'"))
+    scored = proxy_scored(spark, sf).filter("set = 'test'").persist()
     top = rk.top_k_report(rk.score_table(scored), 0.1)
     return rk.flag_top(scored, top.first()["threshold"])
 
@@ -200,7 +200,7 @@ def sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lift(spark: SparkSession, sf: str) -> DataFrame:
-    scored = settle(proxy_scored(spark, sf))
+    scored = proxy_scored(spark, sf).persist()
     table = rk.lift_table(rk.score_table(scored), scored)
     return rounded(table, "mean_p", "response_rate", "lift")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_ROWS = 2_000_000
+HOT_ROWS = 10_000_000
 SALTS = 64
 
 

@@ -115,7 +115,9 @@ def weekly_dataset(
     """One row per account created in the week, with a forward label.
 
     ``fanout`` keeps the 7- and 30-day counts as produced by joining leads and
-    registers before counting; without it each event counts once.
+    registers before counting; without it each event counts once. The default
+    ``km_mode`` keeps the type of the readings, so that text is compared as text;
+    ``cast`` and ``digits`` give the highest number.
     """
     features = weekly_features(sources, week, rules, km_mode, fanout, max_broadcast_rows)
     return features.withColumns({
