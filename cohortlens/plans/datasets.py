@@ -24,11 +24,17 @@ def signal_features(
     km_mode: str = "digits",
     km_in_key: bool = False,
     skip_null_km: bool = False,
+    events: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts, recencies, last reading and label of every user with a signal in a period."""
-    events = facts(
-        sources, rules, feature_span(periods), label_span(periods), km_mode=km_mode, km_in_key=km_in_key
-    )
+    """Counts, recencies, last reading and label of every user with a signal in a period.
+
+    ``events`` are stored facts to read instead of the sources. They must cover the
+    windows and have been built with the same rules and odometer options.
+    """
+    if events is None:
+        events = facts(
+            sources, rules, feature_span(periods), label_span(periods), km_mode=km_mode, km_in_key=km_in_key
+        )
     features = ft.period_features(events, periods, skip_null_km)
     return ft.with_signals(ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules)))
 
@@ -48,9 +54,14 @@ def complete(features: DataFrame, mod_mode: str) -> DataFrame:
     }).select(*DATASET_COLUMNS)
 
 
-def train_test_dataset(sources: Sources, periods: Sequence[Period], rules: Rules = Rules()) -> DataFrame:
+def train_test_dataset(
+    sources: Sources,
+    periods: Sequence[Period],
+    rules: Rules = Rules(),
+    events: DataFrame | None = None,
+) -> DataFrame:
     """One row per period and user with a signal in that period."""
-    return complete(signal_features(sources, periods, rules), "circular")
+    return complete(signal_features(sources, periods, rules, events=events), "circular")
 
 
 # How the holdout reads odometers: cast instead of stripped, each reading an event of
@@ -59,14 +70,18 @@ HOLDOUT_KM = {"km_mode": "cast", "km_in_key": True, "skip_null_km": True}
 
 
 def holdout_dataset(
-    sources: Sources, period: Period, rules: Rules = Rules(), mod_mode: str = "plain"
+    sources: Sources,
+    period: Period,
+    rules: Rules = Rules(),
+    mod_mode: str = "plain",
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """The dataset of a later period.
 
     The modulo features are plain unless ``mod_mode`` says otherwise; a model fitted on
     the train dataset expects ``circular``.
     """
-    return complete(signal_features(sources, [period], rules, **HOLDOUT_KM), mod_mode)
+    return complete(signal_features(sources, [period], rules, **HOLDOUT_KM, events=events), mod_mode)
 
 
 def weekly_features(
@@ -76,23 +91,30 @@ def weekly_features(
     km_mode: str = "raw",
     fanout: bool = True,
     max_broadcast_rows: int = 200_000,
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """The accounts of the week with their trailing counts, recencies and label.
 
     A cohort that is small enough is broadcast so that only its events are shuffled.
+    ``events`` are stored facts of all days (``fanout``) or of the days before the
+    horizon, with readings in the key.
     """
     cohort = new_accounts(sources.accounts, rules, week)
     small = small_enough(cohort, max_broadcast_rows)
+    users = cohort.select("user_id") if small else None
     # Every cohort account passes the account rule, so its leads all count.
-    events = facts(
-        sources,
-        rules,
-        feature_span=(None, None) if fanout else (None, week.as_of),
-        label_span=(week.as_of, week.horizon_end),
-        km_mode=km_mode,
-        km_in_key=True,
-        only_users=cohort.select("user_id") if small else None,
-    )
+    if events is None:
+        events = facts(
+            sources,
+            rules,
+            feature_span=(None, None) if fanout else (None, week.as_of),
+            label_span=(week.as_of, week.horizon_end),
+            km_mode=km_mode,
+            km_in_key=True,
+            only_users=users,
+        )
+    elif small:
+        events = events.join(F.broadcast(users), "user_id", "left_semi")
     features = ft.trailing_features(events, week)
     if fanout:
         features = ft.fan_out(features)
@@ -111,6 +133,7 @@ def weekly_dataset(
     km_mode: str = "raw",
     fanout: bool = True,
     max_broadcast_rows: int = 200_000,
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """One row per account created in the week, with a forward label.
 
@@ -119,7 +142,7 @@ def weekly_dataset(
     ``km_mode`` keeps the type of the readings, so that text is compared as text;
     ``cast`` and ``digits`` give the highest number.
     """
-    features = weekly_features(sources, week, rules, km_mode, fanout, max_broadcast_rows)
+    features = weekly_features(sources, week, rules, km_mode, fanout, max_broadcast_rows, events)
     return features.withColumns({
         "user_id": F.col("user_id").cast("string"),
         "total_signals_90d": F.col("n_qleads_90d") + F.col("n_registers_90d"),

@@ -1,10 +1,12 @@
-"""Staged tables and lineage cuts."""
+"""Staged tables, the stored event facts and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
@@ -45,3 +47,30 @@ def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets:
         writer = writer.bucketBy(buckets, key).sortBy(key)
     writer.saveAsTable(name)
     return spark.read.table(name)
+
+
+def write_facts(facts: DataFrame, path: str, files_per_month: int = 64) -> None:
+    """Store event facts by month, so that several datasets can read them instead of the sources.
+
+    Rows spread over the files of a month by opportunity and day, which keeps users with
+    very many events out of a single file. Facts without a day are stored, too.
+    """
+    month = F.date_format("event_date", "yyyy-MM")
+    spread = F.pmod(F.xxhash64("opportunity_id", "event_date"), F.lit(files_per_month))
+    (
+        facts.withColumn("month", month).repartition(F.col("month"), spread)
+        .write.mode("overwrite").partitionBy("month").parquet(path)
+    )
+
+
+def read_facts(
+    spark: SparkSession, path: str, first: date | None = None, end_excl: date | None = None
+) -> DataFrame:
+    """Stored facts of the days ``[first, end_excl)``; only the months concerned are read."""
+    facts = spark.read.parquet(path)
+    tests = []
+    if first is not None:
+        tests.append(f"month >= '{first:%Y-%m}' AND event_date >= DATE'{first}'")
+    if end_excl is not None:
+        tests.append(f"month <= '{end_excl:%Y-%m}' AND event_date < DATE'{end_excl}'")
+    return facts.filter(" AND ".join(tests) or "true").drop("month")

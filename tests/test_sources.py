@@ -1,15 +1,18 @@
+from datetime import date
+
 import pytest
 from inline import make_sources, random_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.operators.events import facts
 from cohortlens.operators.joins import broadcast_checked, semi_join_salted
 from cohortlens.plans import datasets as ds
-from cohortlens.plans.periods import TEST_2025, TRAIN_2025, WEEK_2025
+from cohortlens.plans.periods import HOLDOUT_2025, TEST_2025, TRAIN_2025, WEEK_2025, Week
 from cohortlens.sources import files
 from cohortlens.sources.schema import DATASET_SCHEMA, coerce_dataset, ensure_columns, require_columns, split_sets
-from cohortlens.sources.staging import checkpoint_dir, settle, stage_table
-from cohortlens.sources.tables import read_sources
+from cohortlens.sources.staging import checkpoint_dir, read_facts, settle, stage_table, write_facts
+from cohortlens.sources.tables import Rules, read_sources
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +129,36 @@ def test_stage_table_is_rebuilt_and_joins_without_shuffle(spark, dataset):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+@pytest.mark.parametrize("fanout", [True, False])
+def test_datasets_from_stored_facts(spark, tmp_path, fanout):
+    rows = random_rows(15, users=30)
+    src, rules, path = make_sources(spark, **rows), Rules(), str(tmp_path / "facts")
+    write_facts(facts(src, rules, (None, None), (None, None), km_mode="cast", km_in_key=True), path)
+    q3 = read_facts(spark, path, HOLDOUT_2025.period_start, HOLDOUT_2025.period_end_excl)
+    want = by_key(ds.holdout_dataset(src, HOLDOUT_2025))
+    assert want and by_key(ds.holdout_dataset(src, HOLDOUT_2025, events=q3)) == want
+    week = Week(date(2025, 2, 1), date(2025, 5, 31))
+    # Unlike the counts of pairs, the plain ones need no events from the horizon on.
+    stored = read_facts(spark, path) if fanout else read_facts(spark, path, None, week.horizon_end)
+    direct = ds.weekly_dataset(src, week, km_mode="cast", fanout=fanout)
+    for limit in (0, 1000):
+        again = ds.weekly_dataset(src, week, fanout=fanout, max_broadcast_rows=limit, events=stored)
+        assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+
+
+def test_reading_facts_prunes_months(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    src = make_sources(spark, **random_rows(16))
+    write_facts(facts(src, Rules(), (None, None), (None, None)), path, files_per_month=2)
+    q2 = read_facts(spark, path, date(2025, 4, 1), date(2025, 7, 1))
+    plan = q2._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month" in plan[plan.index("PartitionFilters"):]
+    months = {f.split("month=")[1][:7] for f in q2.inputFiles()}
+    assert q2.count() > 0
+    days = [r[0] for r in q2.select("event_date").collect()]
+    assert min(days) >= date(2025, 4, 1) and max(days) < date(2025, 7, 1) and months
+
+
 def test_settle_uses_the_session_checkpoint_folder(spark, dataset):
     assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in checkpoint_dir(spark)
     settled = settle(dataset)
