@@ -258,7 +258,8 @@ def lift_table(
     A score whose rows all fall into one decile is counted from the score table. Only
     the at most ``q - 1`` scores per group that cross a border need their rows ranked;
     since md5 spreads evenly and sorts by prefix, such a score is cut into 4,096 cells
-    that are ranked side by side.
+    that are ranked side by side. ``scored`` must give the same scores each time it is
+    read; settle it if they are costly or come from a model.
     """
     by = list(by)
     first = _decile(F.col("cum_n") - F.col("n"), q)

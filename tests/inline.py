@@ -78,6 +78,9 @@ def random_rows(seed: int, users: int = 12, hot: bool = False) -> dict[str, list
     rows["register_funnel"] += rows["register_funnel"][:10]
     rows["leads"] += rows["leads"][:10]
     rows["opportunities"] += rows["opportunities"][:3]
+    # One opportunity of two accounts, and one account's opportunity with two record types.
+    rows["opportunities"] += [(opps[0], "u2", "AR", "Compras"), (opps[1], "u3", "AR", "Otro"),
+                              (opps[1], "u3", "AR", "Sales_Global")]
     if hot:
         rows["register_funnel"] += [rows["register_funnel"][0]] * 200
     return rows
