@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def ascii_lower(text: Column) -> Column:
 def total(df: DataFrame, *columns: Column) -> tuple:
     """One row of aggregates over ``df``."""
     return tuple(df.agg(*columns).first())
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps, which otherwise stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,15 +5,20 @@ from __future__ import annotations
 from cohortlens.llm.contamination import OP2_SQL, op2_decontaminate
 from cohortlens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cohortlens.llm.line_dedup import OP1_SQL, op1_line_dedup
+from cohortlens.llm.simhash import op3_simhash
+from cohortlens.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE = {
     "op1_line_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
