@@ -86,10 +86,13 @@ def exact_dedup(
     probed = possibly_repeated(hashes, bits_log2)
 
     # Rows of one hash and id are counted first, so that each join row stands for all of them.
-    suspects = probed.filter("repeated").groupBy("sha", "doc_id").agg(F.count("*").alias("same"))
-    groups = (
-        probed.filter("repeated").groupBy("sha")
-        .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # The groups are written before the join, which lets adaptive execution split a hot one.
+    suspects = settle(
+        probed.filter("repeated").groupBy("sha", "doc_id").agg(F.count("*").alias("same")), "exact-suspects"
+    )
+    groups = settle(
+        suspects.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("same").alias("group_size")),
+        "exact-groups",
     )
     grouped = (
         suspects.join(groups, "sha")
