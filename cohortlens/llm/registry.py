@@ -7,6 +7,7 @@ from cohortlens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cohortlens.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cohortlens.llm.simhash import op3_simhash
 from cohortlens.llm.substring_dedup import OP7_SQL, op7_substring_dedup
+from cohortlens.llm.token_counts import op8_token_counts
 from cohortlens.llm.token_ids import op10_token_ids
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op10_token_ids": op10_token_ids,
 }
 
