@@ -5,18 +5,22 @@ from __future__ import annotations
 from cohortlens.llm.contamination import OP2_SQL, op2_decontaminate
 from cohortlens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cohortlens.llm.line_dedup import OP1_SQL, op1_line_dedup
+from cohortlens.llm.mixing import op5_mix_sources
 from cohortlens.llm.simhash import op3_simhash
 from cohortlens.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from cohortlens.llm.token_counts import op8_token_counts
 from cohortlens.llm.token_ids import op10_token_ids
+from cohortlens.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mix_sources": op5_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_token_ids": op10_token_ids,
 }
 
