@@ -14,12 +14,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import table
 
 WINDOW = 13
+#: A document is contaminated from one hit word in so many.
+LEAST_SHARE = 20
 #: A benchmark block holds at most this many characters of item text (one larger item is a
 #: block by itself); it bounds the memory of an automaton.
 BLOCK_CHARS = 4_000_000
@@ -76,11 +79,11 @@ class Matcher:
 _MATCHERS: dict[str, list[Matcher]] = {}
 
 
-def _matchers(blocks: list[list[tuple[str, str]]], window: int, key: str) -> list[Matcher]:
+def _matchers(blocks: Broadcast, window: int, key: str) -> list[Matcher]:
     """The automata of a benchmark, built once per Python worker; only the last benchmark is kept."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = [Matcher(block, window) for block in blocks]
+        _MATCHERS[key] = [Matcher(block, window) for block in blocks.value]
     return _MATCHERS[key]
 
 
@@ -114,6 +117,29 @@ def benchmark_blocks(
     return blocks
 
 
+class Scanner:
+    """Scans texts in tasks with the automata of a benchmark that was sent to the executors."""
+
+    def __init__(
+        self, docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+        window: int = WINDOW, block_chars: int = BLOCK_CHARS, max_chars: int = MAX_BENCHMARK_CHARS,
+    ) -> None:
+        blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars, max_chars)
+        self.key = hashlib.sha256(repr((window, blocks)).encode("utf-8", "surrogatepass")).hexdigest()
+        self.window = window
+        self.blocks = docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, merged word ranges of the hits, items hit."""
+        words = words_of(text)
+        ranges, items = [], set()
+        for m in _matchers(self.blocks, self.window, self.key):
+            found, ids = m.scan(words)
+            ranges += found
+            items |= ids
+        return len(words), merge(ranges), items
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -133,27 +159,17 @@ def contamination(
     words, an item without words no window. Other columns are ignored, an empty table of
     documents gives an empty result, an empty benchmark no hits.
     """
-    spark = docs.sparkSession
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars, max_chars)
-    key = hashlib.sha256(repr((window, blocks)).encode("utf-8", "surrogatepass")).hexdigest()
-    sent = spark.sparkContext.broadcast(blocks)
+    scanner = Scanner(docs, benchmark, item_col, item_text_col, window, block_chars, max_chars)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = _matchers(sent.value, window, key)
         for batch in batches:
             n_words, n_hit, item_ids, spans = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                words = words_of(text)
-                ranges, items = [], set()
-                for m in matchers:
-                    found, ids = m.scan(words)
-                    ranges += found
-                    items |= ids
-                ranges = merge(ranges)
+                words, ranges, items = scanner.scan(text)
                 at = [x.span() for x in WORD.finditer(text)] if ranges else []
-                n_words.append(len(words))
+                n_words.append(words)
                 n_hit.append(sum(b - a for a, b in ranges))
                 item_ids.append(sorted(items))
                 spans.append([{"begin": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
@@ -169,9 +185,26 @@ def contamination(
     return picked.mapInArrow(scan, OUT.format(id=picked.schema["doc_id"].dataType.simpleString()))
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    scanner = Scanner(docs, benchmark, **options)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for value in batch.column(at):
+                words, ranges, _ = scanner.scan(value.as_py() or "")
+                hit = sum(b - a for a, b in ranges)
+                clean.append(hit == 0 or LEAST_SHARE * hit < words)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def is_contaminated() -> Column:
     """The contract's rule: a twentieth of a document's words or more."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (F.col("n_hit") > 0) & (LEAST_SHARE * F.col("n_hit") >= F.col("n_words"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,11 @@ def line_dedup(
         .select(_hash(F.col("line")).alias("hash"), "doc_id").distinct(),
         "line-hashes",
     )
-    common = (
+    # Both sides are read from files, so that adaptive execution can split a line that very many documents share.
+    common = settle(
         held.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
+        .filter(F.col("n") >= min_docs),
+        "line-common",
     )
     dropped = (
         held.join(common, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))

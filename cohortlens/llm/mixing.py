@@ -13,7 +13,7 @@ import heapq
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +138,28 @@ def plan_mix(patterns: list[tuple[str, list, int]], weights=WEIGHTS, share=SHARE
     return Plan(source_size, target, members, size, take)
 
 
-def mix(
+KEY_BITS = 63
+
+
+def _pattern(docs: DataFrame, source_col: str) -> Column:
+    """The set of sources of a row, sorted; an empty or null one is the null source."""
+    source = F.col(source_col)
+    if not isinstance(docs.schema[source_col].dataType, T.ArrayType):
+        source = F.array(source)
+    source = F.array_sort(F.array_distinct(F.transform(source, lambda x: x.cast("string"))))
+    return F.when(F.coalesce(F.size(source), F.lit(0)) <= 0, F.array(F.lit(None).cast("string"))).otherwise(source)
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _key(id_col: str, text_col: str, seed: int) -> Column:
+    """The seeded hash by which documents are selected, from 0 to 2^63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text_col), 1)
+
+
+def selection(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -149,92 +170,111 @@ def mix(
     seed: int = SEED,
     max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, pattern, size, source_size, target, taken.
+    """(pattern, source_size, target, whole, cut, closing): what to take of each pattern, a row each.
 
-    ``source_col`` holds a source or an array of sources; an empty or null array is the
-    null source. ``size`` counts the words (white space of ASCII between them), ``taken`` is
-    a multiple of it, ``passes`` times at most. ``source_size`` and ``target`` are those of the
-    document's first source. Null and empty texts have size 0 and are never taken. Rows
-    that share a doc_id are selected each by itself; reruns take the same documents. Other
-    columns are ignored, an empty table gives an empty result.
+    Every document is taken ``whole`` times, and once more if its key is ``cut`` at most or
+    one of ``closing``.
     """
     spark = docs.sparkSession
-    source = F.col(source_col)
-    if not isinstance(docs.schema[source_col].dataType, T.ArrayType):
-        source = F.array(source)
-    source = F.array_sort(F.array_distinct(F.transform(source, lambda x: x.cast("string"))))
-    source = F.when(F.coalesce(F.size(source), F.lit(0)) <= 0, F.array(F.lit(None).cast("string"))).otherwise(source)
-    key = F.xxhash64(F.lit(seed), "doc_id", "text_key")
+    members = _pattern(docs, source_col)
+    key = _key(id_col, text_col, seed)
     sized = settle(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), source.alias("members"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        ).select(
-            "doc_id", "text_key", "members", F.to_json("members").alias("pattern"), "size", key.alias("key"),
-            F.shiftrightunsigned(key, 64 - RANGE_BITS).alias("range"),
-        ),
+        docs.select(members.alias("members"), F.to_json(members).alias("pattern"), _size(text_col).alias("size"), key.alias("key")),
         "mix-sizes",
     )
-    totals = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"))
-    found = totals.limit(max_patterns + 1).collect()
+    found = (
+        sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"))
+        .limit(max_patterns + 1).collect()
+    )
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} different sets of sources")
     plan = plan_mix([(r.pattern, r.members, r["size"]) for r in found], weights, share, passes)
+    whole = {p: divmod(plan.take[p], max(n, 1)) for p, n in plan.size.items()}
+    rests = F.broadcast(spark.createDataFrame([(p, rest) for p, (_, rest) in whole.items()], "pattern string, rest long"))
+    placed = sized.filter("size > 0").select("pattern", "size", "key").join(rests, "pattern").filter("rest > 0")
 
-    # Whole passes over a pattern, and the words to select besides.
-    rows = [
-        (p, plan.source_size[m[0]], float(plan.target[m[0]]), *divmod(plan.take[p], max(plan.size[p], 1)))
-        for p, m in plan.members.items()
-    ]
-    shares = F.broadcast(spark.createDataFrame(
-        rows, "pattern string, source_size long, target double, whole long, rest long"
-    ))
-    placed = sized.select("doc_id", "text_key", "pattern", "size", "key", "range").join(shares, "pattern")
-
-    # Ranges of the hash that fit whole, and the range in which the selection ends.
-    in_order = Window.partitionBy("pattern").orderBy("range")
-    ranges = (
-        placed.filter("size > 0 AND rest > 0").groupBy("pattern", "range", "rest").agg(F.sum("size").alias("n"))
-        .withColumn("upto", F.sum("n").over(in_order)).filter("upto > rest")
-        .groupBy("pattern", "rest").agg(F.min_by(F.struct("range", "n", "upto"), "range").alias("at"))
-        .select("pattern", F.col("at.range").alias("last_range"), (F.col("rest") - F.col("at.upto") + F.col("at.n")).alias("room"))
-    )
-    placed = placed.join(F.broadcast(ranges), "pattern", "left")  # a row a pattern
-    ending = (F.col("range") == F.col("last_range")) & (F.col("size") > 0)
-    within = Window.partitionBy("pattern").orderBy("key", "size", "doc_id")
-    at_end = (
-        placed.filter(ending)
-        .withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("selected", F.col("upto") <= F.col("room"))
+    # The range of keys in which a pattern's share ends, and the last key in it that fits.
+    shift = KEY_BITS - RANGE_BITS
+    by_range = placed.groupBy("pattern", "rest", F.shiftright("key", shift).alias("range")).agg(F.sum("size").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("range"))
+    last = (
+        by_range.withColumn("upto", upto).filter("upto > rest")
+        .groupBy("pattern").agg(F.min_by(F.struct("range", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "range").alias("at"))
+        .select("pattern", F.col("at.range").alias("range"), F.col("at.room").alias("room"))
     )
-    chosen = settle(
-        placed.filter(~F.coalesce(ending, F.lit(False))).withColumn(
-            "selected", F.coalesce((F.col("range") < F.col("last_range")) & (F.col("size") > 0), F.lit(False))
-        ).unionByName(at_end.drop("upto")).drop("room", "range", "last_range"),
-        "mix-selected",
+    in_range = placed.withColumn("range", F.shiftright("key", shift)).join(F.broadcast(last), ["pattern", "range"])
+    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
+    fits = F.col("upto") <= F.col("room")
+    ends = (
+        in_range.withColumn("upto", upto).groupBy("pattern", "range", "room")
+        .agg(F.max(F.when(fits, F.col("key"))).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("got"))
+        .collect()
     )
+    cut = {r.pattern: (r.range << shift) - 1 if r.cut is None else r.cut for r in ends}
+    gap = {r.pattern: r.room - (r.got or 0) for r in ends}
 
-    # What is left of each share goes to the documents that come closest to filling it.
+    # What is left goes to the single documents that come closest to filling it.
+    closing: dict[str, list[int]] = {p: [] for p in cut}
     for _ in range(CLOSING):
-        gaps = (
-            chosen.groupBy("pattern", "rest")
-            .agg(F.sum(F.when(F.col("selected"), F.col("size")).otherwise(0)).alias("got"))
-            .select("pattern", (F.col("rest") - F.col("got")).alias("gap")).filter("gap > 0")
-        )
+        open_rows = [(p, cut[p], n, closing[p]) for p, n in gap.items() if n > 0]
+        if not open_rows:
+            break
+        wanted = F.broadcast(spark.createDataFrame(open_rows, "pattern string, cut long, gap long, closing array<long>"))
         off = F.abs(F.col("gap") - F.col("size"))
         best = (
-            chosen.join(F.broadcast(gaps), "pattern").filter("NOT selected AND size > 0").filter(off < F.col("gap"))
-            .groupBy("pattern").agg(F.min_by(F.struct("size", "key", "doc_id", "text_key"), F.struct(off, "key")).alias("best"))
+            placed.join(wanted, "pattern").filter((F.col("key") > F.col("cut")) & (off < F.col("gap")))
+            .filter(~F.array_contains("closing", F.col("key")))
+            .groupBy("pattern").agg(F.min_by(F.struct("key", "size"), F.struct(off.alias("off"), "key")).alias("best"))
+        )
+        filled = best.collect()
+        gap = {r.pattern: gap[r.pattern] - r.best["size"] for r in filled}
+        for r in filled:
+            closing[r.pattern].append(r.best["key"])
+    return spark.createDataFrame(
+        [(p, plan.source_size[m[0]], float(plan.target[m[0]]), whole[p][0], cut.get(p, -1), closing.get(p, []))
+         for p, m in plan.members.items()],
+        "pattern string, source_size long, target double, whole long, cut long, closing array<long>",
+    )
+
+
+def _copies() -> Column:
+    more = (F.col("key") <= F.col("cut")) | F.array_contains("closing", F.col("key"))
+    return F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, pattern, size, source_size, target, copies, taken.
+
+    ``source_col`` holds a source or an array of sources; an empty or null array is the
+    null source. ``size`` counts the words (ASCII white space between them), ``taken`` is
+    ``copies`` times the size. ``source_size`` and ``target`` are those of the document's first
+    source. Null and empty texts have size 0 and are never taken. Rows that share id and
+    text are taken alike; reruns take the same documents. Other columns are ignored, an
+    empty table gives an empty result.
+    """
+    plan = selection(docs, id_col, text_col, source_col, seed=seed, **options)
+    return (
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.to_json(_pattern(docs, source_col)).alias("pattern"),
+            _size(text_col).alias("size"), _key(id_col, text_col, seed).alias("key"),
         )
-        match = F.struct("size", "key", "doc_id", "text_key").eqNullSafe(F.col("best"))
-        chosen = settle(
-            chosen.join(F.broadcast(best), "pattern", "left")
-            .withColumn("selected", F.col("selected") | match).drop("best"),
-            "mix-closed",
+        .join(F.broadcast(plan), "pattern")
+        .select("doc_id", "pattern", "size", "source_size", "target", _copies().alias("copies"))
+        .withColumn("taken", F.col("size") * F.col("copies"))
+    )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns and no others."""
+    plan = selection(docs, id_col, text_col, source_col, seed=seed, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return (
+        docs.select(
+            row, F.to_json(_pattern(docs, source_col)).alias("pattern"),
+            _size(text_col).alias("size"), _key(id_col, text_col, seed).alias("key"),
         )
-    return chosen.select(
-        "doc_id", "text_key", "pattern", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.col("selected").cast("long"))).alias("taken"),
+        .join(F.broadcast(plan), "pattern").withColumn("copies", _copies()).filter("copies > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
     )
 
 

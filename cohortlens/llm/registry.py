@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortlens.llm.contamination import OP2_SQL, op2_decontaminate
 from cohortlens.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cohortlens.llm.license_scan import op6_license_scan
 from cohortlens.llm.line_dedup import OP1_SQL, op1_line_dedup
 from cohortlens.llm.mixing import op5_mix_sources
 from cohortlens.llm.simhash import op3_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,

@@ -145,6 +145,25 @@ def simhash_groups(
     return marks.join(by_mark, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component, that of the smallest doc_id, with all its columns.
+
+    Of rows with that doc_id, the one of the smallest text hash stays.
+    """
+    names = {c.lower() for c in docs.columns}
+    mark = next(f"row_mark{i or ''}" for i in range(len(names) + 1) if f"row_mark{i or ''}" not in names)
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    groups = simhash_groups(
+        docs.select(F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col)).alias("doc_id"), F.col(text_col).alias("text")),
+        **options,
+    )
+    keep = groups.select(F.col("component_id").alias("keep")).distinct().select("keep.*").toDF("no_id", "keep_id", "keep_mark").drop("no_id")
+    joined = marked.join(
+        keep, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(mark) == F.col("keep_mark")), "left_semi"
+    )
+    return joined.dropDuplicates([id_col, mark]).drop(mark)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

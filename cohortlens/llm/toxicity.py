@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,10 @@ class Network:
         margin = np.maximum(top, 0) @ self.output + self.offset
         return 1 / (1 + np.exp(-margin.astype(np.float64)))
 
+    def all_scores(self, texts: pa.Array) -> np.ndarray:
+        """Scores of texts without nulls, a slice at a time."""
+        return np.concatenate([np.zeros(0), *(self.scores(texts[s.start:s.stop]) for s in slices(texts, SCORE_BYTES))])
+
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
     """Weighted logistic loss, Adagrad; one class only gives a constant score."""
@@ -257,6 +262,27 @@ def language_thresholds(
     return out
 
 
+def fit(
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS,
+    train_chars: int = TRAIN_CHARS, cut: float = CUT,
+) -> tuple[Network, dict]:
+    """The trained network and the threshold of each language. ``docs``: doc_id, text, lang."""
+    labels = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "toxic")
+    learned, tune, ratio = labelled_sample(docs, labels, train_rows, calibration_rows, train_chars)
+
+    def weighted(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Labels, and weights that give the classes their share among all labelled rows."""
+        y = np.array([r.toxic for r in rows], np.float32)
+        clean = ratio * max(y.sum(), 1) / max((y == 0).sum(), 1)
+        return y, np.where(y == 1, 1.0, clean).astype(np.float32)
+
+    y, w = weighted(learned)
+    net = train([r.text for r in learned], y, w)
+    y, w = weighted(tune)
+    scores = net.all_scores(pa.array([r.text for r in tune], pa.string()))
+    return net, language_thresholds(scores, y, w, [r.lang for r in tune], cut)
+
+
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -276,41 +302,21 @@ def toxicity(
     Rows that share a doc_id are scored each by itself, a null id is not held out. Other
     columns are ignored, an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     picked = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")
     )
-    labels = labels.select(F.col(id_col).cast(picked.schema["doc_id"].dataType).alias("doc_id"), "toxic")
-    fit, tune, ratio = labelled_sample(picked, labels, train_rows, calibration_rows, train_chars)
-
-    def weighted(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        """Labels, and weights that give the classes their share among all labelled rows."""
-        y = np.array([r.toxic for r in rows], np.float32)
-        clean = ratio * max(y.sum(), 1) / max((y == 0).sum(), 1)
-        return y, np.where(y == 1, 1.0, clean).astype(np.float32)
-
-    y, w = weighted(fit)
-    net = train([r.text for r in fit], y, w)
-    ty, tw = weighted(tune)
-    tune_texts = pa.array([r.text for r in tune], pa.string())
-    tune_scores = np.concatenate(
-        [np.zeros(0), *(net.scores(tune_texts[s.start:s.stop]) for s in slices(tune_texts, SCORE_BYTES))]
-    )
-    thresholds = language_thresholds(tune_scores, ty, tw, [r.lang for r in tune], cut)
-    sent = spark.sparkContext.broadcast(net)
+    net, thresholds = fit(picked, labels, train_rows, calibration_rows, train_chars, cut)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.string())
-            for rows in slices(texts, SCORE_BYTES):
-                own = batch.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(2), pa.array(sent.value.scores(texts[rows.start:rows.stop]), pa.float64())],
-                    names=["doc_id", "lang", "score"],
-                )
-
-    id_type = picked.schema["doc_id"].dataType.simpleString()
-    scored = picked.mapInArrow(score, f"doc_id {id_type}, lang {picked.schema['lang'].dataType.simpleString()}, score double")
+            scores = sent.value.all_scores(batch.column(1).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(scores, pa.float64())], names=["doc_id", "lang", "score"]
+            )
+
+    id_type, lang_type = (picked.schema[c].dataType.simpleString() for c in ("doc_id", "lang"))
+    scored = picked.mapInArrow(score, f"doc_id {id_type}, lang {lang_type}, score double")
     threshold = F.lit(cut)
     for lang, value in sorted(thresholds.items(), key=repr):
         threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(threshold)
@@ -320,5 +326,22 @@ def toxicity(
     )
 
 
+def accepted_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` below their language's threshold, with all their columns."""
+    picked = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
+    net, thresholds = fit(picked, labels, **options)
+    sent = docs.sparkSession.sparkContext.broadcast((net, thresholds))
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, thresholds = sent.value
+        for batch in batches:
+            scores = net.all_scores(pc.fill_null(batch.column(text_at).cast(pa.string()), ""))
+            limits = np.array([thresholds.get(x, CUT) for x in batch.column(lang_at).to_pylist()], np.float64)
+            yield batch.filter(pa.array(scores < limits, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
