@@ -158,9 +158,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         **options,
     )
     keep = groups.select(F.col("component_id").alias("keep")).distinct().select("keep.*").toDF("no_id", "keep_id", "keep_mark").drop("no_id")
-    joined = marked.join(
-        keep, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(mark) == F.col("keep_mark")), "left_semi"
-    )
+    same = marked[id_col].eqNullSafe(keep["keep_id"]) & (marked[mark] == keep["keep_mark"])
+    joined = marked.join(keep, same, "left_semi")
     return joined.dropDuplicates([id_col, mark]).drop(mark)
 
 
