@@ -236,6 +236,12 @@ _scales = ", ".join(f"ROUND(STDDEV_POP({_filled(c)}), 6) AS {c}" for c in [*MODE
 _logit = " + ".join(f"({w}) * {_filled('km_log' if c == 'reg_km_log1p' else c)}" for c, w in FROZEN.items())
 _metric = lambda ctes, select: TOTALS + "," + ctes + select
 
+METRICS_BY_SET = _metric(PAIRWISE_AUC + "," + AT_LEAST + "," + AP, """
+SELECT t.set, t.n AS n_rows, t.pos AS positives, ROUND(auc, 6) AS roc_auc, ROUND(ap, 6) AS pr_auc,
+  (SELECT ROUND(AVG((p - y) * (p - y)), 6) FROM scored s WHERE s.set = t.set) AS brier,
+  ROUND(t.pos::DOUBLE / t.n, 6) AS positive_rate
+FROM tot t JOIN auc USING (set) JOIN ap USING (set)""")
+
 ORACLE: dict[str, str] = {
     "sales_lead_events": _stream("lead"),
     "booking_events": _stream("booking"),
@@ -310,11 +316,9 @@ FROM scored WHERE set = 'test'""",
     "average_precision": _metric(AT_LEAST + "," + AP, "SELECT set, ROUND(ap, 6) AS pr_auc FROM ap"),
     "brier_score": SCORED + "SELECT set, ROUND(AVG((p - y) * (p - y)), 6) AS brier FROM scored GROUP BY set",
     "auc_by_set": _metric(PAIRWISE_AUC, "SELECT set, ROUND(auc, 6) AS auc FROM auc"),
-    "metrics_by_set": _metric(PAIRWISE_AUC + "," + AT_LEAST + "," + AP, """
-SELECT t.set, t.n AS n_rows, t.pos AS positives, ROUND(auc, 6) AS roc_auc, ROUND(ap, 6) AS pr_auc,
-  (SELECT ROUND(AVG((p - y) * (p - y)), 6) FROM scored s WHERE s.set = t.set) AS brier,
-  ROUND(t.pos::DOUBLE / t.n, 6) AS positive_rate
-FROM tot t JOIN auc USING (set) JOIN ap USING (set)"""),
+    "metrics_by_set": METRICS_BY_SET,
+    "metrics_by_null_group": "SELECT CASE WHEN set = 'test' THEN set END AS grp, n_rows, positives, roc_auc, pr_auc, "
+    "brier, positive_rate FROM (" + METRICS_BY_SET + ")",
     "topk_threshold_report": _metric(
         AT_LEAST + "," + thresholds("SELECT 1 AS k, 0.1::DOUBLE AS f"),
         "SELECT set, f AS topk_fraction, threshold, precision, recall, tp, fp, fn, tn FROM thr",

@@ -64,7 +64,7 @@ def holdout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weekly(spark: SparkSession, sf: str, fanout: bool) -> DataFrame:
-    return ds.weekly_dataset(m.sources_with_creation(spark, sf), m.WEEK, m.RULES, fanout=fanout)
+    return ds.weekly_dataset(m.sources_with_creation(spark, sf), m.WEEK, m.RULES, km_mode="raw", fanout=fanout)
 
 
 def train_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,10 +112,13 @@ def cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _features(names: list[str]) -> Query:
+    readings = "reg_km_last" in names
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return text_user(ds.signal_features(m.sources(spark, sf), m.PERIODS, m.RULES)).select(
-            *ft.KEYS, *names
+        features = ds.signal_features(
+            m.sources(spark, sf), m.PERIODS, m.RULES, kinds=ev.SIGNALS, readings=readings
         )
+        return text_user(features).select(*ft.KEYS, *names)
 
     return run
 
@@ -147,7 +150,7 @@ def label_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trailing(spark: SparkSession, sf: str, fanout: bool) -> DataFrame:
-    features = ds.weekly_features(m.sources_with_creation(spark, sf), m.WEEK, m.RULES, fanout=fanout)
+    features = ds.weekly_features(m.sources_with_creation(spark, sf), m.WEEK, m.RULES, km_mode="raw", fanout=fanout)
     return text_user(features).select(
         "user_id", "n_qleads_90d", "n_qleads_7d", "n_qleads_30d",
         "n_registers_90d", "n_registers_7d", "n_registers_30d",
@@ -185,6 +188,12 @@ def frozen_scores(spark: SparkSession, sf: str) -> DataFrame:
     return train_test(spark, sf).select(*ft.KEYS, F.round(p, 6).alias("y_prob"))
 
 
+def null_group_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics by a group that is NULL for the train rows."""
+    scored = proxy_scored(spark, sf).withColumn("grp", F.expr("CASE WHEN set = 'test' THEN set END"))
+    return rounded(rk.metrics(rk.score_table(scored, by=["grp"]), ["grp"]), "roc_auc", "pr_auc", "brier", "positive_rate")
+
+
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     scored = proxy_scored(spark, sf).filter("set = 'test'").persist()
     top = rk.top_k_report(rk.score_table(scored), 0.1)
@@ -294,6 +303,7 @@ QUERIES: dict[str, Query] = {
     "metrics_by_set": lambda spark, sf: rounded(
         rk.metrics(proxy_table(spark, sf)), "roc_auc", "pr_auc", "brier", "positive_rate"
     ),
+    "metrics_by_null_group": null_group_metrics,
     "topk_threshold_report": lambda spark, sf: rounded(
         rk.top_k_report(proxy_table(spark, sf), 0.1), "precision", "recall"
     ),

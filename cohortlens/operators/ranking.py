@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -24,8 +24,20 @@ from cohortlens.functions.scalars import ratio, top_count
 from cohortlens.operators.joins import broadcast_checked
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
-TIE_CELL_CHARS = 3  # hexadecimal digits: 4,096 cells within one tied score
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL, so that a NULL group keeps its rows."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def _checked(score: str) -> Column:
+    """The score, or an error where there is none: it could be ranked nowhere."""
+    value = F.col(score).cast("double")
+    missing = F.raise_error(F.lit(f"column {score} holds NULL or NaN; drop or impute such rows before ranking"))
+    return F.when(value.isNull() | F.isnan(value), missing.cast("double")).otherwise(value)
 
 
 def score_table(
@@ -39,37 +51,31 @@ def score_table(
 
     Columns: ``by``, ``score``, ``n`` rows and ``pos`` positives with that score,
     ``cum_n`` and ``cum_pos`` down to and including it, ``total_n`` and ``total_pos`` of
-    the group. The table is computed here and cached for its several readers.
+    the group. A NULL in ``by`` is a group like any other; a NULL or NaN score is refused.
+    The number of score ranges follows from the number of distinct scores, and one range
+    is computed like many. The table is computed here and cached for its several readers.
     """
     by = list(by)
-    counts = scored.groupBy(*by, F.col(score).alias("score")).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")
-    ).persist()
-    ranges = min(MAX_RANGES, math.ceil(counts.count() / rows_per_range))
-    table = (_running_in_one(counts, by) if ranges <= 1 else _running_by_range(counts, by, ranges)).persist()
+    counts = scored.select(*by, _checked(score).alias("score"), F.col(label).cast("bigint").alias("_y")).groupBy(
+        *by, "score"
+    ).agg(F.count("*").alias("n"), F.sum("_y").alias("pos")).persist()
+    ranges = max(1, math.ceil(counts.count() / rows_per_range))
+    table = _running_by_range(counts, by, ranges).persist()
     table.count()
     counts.unpersist()
     return table
 
 
-def _running_in_one(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Running counts of few scores: one sort per group."""
-    whole = Window.partitionBy(*by)
-    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
-        *by, "score", "n", "pos",
-        F.sum("n").over(down).alias("cum_n"), F.sum("pos").over(down).alias("cum_pos"),
-        F.sum("n").over(whole).alias("total_n"), F.sum("pos").over(whole).alias("total_pos"),
-    )
-
-
 def _running_by_range(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
     """Running counts inside score ranges of similar size, plus the totals above each."""
     shares = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(counts.approxQuantile("score", shares, 1 / (4 * ranges))))
-    cut = Bucketizer(
-        splits=[-math.inf, *edges, math.inf], inputCol="score", outputCol="_range"
-    ).transform(counts)
+    edges = sorted(set(counts.approxQuantile("score", shares, 1 / (4 * ranges)))) if shares else []
+    if edges:
+        cut = Bucketizer(
+            splits=[-math.inf, *edges, math.inf], inputCol="score", outputCol="_range"
+        ).transform(counts)
+    else:
+        cut = counts.withColumn("_range", F.lit(0.0))
     group = Window.partitionBy(*by)  # at most one row per range here
     above = group.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
@@ -87,7 +93,7 @@ def _running_by_range(counts: DataFrame, by: list[str], ranges: int) -> DataFram
         *by, "_range", "score", "n", "pos",
         F.sum("n").over(inside).alias("in_n"), F.sum("pos").over(inside).alias("in_pos"),
     )
-    return running.join(offsets, [*by, "_range"]).select(
+    return _same(running, offsets, [*by, "_range"]).select(
         *by, "score", "n", "pos",
         (F.col("in_n") + F.col("above_n")).alias("cum_n"),
         (F.col("in_pos") + F.col("above_pos")).alias("cum_pos"),
@@ -252,14 +258,15 @@ def lift_table(
     label: str = "y_true",
     score: str = "y_prob",
     user: str = "user_id",
+    rows_per_cell: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Response rate and lift per score decile, tied scores ordered by the md5 of the user.
 
     A score whose rows all fall into one decile is counted from the score table. Only
     the at most ``q - 1`` scores per group that cross a border need their rows ranked;
-    since md5 spreads evenly and sorts by prefix, such a score is cut into 4,096 cells
-    that are ranked side by side. ``scored`` must give the same scores each time it is
-    read; settle it if they are costly or come from a model.
+    since md5 spreads evenly and sorts by prefix, such a score is cut into cells of about
+    ``rows_per_cell`` rows that are ranked side by side. ``scored`` must give the same
+    scores each time it is read; settle it if they are costly or come from a model.
     """
     by = list(by)
     first = _decile(F.col("cum_n") - F.col("n"), q)
@@ -269,15 +276,17 @@ def lift_table(
         *by, F.col("_first").alias("decile"), "n", "pos", (_d("n") * F.col("score")).alias("score_sum")
     )
 
+    # Hexadecimal digits of the md5 that name a cell: enough for the rows of the tie.
+    digits = F.ceil(F.log(16.0, F.greatest(_d("n") / F.lit(float(rows_per_cell)), F.lit(1.0)))).cast("int")
     crossing = broadcast_checked(placed.filter("_first < _last").select(
-        *by, "score", "total_n", (F.col("cum_n") - F.col("n")).alias("_start")
+        *by, "score", "total_n", (F.col("cum_n") - F.col("n")).alias("_start"), digits.alias("_digits")
     ))
-    tied = (
-        scored.select(*by, F.col(score).alias("score"), F.col(label).alias("_y"),
-                      F.col(user).cast("string").alias("_user"))
-        .join(crossing, [*by, "score"])
-        .withColumn("_order", F.md5("_user"))
-        .withColumn("_cell", F.substring("_order", 1, TIE_CELL_CHARS))
+    tied = _same(
+        scored.select(*by, F.col(score).cast("double").alias("score"), F.col(label).alias("_y"),
+                      F.col(user).cast("string").alias("_user")),
+        crossing, [*by, "score"],
+    ).withColumn("_order", F.md5("_user")).withColumn(
+        "_cell", F.coalesce(F.expr("substring(_order, 1, _digits)"), F.lit(""))
     )
     cell = [*by, "score", "_cell"]
     before = Window.partitionBy(*by, "score").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -285,7 +294,7 @@ def lift_table(
         *cell, F.coalesce(F.sum("_cell_n").over(before), F.lit(0).cast("bigint")).alias("_before")
     )
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "_user"))
-    ranked = tied.withColumn("_rank", rank).join(cell_start, cell).select(
+    ranked = _same(tied.withColumn("_rank", rank), cell_start, cell).select(
         *by,
         _decile(F.col("_start") + F.col("_before") + F.col("_rank") - 1, q).alias("decile"),
         F.lit(1).cast("bigint").alias("n"),

@@ -11,7 +11,7 @@ from cohortlens.functions.scalars import top_count, user_bucket
 from cohortlens.operators import ranking as rk
 from cohortlens.operators.features import add_km_features
 
-FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 @FEW
@@ -53,20 +53,28 @@ def test_top_count(spark, pairs):
 
 @FEW
 @given(rows=st.lists(
-    st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=2, max_size=40
-).filter(lambda rows: len({y for y, _ in rows}) == 2), rows_per_range=st.sampled_from([1, 2, 1000]))
-def test_metrics(spark, rows, rows_per_range):
-    scored = [("s", f"u{i}", y, p / 6) for i, (y, p) in enumerate(rows)]
+    st.tuples(st.sampled_from(["s", None]), st.integers(0, 1), st.integers(0, 6)), min_size=2, max_size=40
+))
+def test_metrics(spark, rows):
+    scored = [(g, f"u{i}", y, p / 6) for i, (g, y, p) in enumerate(rows)]
     df = spark.createDataFrame(scored, "set string, user_id string, y_true int, y_prob double")
-    table = rk.score_table(df, rows_per_range=rows_per_range)
-    got = rk.metrics(table).first()
-    pos = [p for y, p in rows if y == 1]
-    neg = [p for y, p in rows if y == 0]
-    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
-    precision = lambda t: sum(p >= t for p in pos) / sum(p >= t for _, p in rows)
-    ap = sum(precision(t) for t in pos) / len(pos)
-    assert math.isclose(got["roc_auc"], auc, abs_tol=1e-9)
-    assert math.isclose(got["pr_auc"], ap, abs_tol=1e-9)
-    bins = rk.calibration_bins(table).agg(F.sum("n")).first()[0]
-    lift = rk.lift_table(table, df).agg(F.sum("n"), F.sum("positives")).first()
-    assert bins == lift[0] == len(rows) and lift[1] == len(pos)
+    results = []
+    for size in (1, 2, 1_000_000):
+        table = rk.score_table(df, rows_per_range=size)
+        lift = rk.lift_table(table, df, rows_per_cell=size)
+        frames = (table, rk.metrics(table), lift, rk.calibration_bins(table))
+        results.append([sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in x.collect()) for x in frames])
+        for group in {g for g, _, _ in rows}:
+            own = [(y, p) for g, y, p in rows if g == group]
+            pos, neg = [p for y, p in own if y == 1], [p for y, p in own if y == 0]
+            same = F.col("set").eqNullSafe(F.lit(group))
+            got = rk.metrics(table).filter(same).first()
+            if pos and neg:
+                auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+                assert math.isclose(got["roc_auc"], auc, abs_tol=1e-9)
+            if pos:
+                precision = lambda t: sum(p >= t for p in pos) / sum(p >= t for _, p in own)
+                assert math.isclose(got["pr_auc"], sum(precision(t) for t in pos) / len(pos), abs_tol=1e-9)
+            assert rk.calibration_bins(table).filter(same).agg(F.sum("n")).first()[0] == len(own)
+            assert tuple(lift.filter(same).agg(F.sum("n"), F.sum("positives")).first()) == (len(own), len(pos))
+    assert results[0] == results[1] == results[2]

@@ -208,3 +208,21 @@ def test_recorded_run_arithmetic(spark):
     assert top["precision"] == pytest.approx(0.15369942408569018)
     assert top["recall"] == pytest.approx(0.8989487234499035)
     assert rk.metrics(table).first()["positive_rate"] == pytest.approx(0.022375950533835166)
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("rows_per_range", [1, 1_000_000])
+def test_missing_scores_are_refused(spark, bad, rows_per_range):
+    rows = [("test", "a", 1, 0.8), ("test", "b", 0, bad), ("test", "c", 0, 0.5)]
+    with pytest.raises(Exception, match="NULL or NaN"):
+        rk.score_table(spark.createDataFrame(rows, SCHEMA), rows_per_range=rows_per_range)
+
+
+def test_null_group_keeps_its_rows(spark):
+    rows = [(s, f"u{i}", i % 2, 0.5) for s in ("test", None) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for size in (1, 1_000_000):
+        table = rk.score_table(df, rows_per_range=size)
+        assert {r["set"]: r["n_rows"] for r in rk.metrics(table).collect()} == {"test": 10, None: 10}
+        lift = rk.lift_table(table, df, rows_per_cell=size).groupBy("set").agg(F.sum("n").alias("n")).collect()
+        assert {r["set"]: r["n"] for r in lift} == {"test": 10, None: 10}
