@@ -103,8 +103,9 @@ def fit_logistic(
     prepare = _prepare(features, missing_recency)
     rows = fit.select(*features, F.col(label).cast("double").alias("label"))
     stats = fit_statistics(rows, features, missing_recency, "label").first()
-    n, pos = stats["n"], stats["pos"] or 0.0
-    if pos == 0 or pos == n:
+    n = stats["n"]
+    weights = {r["label"]: r["weight"] for r in balanced_weights(rows, "label").collect()}
+    if len(weights) < 2:
         raise ValueError("The fit rows need both classes")
     scale = [1.0 / stats[f] if stats[f] > 0 else 1.0 for f in features]
     scaler = ElementwiseProduct(
@@ -112,7 +113,7 @@ def fit_logistic(
     )
     ready = scaler.transform(PipelineModel(prepare).transform(rows)).select(
         "features", "label",
-        F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))).alias("weight"),
+        F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]).alias("weight"),
     )
     logistic = LogisticRegression(
         weightCol="weight", maxIter=MAX_ITER, standardization=False,
@@ -191,8 +192,11 @@ def predict(model: PipelineModel, df: DataFrame, output: str = "y_prob") -> Data
         probability = F.col(last.getPredictionCol())
     else:
         probability = vector_to_array(last.getProbabilityCol())[1]
-    scored = model.transform(ensure_columns(df, feature_names(model)))
-    return scored.select(*[F.col(c) for c in df.columns], probability.alias(output))
+    features = feature_names(model)
+    # The row travels as one value, so that its columns cannot meet those of the stages.
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    scored = model.transform(ensure_columns(df, features).select(row, *features))
+    return scored.select(*[F.col(f"_row.`{c}`") for c in df.columns], probability.alias(output))
 
 
 def frozen_logit(intercept: float, coefficients: dict[str, float], missing_recency: float = MISSING_RECENCY) -> Column:

@@ -81,8 +81,9 @@ def label_span(periods: Sequence[Period]) -> tuple[date, date]:
 
 def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     """The periods as rows."""
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(
-        f"""named_struct('set', '{p.set}', 'cutoff_date', DATE'{p.cutoff_date}',
+        f"""named_struct('set', {text(p.set)}, 'cutoff_date', DATE'{p.cutoff_date}',
             'period_start', DATE'{p.period_start}', 'period_end_excl', DATE'{p.period_end_excl}',
             'label_start', DATE'{p.label_start}', 'label_end_excl', DATE'{p.label_end_excl}')"""
         for p in periods

@@ -89,6 +89,13 @@ class TrainingRun:
         "learning_curve": lambda run: learning_curve(run._train, run.features, run.options),
     }
 
+    def close(self) -> None:
+        """Release the cached score tables; reports not yet written are computed anew."""
+        for name in ("scored", "score_table"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+        self._built.clear()
+
     @property
     def reports(self) -> list[str]:
         return list(self._BUILDERS)
