@@ -13,18 +13,23 @@ costs that join no more rows than it has days.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.km import parse_km
 from cohortlens.functions.scalars import in_range
-from cohortlens.operators.joins import semi_join_salted, small_enough
+from cohortlens.operators.joins import join_salted
 from cohortlens.sources.tables import Rules, Sources
 
 LEAD, BOOKING, REGISTER, SCHEDULE, TX = "lead", "booking", "register", "schedule", "tx"
 SIGNALS = (LEAD, BOOKING, REGISTER, SCHEDULE)
+KINDS = (*SIGNALS, TX)
+NO_KM = "cast(NULL AS bigint)"
 
 Span = tuple[date | None, date | None]
 ANY_DAY: Span = (None, None)
@@ -75,20 +80,20 @@ def _schedule_rows(funnel: DataFrame, rules: Rules, span: Span) -> DataFrame:
     )
 
 
-def _funnel_rows(funnel: DataFrame, rules: Rules, span: Span, km_mode: str) -> DataFrame:
-    """Register and schedule rows from a single scan of the funnel."""
+def _funnel_rows(funnel: DataFrame, rules: Rules, span: Span, km_mode: str, readings: bool = True) -> DataFrame:
+    """Register and schedule rows from a single scan of the funnel, with or without readings."""
     registered, inspected = _day("fecha_registro"), _day("fecha_inspeccion_agendada")
     # Either date may place a row inside the span; this wider test reaches the scan.
     either = f"{in_range(registered, *span)} OR {in_range(inspected, *span)}"
-    readings = funnel.filter(f"({rules.funnel}) AND ({either})").selectExpr(
+    rows = funnel.filter(f"({rules.funnel}) AND ({either})").selectExpr(
         "opportunity_id",
         f"{registered} AS registered",
         f"CASE WHEN {rules.schedule} THEN coalesce({inspected}, {registered}) END AS scheduled",
         f"coalesce({rules.schedule}, false) AS is_scheduled",
-        f"{_km(funnel, km_mode)} AS km",
+        f"{_km(funnel, km_mode) if readings else NO_KM} AS km",
     )
-    km_type = readings.schema["km"].dataType.simpleString()
-    return readings.selectExpr(
+    km_type = rows.schema["km"].dataType.simpleString()
+    return rows.selectExpr(
         "opportunity_id",
         "is_scheduled",
         f"""inline(array(
@@ -131,49 +136,99 @@ def facts(
     km_mode: str = "digits",
     km_in_key: bool = False,
     only_users: DataFrame | None = None,
+    kinds: Collection[str] = KINDS,
+    readings: bool = True,
 ) -> DataFrame:
-    """All streams as ``(kind, user_id, opportunity_id, event_date, n, km)``.
+    """Streams as ``(kind, user_id, opportunity_id, event_date, n, km)``; only the sources of ``kinds`` are read.
 
     ``n`` is the number of distinct events the row stands for: 1, or with
     ``km_in_key`` the number of different readings (a missing one included) of that
     day, because then each reading is an event of its own. ``km`` is the highest
-    reading of the day. The account rule for leads is not applied here; it belongs to
-    the user and is cheaper on the aggregate (see ``features.keep_leads_of``).
+    reading of the day, or NULL without ``readings``. The account rule for leads is not
+    applied here; it belongs to the user and is cheaper on the aggregate (see
+    ``features.keep_leads_of``).
 
-    ``only_users`` limits the work to a frame of ``user_id`` that the caller knows to
-    be small enough to broadcast.
+    ``only_users`` is a frame of ``user_id``: streams of users and the opportunities'
+    owners are semi-joined with it, whatever its size.
     """
-    by_user = _lead_rows(sources.leads, rules, feature_span).unionByName(
-        _booking_rows(sources.reservations, rules, feature_span)
-    )
-    owners = opportunity_users(sources.opportunities, rules)
-    if only_users is not None:
-        users = F.broadcast(only_users)
-        by_user = by_user.join(users, "user_id", "left_semi")
-        owners = owners.join(users, "user_id", "left_semi")
-
-    funnel = _funnel_rows(sources.register_funnel, rules, feature_span, km_mode)
-    km_type = funnel.schema["km"].dataType.simpleString()
+    by_user = []
+    if LEAD in kinds:
+        by_user.append(_lead_rows(sources.leads, rules, feature_span))
+    if BOOKING in kinds:
+        by_user.append(_booking_rows(sources.reservations, rules, feature_span))
+    by_opp = []
+    if REGISTER in kinds or SCHEDULE in kinds:
+        funnel = _funnel_rows(sources.register_funnel, rules, feature_span, km_mode, readings or km_in_key)
+        by_opp.append(funnel.filter(F.col("kind").isin([k for k in (REGISTER, SCHEDULE) if k in kinds])))
+    km_type = by_opp[0].schema["km"].dataType.simpleString() if by_opp else "bigint"
     no_km = f"cast(NULL AS {km_type}) AS km"
-    won = _won_rows(sources.stage_history, rules, label_span)
-    by_opp = funnel.unionByName(won.selectExpr("*", no_km))
-    if only_users is not None:
-        if small_enough(owners):
-            owners = F.broadcast(owners)
-            by_opp = by_opp.join(owners, "opportunity_id", "left_semi")
-    day_key = ["kind", "opportunity_id", "event_date"]
-    n = "1L"
-    if km_in_key:
-        by_opp = by_opp.dropDuplicates([*day_key, "km"])
-        n = "count(*)"
-    by_opp = by_opp.groupBy(*day_key).agg(F.expr(f"{n} AS n"), F.expr("max(km) AS km"))
+    if TX in kinds:
+        by_opp.append(_won_rows(sources.stage_history, rules, label_span).selectExpr("*", no_km))
 
+    parts = []
     columns = ["kind", "user_id", "opportunity_id", "event_date", "n", "km"]
-    user_facts = by_user.distinct().selectExpr(*columns[:4], "1L AS n", no_km)
-    opp_facts = (
-        by_opp.join(owners, "opportunity_id").filter(f"kind <> '{TX}' OR deal").select(*columns)
-    )
-    return user_facts.unionByName(opp_facts)
+    if by_user:
+        rows = reduce(DataFrame.unionByName, by_user)
+        if only_users is not None:
+            rows = rows.join(only_users, "user_id", "left_semi")
+        parts.append(rows.distinct().selectExpr(*columns[:4], "1L AS n", no_km))
+    if by_opp:
+        owners = opportunity_users(sources.opportunities, rules)
+        if only_users is not None:
+            owners = owners.join(only_users, "user_id", "left_semi")
+        rows = reduce(DataFrame.unionByName, by_opp)
+        day_key = ["kind", "opportunity_id", "event_date"]
+        n = "1L"
+        if km_in_key:
+            rows = rows.dropDuplicates([*day_key, "km"])
+            n = "count(*)"
+        rows = rows.groupBy(*day_key).agg(F.expr(f"{n} AS n"), F.expr("max(km) AS km"))
+        owned = rows.join(owners, "opportunity_id")
+        if TX in kinds:
+            owned = owned.filter(f"kind <> '{TX}' OR deal")
+        parts.append(owned.select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass(frozen=True)
+class FactsOptions:
+    """How stored facts were built, kept with them as the column ``built``."""
+
+    rules: Rules
+    feature_span: Span
+    label_span: Span
+    km_mode: str = "digits"
+    km_in_key: bool = False
+
+    def column(self) -> Column:
+        day = lambda d: F.lit(d).cast("date")
+        return F.struct(
+            F.lit(repr(self.rules)).alias("rules"), F.lit(self.km_mode).alias("km_mode"),
+            F.lit(self.km_in_key).alias("km_in_key"),
+            day(self.feature_span[0]).alias("feature_first"), day(self.feature_span[1]).alias("feature_end"),
+            day(self.label_span[0]).alias("label_first"), day(self.label_span[1]).alias("label_end"),
+        )
+
+
+def facts_for(events: DataFrame, needed: FactsOptions) -> DataFrame:
+    """Stored facts, after a check that they suit ``needed``: same options, and days that cover its spans.
+
+    The check runs with the rows; the first that does not suit fails with both records.
+    """
+    if "built" not in events.columns:
+        raise ValueError("these facts carry no record of how they were built; store them with write_facts")
+    want, have = needed.column(), F.col("built")
+    fits = F.lit(True)
+    for name in ("rules", "km_mode", "km_in_key"):
+        fits = fits & (have[name] == want[name])
+    for kind in ("feature", "label"):
+        first, end = f"{kind}_first", f"{kind}_end"
+        fits = fits & (have[first].isNull() | F.coalesce(have[first] <= want[first], F.lit(False)))
+        fits = fits & (have[end].isNull() | F.coalesce(have[end] >= want[end], F.lit(False)))
+    wrong = F.raise_error(F.concat(
+        F.lit("stored facts do not suit: built with "), F.to_json(have), F.lit(", needed "), F.to_json(want)
+    ))
+    return events.filter(F.when(fits, F.lit(True)).otherwise(wrong.cast("boolean"))).drop("built")
 
 
 # -- one stream at a time ------------------------------------------------------------
@@ -192,9 +247,10 @@ def eligible_accounts(accounts: DataFrame, rules: Rules) -> DataFrame:
 
 
 def sales_lead_events(sources: Sources, rules: Rules, span: Span = ANY_DAY) -> DataFrame:
-    leads = _lead_rows(sources.leads, rules, span).drop("kind").distinct()
-    kept = semi_join_salted(
-        leads, eligible_accounts(sources.accounts, rules), "user_id", ["opportunity_id", "event_date"]
+    rows = _lead_rows(sources.leads, rules, span).drop("kind")
+    kept = join_salted(
+        rows.distinct(), eligible_accounts(sources.accounts, rules), "user_id",
+        ["opportunity_id", "event_date"], how="left_semi", counted=rows,
     )
     return _event(kept)
 
@@ -207,7 +263,11 @@ def _owned(rows: DataFrame, opportunities: DataFrame, *extra: str) -> DataFrame:
     owners = opportunities.filter("accountid IS NOT NULL").select(
         F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id")
     ).distinct()
-    return _event(rows.drop("kind").distinct().join(owners, "opportunity_id"), *extra)
+    rows = rows.drop("kind")
+    if not extra:  # at most a row for each day of an opportunity
+        return _event(rows.distinct().join(owners, "opportunity_id"))
+    owned = join_salted(rows.distinct(), owners, "opportunity_id", ["event_date", *extra], counted=rows)
+    return _event(owned, *extra)
 
 
 def transaction_events(

@@ -13,11 +13,10 @@ SALTS = 64
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Has ``df`` at most ``max_rows`` rows, so that it may be broadcast?
 
-    The rows are counted (never more than ``max_rows + 1`` of them). A small frame stays
-    cached for its use that follows.
+    Counts each partition where it is. A small frame stays cached for its use that follows.
     """
     cached_before = df.storageLevel.useMemory or df.storageLevel.useDisk
-    small = df.persist().limit(max_rows + 1).count() <= max_rows
+    small = df.persist().count() <= max_rows
     if not small and not cached_before:
         df.unpersist()
     return small
@@ -28,33 +27,35 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
-def semi_join_salted(
+def join_salted(
     facts: DataFrame,
-    keys: DataFrame,
+    side: DataFrame,
     on: str,
     spread: list[str],
+    how: str = "inner",
+    counted: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    max_hot: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Facts whose ``on`` value occurs in ``keys``, with hot values split.
+    """``facts`` joined with ``side`` (distinct rows) on ``on``, with hot values split.
 
-    A value with more than ``hot_rows`` facts is spread over ``salts`` tasks by a
-    hash of the ``spread`` columns; only such values are repeated on the key side.
-    There are at most ``count(facts) / hot_rows`` of them, which bounds the
-    broadcast list of hot values.
+    A value with more than ``hot_rows`` rows in ``counted`` (the facts unless given; raw rows
+    are cheaper to count, as only their key is read and no distinct comes first) is spread
+    over ``salts`` tasks by a hash of the ``spread`` columns; only such values are repeated
+    on the other side. The broadcast list holds the ``max_hot`` most frequent ones at most:
+    which values are split changes the balance of the tasks, never the result.
     """
+    counted = facts if counted is None else counted
     hot = F.broadcast(
-        facts.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+        counted.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"), on).limit(max_hot)
         .select(F.col(on), F.lit(True).alias("_hot"))
     )
     salted_facts = facts.join(hot, on, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0),
-    )
-    salted_keys = keys.select(on).distinct().join(hot, on, "left").select(
-        on,
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("_salt"),
-    )
-    return salted_facts.join(salted_keys, [on, "_salt"], "left_semi").drop("_hot", "_salt")
+    ).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_side = side.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return salted_facts.join(salted_side, [on, "_salt"], how).drop("_salt")

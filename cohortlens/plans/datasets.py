@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.scalars import inferred_origin
 from cohortlens.operators import features as ft
 from cohortlens.operators.cohorts import new_accounts
-from cohortlens.operators.events import eligible_accounts, facts
-from cohortlens.operators.joins import small_enough
+from cohortlens.operators.events import KINDS, SIGNALS, FactsOptions, eligible_accounts, facts, facts_for
 from cohortlens.plans.periods import Period, Week, feature_span, label_span
 from cohortlens.sources.schema import DATASET_COLUMNS, WEEKLY_COLUMNS
 from cohortlens.sources.tables import Rules, Sources
@@ -25,16 +24,23 @@ def signal_features(
     km_in_key: bool = False,
     skip_null_km: bool = False,
     events: DataFrame | None = None,
+    kinds: Collection[str] = KINDS,
+    readings: bool = True,
 ) -> DataFrame:
     """Counts, recencies, last reading and label of every user with a signal in a period.
 
-    ``events`` are stored facts to read instead of the sources. They must cover the
-    windows and have been built with the same rules and odometer options.
+    ``events`` are stored facts to read instead of the sources; facts that do not cover
+    the windows or were built with other rules or odometer options fail. Only the sources
+    of ``kinds`` are read: without deals the label is 0, without ``readings`` the last
+    reading is NULL.
     """
+    spans = feature_span(periods), label_span(periods)
     if events is None:
         events = facts(
-            sources, rules, feature_span(periods), label_span(periods), km_mode=km_mode, km_in_key=km_in_key
+            sources, rules, *spans, km_mode=km_mode, km_in_key=km_in_key, kinds=kinds, readings=readings
         )
+    else:
+        events = facts_for(events, FactsOptions(rules, *spans, km_mode, km_in_key))
     features = ft.period_features(events, periods, skip_null_km)
     return ft.with_signals(ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules)))
 
@@ -43,7 +49,7 @@ def universe_by_signal(
     sources: Sources, periods: Sequence[Period], rules: Rules = Rules()
 ) -> DataFrame:
     """Distinct ``(set, cutoff_date, user_id)`` with a signal in the feature window."""
-    return signal_features(sources, periods, rules).select(*ft.KEYS)
+    return signal_features(sources, periods, rules, kinds=SIGNALS, readings=False).select(*ft.KEYS)
 
 
 def complete(features: DataFrame, mod_mode: str) -> DataFrame:
@@ -88,33 +94,24 @@ def weekly_features(
     sources: Sources,
     week: Week,
     rules: Rules = Rules(),
-    km_mode: str = "raw",
-    fanout: bool = True,
-    max_broadcast_rows: int = 200_000,
+    km_mode: str = "cast",
+    fanout: bool = False,
     events: DataFrame | None = None,
 ) -> DataFrame:
     """The accounts of the week with their trailing counts, recencies and label.
 
-    A cohort that is small enough is broadcast so that only its events are shuffled.
-    ``events`` are stored facts of all days (``fanout``) or of the days before the
-    horizon, with readings in the key.
+    Events are semi-joined with the cohort, whatever its size; adaptive execution chooses
+    the join. ``events`` are stored facts of all days (``fanout``) or of the days before
+    the horizon, with readings in the key.
     """
     cohort = new_accounts(sources.accounts, rules, week)
-    small = small_enough(cohort, max_broadcast_rows)
-    users = cohort.select("user_id") if small else None
+    users = cohort.select("user_id")
+    spans = (None, None) if fanout else (None, week.as_of), (week.as_of, week.horizon_end)
     # Every cohort account passes the account rule, so its leads all count.
     if events is None:
-        events = facts(
-            sources,
-            rules,
-            feature_span=(None, None) if fanout else (None, week.as_of),
-            label_span=(week.as_of, week.horizon_end),
-            km_mode=km_mode,
-            km_in_key=True,
-            only_users=users,
-        )
-    elif small:
-        events = events.join(F.broadcast(users), "user_id", "left_semi")
+        events = facts(sources, rules, *spans, km_mode=km_mode, km_in_key=True, only_users=users)
+    else:
+        events = facts_for(events, FactsOptions(rules, *spans, km_mode, True)).join(users, "user_id", "left_semi")
     features = ft.trailing_features(events, week)
     if fanout:
         features = ft.fan_out(features)
@@ -130,19 +127,18 @@ def weekly_dataset(
     sources: Sources,
     week: Week,
     rules: Rules = Rules(),
-    km_mode: str = "raw",
-    fanout: bool = True,
-    max_broadcast_rows: int = 200_000,
+    km_mode: str = "cast",
+    fanout: bool = False,
     events: DataFrame | None = None,
 ) -> DataFrame:
     """One row per account created in the week, with a forward label.
 
-    ``fanout`` keeps the 7- and 30-day counts as produced by joining leads and
-    registers before counting; without it each event counts once. The default
-    ``km_mode`` keeps the type of the readings, so that text is compared as text;
-    ``cast`` and ``digits`` give the highest number.
+    Each event counts once; ``fanout`` keeps the 7- and 30-day counts as produced by
+    joining leads and registers before counting. ``cast`` and ``digits`` give the highest
+    number as last reading; ``raw`` keeps the type of the readings, so that text is
+    compared as text.
     """
-    features = weekly_features(sources, week, rules, km_mode, fanout, max_broadcast_rows, events)
+    features = weekly_features(sources, week, rules, km_mode, fanout, events)
     return features.withColumns({
         "user_id": F.col("user_id").cast("string"),
         "total_signals_90d": F.col("n_qleads_90d") + F.col("n_registers_90d"),

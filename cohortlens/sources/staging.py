@@ -2,63 +2,78 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.events import FactsOptions
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder of the session, if there is one.
+BUCKET_BYTES = 256 << 20
+MAX_BUCKETS = 16_384
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
-        if folder is not None:
-            context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder that the session names in ``spark.checkpoint.dir``, if it does."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, for work that reads it many times.
 
-    Uses a reliable checkpoint, which outlives executors. Without a shared folder the
-    frame is cached instead and lost blocks are recomputed.
+    Writes parquet to the shared folder, which outlives executors and lets later steps
+    read only their columns. Without a shared folder the frame is cached instead and lost
+    blocks are recomputed.
     """
-    return df.checkpoint() if checkpoint_dir(df.sparkSession) else df.persist()
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets: int = 64) -> DataFrame:
+def buckets_for(df: DataFrame) -> int:
+    """Buckets of about ``BUCKET_BYTES`` by the optimizer's size of ``df``."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MAX_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+
+
+def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a table, replacing an older one, and return the stored table.
 
-    With a ``key`` the table is bucketed and sorted by it, so that later joins and
-    aggregations on that key read it without a shuffle.
+    The old table stays until the new one is complete, so ``df`` may read it and a failed
+    write loses nothing. With a ``key`` the table is bucketed and sorted by it, so that
+    later joins and aggregations on that key read it without a shuffle; the number of
+    buckets follows from the size unless given.
     """
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    writer = df.write.mode("overwrite").format("parquet")
+    new, old = (f"{name}_{part}_{uuid.uuid4().hex[:8]}" for part in ("new", "old"))
+    writer = df.write.format("parquet")
     if key is not None:
-        writer = writer.bucketBy(buckets, key).sortBy(key)
-    writer.saveAsTable(name)
+        writer = writer.bucketBy(buckets or buckets_for(df), key).sortBy(key)
+    writer.saveAsTable(new)
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+        spark.sql(f"DROP TABLE {old}")
+    else:
+        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
     return spark.read.table(name)
 
 
-def write_facts(facts: DataFrame, path: str, files_per_month: int = 64) -> None:
+def write_facts(facts: DataFrame, path: str, built: FactsOptions) -> None:
     """Store event facts by month, so that several datasets can read them instead of the sources.
 
-    Rows spread over the files of a month by opportunity and day, which keeps users with
-    very many events out of a single file. Facts without a day are stored, too.
+    ``built`` tells how the facts were made and is stored with them. The rows of a month
+    are divided into tasks and files by their size (a rebalance, which needs adaptive
+    execution). Facts without a day are stored, too.
     """
     month = F.date_format("event_date", "yyyy-MM")
-    spread = F.pmod(F.xxhash64("opportunity_id", "event_date"), F.lit(files_per_month))
     (
-        facts.withColumn("month", month).repartition(F.col("month"), spread)
+        facts.withColumns({"built": built.column(), "month": month}).hint("rebalance", "month")
         .write.mode("overwrite").partitionBy("month").parquet(path)
     )
 
@@ -66,8 +81,16 @@ def write_facts(facts: DataFrame, path: str, files_per_month: int = 64) -> None:
 def read_facts(
     spark: SparkSession, path: str, first: date | None = None, end_excl: date | None = None
 ) -> DataFrame:
-    """Stored facts of the days ``[first, end_excl)``; only the months concerned are read."""
+    """Stored facts of the days ``[first, end_excl)``; only the months concerned are read.
+
+    Their record ``built`` then covers no more than these days.
+    """
     facts = spark.read.parquet(path)
+    for kind in ("feature", "label"):
+        begin, end = F.col(f"built.{kind}_first"), F.col(f"built.{kind}_end")
+        facts = facts.withColumn("built", F.col("built").withField(
+            f"{kind}_first", F.greatest(begin, F.lit(first).cast("date"))
+        ).withField(f"{kind}_end", F.least(end, F.lit(end_excl).cast("date"))))
     tests = []
     if first is not None:
         tests.append(f"month >= '{first:%Y-%m}' AND event_date >= DATE'{first}'")

@@ -96,12 +96,9 @@ def expected_weekly(rows, fanout):
 
 
 @pytest.mark.parametrize("fanout", [True, False])
-@pytest.mark.parametrize("max_broadcast_rows", [0, 1000])
-def test_weekly_dataset_matches_plain_loops(spark, fanout, max_broadcast_rows):
+def test_weekly_dataset_matches_plain_loops(spark, fanout):
     rows = random_rows(8, users=40)
-    df = ds.weekly_dataset(
-        make_sources(spark, **rows), WEEK, fanout=fanout, max_broadcast_rows=max_broadcast_rows
-    )
+    df = ds.weekly_dataset(make_sources(spark, **rows), WEEK, km_mode="raw", fanout=fanout)
     names = {**NAMES, "n_lead_7": "n_qleads_7d", "n_lead_30": "n_qleads_30d", "n_register_7": "n_registers_7d",
              "n_register_30": "n_registers_30d", "origin": "origin_inferred"}
     got = {(r["set"], r["user_id"]): {k: r[c] for k, c in names.items()} for r in df.collect()}
@@ -180,7 +177,7 @@ def test_schemas(spark):
     types = lambda schema: [(f.name, f.dataType) for f in schema]
     assert types(ds.train_test_dataset(src, PERIODS).schema) == types(DATASET_SCHEMA)
     assert types(ds.holdout_dataset(src, HOLDOUT_2025).schema) == types(DATASET_SCHEMA)
-    weekly = ds.weekly_dataset(src, WEEK_2025, km_mode="cast")
+    weekly = ds.weekly_dataset(src, WEEK_2025)
     assert types(weekly.schema) == types(WEEKLY_SCHEMA)
 
 
@@ -191,6 +188,12 @@ def test_empty_sources(spark):
     assert ds.dataset_summary(ds.holdout_dataset(src, HOLDOUT_2025)).first()["n_rows"] == 0
 
 
+def test_a_set_name_may_hold_a_quote(spark):
+    src = make_sources(spark, **random_rows(9))
+    named = replace(TRAIN_2025, set="o'b\\")
+    assert {r["set"] for r in ds.train_test_dataset(src, [named]).collect()} == {"o'b\\"}
+
+
 def test_period_checks():
     day = date(2025, 1, 1)
     with pytest.raises(ValueError):

@@ -82,21 +82,37 @@ def test_unused_columns_are_not_computed(spark):
     assert "max_by" not in text and "recency" not in text
 
 
-def test_small_cohort_is_read_from_cache_and_filters_before_the_shuffle(spark):
+def jobs_of(spark, build):
+    """The result of ``build`` and the number of jobs it has started."""
+    group = f"plan-{id(build)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("threshold", ["-1", "100m"])
+@pytest.mark.parametrize("options", [{}, {"fanout": True}, {"km_mode": "raw"}])
+def test_weekly_events_are_semi_joined_and_no_job_runs_before(spark, threshold, options):
     with cluster_like(spark):
-        text = plan(ds.weekly_dataset(m.sources_with_creation(spark, SF), m.WEEK, m.RULES))
-    # Leads, bookings, funnel rows and deals each meet a broadcast list in their scan stage.
-    assert text.count("LeftSemi, BuildRight") >= 4
-    assert "InMemoryTableScan" in text and "NestedLoop" not in text and "SortAggregate" not in text
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        src = m.sources_with_creation(spark, SF)
+        df, jobs = jobs_of(spark, lambda: ds.weekly_dataset(src, m.WEEK, m.RULES, **options))
+        text = plan(df)
+    assert jobs == 0
+    # leads with bookings, and the owners of the opportunities
+    assert text.count("LeftSemi") >= 2 and "NestedLoop" not in text and "SortAggregate" not in text
+    assert df.schema["reg_km_last"].dataType.simpleString() == "bigint"
 
 
-def test_large_cohort_is_not_broadcast(spark):
-    spark.catalog.clearCache()
+def test_only_the_asked_for_streams_are_read(spark):
+    src = m.sources(spark, SF)
     with cluster_like(spark):
-        text = plan(ds.weekly_dataset(
-            m.sources_with_creation(spark, SF), m.WEEK, m.RULES, max_broadcast_rows=0
-        ))
-    assert "BroadcastExchange" not in text and "LeftSemi" not in text
+        universe = plan(ds.universe_by_signal(src, m.PERIODS, m.RULES))
+        supply = plan(ds.signal_features(src, m.PERIODS, m.RULES, kinds=("register", "schedule")))
+    assert universe.count("FileScan") == 5 and "l_extendedprice" not in universe
+    assert supply.count("FileScan") == 3 and "l_extendedprice" in supply  # funnel, opportunities, accounts
 
 
 def test_ranking_sorts_only_inside_groups(spark):

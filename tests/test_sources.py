@@ -5,8 +5,8 @@ from inline import make_sources, random_rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.operators.events import facts
-from cohortlens.operators.joins import broadcast_checked, semi_join_salted
+from cohortlens.operators.events import FactsOptions, facts
+from cohortlens.operators.joins import broadcast_checked, join_salted
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import HOLDOUT_2025, TEST_2025, TRAIN_2025, WEEK_2025, Week
 from cohortlens.sources import files
@@ -129,27 +129,63 @@ def test_stage_table_is_rebuilt_and_joins_without_shuffle(spark, dataset):
             spark.sql(f"DROP TABLE IF EXISTS {t}")
 
 
+def test_staging_a_table_onto_itself_keeps_its_rows(spark, dataset):
+    try:
+        stage_table(dataset, "staged_self")
+        again = stage_table(spark.table("staged_self").filter("n_qleads_90d >= 0"), "staged_self")
+        assert again.count() == dataset.count() > 0
+        with pytest.raises(Exception, match="gone wrong"):
+            failing = spark.table("staged_self").withColumn("user_id", F.raise_error(F.lit("gone wrong")).cast("string"))
+            stage_table(failing, "staged_self", key=None)
+        assert spark.table("staged_self").count() == dataset.count()
+    finally:
+        spark.sql("DROP TABLE IF EXISTS staged_self")
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("facts") / "facts")
+    src = make_sources(spark, **random_rows(15, users=30))
+    built = FactsOptions(Rules(), (None, None), (None, None), "cast", True)
+    write_facts(facts(src, built.rules, *(built.feature_span, built.label_span), km_mode="cast", km_in_key=True), path, built)
+    return src, path
+
+
 @pytest.mark.parametrize("fanout", [True, False])
-def test_datasets_from_stored_facts(spark, tmp_path, fanout):
-    rows = random_rows(15, users=30)
-    src, rules, path = make_sources(spark, **rows), Rules(), str(tmp_path / "facts")
-    write_facts(facts(src, rules, (None, None), (None, None), km_mode="cast", km_in_key=True), path)
+def test_datasets_from_stored_facts(spark, stored, fanout):
+    src, path = stored
     q3 = read_facts(spark, path, HOLDOUT_2025.period_start, HOLDOUT_2025.period_end_excl)
     want = by_key(ds.holdout_dataset(src, HOLDOUT_2025))
     assert want and by_key(ds.holdout_dataset(src, HOLDOUT_2025, events=q3)) == want
     week = Week(date(2025, 2, 1), date(2025, 5, 31))
     # Unlike the counts of pairs, the plain ones need no events from the horizon on.
-    stored = read_facts(spark, path) if fanout else read_facts(spark, path, None, week.horizon_end)
-    direct = ds.weekly_dataset(src, week, km_mode="cast", fanout=fanout)
-    for limit in (0, 1000):
-        again = ds.weekly_dataset(src, week, fanout=fanout, max_broadcast_rows=limit, events=stored)
-        assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+    events = read_facts(spark, path) if fanout else read_facts(spark, path, None, week.horizon_end)
+    direct = ds.weekly_dataset(src, week, fanout=fanout)
+    again = ds.weekly_dataset(src, week, fanout=fanout, events=events)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, direct.collect()), key=str)
+
+
+def test_facts_that_do_not_suit_fail(spark, stored):
+    src, path = stored
+    week = Week(date(2025, 2, 1), date(2025, 5, 31))
+    whole, q3 = read_facts(spark, path), read_facts(spark, path, date(2025, 7, 1), date(2025, 9, 1))
+    for build in (
+        lambda: ds.train_test_dataset(src, [TRAIN_2025], events=whole),  # other odometer options
+        lambda: ds.holdout_dataset(src, HOLDOUT_2025, events=q3),  # too few days
+        lambda: ds.holdout_dataset(src, HOLDOUT_2025, Rules(lead="true"), events=whole),
+        lambda: ds.weekly_dataset(src, week, fanout=True, events=read_facts(spark, path, None, week.horizon_end)),
+    ):
+        with pytest.raises(Exception, match="do not suit"):
+            build().collect()
+    with pytest.raises(ValueError, match="no record"):
+        ds.holdout_dataset(src, HOLDOUT_2025, events=whole.drop("built"))
 
 
 def test_reading_facts_prunes_months(spark, tmp_path):
     path = str(tmp_path / "facts")
     src = make_sources(spark, **random_rows(16))
-    write_facts(facts(src, Rules(), (None, None), (None, None)), path, files_per_month=2)
+    built = FactsOptions(Rules(), (None, None), (None, None))
+    write_facts(facts(src, built.rules, (None, None), (None, None)), path, built)
     q2 = read_facts(spark, path, date(2025, 4, 1), date(2025, 7, 1))
     plan = q2._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "month" in plan[plan.index("PartitionFilters"):]
@@ -160,10 +196,10 @@ def test_reading_facts_prunes_months(spark, tmp_path):
 
 
 def test_settle_uses_the_session_checkpoint_folder(spark, dataset):
-    assert spark.sparkContext.getConf().get("spark.checkpoint.dir") in checkpoint_dir(spark)
+    assert spark.sparkContext.getConf().get("spark.checkpoint.dir") == checkpoint_dir(spark)
     settled = settle(dataset)
+    assert all(checkpoint_dir(spark) in f for f in settled.inputFiles())
     assert by_key(settled) == by_key(dataset)
-    assert settled.rdd.isCheckpointed() or "Scan ExistingRDD" in settled._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("hot_rows", [5, 10_000])
@@ -173,19 +209,22 @@ def test_salted_semi_join_equals_semi_join(spark, hot_rows):
     )
     keys = spark.createDataFrame([("hot",), ("hot",), ("u1",), ("u7",), ("none",), (None,)], "k string")
     want = sorted(r["v"] for r in facts.join(keys, "k", "left_semi").collect())
-    got = semi_join_salted(facts, keys, "k", ["v"], hot_rows=hot_rows, salts=7)
+    got = join_salted(facts, keys.distinct(), "k", ["v"], how="left_semi", hot_rows=hot_rows, salts=7)
+    inner = join_salted(facts, keys.distinct(), "k", ["v"], hot_rows=hot_rows, salts=7)
+    assert sorted(r["v"] for r in inner.collect()) == want
     assert got.columns == ["k", "v"]
     assert sorted(r["v"] for r in got.collect()) == want
 
 
-def test_salting_splits_a_hot_key(spark):
+@pytest.mark.parametrize("how", ["left_semi", "inner"])
+def test_salting_splits_a_hot_key(spark, how):
     facts = spark.range(2000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('u', id) END AS k", "id AS v")
     keys = facts.select("k").distinct()
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = semi_join_salted(facts, keys, "k", ["v"], hot_rows=100, salts=16)
+        joined = join_salted(facts, keys, "k", ["v"], how=how, hot_rows=100, salts=16)
         sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
