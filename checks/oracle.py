@@ -242,7 +242,41 @@ SELECT t.set, t.n AS n_rows, t.pos AS positives, ROUND(auc, 6) AS roc_auc, ROUND
   ROUND(t.pos::DOUBLE / t.n, 6) AS positive_rate
 FROM tot t JOIN auc USING (set) JOIN ap USING (set)""")
 
+_names = ", ".join(f"('{c}')" for c in [*MODEL_COUNTS, *MODEL_RECENCIES])
+
+
+def _fixed_scores(dataset: str, missing: tuple[str, ...] = ()) -> str:
+    """The fixed score of a dataset; features it lacks count as missing."""
+    terms = " + ".join(
+        f"({w}) * {0.0 if c in missing else _filled('km_log' if c == 'reg_km_log1p' else c)}" for c, w in FROZEN.items()
+    )
+    return f"""
+SELECT user_id, ROUND(1 / (1 + EXP(-({FROZEN_INTERCEPT} + {terms}))), 6) AS y_prob
+FROM (SELECT *, LOG10(reg_km_last + 1.0::DOUBLE) AS km_log FROM {dataset})"""
+
+
 ORACLE: dict[str, str] = {
+    "split_counts": TRAIN_TEST + """
+SELECT set AS split, COUNT(*) AS n, SUM(target_30d)::BIGINT AS positives FROM ds GROUP BY set""",
+    "fit_stationarity": f"""
+SELECT penalty, feature, 0.0::DOUBLE AS slope FROM (VALUES ('l2'), ('elasticnet')) p(penalty),
+  (VALUES {_names}) f(feature)""",
+    "sigmoid_stationarity": "SELECT 0.0::DOUBLE AS error, 0.0::DOUBLE AS error_by_margin",
+    # Isotonic regression at x: the greatest, over starts up to x, of the least mean from the start on past x.
+    "isotonic_map": SCORED + """,
+pts AS (SELECT p, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS pos FROM scored GROUP BY p),
+run AS (SELECT p, SUM(n) OVER (ORDER BY p) AS cn, SUM(pos) OVER (ORDER BY p) AS cp, n, pos FROM pts),
+mean AS (SELECT a.p AS lo, b.p AS hi, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM run a JOIN run b ON b.p >= a.p),
+best AS (SELECT x.p, lo, MIN(m) AS m FROM pts x JOIN mean ON lo <= x.p AND hi >= x.p GROUP BY x.p, lo)
+SELECT p AS margin, ROUND(MAX(m), 6) AS calibrated FROM best GROUP BY p""",
+    "score_holdout_fixed": HOLDOUT + _fixed_scores("ds"),
+    "score_weekly_fixed": weekly(True) + _fixed_scores("wk", ("reg_km_log1p", "reg_km_trailing_zeros")),
+    "learning_curve_sizes": TRAIN_TEST + """
+SELECT f AS fraction, COUNT(*) AS train_rows
+FROM (VALUES (0.1::DOUBLE, 8), (0.2, 16), (0.4, 32), (0.6, 48), (0.8, 64), (1.0, 80)) l(f, limit_b)
+JOIN (SELECT CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS INTEGER) AS b FROM ds WHERE set = 'train')
+  ON b < limit_b GROUP BY f""",
+    "coefficient_names": f"SELECT feature, TRUE AS odds_fit, TRUE AS in_order FROM (VALUES {_names}) f(feature)",
     "sales_lead_events": _stream("lead"),
     "booking_events": _stream("booking"),
     "sales_tx_events": _stream("sales_tx"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import mapping as m
@@ -19,7 +20,7 @@ from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import feature_span, label_span
 from cohortlens.plans.scoring import score_rows
 from cohortlens.plans.training import TrainOptions, fit_model, learning_curve, train_and_evaluate
-from cohortlens.sources.schema import LABEL, model_features
+from cohortlens.sources.schema import LABEL, coerce_dataset, model_features, split_sets
 from cohortlens.sources.staging import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,6 +253,81 @@ def score_weekly(spark: SparkSession, sf: str) -> DataFrame:
     return score_rows(_fitted(spark, sf, TrainOptions()), weekly(spark, sf, fanout=True))
 
 
+def _train_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Train rows as a training run takes them."""
+    return settle(split_sets(coerce_dataset(train_test(spark, sf)))[0])
+
+
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and positives of the sets, whatever the case of their names, after the dataset's checks."""
+    mixed = train_test(spark, sf).withColumn("set", F.initcap("set"))
+    return reduce(DataFrame.unionByName, [
+        part.groupBy(F.lower("set").alias("split")).agg(F.count("*").alias("n"), F.sum(LABEL).alias("positives"))
+        for part in split_sets(coerce_dataset(mixed))
+    ])
+
+
+def stationarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Slopes of the loss at the fitted coefficients: zero for either penalty."""
+    rows = _train_part(spark, sf)
+    fit, _ = md.split_fit_validation(rows)
+    parts = []
+    for penalty in ("l2", "elasticnet"):
+        model = md.fit_logistic(fit, model_features(rows), penalty, 0.3, 0.8)
+        slopes = md.loss_slopes(model, fit, penalty, 0.3, 0.8)
+        parts.append(slopes.select(F.lit(penalty).alias("penalty"), "feature", (F.abs(F.round("slope", 3))).alias("slope")))
+    return parts[0].unionByName(parts[1])
+
+
+def sigmoid_stationarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of error and of error times margin at the fitted sigmoid, per unit of weight: zero."""
+    rows = _train_part(spark, sf)
+    fit, validation = md.split_fit_validation(rows)
+    model = md.fit_logistic(fit, model_features(rows))
+    calibrated = md.predict(md.calibrate_sigmoid(model, validation), validation, "p")
+    margin = md.margin_of(model, calibrated)
+    pos = F.sum(LABEL).over(Window.partitionBy())
+    n = F.count("*").over(Window.partitionBy())
+    target = F.when(F.col(LABEL) == 1, (pos + 1) / (pos + 2)).otherwise(1 / (n - pos + 2))
+    error = margin.select("p", "margin", target.alias("t"))
+    return error.agg(
+        F.abs(F.round(F.avg(F.col("p") - F.col("t")), 3)).alias("error"),
+        F.abs(F.round(F.avg((F.col("p") - F.col("t")) * F.col("margin")), 3)).alias("error_by_margin"),
+    )
+
+
+def isotonic_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The isotonic calibrator on the fixed proxy score."""
+    points = settle(
+        proxy_scored(spark, sf).groupBy(F.col("y_prob").alias("margin"))
+        .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("y_true").cast("double")).alias("pos"))
+    )
+    mapped = md.fit_isotonic(points).transform(points)
+    return rounded(mapped.select("margin", F.col("prediction").alias("calibrated")), "calibrated")
+
+
+def _fixed_scores(rows: Callable[[SparkSession, str], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        model = md.fixed_model(spark, FROZEN, FROZEN_INTERCEPT)
+        return rounded(score_rows(model, rows(spark, sf)), "y_prob")
+
+    return run
+
+
+def curve_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return curve(spark, sf).select("fraction", "train_rows")
+
+
+def coefficient_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of a fitted model, and whether each odds ratio is the exponential and the order descends."""
+    by_coef = Window.orderBy(F.desc("coef"))
+    listed = coefficients(spark, sf).withColumn("at", F.monotonically_increasing_id())
+    return listed.select(
+        "feature", (F.abs(F.log("odds_ratio") - F.col("coef")) < 1e-9).alias("odds_fit"),
+        (F.row_number().over(by_coef) == F.row_number().over(Window.orderBy("at"))).alias("in_order"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "sales_lead_events": _events(ev.sales_lead_events),
     "booking_events": _events(ev.booking_events),
@@ -321,4 +397,12 @@ QUERIES: dict[str, Query] = {
     "learning_curve": curve,
     "score_holdout": score_holdout,
     "score_weekly": score_weekly,
+    "split_counts": split_counts,
+    "fit_stationarity": stationarity,
+    "sigmoid_stationarity": sigmoid_stationarity,
+    "isotonic_map": isotonic_map,
+    "score_holdout_fixed": _fixed_scores(holdout),
+    "score_weekly_fixed": _fixed_scores(lambda spark, sf: weekly(spark, sf, fanout=True)),
+    "learning_curve_sizes": curve_sizes,
+    "coefficient_names": coefficient_names,
 }

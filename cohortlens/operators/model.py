@@ -12,11 +12,12 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,6 +123,50 @@ def fit_logistic(
     return PipelineModel([*prepare, scaler, logistic.fit(ready)])
 
 
+def fixed_model(spark: SparkSession, coefficients: dict[str, float], intercept: float, missing_recency: float = MISSING_RECENCY) -> PipelineModel:
+    """A model with given coefficients on unscaled features, for scores fitted elsewhere."""
+    scaler = ElementwiseProduct(
+        scalingVec=Vectors.dense([1.0] * len(coefficients)), inputCol="assembled", outputCol="features"
+    )
+    ml = spark._jvm.org.apache.spark.ml
+    weights = _py2java(spark.sparkContext, Vectors.dense(list(coefficients.values())))
+    logistic = ml.classification.LogisticRegressionModel("fixed_logistic", weights, float(intercept))
+    return PipelineModel([*_prepare(list(coefficients), missing_recency), scaler, LogisticRegressionModel(logistic)])
+
+
+def loss_slopes(model: PipelineModel, fit: DataFrame, penalty: str, l1_ratio: float, C: float, label: str = LABEL) -> DataFrame:
+    """(feature, coef, slope): slope of the penalised weighted mean loss in each coefficient.
+
+    The L1 part enters at its least favourable value: at the optimum every slope is zero, for a
+    zero coefficient after shrinking by the L1 weight.
+    """
+    names = feature_names(model)
+    stage = logistic_stage(model)
+    weights = F.broadcast(balanced_weights(fit, label).select(F.col("label").alias("_label"), "weight"))
+    rows = model.transform(fit.select(*names, F.col(label).cast("int").alias("_label")).join(weights, "_label"))
+    error = F.col("weight") * (vector_to_array("probability")[1] - F.col("_label"))
+    x = vector_to_array("features")
+    sums = rows.agg(
+        F.count("*").alias("n"), F.sum("weight").alias("total"),
+        *[F.sum(error * x[i]).alias(f"s{i}") for i in range(len(names))],
+    ).first()
+    shrink = 1.0 / (C * sums["n"])
+    l1 = shrink * (l1_ratio if penalty == "elasticnet" else 0.0)
+    out = []
+    for i, (name, coef) in enumerate(zip(names, stage.coefficients.toArray())):
+        slope = sums[f"s{i}"] / sums["total"] + (shrink - l1) * coef
+        slope = slope + l1 * np.sign(coef) if coef else np.sign(slope) * max(abs(slope) - l1, 0.0)
+        out.append((name, float(coef), float(slope)))
+    return fit.sparkSession.createDataFrame(out, "feature string, coef double, slope double")
+
+
+def margin_of(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the model's margin before calibration."""
+    names = feature_names(model)
+    scored = model.transform(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *names))
+    return scored.select("_row.*", vector_to_array("rawPrediction")[1].alias("margin"))
+
+
 def _margins(model: PipelineModel, validation: DataFrame, label: str) -> DataFrame:
     """Distinct margins of the validation rows with row and positive counts."""
     scored = model.transform(validation)
@@ -130,16 +175,19 @@ def _margins(model: PipelineModel, validation: DataFrame, label: str) -> DataFra
     )
 
 
+def fit_isotonic(points: DataFrame) -> IsotonicRegressionModel:
+    """Monotone map of ``margin`` to the positive share, from rows (margin, n, pos)."""
+    shares = points.select("margin", (F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight"))
+    return IsotonicRegression(featuresCol="margin", weightCol="weight").fit(shares)
+
+
 def calibrate_isotonic(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
     """Monotone map from margin to positive share, interpolated and clipped.
 
     Equal margins are merged first. Spark then pools each range of margins on its
     executor, so what reaches the driver are steps of the map, not rows.
     """
-    points = _margins(model, validation, label).select(
-        "margin", (F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight")
-    )
-    fitted = IsotonicRegression(featuresCol="margin", weightCol="weight").fit(points)
+    fitted = fit_isotonic(_margins(model, validation, label))
     fitted.setFeaturesCol("rawPrediction").setFeatureIndex(1).setPredictionCol("calibrated")
     return PipelineModel([*model.stages, fitted])
 
