@@ -284,6 +284,13 @@ JOIN (SELECT CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS INTEGER)
     "register_events": _stream("reg"),
     "online_schedule_events": _stream("sched"),
     "register_km_events": _stream("regkm", km=True),
+    "register_km_text_events": f"""WITH {EVENTS}
+SELECT DISTINCT uid::VARCHAR AS user_id, oid::VARCHAR AS opportunity_id, d AS event_date,
+  CASE WHEN oid % 4 >= 2 THEN km END AS km FROM line WHERE rf = 'N'""",
+    "lead_origin_events": """
+SELECT DISTINCT o_custkey::VARCHAR AS user_id, o_orderkey::VARCHAR AS opportunity_id, CAST(o_orderdate AS DATE) AS event_date
+FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND c_name NOT LIKE '%99%'""",
     "universe_by_signal": f"""WITH {EVENTS}
 SELECT DISTINCT set, cutoff_date, uid::VARCHAR AS user_id FROM per JOIN sig ON d >= f0 AND d < f1""",
     "universe_union_distinct": f"""WITH {EVENTS}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,6 +97,22 @@ def _transactions(types: tuple[str, ...]) -> Query:
     return lambda spark, sf: ev.transaction_events(m.sources(spark, sf), m.RULES, types)
 
 
+def register_km_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Registers whose readings are text with separators and a unit, some of them empty."""
+    src = m.sources(spark, sf)
+    text = F.expr("""CASE WHEN opportunity_id % 4 = 0 THEN '' WHEN opportunity_id % 4 = 1 THEN 'km'
+        ELSE concat(km div 1000, '.', lpad(km % 1000, 3, '0'), ' km') END""")
+    return ev.register_km_events(replace(src, register_funnel=src.register_funnel.withColumn("km", text)), m.RULES)
+
+
+def lead_origin_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Leads under an inequality of their own, accounts under the name rule alone."""
+    src = m.sources(spark, sf)
+    orders = m.table(spark, sf, "orders").select(F.col("o_orderkey").alias("opp_id"), F.col("o_orderpriority").alias("origen"))
+    rules = replace(m.RULES, lead="country = 'O' AND origen <> '5-LOW'", account="personmobilephone NOT LIKE '%99%'")
+    return ev.sales_lead_events(replace(src, leads=src.leads.join(orders, "opp_id")), rules)
+
+
 def universe(spark: SparkSession, sf: str) -> DataFrame:
     return text_user(ds.universe_by_signal(m.sources(spark, sf), m.PERIODS, m.RULES))
 
@@ -336,6 +353,8 @@ QUERIES: dict[str, Query] = {
     "register_events": _events(ev.register_events),
     "online_schedule_events": _events(ev.online_schedule_events),
     "register_km_events": _events(ev.register_km_events),
+    "register_km_text_events": register_km_text,
+    "lead_origin_events": lead_origin_events,
     "universe_by_signal": universe,
     "universe_union_distinct": universe_union,
     "new_account_cohort": cohort,

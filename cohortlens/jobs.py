@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 from cohortlens.operators.model import CALIBRATORS
 from cohortlens.plans import datasets as ds
-from cohortlens.plans.periods import HOLDOUT_2025, TEST_2025, TRAIN_2025, Week
+from cohortlens.plans.periods import HOLDOUT_2025, TEST_2025, TRAIN_2025, Period, Week
 from cohortlens.plans.scoring import score_rows
 from cohortlens.plans.training import TrainOptions, train_and_evaluate
 from cohortlens.sources.files import load_model, read_dataset, write_dataset, write_run, write_table
@@ -26,12 +26,17 @@ def build_dataset(spark: SparkSession, args: argparse.Namespace) -> None:
     names = {t: args.tables.format(t) for t in Sources.__dataclass_fields__}
     sources = read_sources(spark, names, fmt=args.tables_format)
     if args.kind == "train-test":
-        dataset = ds.train_test_dataset(sources, [TRAIN_2025, TEST_2025])
+        dataset = ds.train_test_dataset(sources, args.period or [TRAIN_2025, TEST_2025])
     elif args.kind == "holdout":
-        dataset = ds.holdout_dataset(sources, HOLDOUT_2025)
+        periods = args.period or [HOLDOUT_2025]
+        if len(periods) != 1:
+            raise SystemExit("a holdout dataset takes one --period")
+        dataset = ds.holdout_dataset(sources, periods[0], mod_mode=args.mod_mode)
     else:
-        week = Week(date.fromisoformat(args.week_start), date.fromisoformat(args.week_end))
-        dataset = ds.weekly_dataset(sources, week)
+        if not (args.week_start and args.week_end):
+            raise SystemExit("a weekly dataset needs --week-start and --week-end")
+        week = Week(args.week_start, args.week_end)
+        dataset = ds.weekly_dataset(sources, week, km_mode=args.km_mode, fanout=args.fanout)
     write_dataset(dataset, args.out, args.format)
 
 
@@ -45,6 +50,14 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     write_table(score_rows(load_model(args.model), rows), args.out)
 
 
+def period(text: str) -> Period:
+    """``name,cutoff,start,end,label_start,label_end`` with ends exclusive."""
+    name, *days = text.split(",")
+    if len(days) != 5:
+        raise argparse.ArgumentTypeError("a period is name,cutoff,start,end,label_start,label_end")
+    return Period(name, *map(date.fromisoformat, days))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cohortlens")
     jobs = top.add_subparsers(required=True)
@@ -55,8 +68,13 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("kind", choices=["train-test", "holdout", "weekly"])
     job.add_argument("--tables", required=True, help="table name or path with {} for the source")
     job.add_argument("--tables-format", default="table")
-    job.add_argument("--week-start")
-    job.add_argument("--week-end")
+    job.add_argument("--period", type=period, action="append", help="name,cutoff,start,end,label_start,label_end")
+    job.add_argument("--week-start", type=date.fromisoformat)
+    job.add_argument("--week-end", type=date.fromisoformat)
+    job.add_argument("--mod-mode", choices=["circular", "plain"], default="circular",
+                     help="modulo features of a holdout; a model of the train dataset expects circular")
+    job.add_argument("--km-mode", choices=["cast", "digits", "raw"], default="cast")
+    job.add_argument("--fanout", action="store_true", help="weekly counts as a join of leads with registers gives them")
     job.add_argument("--out", required=True)
     job.add_argument("--format", default="parquet")
 

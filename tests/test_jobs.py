@@ -1,3 +1,4 @@
+import pytest
 from inline import make_sources, random_rows
 from pyspark.sql import functions as F
 
@@ -29,3 +30,17 @@ def test_dataset_train_and_score(spark, tmp_path):
     scores = spark.read.csv(str(tmp_path / "scores"), header=True, inferSchema=True)
     assert scores.columns == ["user_id", "y_prob"] and scores.count() == weekly.count()
     assert scores.filter(F.col("y_prob").between(0, 1)).count() == scores.count()
+
+
+def test_periods_and_missing_dates(spark, tmp_path):
+    for name, df in make_sources(spark, **random_rows(22, users=40)).__dict__.items():
+        df.write.parquet(str(tmp_path / "in" / name))
+    tables = ["--tables", f"{tmp_path}/in/{{}}", "--tables-format", "parquet"]
+    out = str(tmp_path / "out")
+    jobs.main(["dataset", "train-test", *tables, "--out", out,
+               "--period", "spring,2025-06-01,2025-03-01,2025-06-01,2025-06-01,2025-07-01"])
+    assert {r["set"] for r in read_dataset(spark, out).select("set").distinct().collect()} == {"spring"}
+    with pytest.raises(SystemExit, match="--week-start"):
+        jobs.main(["dataset", "weekly", *tables, "--out", out])
+    with pytest.raises(SystemExit):
+        jobs.main(["dataset", "holdout", *tables, "--out", out, "--period", "x,2026-01-01"])
