@@ -28,6 +28,8 @@ TRAIN_CHARS = 20_000
 #: Labelled rows on which thresholds are calibrated.
 CALIBRATION_ROWS = 4000
 CUT = 0.3
+#: F1 that a threshold may give away to lie nearer to ``CUT``.
+SLACK = 0.01
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 FILTERS = 12
@@ -244,7 +246,11 @@ def labelled_sample(
 def language_thresholds(
     scores: np.ndarray, toxic: np.ndarray, weights: np.ndarray, langs: list, default: float = CUT, least: int = 20
 ) -> dict:
-    """The threshold of best weighted F1 for each language with ``least`` toxic rows, halfway to the next lower score."""
+    """A threshold for each language with ``least`` toxic rows, ``default`` for the others.
+
+    Of the thresholds halfway between scores whose weighted F1 is within ``SLACK`` of the best,
+    the one nearest to ``default``: a few rows do not move it far.
+    """
     out: dict = {}
     for lang in {*langs}:
         own = np.array([x == lang for x in langs])
@@ -256,9 +262,9 @@ def language_thresholds(
         hits, taken = np.cumsum((y * w)[order]), np.cumsum(w[order])
         f1 = 2 * hits / (taken + (y * w).sum())
         f1[:-1][s[order][1:] == s[order][:-1]] = 0  # equal scores are cut together
-        best = int(np.argmax(f1))
-        below = s[order][best + 1] if best + 1 < len(s) else 0.0
-        out[lang] = float((s[order][best] + below) / 2)
+        halfway = (s[order] + np.append(s[order][1:], 0.0)) / 2
+        good = halfway[f1 >= f1.max() - SLACK]
+        out[lang] = float(good[np.argmin(np.abs(good - default))])
     return out
 
 
