@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = tempfile.mkdtemp(prefix="cohortlens-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -44,7 +45,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a frame from ``settle`` that no later step reads."""
+    jvm = settled.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(settled.settled_path)
+    path.getFileSystem(settled.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

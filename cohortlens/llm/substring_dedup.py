@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortlens.llm.common import free_shuffles, settle, table
+from cohortlens.llm.common import discard, free_shuffles, settle, table
 
 WINDOW = 13
 PREFIX = 5
@@ -123,30 +123,37 @@ def _suffixes(held: DataFrame, id_type: str, window: int, prefix: int) -> DataFr
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deep nodes of the subtrees in a task whose rows are sorted by anchor.
+    """Repeats that the subtrees of a task show; the rows are sorted by anchor.
 
-    In: anchor, labels, least_id. Out: the (anchor, label) nodes that two or more rows
-    reach, with their smallest document. A group that goes on in the next batch is held back.
+    In: anchor, labels, starts, doc_id, text_key, a row for each different label list. Out:
+    doc_id, text_key and the starts whose path ends in a deep node with a smaller document.
+    A group that goes on in the next batch is held back.
     """
     held: pa.Table | None = None
 
-    def nodes(t: pa.Table) -> pa.RecordBatch:
-        labels = t.column("labels").combine_chunks()
-        sizes = np.diff(labels.offsets.to_numpy())
-        row = np.repeat(np.arange(t.num_rows), sizes)
+    def repeats(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        labels = t.column("labels").chunk(0)
+        row = np.repeat(np.arange(t.num_rows), np.diff(labels.offsets.to_numpy()))
         label = labels.flatten().to_numpy(zero_copy_only=False)
+        start = t.column("starts").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        # documents in their order, so that any type of id compares
+        rank = pc.rank(t.column("doc_id"), "ascending", tiebreaker="min").to_numpy()[row]
         anchor = t.column("anchor").to_numpy()[row]
-        order = np.lexsort((label, anchor))
+        order = np.lexsort((rank, label, anchor))
         a, b = anchor[order], label[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        reached = np.diff(np.append(at, len(a)))
-        at, reached = at[reached > 1], reached[reached > 1]
-        ids = t.column("least_id").to_numpy()[row][order]
-        least = [ids[i:i + n].min() for i, n in zip(at.tolist(), reached.tolist())]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        node = np.cumsum(first) - 1
+        later = np.sort(order[rank[order] > rank[order][first][node]])
+        rows, cuts = np.unique(row[later], return_index=True)
+        offsets = np.append(cuts, len(later)).astype(np.int32)
+        picked = t.select(["doc_id", "text_key"]).take(pa.array(rows)).combine_chunks()
         return pa.RecordBatch.from_arrays(
-            [pa.array(a[at]), pa.array(b[at]), pa.array(least, t.schema.field("least_id").type)],
-            names=["anchor", "label", "least_id"],
+            [picked.column(0).chunk(0) if len(rows) else pa.array([], t.schema.field("doc_id").type),
+             picked.column(1).chunk(0) if len(rows) else pa.array([], pa.int64()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(start[later], pa.int32()))],
+            names=["doc_id", "text_key", "starts"],
         )
 
     for batch in batches:
@@ -156,9 +163,9 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
         held = now.slice(cut)
         if cut:
-            yield nodes(now.slice(0, cut))
+            yield repeats(now.slice(0, cut))
     if held is not None and held.num_rows:
-        yield nodes(held)
+        yield repeats(held)
 
 
 def _cut(flagged: DataFrame, id_type: str, window: int) -> DataFrame:
@@ -237,53 +244,57 @@ def substring_dedup(
     # Prefixes that more than one text holds.
     shared = settle(held.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "substring-shared")
     live = settle(held.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("live")), "substring-live")
+    discard(read)
     free_shuffles(spark)
     texts = settle(picked.join(live, "doc_id"), "substring-texts")
-    suffixes = settle(_suffixes(texts, id_type, window, prefix), "substring-suffixes")
     free_shuffles(spark)
+    suffixes = settle(
+        _suffixes(texts, id_type, window, prefix).withColumn("list_key", F.xxhash64("labels")), "substring-suffixes"
+    )
 
-    # Equal label lists are one row before they meet their group.
+    # Equal label lists are one row in their group: the windows of all documents but the
+    # smallest are repeats, and the smallest stands for them in the subtree.
     lists = settle(
-        suffixes.groupBy("anchor", "labels").agg(
-            F.min("doc_id").alias("least_id"), F.min_by(F.struct("text_key", "starts"), "doc_id").alias("least"),
-            F.count("*").alias("n"),
-        ),
+        suffixes.groupBy("anchor", "list_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")),
         "substring-lists",
     )
-    sizes = settle(lists.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1"), "substring-sizes")
-    met = lists.select("anchor", "labels", "least_id", "least").join(sizes, "anchor")
-    nodes_out = T.StructType([
-        T.StructField("anchor", T.LongType()), T.StructField("label", T.LongType()),
-        T.StructField("least_id", picked.schema["doc_id"].dataType),
-    ])
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trees = (
-        met.filter(F.col("rows") <= group_rows).select("anchor", "labels", "least_id")
-        .repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(_subtrees, nodes_out)
+    sizes = settle(lists.groupBy("anchor").agg(F.count("*").alias("rows")), "substring-sizes")
+    about = settle(
+        lists.join(sizes, "anchor").filter("n > 1 OR rows > 1").select("anchor", "list_key", "least_id", "rows"),
+        "substring-about",
     )
-    longer = (
-        met.filter(F.col("rows") > group_rows).select("anchor", F.explode("labels").alias("label"), "least_id")
-        .groupBy("anchor", "label").agg(F.min("least_id").alias("least_id"), F.count("*").alias("n"))
-        .filter("n > 1").drop("n")
+    placed = settle(
+        suffixes.join(about, ["anchor", "list_key"]).filter("doc_id > least_id OR rows > 1")
+        .withColumn("labels", F.when(F.col("doc_id") == F.col("least_id"), F.col("labels")))
+        .select("doc_id", "text_key", "anchor", "starts", "labels", "rows"),
+        "substring-placed",
+    )
+    discard(suffixes)
+    free_shuffles(spark)
+    in_lists = placed.filter("labels IS NULL").select("doc_id", "text_key", "starts")
+    own = placed.filter("labels IS NOT NULL").select("anchor", "labels", "starts", "doc_id", "text_key", "rows")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_trees = (
+        own.filter(F.col("rows") <= group_rows).drop("rows")
+        .repartition(partitions, "anchor").sortWithinPartitions("anchor")
+        .mapInArrow(_subtrees, f"doc_id {id_type}, text_key long, starts array<int>")
     )
-    nodes = settle(trees.unionByName(longer), "substring-nodes")
-
-    # A list's windows are repeats in all its documents but the smallest; there, only
-    # those are whose deep node has a smaller document.
-    alike = lists.filter("n > 1").select("anchor", "labels", "least_id")
-    by_list = (
-        suffixes.join(alike, ["anchor", "labels"]).filter("doc_id > least_id")
-        .select("doc_id", "text_key", F.explode("starts").alias("start"))
+    # A larger group is split by the whole window: each path is a deep node then.
+    paths = settle(
+        own.filter(F.col("rows") > group_rows)
+        .select("anchor", "doc_id", "text_key", F.explode(F.arrays_zip("labels", "starts")).alias("w"))
+        .select("anchor", F.col("w.labels").alias("label"), F.col("w.starts").alias("start"), "doc_id", "text_key"),
+        "substring-paths",
     )
-    by_node = (
-        met.select("anchor", "least_id", "least.text_key", F.explode(F.arrays_zip("labels", "least.starts")).alias("w"))
-        .select("anchor", F.col("w.labels").alias("label"), F.col("w.starts").alias("start"), "least_id", "text_key")
-        .join(nodes.withColumnRenamed("least_id", "node_least"), ["anchor", "label"])
-        .filter("least_id > node_least").select(F.col("least_id").alias("doc_id"), "text_key", "start")
+    nodes = settle(paths.groupBy("anchor", "label").agg(F.min("doc_id").alias("least_id")), "substring-nodes")
+    in_paths = (
+        paths.join(nodes, ["anchor", "label"]).filter("doc_id > least_id")
+        .select("doc_id", "text_key", F.array("start").alias("starts"))
     )
     whole = rows.filter("NOT copied")
     starts = settle(
-        by_list.unionByName(by_node).groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+        in_lists.unionByName(in_trees).unionByName(in_paths).groupBy("doc_id", "text_key")
+        .agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
         .join(whole, ["doc_id", "text_key"], "left_semi"),
         "substring-starts",
     )
