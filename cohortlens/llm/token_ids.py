@@ -8,6 +8,7 @@ skip the id column.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from tokenizers import Tokenizer
 from cohortlens.llm.common import new_path, table
 
 #: Pieces remembered per Python worker before the memory is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 4_000_000
 ROW_GROUP_BYTES = 32 << 20
@@ -33,6 +34,18 @@ _VISIBLE[0x80:] = True
 #: Lead bytes of the white space characters beyond ASCII, of which a text is not cut.
 _LEADS = np.zeros(256, bool)
 _LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: After the byte C3: all letters but the signs for times and divided by.
+_WIDE_LETTERS = np.zeros(256, bool)
+_WIDE_LETTERS[0x80:0xC0] = True
+_WIDE_LETTERS[[0x97, 0xB7]] = False
+#: Marks before which a word is cut: not the apostrophe, nor the bar inside special strings.
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in ".,;:!?)(%$*&"]] = True
+#: Pieces that begin with a visible character, or with a blank and one, and end with one.
+_JOINABLE = re.compile(rb" ?[!-~\x80-\xff](?:[^\n]*[!-~\x80-\xff])?", re.DOTALL).fullmatch
+TOGETHER = 2000
 _WIDE_SPACES = {
     chr(c).encode() for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 }
@@ -47,15 +60,21 @@ def _has_wide_space(data: np.ndarray) -> bool:
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
-    A byte-level text may be cut before a single blank, and around a single line end,
-    between visible characters: the pre-tokenizer's pattern always ends a match there, so
-    the ids of the pieces joined are the ids of the text. Texts with white space beyond
-    ASCII are encoded whole.
+    A byte-level text may be cut before a single blank and around a single line end between
+    visible characters, and between a letter and a mark: the pre-tokenizer's pattern
+    always ends a match there, so the ids of the pieces joined are the ids of the text.
+    For the same reason new pieces are encoded together, a line end between them. Texts
+    with white space beyond ASCII are encoded whole.
     """
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # a character of a byte-level token is a byte
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for name, number in vocabulary.items():
+            self.width[number] = len(name)
         self._forget()
 
     def _forget(self) -> None:
@@ -65,26 +84,58 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The number of each piece, encoding those not yet known."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (
+            np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)]),
+            np.fromiter(map(len, ids), np.int64, len(ids)),
+        )
+
+    def _gather(self, number: np.ndarray) -> np.ndarray:
+        """The ids of known pieces, one after another."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(size.sum()) + np.repeat(self.first[number] - (ends - size), size)]
+
+    def _learn(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Remember the ids of new pieces, which lie one after another or at ``starts``."""
+        at, end = len(self.known), len(self.known) + len(pieces)
+        while end > len(self.first):
+            self.first, self.size = np.concatenate([self.first] * 2), np.concatenate([self.size] * 2)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat] * 2)
+        starts = np.cumsum(sizes) - sizes if starts is None else starts
+        self.first[at:end], self.size[at:end] = self.used + starts, sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(pieces, range(at, end)))
+
+    def _numbers(self, pieces: list[bytes], wide: bool) -> np.ndarray:
+        """The number of each piece, encoding those not yet known. ``wide``: may pieces hold white space beyond ASCII?"""
         if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
+            kept = [p for p in pieces if p in self.known]
+            number = np.fromiter(map(self.known.__getitem__, kept), np.int64, len(kept))
+            sizes, ids = self.size[number], self._gather(number)
             self._forget()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            at, end = len(known), len(known) + len(new)
-            while end > len(self.first):
-                self.first, self.size = np.concatenate([self.first] * 2), np.concatenate([self.size] * 2)
-            while self.used + sizes.sum() > len(self.flat):
-                self.flat = np.concatenate([self.flat] * 2)
-            ends = self.used + np.cumsum(sizes)
-            self.first[at:end], self.size[at:end] = ends - sizes, sizes
-            self.flat[self.used:ends[-1]] = [i for x in ids for i in x]
-            self.used = int(ends[-1])
-            known.update(zip(new, range(at, end)))
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+            self._learn(kept, ids, sizes)
+        numbers = list(map(self.known.get, pieces))
+        new = [p for p, n in zip(pieces, numbers) if n is None]
+        if not new:
+            return np.array(numbers, np.int64)
+        plain = [_JOINABLE(p) is not None and not (wide and _has_wide_space(np.frombuffer(p, np.uint8))) for p in new]
+        odd = [p for p, ok in zip(new, plain) if not ok]
+        if odd:
+            self._learn(odd, *self._encode([p.decode() for p in odd]))
+        new = [p for p, ok in zip(new, plain) if ok]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at:at + TOGETHER]
+            ids, _ = self._encode([b"\n".join(part).decode()])
+            widths = np.fromiter(map(len, part), np.int64, len(part))
+            ends = np.cumsum(widths + 1) - 1
+            upto = np.cumsum(self.width[ids])
+            first = np.searchsorted(upto, ends - widths, side="right")
+            self._learn(part, ids, np.searchsorted(upto, ends, side="left") + 1 - first, first)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -99,7 +150,10 @@ class PieceEncoder:
         line = alone & (data[1:-1] == 0x0A)
         cut[1:len(data) - 1] |= line
         cut[2:len(data)] |= line
-        if _has_wide_space(data):
+        letter = _LETTERS[data]
+        letter[1:] |= (data[:-1] == 0xC3) & _WIDE_LETTERS[data[1:]]
+        cut[1:len(data)] |= letter[:-1] & _MARKS[data[1:]]
+        if wide := _has_wide_space(data):
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if _has_wide_space(data[a:b]):
                     cut[a:b] = False
@@ -109,12 +163,9 @@ class PieceEncoder:
         pieces = pa.Array.from_buffers(
             pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
         ).dictionary_encode()
-        number = self._numbers(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
-        size, first = self.size[number], self.first[number]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
-        upto = np.concatenate([[0], ends])
-        return ids, np.diff(upto[np.searchsorted(cuts, bounds)])
+        number = self._numbers(pieces.dictionary.to_pylist(), wide)[pieces.indices.to_numpy()]
+        upto = np.concatenate([[0], np.cumsum(self.size[number])])
+        return self._gather(number), np.diff(upto[np.searchsorted(cuts, bounds)])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
