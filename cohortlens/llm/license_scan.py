@@ -110,11 +110,16 @@ def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[Logistic
     """
     spark = paragraphs.sparkSession
     families = [*sorted(NAMES), UNKNOWN]
-    drawn = (
+    # Only hashes are shuffled to find the smallest ones; the paragraphs that have them follow.
+    hashed = (
         paragraphs.filter(F.length(F.trim("paragraph")) > 0)
-        .select(F.substring_index("paragraph", " ", EXAMPLE_WORDS).alias("paragraph"))
         .select("paragraph", F.xxhash64(F.lit(SEED), "paragraph").alias("order"))
-        .distinct().orderBy("order", "paragraph").limit(2 * clean_rows)
+    )
+    least = hashed.select("order").distinct().orderBy("order").limit(2 * clean_rows)
+    last = least.agg(F.max("order")).first()[0]
+    drawn = (
+        hashed.filter(F.col("order") <= F.lit(last).cast("long"))
+        .select(F.substring_index("paragraph", " ", EXAMPLE_WORDS).alias("paragraph")).distinct()
         .withColumn("fit", F.pmod(F.xxhash64(F.lit(SEED + 1), "paragraph"), F.lit(2)) == 0)
     )
     named = F.lit(False)
