@@ -4,7 +4,8 @@ Documents that belong to the same set of sources form a pattern. The patterns' s
 are the capacities of a small network: a pattern can send its size once for each pass,
 every further pass at a higher cost, to any of its sources, and each source draws up to
 its target. Only the patterns' totals reach the driver; the flow says how much of each
-pattern is taken, and documents are then selected by seeded hash.
+pattern is taken. Documents are then taken in the order of a seeded hash, each that still
+fits; one that does not fit is passed over and the smaller ones behind it go on filling.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ PASSES = 2
 SEED = 42
 #: Patterns whose totals may go to the driver.
 MAX_PATTERNS = 100_000
-#: Ranges of the seeded hash by which the end of a selection is found, as a power of two.
+#: Most ranges of the seeded hash in which a pattern's sizes are summed, as a power of two.
 RANGE_BITS = 14
-#: Single documents that fill what is left of a pattern's share.
-CLOSING = 3
+#: Documents that the ranges read by the driver hold together, about; more only where ranges cannot be narrower.
+DRIVER_ROWS = 1 << 17
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...], share: float, passes: int) -> dict[str | None, Fraction]:
@@ -159,6 +160,83 @@ def _key(id_col: str, text_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text_col), 1)
 
 
+STEPS = "array<struct<above:bigint,upto:bigint,most:bigint,take:boolean>>"
+LAST_KEY = (1 << KEY_BITS) - 1
+
+
+def _taken() -> Column:
+    """Whether ``steps`` take a document: the last step that covers its key and size counts."""
+    def after(taken: Column, step: Column) -> Column:
+        covers = (F.col("key") > step["above"]) & (F.col("key") <= step["upto"]) & (F.col("size") <= step["most"])
+        return F.when(covers, step["take"]).otherwise(taken)
+
+    return F.aggregate("steps", F.lit(False), after)
+
+
+def _fill(placed: DataFrame, counts: dict[str, int], gap: dict[str, int], steps: dict[str, list], take: bool) -> None:
+    """Take documents (or give back taken ones) in order of their keys, each that fits into what is left of ``gap``.
+
+    Appends to ``steps`` and leaves in ``gap`` less than the size of any document passed over. Documents
+    that share a key are taken together. A round sums sizes by ranges of keys, takes the ranges
+    that fit as a whole and reads the documents of the first that does not.
+    """
+    spark = placed.sparkSession
+    above = {p: -1 for p, n in gap.items() if n > 0}
+    before = {p: steps[p][:] for p in above}
+    while above:
+        rows = max(DRIVER_ROWS // len(above), 1)
+        shift = {p: KEY_BITS - min(RANGE_BITS, max(counts[p] // rows, 0).bit_length()) for p in above}
+        wanted = F.broadcast(spark.createDataFrame(
+            [(p, above[p], gap[p], shift[p], before[p]) for p in above],
+            f"pattern string, above long, gap long, shift int, steps {STEPS}",
+        ))
+        fitting = (
+            placed.join(wanted, "pattern").filter((F.col("key") > F.col("above")) & (F.col("size") <= F.col("gap")))
+            .filter(_taken() != F.lit(take))
+            .withColumn("range", F.expr("shiftright(key, shift)"))
+        )
+        order = Window.partitionBy("pattern").orderBy("range")
+        sums = (
+            fitting.groupBy("pattern", "gap", "range").agg(F.sum("size").alias("n"))
+            .withColumn("upto", F.sum("n").over(order))
+            .groupBy("pattern").agg(
+                F.min_by(
+                    F.struct("range", (F.col("gap") - F.col("upto") + F.col("n")).alias("room")),
+                    F.when(F.col("upto") > F.col("gap"), F.col("range")),
+                ).alias("at"),
+                F.sum("n").alias("n"),
+            ).collect()
+        )
+        ends = {r.pattern: r.at for r in sums if r.n > gap[r.pattern]}
+        for r in sums:
+            if r.pattern not in ends:  # all that is left fits
+                steps[r.pattern].append((above[r.pattern], LAST_KEY, gap[r.pattern], take))
+                gap[r.pattern] -= r.n
+        read: dict[str, list] = {p: [] for p in ends}
+        if ends:
+            at = F.broadcast(spark.createDataFrame([(p, r.range) for p, r in ends.items()], "pattern string, range long"))
+            for r in (
+                fitting.join(at, ["pattern", "range"]).groupBy("pattern", "key")
+                .agg(F.sum("size").alias("n"), F.max("size").alias("size")).collect()
+            ):
+                read[r.pattern].append((r.key, r["size"], r.n))
+        above = {p: x for p, x in above.items() if p in ends}
+        for p, found in read.items():
+            room = ends[p].room
+            for key, size, n in sorted(found):
+                if size > gap[p]:
+                    continue
+                if n <= room:
+                    room -= n
+                else:
+                    steps[p].append((above[p], key - 1, gap[p], take))
+                    above[p], gap[p] = key, room
+            end = ((ends[p].range + 1) << shift[p]) - 1
+            steps[p].append((above[p], end, gap[p], take))
+            above[p], gap[p] = end, room
+        above = {p: x for p, x in above.items() if gap[p] > 0 and x < LAST_KEY}
+
+
 def selection(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -170,10 +248,9 @@ def selection(
     seed: int = SEED,
     max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
-    """(pattern, source_size, target, whole, cut, closing): what to take of each pattern, a row each.
+    """(pattern, source_size, target, whole, steps): what to take of each pattern, a row each.
 
-    Every document is taken ``whole`` times, and once more if its key is ``cut`` at most or
-    one of ``closing``.
+    Every document is taken ``whole`` times, and once more if the ``steps`` take it.
     """
     spark = docs.sparkSession
     members = _pattern(docs, source_col)
@@ -183,63 +260,43 @@ def selection(
         "mix-sizes",
     )
     found = (
-        sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size"))
+        sized.groupBy("pattern")
+        .agg(F.first("members").alias("members"), F.sum("size").alias("size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
         .limit(max_patterns + 1).collect()
     )
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} different sets of sources")
     plan = plan_mix([(r.pattern, r.members, r["size"]) for r in found], weights, share, passes)
+    counts = {r.pattern: r.n for r in found}
     whole = {p: divmod(plan.take[p], max(n, 1)) for p, n in plan.size.items()}
-    rests = F.broadcast(spark.createDataFrame([(p, rest) for p, (_, rest) in whole.items()], "pattern string, rest long"))
-    placed = sized.filter("size > 0").select("pattern", "size", "key").join(rests, "pattern").filter("rest > 0")
-
-    # The range of keys in which a pattern's share ends, and the last key in it that fits.
-    shift = KEY_BITS - RANGE_BITS
-    by_range = placed.groupBy("pattern", "rest", F.shiftright("key", shift).alias("range")).agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("pattern").orderBy("range"))
-    last = (
-        by_range.withColumn("upto", upto).filter("upto > rest")
-        .groupBy("pattern").agg(F.min_by(F.struct("range", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")), "range").alias("at"))
-        .select("pattern", F.col("at.range").alias("range"), F.col("at.room").alias("room"))
-    )
-    in_range = placed.withColumn("range", F.shiftright("key", shift)).join(F.broadcast(last), ["pattern", "range"])
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0))
-    fits = F.col("upto") <= F.col("room")
-    ends = (
-        in_range.withColumn("upto", upto).groupBy("pattern", "range", "room")
-        .agg(F.max(F.when(fits, F.col("key"))).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("got"))
-        .collect()
-    )
-    cut = {r.pattern: (r.range << shift) - 1 if r.cut is None else r.cut for r in ends}
-    gap = {r.pattern: r.room - (r.got or 0) for r in ends}
-
-    # What is left goes to the single documents that come closest to filling it.
-    closing: dict[str, list[int]] = {p: [] for p in cut}
-    for _ in range(CLOSING):
-        open_rows = [(p, cut[p], n, closing[p]) for p, n in gap.items() if n > 0]
-        if not open_rows:
-            break
-        wanted = F.broadcast(spark.createDataFrame(open_rows, "pattern string, cut long, gap long, closing array<long>"))
-        off = F.abs(F.col("gap") - F.col("size"))
-        best = (
-            placed.join(wanted, "pattern").filter((F.col("key") > F.col("cut")) & (off < F.col("gap")))
-            .filter(~F.array_contains("closing", F.col("key")))
-            .groupBy("pattern").agg(F.min_by(F.struct("key", "size"), F.struct(off.alias("off"), "key")).alias("best"))
+    gap = {p: rest for p, (_, rest) in whole.items()}
+    steps: dict[str, list] = {p: [] for p in whole}
+    placed = sized.filter("size > 0").select("pattern", "size", "key")
+    _fill(placed, counts, gap, steps, take=True)
+
+    # What is left is less than any document passed over. The smallest of these is taken, and others
+    # are given back for the excess, where that comes nearer to the share.
+    open_rows = [(p, steps[p]) for p, n in gap.items() if n > 0]
+    if open_rows:
+        wanted = F.broadcast(spark.createDataFrame(open_rows, f"pattern string, steps {STEPS}"))
+        least = settle(
+            placed.join(wanted, "pattern").filter(~_taken()).groupBy("pattern")
+            .agg(F.min(F.struct("size", "key")).alias("least")).select("pattern", "least.key"),
+            "mix-least",
         )
-        filled = best.collect()
-        gap = {r.pattern: gap[r.pattern] - r.best["size"] for r in filled}
-        for r in filled:
-            closing[r.pattern].append(r.best["key"])
+        over = placed.join(F.broadcast(least), ["pattern", "key"]).groupBy("pattern", "key").agg(F.sum("size").alias("n")).collect()
+        excess = {r.pattern: r.n - gap[r.pattern] for r in over}
+        tried = {r.pattern: [*steps[r.pattern], (r.key - 1, r.key, LAST_KEY, True)] for r in over}
+        _fill(placed, counts, excess, tried, take=False)
+        steps |= {p: tried[p] for p in tried if excess[p] < gap[p]}
     return spark.createDataFrame(
-        [(p, plan.source_size[m[0]], float(plan.target[m[0]]), whole[p][0], cut.get(p, -1), closing.get(p, []))
-         for p, m in plan.members.items()],
-        "pattern string, source_size long, target double, whole long, cut long, closing array<long>",
+        [(p, plan.source_size[m[0]], float(plan.target[m[0]]), whole[p][0], steps[p]) for p, m in plan.members.items()],
+        f"pattern string, source_size long, target double, whole long, steps {STEPS}",
     )
 
 
 def _copies() -> Column:
-    more = (F.col("key") <= F.col("cut")) | F.array_contains("closing", F.col("key"))
-    return F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(F.col("size") > 0, F.col("whole") + _taken().cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import table
+from cohortlens.llm.common import settle, table
 from cohortlens.llm.contamination import clean_documents, contamination, is_contaminated
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
@@ -258,6 +258,20 @@ def test_mix_of_arrays_of_sources(spark):
     assert all(r.taken <= 2 * r["size"] for r in got)
 
 
+def test_mix_fills_around_long_documents(spark):
+    """Documents that do not fit, or only with an excess, leave no gap that the small ones could close."""
+    giant = [(i, "w " * (60_000 if i == 0 else 100), "a") for i in range(1001)]
+    few = [(i, "w " * (60_000 if i < 10 else 100), "b") for i in range(310)]
+    many = [(i, "w " * n, "c") for i, n in enumerate([9_000, 8_000, 7_000, 5_000, 3_000] * 20 + [10] * 500)]
+    copies = [(i // 40, "w " * (50 + i // 40), "d") for i in range(2000)]  # rows that share id and text
+    # of ``few``, the nearest sum to 100,800 is 90,000 and the nearest to 113,400 is 120,000
+    for rows, share, near in ((giant, 0.4, 100), (few, 0.16, 10_800), (few, 0.18, 6_600), (few, 0.3, 100), (many, 0.13, 10), (copies, 0.37, 4000)):
+        docs = settle(spark.createDataFrame(rows, "doc_id long, text string, source string"), "giant")
+        for seed in range(2):
+            got = mix(docs, share=share, seed=seed).agg(F.sum("taken"), F.first("target")).first()
+            assert abs(got[0] - got[1]) <= near, (len(rows), share, seed, got)
+
+
 def test_license_scan(spark):
     docs = table(spark, SF.replace("0.001", "0.01"), "documents")
     found = {r.doc_id: set(r.families) for r in license_scan(docs).collect()}
