@@ -1,15 +1,20 @@
 """License scans: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs (lines) become hashed word unigrams and bigrams. A sparse multinomial
-logistic regression, trained by Spark ML on sentences built from license names and on
-paragraphs of the corpus, gives each family a probability. The unknown class is
-calibrated: a family counts only above the probability that almost no paragraph without
-a license reaches. A prediction stands if the paragraph also contains the words of one
-of the family's names in order. All of it runs on DataFrame functions in the JVM.
+Paragraphs are the blocks between blank lines, their lines joined; long ones are read in
+overlapping windows of words. They become hashed word unigrams and bigrams. A sparse
+multinomial logistic regression, trained by Spark ML on sentences built from license names,
+on sentences of license texts and on paragraphs of the corpus, gives each family a
+probability. The unknown class is calibrated for each family: it counts only where its odds
+against the unknown class are above those that almost no window of the corpus without a
+license name reaches. A prediction stands if the window also contains the words of one of the
+family's names or sentences in order; every family is judged by itself. All of it runs on
+DataFrame functions in the JVM.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
@@ -19,11 +24,19 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import settle, table
 
 FEATURES = 1 << 14
-#: Corpus paragraphs used as examples without a license, and as many to calibrate on.
+#: Corpus paragraphs used as examples without a license: about as many, of twice as many drawn.
 CLEAN_ROWS = 2000
-#: Share of calibration paragraphs that may pass as a license.
+#: Share of the windows without a license name that may pass as a family.
 FALSE_SHARE = 0.001
 LEAST_PROBABILITY = 0.5
+MOST_PROBABILITY = 0.95
+#: Score bins, to one, in which windows are counted for the thresholds.
+BINS = 1000
+#: Words of a window and from one window to the next; names and sentences fit into what two share.
+WINDOW = 96
+STRIDE = 64
+#: Corpus windows in which each name and sentence is set as an example.
+SETTINGS = 16
 #: Words of a training paragraph.
 EXAMPLE_WORDS = 200
 #: Share of a name's words and word pairs that a paragraph has to contain.
@@ -52,6 +65,31 @@ NAMES = {
     "proprietary": ["all rights reserved", "proprietary and confidential", "no part may be reproduced without permission"],
     "public-domain": ["public domain", "cc0 1.0 universal", "creative commons zero", "the unlicense", "cc0"],
 }
+# Characteristic sentences of the license texts.
+SENTENCES = {
+    "AGPL": ["you can redistribute it and or modify it under the terms of the gnu affero general public license"],
+    "Apache": [
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+    ],
+    "Artistic": ["the intent is that the copyright holder maintains some artistic control over the development of that package"],
+    "BSD": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+    ],
+    "BSL": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "EPL": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
+    "GPL": ["you can redistribute it and or modify it under the terms of the gnu general public license"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "LGPL": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
+    "MIT": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ],
+    "MPL": ["this source code form is subject to the terms of the mozilla public license"],
+    "public-domain": ["this is free and unencumbered software released into the public domain"],
+}
 FRAMES = [
     "{}", "the {}", "licensed under {}", "licensed under the {}", "released under the {}", "released under {}",
     "this work is licensed under the {}", "this work is licensed under {}", "distributed under the terms of the {}",
@@ -81,32 +119,86 @@ def _features(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(both)
 
 
+def _grams(words: list[str]) -> set:
+    return {*words, *zip(words, words[1:])}
+
+
+def _template_words() -> dict[str, list[list[str]]]:
+    """The words of every name and sentence, by family."""
+    return {
+        family: [re.findall("[a-z0-9]+", t) for t in names + SENTENCES.get(family, [])] for family, names in NAMES.items()
+    }
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """(family, name_grams): the distinct words and word pairs of every name."""
-    names = spark.createDataFrame([(f, n) for f, own in NAMES.items() for n in own], "family string, name string")
-    pairs = NGram(n=2, inputCol="words", outputCol="word_pairs").transform(names.select("family", tokens(F.col("name")).alias("words")))
-    return pairs.select("family", F.array_distinct(F.concat("words", "word_pairs")).alias("name_grams"))
+    """(family, names, longer): the distinct words and word pairs of every name and sentence of a family.
+
+    The pattern ``longer`` matches names of other families that would pass for a name of
+    this one, such as the Lesser General Public License for the General one.
+    """
+    words, rows = _template_words(), []
+    for family, own in words.items():
+        longer = {
+            " ".join(other) for name, others in words.items() if name != family for other in others for mine in own
+            if len(_grams(other)) > len(_grams(mine))
+            and len(_grams(mine) & _grams(other)) >= CONFIRMED * len(_grams(mine))
+        }
+        pattern = "|".join(sorted(longer, key=lambda n: (-len(n), n)))
+        grams = [sorted(g if isinstance(g, str) else " ".join(g) for g in _grams(mine)) for mine in own]
+        rows.append((family, grams, f"(?<= )({pattern})(?= )" if pattern else "(?!)"))
+    return spark.createDataFrame(rows, "family string, names array<array<string>>, longer string")
+
 
+def _named(words: Column) -> Column:
+    """Whether the words contain a license name or sentence as it stands."""
+    own = [t for texts in _template_words().values() for t in texts]
+    plain = F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
+    found = F.lit(False)
+    for t in own:
+        found = found | F.contains(plain, F.lit(f" {' '.join(t)} "))
+    marks = F.array(*[F.lit(w) for w in sorted({max(t, key=len) for t in own})])
+    return F.when(F.arrays_overlap(words, marks), found).otherwise(F.lit(False))
 
-def _examples(spark: SparkSession) -> DataFrame:
+
+def _examples(spark: SparkSession, settings: list[str]) -> DataFrame:
+    """Names in frames, sentences, and both before, after and amid corpus text without a license."""
     rows = [(f, frame.format(n)) for f, own in NAMES.items() for n in own for frame in FRAMES]
+    rows += [(f, t) for f, own in SENTENCES.items() for t in own for _ in range(len(FRAMES) // 3)]
+    at = 0
+    for family, own in _template_words().items():
+        for t in own:
+            for k in range(SETTINGS if settings else 0):
+                around = settings[at % len(settings)].split(" ")
+                at += 1
+                middle = (len(around), 0, *2 * [(at * 37) % (len(around) + 1)])[k % 4]
+                rows.append((family, " ".join([*around[:middle], *t, *around[middle:]])))
     rows += [(UNKNOWN, text) for text in NO_LICENSE for _ in range(3)]
     return spark.createDataFrame(rows, "family string, paragraph string")
 
 
-def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, paragraph): the lines of every text; one null paragraph where there is none."""
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_lines, block, paragraph): the blocks between blank lines, one null paragraph where there is none."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.trim(x)) > 0)
     return (
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .select("row", "doc_id", F.explode_outer(F.split("text", "\n", -1)).alias("paragraph"))
+        .select(
+            "row", "doc_id", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+            F.posexplode_outer(F.split("text", r"\n[ \t\x0B\f\r]*(?=\n)", -1)).alias("block", "paragraph"),
+        )
     )
 
 
-def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[LogisticRegressionModel, list[str], float]:
-    """The classifier, its classes in order, and the probability from which a family counts.
+def _windows(words: Column) -> Column:
+    """Overlapping windows over the words; one where they fit into it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - (WINDOW - STRIDE) - 1, F.lit(0)), F.lit(STRIDE))
+    return F.transform(starts, lambda at: F.slice(words, at + 1, F.lit(WINDOW)))
+
+
+def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[LogisticRegressionModel, list[str]]:
+    """The classifier and its classes in order.
 
-    Of the corpus, ``2 * clean_rows`` distinct paragraphs drawn by hash that contain no license
-    name are used, half to train on and half to calibrate.
+    Of the corpus, half of ``2 * clean_rows`` distinct paragraphs drawn by hash are used, of these
+    the ones that contain no license name.
     """
     spark = paragraphs.sparkSession
     families = [*sorted(NAMES), UNKNOWN]
@@ -120,26 +212,44 @@ def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[Logistic
     drawn = (
         hashed.filter(F.col("order") <= F.lit(last).cast("long"))
         .select(F.substring_index("paragraph", " ", EXAMPLE_WORDS).alias("paragraph")).distinct()
-        .withColumn("fit", F.pmod(F.xxhash64(F.lit(SEED + 1), "paragraph"), F.lit(2)) == 0)
-    )
-    named = F.lit(False)
-    plain = F.concat(F.lit(" "), F.concat_ws(" ", tokens(F.col("paragraph"))), F.lit(" "))
-    for names in NAMES.values():
-        for name in names:
-            named = named | F.contains(plain, F.lit(" " + name.replace(".", " ") + " "))
-    clean = settle(drawn.filter(~named).select("paragraph", "fit"), "license-clean")
-    examples = _examples(spark).unionByName(
-        clean.filter("fit").select(F.lit(UNKNOWN).alias("family"), "paragraph")
+        .filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "paragraph"), F.lit(2)) == 0)
     )
+    clean = settle(drawn.filter(~_named(tokens(F.col("paragraph")))), "license-clean")
+    settings = [
+        " ".join(r.words) for r in
+        clean.select(F.slice(tokens(F.col("paragraph")), 1, WINDOW).alias("words"))
+        .filter("size(words) > 0").orderBy(F.xxhash64(F.lit(SEED), "words"), "words").limit(300).collect()
+    ]
+    examples = _examples(spark, settings).unionByName(clean.select(F.lit(UNKNOWN).alias("family"), "paragraph"))
     label = F.create_map(*[F.lit(x) for pair in ((f, float(i)) for i, f in enumerate(families)) for x in pair])
     rows = settle(examples.select(label[F.col("family")].alias("label"), tokens(F.col("paragraph")).alias("words")).coalesce(2), "license-examples")
     model = LogisticRegression(
         family="multinomial", regParam=1e-4, elasticNetParam=0.1, maxIter=60, standardization=False
     ).fit(_features(rows).select("label", "features"))
-    tuned = model.transform(_features(clean.filter("NOT fit").select(tokens(F.col("paragraph")).alias("words"))))
-    top = F.array_max(F.slice(vector_to_array("probability"), 1, len(families) - 1))
-    reached = tuned.select(F.percentile(top, F.lit(1 - FALSE_SHARE)).alias("p")).first()["p"]
-    return model, families, max(LEAST_PROBABILITY, min(reached or 0.0, 0.95))
+    return model, families
+
+
+def thresholds(scanned: DataFrame, families: list[str]) -> dict[str, float]:
+    """The odds from which a family counts: all but ``FALSE_SHARE`` of the windows without a license name are below.
+
+    ``scanned`` lists the windows that reach ``LEAST_PROBABILITY`` for some family and counts all others.
+    """
+    n_clean = scanned.agg(F.sum("n_clean")).first()[0] or 0
+    odds = F.posexplode("found.odds").alias("at", "odds")
+    counts = (
+        scanned.select(F.explode("windows").alias("found")).filter("NOT found.named").select(odds)
+        .filter(F.col("odds") >= LEAST_PROBABILITY)
+        .groupBy("at", F.floor(F.col("odds") * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    )
+    out = {}
+    for at, family in enumerate(families[:-1]):
+        above, out[family] = 0, LEAST_PROBABILITY
+        for bin, n in sorted(((r.bin, r.n) for r in counts if r["at"] == at), reverse=True):
+            above += n
+            if above > FALSE_SHARE * n_clean:
+                out[family] = min((bin + 1) / BINS, MOST_PROBABILITY)
+                break
+    return out
 
 
 def license_scan(
@@ -148,45 +258,68 @@ def license_scan(
     """One row per row of ``docs``: doc_id, n_paragraphs, n_predicted, n_licensed, families, licenses.
 
     ``families`` are the confirmed license families, sorted and once each; ``licenses`` lists
-    (family, probability, paragraph) for each. ``n_predicted`` also counts predictions that no
-    template confirms. Paragraphs are lines that are not blank; null and empty texts have none.
+    (family, probability, paragraph) for each window that names it, the probability against the
+    unknown class alone and the window's words. ``n_predicted`` counts the blocks with a
+    prediction, also of those that no template confirms, ``n_licensed`` the blocks with a confirmed
+    one. ``n_paragraphs`` counts the lines that are not blank; null and empty texts have none.
     Rows that share a doc_id, or have none, are scanned each by itself. Other columns are
     ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    paragraphs = _paragraphs(docs, id_col, text_col)
-    model, families, least = train(paragraphs, clean_rows)
-    scored = model.transform(_features(paragraphs.withColumn("words", F.coalesce(tokens(F.col("paragraph")), F.array()))))
-    probability = vector_to_array("probability")
-    known = F.slice(probability, 1, len(families) - 1)
+    blocks = _blocks(docs, id_col, text_col)
+    model, families = train(blocks, clean_rows)
+    words = F.coalesce(tokens(F.col("paragraph")), F.array().cast("array<string>"))
+    read = blocks.select("row", "doc_id", "n_lines", "block", words.alias("all")).select(
+        "row", "doc_id", "n_lines", "block", F.explode(_windows(F.col("all"))).alias("words")
+    )
+    scored = model.transform(_features(read)).select(
+        "row", "doc_id", "n_lines", "block", "words", vector_to_array("probability").alias("p")
+    )
+    known = F.transform(F.slice("p", 1, len(families) - 1), lambda x: x / (x + F.element_at("p", -1)))
+    filled = F.size("words") > 0
     scored = (
-        scored.select("row", "doc_id", "paragraph", "grams", "prediction", known.alias("known"))
-        .withColumn("best", F.array_max("known"))
-        .withColumn("family", F.element_at(
-            F.array(*[F.lit(f) for f in families]), F.array_position("known", F.col("best")).cast("int")
-        ))
-        .withColumn("predicted", (F.col("best") >= least) & (F.size("grams") > 0))
-        .withColumn("words", F.when(F.col("predicted"), F.col("grams")))
+        scored.withColumn("odds", known).withColumn("named", _named(F.col("words")))
+        .withColumn("listed", filled & (F.array_max("odds") >= LEAST_PROBABILITY))
+    )
+    # One pass scores all windows; only those that may count go on, a row for each document.
+    scanned = settle(
+        scored.groupBy("row", "doc_id", "n_lines").agg(
+            F.count(F.when(filled & ~F.col("named"), 1)).alias("n_clean"),
+            F.collect_list(F.when(F.col("listed"), F.struct("block", "words", "odds", "named"))).alias("windows"),
+        ),
+        "license-windows",
     )
-    # The names, a row for each family, meet every paragraph; only predicted ones are compared.
-    names = templates(spark).groupBy("family").agg(F.collect_list("name_grams").alias("names"))
-    covered = F.exists("names", lambda n: F.size(F.array_intersect(n, F.col("words"))) >= CONFIRMED * F.size(n))
+    least = thresholds(scanned, families)
+    bounds = F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(least[f]).alias("least")) for f in families[:-1]
+    ])
+    predicted = F.filter(
+        F.zip_with(bounds, "found.odds", lambda b, o: F.struct(b["family"].alias("family"), b["least"].alias("least"), o.alias("odds"))),
+        lambda x: x["odds"] >= x["least"],
+    )
+    # Few windows are left; each meets the names of every family that it may belong to.
+    own = scanned.select("row", "doc_id", "n_lines", F.explode_outer("windows").alias("found")).select(
+        "row", "doc_id", "n_lines", "found.block", "found.words", F.explode_outer(predicted).alias("of")
+    )
+    plain = F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" "))
+    rest = F.split(F.regexp_replace(plain, F.col("longer"), F.lit("|")), " ")
     judged = (
-        scored.join(F.broadcast(names), "family", "left")
-        .withColumn("confirmed", F.coalesce(F.col("predicted") & covered, F.lit(False)))
-        .select("row", "doc_id", "paragraph", "family", "best", "predicted", "confirmed")
+        own.select("row", "doc_id", "n_lines", "block", "words", "of.family", "of.odds")
+        .join(F.broadcast(templates(spark)), "family", "left").withColumn("rest", rest)
+        .withColumn("grams", F.concat("rest", F.zip_with("rest", F.slice("rest", F.lit(2), F.size("rest")), lambda x, y: F.concat_ws(" ", x, y))))
+        .withColumn("confirmed", F.coalesce(
+            F.exists("names", lambda n: F.size(F.array_intersect(n, F.col("grams"))) >= CONFIRMED * F.size(n)), F.lit(False)
+        ))
     )
-    found = F.when(F.col("confirmed"), F.struct("family", F.col("best").alias("probability"), "paragraph"))
-    filled = F.length(F.trim("paragraph")) > 0
+    found = F.when(F.col("confirmed"), F.struct("family", F.col("odds").alias("probability"), F.trim(plain).alias("paragraph")))
     return (
-        judged.groupBy("row", "doc_id").agg(
-            F.count(F.when(filled, 1)).alias("n_paragraphs"),
-            F.count(F.when(F.col("predicted"), 1)).alias("n_predicted"),
-            F.count(F.when(F.col("confirmed"), 1)).alias("n_licensed"),
+        judged.groupBy("row", "doc_id", "n_lines").agg(
+            F.size(F.collect_set(F.when(F.col("family").isNotNull(), F.col("block")))).cast("long").alias("n_predicted"),
+            F.size(F.collect_set(F.when(F.col("confirmed"), F.col("block")))).cast("long").alias("n_licensed"),
             F.collect_list(found).alias("licenses"),
         )
         .select(
-            "doc_id", "n_paragraphs", "n_predicted", "n_licensed",
+            "doc_id", F.col("n_lines").alias("n_paragraphs"), "n_predicted", "n_licensed",
             F.array_sort(F.array_distinct(F.col("licenses.family"))).alias("families"), "licenses",
         )
     )

@@ -288,6 +288,30 @@ def test_license_scan(spark):
     assert {r.doc_id: r.families for r in license_scan(unseen).collect()} == {1: ["MPL"], 2: [], 3: ["CC-BY-SA"], 4: []}
 
 
+def test_license_scan_of_wrapped_lines_bodies_and_several_names(spark):
+    filler = "The river runs past the old mill and the children walk to the market with baskets of bread. "
+    rows = [
+        (1, "This program is distributed under the GNU General Public\nLicense as a whole."),
+        (2, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that "
+            "the following conditions\nare met:"),
+        (3, "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated "
+            "documentation files (the \"Software\")"),
+        (4, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+        (5, "The code is released under the MIT License, the texts under the Apache License."),
+        (6, "Released under the GNU Lesser General Public License"),
+        (7, "Available under CC BY-NC-SA 4.0"),
+        (8, filler * 40 + "Released under the MIT License. " + filler * 40),
+        (9, filler * 40), (10, "The students of MIT\n\nwon the license"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(table(spark, SF, "documents").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    got = {r.doc_id: r for r in license_scan(docs).filter("doc_id < 1000").collect()}
+    assert {i: r.families for i, r in got.items()} == {
+        1: ["GPL"], 2: ["BSD"], 3: ["MIT"], 4: ["ISC"], 5: ["Apache", "MIT"], 6: ["LGPL"], 7: ["CC-BY-NC-SA"], 8: ["MIT"], 9: [], 10: [],
+    }
+    assert got[1].n_paragraphs == 2 and got[1].n_licensed == 1 and got[10].n_paragraphs == 2
+
+
 def brute_substring(rows):
     split = lambda t: re.findall(rf"[^{SPACE[1:-1]}]+", t or "")
     first = {}
