@@ -4,7 +4,7 @@ Words are embedded as the sum of hashed vectors of the word and of its first byt
 filters of widths one to three run over all words of a text, their maxima over the whole
 text feed a logistic output. Training uses a bounded sample of labelled rows on the
 driver; scoring runs in Arrow batches over whole texts. A threshold for each language is
-calibrated on further labelled rows. Only the text goes into a score.
+calibrated on all other labelled rows outside the held-out quarter, counted by score. Only the text goes into a score.
 """
 
 from __future__ import annotations
@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import table
+from cohortlens.llm.common import settle, table
 from cohortlens.llm.token_ids import slices
 
 #: Labelled rows in the training sample, of each class, and the characters a sampled text may have.
 TRAIN_ROWS = 2500
 TRAIN_CHARS = 20_000
-#: Labelled rows on which thresholds are calibrated.
-CALIBRATION_ROWS = 4000
+#: Score bins, to one, in which labelled rows are counted; thresholds lie between bins.
+BINS = 1000
 CUT = 0.3
 #: F1 that a threshold may give away to lie nearer to ``CUT``.
 SLACK = 0.01
@@ -208,85 +208,105 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, train_rows: int, calibration_rows: int, train_chars: int
-) -> tuple[list, list, float]:
-    """Training rows, calibration rows (text, lang, toxic) and the labels' ratio of clean to toxic.
-
-    Drawn by hash from all labelled rows outside the held-out quarter; of a doc_id with several
-    labels the highest counts. Texts are read only for the rows drawn.
-    """
-    known = (
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out quarter; of a doc_id with several labels the highest counts."""
+    return (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, train_rows: int, train_chars: int) -> tuple[list, float]:
+    """Training rows (doc_id, text, toxic) and the labels' ratio of clean to toxic.
+
+    Drawn by hash from ``known``. Texts are read only for the rows drawn.
+    """
     counts = {r.toxic: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    drawn = None
+    drawn: list = []
     for kind in (0, 1):
-        # A third of a class at most is left for calibration.
+        # A third of a class at least is left for calibration.
         own = counts.get(kind, 0)
-        n_train = min(train_rows, own - own // 3)
-        n_tune = min(calibration_rows // 2, own - n_train)
-        top = known.filter(F.col("toxic") == kind).orderBy(order, "doc_id").limit(n_train + n_tune)
-        ranked = [(r.doc_id, kind, i < n_train) for i, r in enumerate(top.collect())]
-        drawn = ranked if drawn is None else drawn + ranked
-    picked = docs.sparkSession.createDataFrame(
-        drawn, labels.select("doc_id").schema.add("toxic", "integer").add("train", "boolean")
-    )
+        top = known.filter(F.col("toxic") == kind).orderBy(order, "doc_id").limit(min(train_rows, own - own // 3))
+        drawn += [(r.doc_id, kind) for r in top.collect()]
+    picked = docs.sparkSession.createDataFrame(drawn, known.select("doc_id").schema.add("toxic", "integer"))
     rows = (
         docs.join(F.broadcast(picked), "doc_id").filter(F.char_length("text") <= train_chars)
-        .select("doc_id", "text", "lang", "toxic", "train").collect()
+        .select("doc_id", "text", "toxic").collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    ratio = counts.get(0, 0) / max(counts.get(1, 0), 1)
-    return [r for r in rows if r.train], [r for r in rows if not r.train], ratio
+    return rows, counts.get(0, 0) / max(counts.get(1, 0), 1)
 
 
-def language_thresholds(
-    scores: np.ndarray, toxic: np.ndarray, weights: np.ndarray, langs: list, default: float = CUT, least: int = 20
-) -> dict:
+def language_thresholds(counts: list[tuple], ratio: float, default: float = CUT, least: int = 20) -> dict:
     """A threshold for each language with ``least`` toxic rows, ``default`` for the others.
 
-    Of the thresholds halfway between scores whose weighted F1 is within ``SLACK`` of the best,
-    the one nearest to ``default``: a few rows do not move it far.
+    ``counts``: language, toxic, bin and number of rows; clean rows get the weight that makes them
+    ``ratio`` times the toxic ones. Of the borders of bins whose weighted F1 is within ``SLACK``
+    of the best, the one nearest to ``default``: a few rows do not move it far.
     """
+    n_toxic = sum(n for _, y, _, n in counts if y)
+    weight = ratio * max(n_toxic, 1) / max(sum(n for _, y, _, n in counts if not y), 1)
+    by_lang: dict = {}
+    for lang, y, bin, n in counts:
+        by_lang.setdefault(lang, np.zeros((2, BINS + 1)))[y, bin] += n
     out: dict = {}
-    for lang in {*langs}:
-        own = np.array([x == lang for x in langs])
-        s, y, w = scores[own], toxic[own], weights[own]
-        if y.sum() < least or y.min() == 1:
+    for lang, (clean, toxic) in by_lang.items():
+        if toxic.sum() < least or not clean.sum():
             out[lang] = default
             continue
-        order = np.argsort(-s, kind="stable")
-        hits, taken = np.cumsum((y * w)[order]), np.cumsum(w[order])
-        f1 = 2 * hits / (taken + (y * w).sum())
-        f1[:-1][s[order][1:] == s[order][:-1]] = 0  # equal scores are cut together
-        halfway = (s[order] + np.append(s[order][1:], 0.0)) / 2
-        good = halfway[f1 >= f1.max() - SLACK]
+        hits, wrong = (np.cumsum(x[::-1])[::-1] for x in (toxic, clean * weight))
+        f1 = 2 * hits / (hits + wrong + toxic.sum())
+        good = np.flatnonzero(f1 >= f1.max() - SLACK) / BINS
         out[lang] = float(good[np.argmin(np.abs(good - default))])
     return out
 
 
+def fit_network(docs: DataFrame, known: DataFrame, train_rows: int, train_chars: int) -> tuple[Network, list, float]:
+    """The trained network, the ids it learned from, and the labels' ratio of clean to toxic."""
+    learned, ratio = labelled_sample(docs, known, train_rows, train_chars)
+    # Weights that give the classes their share among all labelled rows.
+    y = np.array([r.toxic for r in learned], np.float32)
+    clean = ratio * max(y.sum(), 1) / max((y == 0).sum(), 1)
+    net = train([r.text for r in learned], y, np.where(y == 1, 1.0, clean).astype(np.float32))
+    return net, [(r.doc_id,) for r in learned], ratio
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS,
-    train_chars: int = TRAIN_CHARS, cut: float = CUT,
-) -> tuple[Network, dict]:
-    """The trained network and the threshold of each language. ``docs``: doc_id, text, lang."""
+    docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, cut: float = CUT,
+) -> tuple[Network, dict, DataFrame]:
+    """The trained network, the threshold of each language, and (doc_id, lang, score) of every row.
+
+    ``docs``: doc_id, text, lang. Thresholds cover all labelled rows, with their whole texts,
+    but the held-out quarter and the rows learned from.
+    """
     labels = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "toxic")
-    learned, tune, ratio = labelled_sample(docs, labels, train_rows, calibration_rows, train_chars)
+    known = settle(known_labels(labels), "toxicity-labels")
+    net, learned, ratio = fit_network(docs, known, train_rows, train_chars)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
-    def weighted(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        """Labels, and weights that give the classes their share among all labelled rows."""
-        y = np.array([r.toxic for r in rows], np.float32)
-        clean = ratio * max(y.sum(), 1) / max((y == 0).sum(), 1)
-        return y, np.where(y == 1, 1.0, clean).astype(np.float32)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(BINS + 1) / BINS
+        for batch in batches:
+            scores = sent.value.all_scores(batch.column(1).cast(pa.string()))
+            bins = np.searchsorted(edges, scores, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(bins, pa.int32())],
+                names=["doc_id", "lang", "score", "bin"],
+            )
 
-    y, w = weighted(learned)
-    net = train([r.text for r in learned], y, w)
-    y, w = weighted(tune)
-    scores = net.all_scores(pa.array([r.text for r in tune], pa.string()))
-    return net, language_thresholds(scores, y, w, [r.lang for r in tune], cut)
+    id_type, lang_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang"))
+    scored = settle(
+        docs.select("doc_id", "text", "lang").mapInArrow(score, f"doc_id {id_type}, lang {lang_type}, score double, bin int"),
+        "toxicity-scores",
+    )
+    used = F.broadcast(docs.sparkSession.createDataFrame(learned, known.select("doc_id").schema))
+    counts = (
+        scored.join(known, "doc_id").join(used, "doc_id", "left_anti")
+        .groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).collect()
+    )
+    thresholds = language_thresholds([tuple(r) for r in counts], ratio, cut)
+    return net, thresholds, scored.select("doc_id", "lang", "score")
 
 
 def toxicity(
@@ -296,7 +316,6 @@ def toxicity(
     text_col: str = "text",
     lang_col: str = "lang",
     train_rows: int = TRAIN_ROWS,
-    calibration_rows: int = CALIBRATION_ROWS,
     train_chars: int = TRAIN_CHARS,
     cut: float = CUT,
 ) -> DataFrame:
@@ -311,18 +330,7 @@ def toxicity(
     picked = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")
     )
-    net, thresholds = fit(picked, labels, train_rows, calibration_rows, train_chars, cut)
-    sent = docs.sparkSession.sparkContext.broadcast(net)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = sent.value.all_scores(batch.column(1).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(scores, pa.float64())], names=["doc_id", "lang", "score"]
-            )
-
-    id_type, lang_type = (picked.schema[c].dataType.simpleString() for c in ("doc_id", "lang"))
-    scored = picked.mapInArrow(score, f"doc_id {id_type}, lang {lang_type}, score double")
+    _, thresholds, scored = fit(picked, labels, train_rows, train_chars, cut)
     threshold = F.lit(cut)
     for lang, value in sorted(thresholds.items(), key=repr):
         threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(threshold)
@@ -335,7 +343,7 @@ def toxicity(
 def accepted_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` below their language's threshold, with all their columns."""
     picked = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    net, thresholds = fit(picked, labels, **options)
+    net, thresholds, _ = fit(picked, labels, **options)
     sent = docs.sparkSession.sparkContext.broadcast((net, thresholds))
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 

@@ -440,3 +440,42 @@ def test_toxicity_on_held_out_rows(spark):
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert len({r.score for r in toxicity(documents(spark), none).collect()}) == 1
+
+
+def test_toxicity_thresholds_cover_all_labelled_rows(spark):
+    """A language with very few of the labels gets its own threshold, and texts of any length count."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = [i for i in range(20_000) if not held(i)][:13_000]
+    rows, marks = [], []
+    for k, i in enumerate(ids):
+        rare, bad = k % 200 == 0, k % 2 == 0
+        # toxic texts of the rare language are long and weak in their words
+        words = ("plain words here " * (2_000 if rare else 1)) + (("vile foul " if k % 400 == 0 or not rare else "") if bad else "")
+        rows.append((i, words, "rare" if rare else "en"))
+        marks.append((i, int(bad)))
+    docs = settle(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "tox-docs")
+    labels = settle(spark.createDataFrame(marks, "doc_id long, toxic int"), "tox-labels")
+    from cohortlens.llm import toxicity as module
+
+    seen = []
+    original = module.language_thresholds
+    module.language_thresholds = lambda counts, *more: seen.append(counts) or original(counts, *more)
+    try:
+        got = toxicity(docs, labels, train_rows=500)
+        assert got.count() == len(rows)
+    finally:
+        module.language_thresholds = original
+    counted = Counter()
+    for lang, toxic, _, n in seen[0]:
+        counted[lang, toxic] += n
+    # all but the rows learned from: 500 of each class at most
+    assert len(rows) - 1000 <= sum(counted.values()) < len(rows)
+    assert counted["rare", 1] >= 20  # of texts above TRAIN_CHARS characters
+
+
+def test_language_thresholds_from_counts():
+    from cohortlens.llm.toxicity import language_thresholds
+
+    counts = [("a", 1, 700, 30), ("a", 0, 500, 3000), ("a", 0, 10, 3000), ("b", 1, 150, 5000), ("b", 0, 20, 90_000), ("c", 1, 90, 19), ("c", 0, 1, 9)]
+    got = language_thresholds(counts, sum(n for _, y, _, n in counts if not y) / sum(n for _, y, _, n in counts if y))
+    assert got == {"a": 0.501, "b": 0.15, "c": 0.3}
