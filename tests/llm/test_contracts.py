@@ -479,3 +479,13 @@ def test_language_thresholds_from_counts():
     counts = [("a", 1, 700, 30), ("a", 0, 500, 3000), ("a", 0, 10, 3000), ("b", 1, 150, 5000), ("b", 0, 20, 90_000), ("c", 1, 90, 19), ("c", 0, 1, 9)]
     got = language_thresholds(counts, sum(n for _, y, _, n in counts if not y) / sum(n for _, y, _, n in counts if y))
     assert got == {"a": 0.501, "b": 0.15, "c": 0.3}
+
+
+def test_license_thresholds_cover_all_windows(spark):
+    from cohortlens.llm.license_scan import thresholds
+
+    window = lambda odds, named=False: (0, ["w"], [odds, 0.1], named)
+    schema = "n_clean long, windows array<struct<block:int,words:array<string>,odds:array<double>,named:boolean>>"
+    for n, want in ((10, 0.5), (11, 0.801)):
+        rows = [(5_000, []), (5_000, [window(0.8005)] * n + [window(0.99, True)] * 50)]
+        assert thresholds(spark.createDataFrame(rows, schema), ["x", "y", "unknown"]) == {"x": want, "y": 0.5}
