@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def discard(settled: DataFrame) -> None:
     path.getFileSystem(settled.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def valid_texts(texts: pa.Array) -> pa.Array:
+    """The texts as strings; what is not UTF-8 in one becomes the replacement character U+FFFD."""
+    texts = texts.cast(pa.string())
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = texts.cast(pa.binary()).to_pylist()
+        texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.string())
+    return texts
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z in lower case and every other character unchanged."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -16,8 +16,8 @@ def test_query_equals_its_sql(spark, name):
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
-def test_query_returns_a_row_per_document(spark, name):
-    assert QUERIES[name](spark, SF).count() == table(spark, SF, "documents").count()
+def test_query_returns_every_document(spark, name):
+    assert QUERIES[name](spark, SF).select("doc_id").distinct().count() == table(spark, SF, "documents").count()
 
 
 def test_pipeline_stages(spark):
