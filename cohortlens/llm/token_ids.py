@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortlens.llm.common import new_path, table
+from cohortlens.llm.common import new_path, table, valid_texts
 
 #: Pieces remembered per Python worker before the memory is emptied.
 REMEMBERED = 300_000
@@ -28,33 +29,40 @@ SLICE_BYTES = 4_000_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
-_VISIBLE = np.zeros(256, bool)
-_VISIBLE[0x21:0x7F] = True
-_VISIBLE[0x80:] = True
-#: Lead bytes of the white space characters beyond ASCII, of which a text is not cut.
-_LEADS = np.zeros(256, bool)
-_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-#: After the byte C3: all letters but the signs for times and divided by.
-_WIDE_LETTERS = np.zeros(256, bool)
-_WIDE_LETTERS[0x80:0xC0] = True
-_WIDE_LETTERS[[0x97, 0xB7]] = False
-#: Marks before which a word is cut: not the apostrophe, nor the bar inside special strings.
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in ".,;:!?)(%$*&"]] = True
+#: Classes of a byte, as bits: visible, blank, line end, ASCII letter, mark before which a word is cut (not the
+#: apostrophe, nor the bar inside special strings), the lead byte C3, and a byte that makes a letter after C3
+#: (all but the signs for times and divided by). Text is not cut around white space beyond ASCII, whose lead bytes
+#: are the last class.
+VISIBLE, BLANK, LINE, LETTER, MARK, LATIN, WIDE, LEAD = (1 << i for i in range(8))
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(0x21, 0x7F), *range(0x80, 0x100)]] |= VISIBLE
+_CLASS[0x20] |= BLANK
+_CLASS[0x0A] |= LINE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= LETTER
+_CLASS[[ord(c) for c in ".,;:!?)(%$*&"]] |= MARK
+_CLASS[0xC3] |= LATIN
+_CLASS[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] |= WIDE
+_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] |= LEAD
 #: Pieces that begin with a visible character, or with a blank and one, and end with one.
 _JOINABLE = re.compile(rb" ?[!-~\x80-\xff](?:[^\n]*[!-~\x80-\xff])?", re.DOTALL).fullmatch
+#: Pieces that are one match of the pre-tokenizer's pattern for letters.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 TOGETHER = 2000
 _WIDE_SPACES = {
     chr(c).encode() for c in [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 }
 
 
-def _has_wide_space(data: np.ndarray) -> bool:
-    at = np.flatnonzero(_LEADS[data])
-    raw = data.tobytes() if len(at) else b""
-    return any(raw[i:i + 2] in _WIDE_SPACES or raw[i:i + 3] in _WIDE_SPACES for i in at.tolist())
+def byte_letters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+def _has_wide_space(raw: bytes, leads: np.ndarray) -> bool:
+    """Is one of the bytes at ``leads`` the first of a white space character beyond ASCII?"""
+    return any(raw[i:i + 2] in _WIDE_SPACES or raw[i:i + 3] in _WIDE_SPACES for i in leads.tolist())
 
 
 class PieceEncoder:
@@ -63,13 +71,16 @@ class PieceEncoder:
     A byte-level text may be cut before a single blank and around a single line end between
     visible characters, and between a letter and a mark: the pre-tokenizer's pattern
     always ends a match there, so the ids of the pieces joined are the ids of the text.
-    For the same reason new pieces are encoded together, a line end between them. Texts
-    with white space beyond ASCII are encoded whole.
+    For the same reason new pieces are encoded together, a line end between them; a piece of
+    letters alone is one match, which goes straight to the library's model. Texts with white
+    space beyond ASCII are encoded whole.
     """
 
     def __init__(self, file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         # a character of a byte-level token is a byte
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -118,11 +129,22 @@ class PieceEncoder:
             sizes, ids = self.size[number], self._gather(number)
             self._forget()
             self._learn(kept, ids, sizes)
-        numbers = list(map(self.known.get, pieces))
-        new = [p for p, n in zip(pieces, numbers) if n is None]
-        if not new:
-            return np.array(numbers, np.int64)
-        plain = [_JOINABLE(p) is not None and not (wide and _has_wide_space(np.frombuffer(p, np.uint8))) for p in new]
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if not missing:
+            return numbers
+        new = [pieces[i] for i in missing]
+        is_word = list(map(bool, map(_WORD, new)))
+        words = list(compress(new, is_word))
+        if words:
+            letters, tokenize = self.letters, self.model.tokenize
+            numbers[list(compress(missing, is_word))] = np.arange(len(self.known), len(self.known) + len(words))
+            ids = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in words]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._learn(words, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)
+        left = [i for i, ok in zip(missing, is_word) if not ok]
+        new = rest = [pieces[i] for i in left]
+        plain = [_JOINABLE(p) is not None and not (wide and _has_wide_space(p, np.arange(len(p)))) for p in new]
         odd = [p for p, ok in zip(new, plain) if not ok]
         if odd:
             self._learn(odd, *self._encode([p.decode() for p in odd]))
@@ -135,7 +157,8 @@ class PieceEncoder:
             upto = np.cumsum(self.width[ids])
             first = np.searchsorted(upto, ends - widths, side="right")
             self._learn(part, ids, np.searchsorted(upto, ends, side="left") + 1 - first, first)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        numbers[left] = [self.known[p] for p in rest]
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -144,24 +167,27 @@ class PieceEncoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
         bounds = bounds - bounds[0]
-        cut = np.zeros(len(data) + 2, bool)
-        alone = _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]
-        cut[1:len(data) - 1] = alone & (data[1:-1] == 0x20)
-        line = alone & (data[1:-1] == 0x0A)
-        cut[1:len(data) - 1] |= line
+        kind = _CLASS[data]
+        cut = np.zeros(len(data) + 2, np.uint8)
+        alone = (kind[:-2] & kind[2:] & VISIBLE) != 0
+        line = alone & ((kind[1:-1] & LINE) != 0)
+        cut[1:len(data) - 1] = alone & ((kind[1:-1] & (BLANK | LINE)) != 0)
         cut[2:len(data)] |= line
-        letter = _LETTERS[data]
-        letter[1:] |= (data[:-1] == 0xC3) & _WIDE_LETTERS[data[1:]]
-        cut[1:len(data)] |= letter[:-1] & _MARKS[data[1:]]
-        if wide := _has_wide_space(data):
+        mark = np.flatnonzero(kind[1:] & MARK)
+        letter = (kind[mark] & LETTER) != 0
+        letter |= (mark > 0) & ((kind[mark] & WIDE) != 0) & ((kind[mark - 1] & LATIN) != 0)
+        cut[mark[letter] + 1] = 1
+        leads = np.flatnonzero(kind & LEAD)
+        raw = data.tobytes()
+        if wide := _has_wide_space(raw, leads):
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if _has_wide_space(data[a:b]):
-                    cut[a:b] = False
-        cut[bounds[:-1]] = True
-        cuts = np.flatnonzero(cut[:len(data)])
+                if _has_wide_space(raw, leads[np.searchsorted(leads, a):np.searchsorted(leads, b)]):
+                    cut[a:b] = 0
+        cut[bounds[:-1]] = 1
+        cuts = np.flatnonzero(cut[:len(data)].view(bool))
         offsets = np.append(cuts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(
-            pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+            pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]
         ).dictionary_encode()
         number = self._numbers(pieces.dictionary.to_pylist(), wide)[pieces.indices.to_numpy()]
         upto = np.concatenate([[0], np.cumsum(self.size[number])])
@@ -215,7 +241,7 @@ def write_token_ids(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.string())
+            texts = valid_texts(batch.column(1))
             for rows in slices(texts):
                 part = texts[rows.start:rows.stop]
                 ids, sizes = encoder(vocabulary).encode(part)
