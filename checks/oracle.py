@@ -255,6 +255,14 @@ SELECT user_id, ROUND(1 / (1 + EXP(-({FROZEN_INTERCEPT} + {terms}))), 6) AS y_pr
 FROM (SELECT *, LOG10(reg_km_last + 1.0::DOUBLE) AS km_log FROM {dataset})"""
 
 
+# Isotonic regression at x: the greatest, over starts up to x, of the least mean from the start on past x.
+ISOTONIC_MAP = SCORED + """,
+pts AS (SELECT p, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS pos FROM scored GROUP BY p),
+run AS (SELECT p, SUM(n) OVER (ORDER BY p) AS cn, SUM(pos) OVER (ORDER BY p) AS cp, n, pos FROM pts),
+mean AS (SELECT a.p AS lo, b.p AS hi, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM run a JOIN run b ON b.p >= a.p),
+best AS (SELECT x.p, lo, MIN(m) AS m FROM pts x JOIN mean ON lo <= x.p AND hi >= x.p GROUP BY x.p, lo)
+SELECT p AS margin, ROUND(MAX(m), 6) AS calibrated FROM best GROUP BY p"""
+
 ORACLE: dict[str, str] = {
     "split_counts": TRAIN_TEST + """
 SELECT set AS split, COUNT(*) AS n, SUM(target_30d)::BIGINT AS positives FROM ds GROUP BY set""",
@@ -262,13 +270,8 @@ SELECT set AS split, COUNT(*) AS n, SUM(target_30d)::BIGINT AS positives FROM ds
 SELECT penalty, feature, 0.0::DOUBLE AS slope FROM (VALUES ('l2'), ('elasticnet')) p(penalty),
   (VALUES {_names}) f(feature)""",
     "sigmoid_stationarity": "SELECT 0.0::DOUBLE AS error, 0.0::DOUBLE AS error_by_margin",
-    # Isotonic regression at x: the greatest, over starts up to x, of the least mean from the start on past x.
-    "isotonic_map": SCORED + """,
-pts AS (SELECT p, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS pos FROM scored GROUP BY p),
-run AS (SELECT p, SUM(n) OVER (ORDER BY p) AS cn, SUM(pos) OVER (ORDER BY p) AS cp, n, pos FROM pts),
-mean AS (SELECT a.p AS lo, b.p AS hi, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) AS m FROM run a JOIN run b ON b.p >= a.p),
-best AS (SELECT x.p, lo, MIN(m) AS m FROM pts x JOIN mean ON lo <= x.p AND hi >= x.p GROUP BY x.p, lo)
-SELECT p AS margin, ROUND(MAX(m), 6) AS calibrated FROM best GROUP BY p""",
+    "isotonic_map": ISOTONIC_MAP,
+    "isotonic_map_50_ranges": ISOTONIC_MAP,
     "score_holdout_fixed": HOLDOUT + _fixed_scores("ds"),
     "score_weekly_fixed": weekly(True) + _fixed_scores("wk", ("reg_km_log1p", "reg_km_trailing_zeros")),
     "learning_curve_sizes": TRAIN_TEST + """

@@ -16,6 +16,7 @@ from cohortlens.operators import features as ft
 from cohortlens.operators import model as md
 from cohortlens.operators import ranking as rk
 from cohortlens.operators.cohorts import new_accounts, union_users
+from cohortlens.operators.isotonic import isotonic_blocks, isotonic_values
 from cohortlens.operators.labels import label_universe
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import feature_span, label_span
@@ -313,14 +314,14 @@ def sigmoid_stationarity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def isotonic_map(spark: SparkSession, sf: str) -> DataFrame:
-    """The isotonic calibrator on the fixed proxy score."""
+def isotonic_map(spark: SparkSession, sf: str, ranges: int = 1) -> DataFrame:
+    """The isotonic map of the fixed proxy score at each of its values."""
     points = settle(
         proxy_scored(spark, sf).groupBy(F.col("y_prob").alias("margin"))
         .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("y_true").cast("double")).alias("pos"))
     )
-    mapped = md.fit_isotonic(points).transform(points)
-    return rounded(mapped.select("margin", F.col("prediction").alias("calibrated")), "calibrated")
+    mapped = isotonic_values(isotonic_blocks(points, ranges, rows_per_range=3), points, rows_per_range=4)
+    return rounded(mapped.select("margin", F.col("value").alias("calibrated")), "calibrated")
 
 
 def _fixed_scores(rows: Callable[[SparkSession, str], DataFrame]) -> Query:
@@ -420,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "fit_stationarity": stationarity,
     "sigmoid_stationarity": sigmoid_stationarity,
     "isotonic_map": isotonic_map,
+    "isotonic_map_50_ranges": lambda spark, sf: isotonic_map(spark, sf, 50),
     "score_holdout_fixed": _fixed_scores(holdout),
     "score_weekly_fixed": _fixed_scores(lambda spark, sf: weekly(spark, sf, fanout=True)),
     "learning_curve_sizes": curve_sizes,

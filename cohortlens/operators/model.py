@@ -16,12 +16,13 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.scalars import user_bucket
+from cohortlens.operators.isotonic import MODEL_BLOCKS, StepMap, isotonic_blocks, step_stage
 from cohortlens.sources.schema import LABEL, RECENCY_FEATURES, ensure_columns
 from cohortlens.sources.staging import settle
 
@@ -175,21 +176,16 @@ def _margins(model: PipelineModel, validation: DataFrame, label: str) -> DataFra
     )
 
 
-def fit_isotonic(points: DataFrame) -> IsotonicRegressionModel:
-    """Monotone map of ``margin`` to the positive share, from rows (margin, n, pos)."""
-    shares = points.select("margin", (F.col("pos") / F.col("n")).alias("label"), F.col("n").alias("weight"))
-    return IsotonicRegression(featuresCol="margin", weightCol="weight").fit(shares)
-
-
-def calibrate_isotonic(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
+def calibrate_isotonic(
+    model: PipelineModel, validation: DataFrame, label: str = LABEL, ranges: int | None = None, model_blocks: int = MODEL_BLOCKS
+) -> PipelineModel:
     """Monotone map from margin to positive share, interpolated and clipped.
 
-    Equal margins are merged first. Spark then pools each range of margins on its
-    executor, so what reaches the driver are steps of the map, not rows.
+    Equal margins are merged first and pooled on executors. The blocks stay a table if there
+    are more than ``model_blocks``.
     """
-    fitted = fit_isotonic(_margins(model, validation, label))
-    fitted.setFeaturesCol("rawPrediction").setFeatureIndex(1).setPredictionCol("calibrated")
-    return PipelineModel([*model.stages, fitted])
+    blocks = isotonic_blocks(_margins(model, validation, label), ranges)
+    return PipelineModel([*model.stages, step_stage(blocks, "rawPrediction", "calibrated", model_blocks)])
 
 
 def calibrate_sigmoid(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
@@ -238,6 +234,8 @@ def predict(model: PipelineModel, df: DataFrame, output: str = "y_prob") -> Data
     last = model.stages[-1]
     if isinstance(last, IsotonicRegressionModel):
         probability = F.col(last.getPredictionCol())
+    elif isinstance(last, StepMap):
+        probability = F.col(last.getOutputCol())
     else:
         probability = vector_to_array(last.getProbabilityCol())[1]
     features = feature_names(model)
