@@ -263,6 +263,72 @@ mean AS (SELECT a.p AS lo, b.p AS hi, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n
 best AS (SELECT x.p, lo, MIN(m) AS m FROM pts x JOIN mean ON lo <= x.p AND hi >= x.p GROUP BY x.p, lo)
 SELECT p AS margin, ROUND(MAX(m), 6) AS calibrated FROM best GROUP BY p"""
 
+def newton(rows: str, keys: str, steps: int, ridge: bool) -> str:
+    """CTEs ``b0`` to ``b{steps}``: Newton steps of a weighted logistic fit of (x1, x2) to y for each key.
+
+    ``rows`` has the key, x1, x2, y and w. The penalty of half a square each is on the coefficients
+    alone, against the weighted mean loss over n rows. The 3 by 3 systems are solved by determinants.
+    """
+    r = "1.0 / max(n)" if ridge else "0.0"
+    parts = [f"b0 AS MATERIALIZED (SELECT DISTINCT {keys}, 0.0::DOUBLE AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM {rows})"]
+    for k in range(steps):
+        parts.append(f"""
+s{k} AS (
+  SELECT {keys}, any_value(c) AS c, any_value(u) AS u, any_value(v) AS v,
+    sum(e) / max(n) AS g0, sum(e * x1) / max(n) + any_value(u) * {r} AS g1, sum(e * x2) / max(n) + any_value(v) * {r} AS g2,
+    sum(q) / max(n) AS a, sum(q * x1) / max(n) AS d1, sum(q * x2) / max(n) AS d2,
+    sum(q * x1 * x1) / max(n) + {r} AS h11, sum(q * x1 * x2) / max(n) AS h12, sum(q * x2 * x2) / max(n) + {r} AS h22
+  FROM (SELECT *, w * (p - y) AS e, w * p * (1 - p) AS q FROM (
+    SELECT t.*, c, u, v, 1 / (1 + exp(-(c + u * x1 + v * x2))) AS p FROM {rows} t JOIN b{k} USING ({keys})))
+  GROUP BY {keys}),
+b{k + 1} AS MATERIALIZED (
+  SELECT {keys},
+    c - (g0 * (h11 * h22 - h12 * h12) - g1 * (d1 * h22 - d2 * h12) + g2 * (d1 * h12 - d2 * h11)) / det AS c,
+    u - (-g0 * (d1 * h22 - h12 * d2) + g1 * (a * h22 - d2 * d2) - g2 * (a * h12 - d1 * d2)) / det AS u,
+    v - (g0 * (d1 * h12 - h11 * d2) - g1 * (a * h12 - d2 * d1) + g2 * (a * h11 - d1 * d1)) / det AS v
+  FROM (SELECT *, a * (h11 * h22 - h12 * h12) - d1 * (d1 * h22 - h12 * d2) + d2 * (d1 * h12 - h11 * d2) AS det FROM s{k}))""")
+    return ",".join(parts)
+
+
+NEWTON_STEPS = 9
+LIMITS = "(VALUES (0.1::DOUBLE, 8), (0.2, 16), (0.4, 32), (0.6, 48), (0.8, 64), (1.0, 80)) l(f, limit_b)"
+# Two features of the train rows over their deviation in the sample, balanced weights, and all samples' fits.
+NESTED = TRAIN_TEST + f""",
+raw AS (
+  SELECT CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS INTEGER) AS b, {_filled("n_qleads_90d")} AS r1,
+    {_filled("recency_last_booking")} AS r2, target_30d::DOUBLE AS y FROM ds WHERE set = 'train'),
+size AS (
+  SELECT f, COUNT(*) AS n, SUM(y) AS pos, STDDEV_POP(r1) AS z1, STDDEV_POP(r2) AS z2
+  FROM {LIMITS} JOIN raw ON b < limit_b GROUP BY f),
+fitrows AS MATERIALIZED (
+  SELECT f, r1 / z1 AS x1, r2 / z2 AS x2, y, n, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w
+  FROM {LIMITS} JOIN raw ON b < limit_b JOIN size USING (f)),
+{newton("fitrows", "f", NEWTON_STEPS, True)},
+fits AS (SELECT f, n, c, u / z1 AS u, v / z2 AS v FROM b{NEWTON_STEPS} JOIN size USING (f))
+"""
+
+
+def _sigmoid_steps(steps: int) -> str:
+    """CTEs ``m0`` to ``m{steps}``: Newton steps of a logistic map of the margin to smoothed targets."""
+    parts = ["m0 AS (SELECT 0.0::DOUBLE AS c, 0.0::DOUBLE AS u)"]
+    for k in range(steps):
+        parts.append(f"""m{k + 1} AS MATERIALIZED (
+  SELECT any_value(c) - (sum(e) * sum(q * x * x) - sum(e * x) * sum(q * x)) / (sum(q) * sum(q * x * x) - sum(q * x) * sum(q * x)) AS c,
+    any_value(u) - (sum(e * x) * sum(q) - sum(e) * sum(q * x)) / (sum(q) * sum(q * x * x) - sum(q * x) * sum(q * x)) AS u
+  FROM (SELECT *, n * p - mass AS e, n * p * (1 - p) AS q FROM (
+    SELECT x, n, mass, c, u, 1 / (1 + exp(-(c + u * x))) AS p FROM smoothed, m{k})))""")
+    return ",\n".join(parts)
+
+
+SIGMOID_MAP = SCORED + f""",
+pts AS (SELECT p AS x, COUNT(*)::DOUBLE AS n, SUM(y)::DOUBLE AS pos FROM scored GROUP BY p),
+smoothed AS (
+  SELECT x, n, pos * (tp + 1) / (tp + 2) + (n - pos) / (tn + 2) AS mass
+  FROM pts, (SELECT SUM(pos) AS tp, SUM(n) - SUM(pos) AS tn FROM pts)),
+{_sigmoid_steps(12)}
+SELECT x AS margin, ROUND(1 / (1 + EXP(-(c + u * x))), 4) AS calibrated FROM pts, m12"""
+
+
 ORACLE: dict[str, str] = {
     "split_counts": TRAIN_TEST + """
 SELECT set AS split, COUNT(*) AS n, SUM(target_30d)::BIGINT AS positives FROM ds GROUP BY set""",
@@ -279,6 +345,18 @@ SELECT f AS fraction, COUNT(*) AS train_rows
 FROM (VALUES (0.1::DOUBLE, 8), (0.2, 16), (0.4, 32), (0.6, 48), (0.8, 64), (1.0, 80)) l(f, limit_b)
 JOIN (SELECT CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS INTEGER) AS b FROM ds WHERE set = 'train')
   ON b < limit_b GROUP BY f""",
+    "sigmoid_map": SIGMOID_MAP,
+    "learning_curve_coefficients": NESTED + """
+SELECT f AS fraction, n AS train_rows, ROUND(c, 4) AS intercept, ROUND(u, 4) AS n_qleads, ROUND(v, 4) AS recency_booking FROM fits""",
+    "fit_two_features": NESTED + """
+SELECT ROUND(c, 4) AS intercept, ROUND(u, 4) AS n_qleads, ROUND(v, 4) AS recency_booking FROM fits WHERE f = 1.0""",
+    "learning_curve_two_features": NESTED + """,
+scored AS (
+  SELECT f AS set, n AS rows_fitted, y, 1 / (1 + EXP(-(c + u * r1 + v * r2))) AS p FROM raw, fits WHERE b >= 80),
+tot AS (SELECT set, COUNT(*) AS n, SUM(y)::BIGINT AS pos, MAX(rows_fitted) AS rows_fitted FROM scored GROUP BY set),
+""" + PAIRWISE_AUC + "," + AT_LEAST + "," + AP + """
+SELECT set AS fraction, rows_fitted AS train_rows, ROUND(auc, 6) AS roc_auc, ROUND(ap, 6) AS pr_auc
+FROM tot JOIN auc USING (set) JOIN ap USING (set)""",
     "coefficient_names": f"SELECT feature, TRUE AS odds_fit, TRUE AS in_order FROM (VALUES {_names}) f(feature)",
     "sales_lead_events": _stream("lead"),
     "booking_events": _stream("booking"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from cohortlens.operators.labels import label_universe
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import feature_span, label_span
 from cohortlens.plans.scoring import score_rows
-from cohortlens.plans.training import TrainOptions, fit_model, learning_curve, train_and_evaluate
+from cohortlens.plans.training import TrainOptions, fit_model, learning_curve, learning_fits, train_and_evaluate
 from cohortlens.sources.schema import LABEL, coerce_dataset, model_features, split_sets
 from cohortlens.sources.staging import settle
 
@@ -332,6 +333,45 @@ def _fixed_scores(rows: Callable[[SparkSession, str], DataFrame]) -> Query:
     return run
 
 
+#: Features of the fits that the SQL repeats by Newton steps.
+NEWTON_FEATURES = ["n_qleads_90d", "recency_last_booking"]
+
+
+def curve_two_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The learning curve on two features."""
+    return rounded(learning_curve(train_rows(spark, sf), NEWTON_FEATURES), "roc_auc", "pr_auc")
+
+
+def curve_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients of all samples of the learning curve on two features."""
+    fits, _ = learning_fits(train_rows(spark, sf), NEWTON_FEATURES)
+    rows = [(s, f.rows, f.intercept, *map(float, f.coefficients)) for s, f in fits.items()]
+    table = spark.createDataFrame(rows, "fraction double, train_rows long, intercept double, n_qleads double, recency_booking double")
+    return table.withColumns({c: F.round(c, 4) for c in table.columns[2:]})
+
+
+def coefficients_two_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients on unscaled features of the model's own fit on two features."""
+    fit, _ = md.split_fit_validation(_train_part(spark, sf))
+    model = md.fit_logistic(fit, NEWTON_FEATURES)
+    stage = md.logistic_stage(model)
+    scale = next(s for s in model.stages if isinstance(s, ElementwiseProduct)).getScalingVec().toArray()
+    row = (float(stage.intercept), *map(float, stage.coefficients.toArray() * scale))
+    table = spark.createDataFrame([row], "intercept double, n_qleads double, recency_booking double")
+    return table.withColumns({c: F.round(c, 4) for c in table.columns})
+
+
+def sigmoid_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The sigmoid map of the fixed proxy score at each of its values."""
+    points = settle(
+        proxy_scored(spark, sf).groupBy(F.col("y_prob").alias("margin"))
+        .agg(F.count("*").cast("double").alias("n"), F.sum(F.col("y_true").cast("double")).alias("pos"))
+    )
+    fitted = md.fit_sigmoid(points)
+    at = F.lit(float(fitted.intercept)) + F.lit(float(fitted.coefficients[0])) * F.col("margin")
+    return points.select("margin", F.round(1 / (1 + F.exp(-at)), 4).alias("calibrated"))
+
+
 def curve_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return curve(spark, sf).select("fraction", "train_rows")
 
@@ -425,5 +465,9 @@ QUERIES: dict[str, Query] = {
     "score_holdout_fixed": _fixed_scores(holdout),
     "score_weekly_fixed": _fixed_scores(lambda spark, sf: weekly(spark, sf, fanout=True)),
     "learning_curve_sizes": curve_sizes,
+    "learning_curve_two_features": curve_two_features,
+    "learning_curve_coefficients": curve_coefficients,
+    "fit_two_features": coefficients_two_features,
+    "sigmoid_map": sigmoid_map,
     "coefficient_names": coefficient_names,
 }

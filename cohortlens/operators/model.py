@@ -188,13 +188,13 @@ def calibrate_isotonic(
     return PipelineModel([*model.stages, step_stage(blocks, "rawPrediction", "calibrated", model_blocks)])
 
 
-def calibrate_sigmoid(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
-    """Logistic map from margin to probability, fitted to smoothed targets.
+def fit_sigmoid(points: DataFrame) -> LogisticRegressionModel:
+    """Logistic map of ``margin`` to probability, fitted to smoothed targets, from rows (margin, n, pos).
 
     A positive counts as ``(P + 1) / (P + 2)`` and a negative as ``1 / (N + 2)``; each
     margin enters as a positive and a negative row weighted by its target mass.
     """
-    points = settle(_margins(model, validation, label))
+    points = settle(points)
     total = points.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).first()
     pos, neg = total["pos"], total["n"] - total["pos"]
     mass = F.col("pos") * F.lit((pos + 1) / (pos + 2)) + (F.col("n") - F.col("pos")) * F.lit(1 / (neg + 2))
@@ -202,14 +202,18 @@ def calibrate_sigmoid(model: PipelineModel, validation: DataFrame, label: str =
         F.struct(F.lit(1.0).alias("label"), mass.alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (F.col("n") - mass).alias("weight")),
     )))
-    pick = VectorSlicer(inputCol="rawPrediction", outputCol="margin_vector", indices=[1])
     assembled = VectorAssembler(inputCols=["margin"], outputCol="margin_vector").transform(rows)
-    fitted = LogisticRegression(
-        featuresCol="margin_vector", weightCol="weight", maxIter=MAX_ITER, standardization=False,
+    return LogisticRegression(
+        featuresCol="margin_vector", weightCol="weight", maxIter=MAX_ITER, standardization=False, tol=1e-10,
         predictionCol="calibrated", probabilityCol="calibrated_probability",
         rawPredictionCol="calibrated_margin",
     ).fit(assembled)
-    return PipelineModel([*model.stages, pick, fitted])
+
+
+def calibrate_sigmoid(model: PipelineModel, validation: DataFrame, label: str = LABEL) -> PipelineModel:
+    """Logistic map from margin to probability, fitted on the validation rows."""
+    pick = VectorSlicer(inputCol="rawPrediction", outputCol="margin_vector", indices=[1])
+    return PipelineModel([*model.stages, pick, fit_sigmoid(_margins(model, validation, label))])
 
 
 CALIBRATORS = {

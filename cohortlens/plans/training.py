@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from multiprocessing.pool import ThreadPool
+from operator import add
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from cohortlens.functions.scalars import user_bucket
 from cohortlens.operators import model as md
 from cohortlens.operators import ranking as rk
+from cohortlens.operators.newton import MAX_PASSES, NestedFit, fit_nested
 from cohortlens.sources.schema import LABEL, coerce_dataset, model_features, split_sets
 from cohortlens.sources.staging import settle
 
@@ -115,42 +115,45 @@ def fit_model(train: DataFrame, features: Sequence[str], options: TrainOptions =
     return md.CALIBRATORS[options.calibrate](model, validation)
 
 
-def learning_curve(
-    train: DataFrame,
-    features: Sequence[str],
-    options: TrainOptions = TrainOptions(),
-    parallelism: int = 3,
-) -> DataFrame:
-    """AUC and average precision on the validation users for growing fit samples.
+def learning_fits(
+    train: DataFrame, features: Sequence[str], options: TrainOptions = TrainOptions(), max_passes: int = MAX_PASSES
+) -> tuple[dict[float, NestedFit], DataFrame]:
+    """Fits of the growing samples of the learning curve, and the prepared rows (group, label, features).
 
-    Samples are prefixes of the user buckets, so each contains the smaller ones. As in
-    Spark's cross-validation, ``parallelism`` fits run at a time.
+    Samples are prefixes of the user buckets, so each contains the smaller ones and one pass over
+    the rows serves all fits. The validation rows have the last group.
     """
-    rows = settle(train.select("user_id", LABEL, *features).withColumn("_bucket", user_bucket(F.col("user_id"))))
-    validation = rows.filter(F.col("_bucket") >= md.FIT_BUCKETS)
+    shares = list(LEARNING_BUCKETS)
+    bucket = user_bucket(F.col("user_id"))
+    group = reduce(add, [(bucket >= LEARNING_BUCKETS[s]).cast("int") for s in shares])
+    x = md.imputed(features, options.missing_recency)
+    rows = settle(train.select(
+        group.alias("group"), F.col(LABEL).cast("double").alias("label"), *[x[f].alias(f) for f in features]
+    ))
+    ridge_share = 1.0 - (options.l1_ratio if options.penalty == "elasticnet" else 0.0)
+    fits = fit_nested(rows.filter(F.col("group") < len(shares)), features, len(shares), ridge_share, options.C, max_passes)
+    return dict(zip(shares, fits)), rows
 
-    def validate(share: float) -> DataFrame:
-        model = md.fit_logistic(
-            rows.filter(F.col("_bucket") < LEARNING_BUCKETS[share]), features,
-            options.penalty, options.l1_ratio, options.C, options.missing_recency,
-        )
-        return md.predict(model, validation).select(
-            F.lit(share).alias("fraction"), F.col(LABEL).alias("y_true"), "y_prob"
-        )
 
-    with ThreadPool(parallelism) as pool:
-        task = inheritable_thread_target(train.sparkSession)(validate)
-        scored = reduce(DataFrame.unionByName, pool.map(task, LEARNING_BUCKETS, chunksize=1))
+def learning_curve(
+    train: DataFrame, features: Sequence[str], options: TrainOptions = TrainOptions(), max_passes: int = MAX_PASSES
+) -> DataFrame:
+    """AUC and average precision on the validation users for growing fit samples, all fitted together."""
+    fits, rows = learning_fits(train, features, options, max_passes)
+
+    def probability(fit: NestedFit) -> Column:
+        terms = [F.lit(float(c)) * F.col(f"`{f}`") for f, c in zip(features, fit.coefficients)]
+        return 1 / (1 + F.exp(-reduce(add, terms, F.lit(fit.intercept))))
+
+    scored = rows.filter(F.col("group") == len(fits)).select(
+        F.col("label").cast("int").alias("y_true"),
+        F.inline(F.array(*[F.struct(F.lit(s).alias("fraction"), probability(f).alias("y_prob")) for s, f in fits.items()])),
+    )
     by = ["fraction"]
-    quality = rk.metrics(rk.score_table(scored, by=by), by).select("fraction", "roc_auc", "pr_auc")
-    limits = F.create_map(*[x for s, b in LEARNING_BUCKETS.items() for x in (F.lit(b), F.lit(s))])
-    sizes = (
-        rows.filter(F.col("_bucket") < md.FIT_BUCKETS)
-        .select(F.explode(F.filter(F.map_keys(limits), lambda b: F.col("_bucket") < b)).alias("_limit"))
-        .groupBy("_limit").agg(F.count("*").alias("train_rows"))
-        .select(limits[F.col("_limit")].alias("fraction"), "train_rows")
+    sizes = F.create_map(*[x for s, f in fits.items() for x in (F.lit(s), F.lit(f.rows).cast("long"))])
+    return rk.metrics(rk.score_table(scored, by=by), by).select(
+        "fraction", sizes[F.col("fraction")].alias("train_rows"), "roc_auc", "pr_auc"
     )
-    return sizes.join(F.broadcast(quality), "fraction").select("fraction", "train_rows", "roc_auc", "pr_auc")
 
 
 def train_and_evaluate(dataset: DataFrame, options: TrainOptions = TrainOptions()) -> TrainingRun:
