@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.plans.periods import Period, Week
+from cohortlens.plans.periods import Period, Week, rolling_periods
 from cohortlens.sources.tables import Rules, Sources
 
 TRAIN = Period(
@@ -20,6 +20,7 @@ HOLDOUT = Period(
     "holdout", date(1998, 10, 1), date(1998, 7, 1), date(1998, 10, 1), date(1998, 7, 1), date(1998, 10, 1)
 )
 PERIODS = [TRAIN, TEST]
+ROLLING = rolling_periods(date(1992, 1, 1), 2500, 1, 60, 30)
 WEEK = Week(date(1995, 1, 8), date(1995, 2, 14))
 
 RULES = Rules(

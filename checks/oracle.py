@@ -374,6 +374,16 @@ FROM orders JOIN customer ON c_custkey = o_custkey
 WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND c_name NOT LIKE '%99%'""",
     "universe_by_signal": f"""WITH {EVENTS}
 SELECT DISTINCT set, cutoff_date, uid::VARCHAR AS user_id FROM per JOIN sig ON d >= f0 AND d < f1""",
+    "rolling_cohorts": f"""WITH {EVENTS},
+roll AS (SELECT 'rolling ' || s::VARCHAR AS set, s AS f0, s + 60 AS f1, s + 90 AS l1
+  FROM (SELECT DATE '1992-01-01' + i::INTEGER AS s FROM RANGE(2500) r(i))),
+users AS (
+  SELECT set, f1, uid, COUNT(*) FILTER (k IN ('lead', 'register')) AS n, f1 - MAX(d) FILTER (k = 'register') AS r
+  FROM roll JOIN sig ON d >= f0 AND d < f1 GROUP BY set, f1, uid),
+hits AS (SELECT DISTINCT set, uid, 1 AS hit FROM roll JOIN deal ON d >= f1 AND d < l1)
+SELECT set, f1 AS cutoff_date, COUNT(*) AS n_users, SUM(n)::BIGINT AS n_signals, SUM(r)::BIGINT AS register_days,
+  SUM(COALESCE(hit, 0))::BIGINT AS positives
+FROM users LEFT JOIN hits USING (set, uid) GROUP BY set, f1""",
     "universe_union_distinct": f"""WITH {EVENTS}
 SELECT uid::VARCHAR AS user_id FROM lead, hold WHERE d >= f0 AND d < f1
 UNION SELECT uid::VARCHAR FROM booking, hold WHERE d >= f0 AND d < f1

@@ -119,6 +119,15 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
     return text_user(ds.universe_by_signal(m.sources(spark, sf), m.PERIODS, m.RULES))
 
 
+def rolling_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    """Users, signals and won users of 2,500 periods of 60 days, one starting each day."""
+    features = ds.signal_features(m.sources(spark, sf), m.ROLLING, m.RULES, readings=False)
+    return features.groupBy("set", "cutoff_date").agg(
+        F.count("*").alias("n_users"), F.sum(F.col("n_qleads_90d") + F.col("n_registers_90d")).alias("n_signals"),
+        F.sum("recency_last_register").alias("register_days"), F.sum(F.col("target_30d").cast("long")).alias("positives"),
+    )
+
+
 def universe_union(spark: SparkSession, sf: str) -> DataFrame:
     src = m.sources(spark, sf)
     return union_users(*[
@@ -398,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "lead_origin_events": lead_origin_events,
     "universe_by_signal": universe,
     "universe_union_distinct": universe_union,
+    "rolling_cohorts": rolling_cohorts,
     "new_account_cohort": cohort,
     "sales_features": _features([
         "n_qleads_90d", "n_bookings_90d", "recency_last_qlead", "recency_last_booking",

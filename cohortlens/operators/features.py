@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.km import km_columns
 from cohortlens.functions.scalars import in_range
 from cohortlens.operators.events import BOOKING, LEAD, REGISTER, SCHEDULE, SIGNALS, TX
-from cohortlens.plans.periods import Period, Week, calendar
+from cohortlens.plans.periods import Period, Week, with_periods
 
 KEYS = ["set", "cutoff_date", "user_id"]
 
@@ -51,13 +51,11 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     """Counts, recencies, last reading and label per period and user.
 
     Signals count in the feature window and won deals in the label window of each
-    period; one join with the calendar and one aggregation produce all columns, and
+    period; the events find their periods without a shuffle, one aggregation produces all columns, and
     partial aggregation leaves each task at most one row per period and user. Users
     who only have deals are kept here with no signals.
     """
-    dated = facts.selectExpr("*", f"kind = '{TX}' AS is_label").join(
-        calendar(facts.sparkSession, periods), ["event_date", "is_label"]
-    )
+    dated = with_periods(facts, periods, F.col("kind") == TX)
     last = lambda k: f"max(CASE WHEN kind = '{k}' THEN event_date END)"
     aggregates = [f"{_total(f'kind = {k!r}')} AS {COUNT_NAMES[k]}" for k in SIGNALS]
     aggregates += [f"datediff(max(period_end_excl), {last(k)}) AS {RECENCY_NAMES[k]}" for k in SIGNALS]
@@ -79,9 +77,8 @@ def kind_aggregates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def last_readings(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
     """The last odometer reading per period and user with registers."""
-    days = calendar(facts.sparkSession, periods).filter("NOT is_label")
     return (
-        facts.filter(F.col("kind") == REGISTER).join(days, "event_date")
+        with_periods(facts.filter(F.col("kind") == REGISTER), periods, F.lit(False))
         .groupBy(*KEYS).agg(F.expr(f"{last_km(skip_null_km)} AS reg_km_last"))
     )
 

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.plans.periods import Period, calendar
+from cohortlens.plans.periods import Period, with_periods
 
 
 def label_users(deals: DataFrame, periods: Sequence[Period]) -> DataFrame:
     """Distinct ``(set, cutoff_date, user_id)`` with a deal in the label window."""
-    days = calendar(deals.sparkSession, periods).filter("is_label")
-    return deals.join(days, "event_date").select("set", "cutoff_date", "user_id").distinct()
+    return with_periods(deals, periods, F.lit(True)).select("set", "cutoff_date", "user_id").distinct()
 
 
 def label_universe(universe: DataFrame, deals: DataFrame, periods: Sequence[Period]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
+from statistics import median
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CALENDAR_BROADCAST_ROWS = 200_000
@@ -91,20 +93,65 @@ def period_frame(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
     return spark.range(0, 1, 1, 1).selectExpr(f"inline(array({rows}))")
 
 
-def calendar(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
-    """One row per day that a period uses, for features and for labels.
+def rolling_periods(first: date, count: int, step_days: int, length_days: int, horizon_days: int, name: str = "rolling") -> list[Period]:
+    """``count`` periods of equal length, each ``step_days`` after the one before, named by their first day."""
+    starts = [first + timedelta(days=i * step_days) for i in range(count)]
+    return [Period.forward(f"{name} {s}", s, s + timedelta(days=length_days), horizon_days) for s in starts]
 
-    Turns the range test between events and periods into an equality on the day,
-    so it runs as a hash join instead of a nested loop. The number of rows is
-    known from the windows; beyond ``CALENDAR_BROADCAST_ROWS`` there is no hint.
-    """
+
+def calendar_days(periods: Sequence[Period]) -> int:
+    return sum((p.period_end_excl - p.period_start).days + (p.label_end_excl - p.label_start).days for p in periods)
+
+
+def calendar(spark: SparkSession, periods: Sequence[Period]) -> DataFrame:
+    """One row per day that a period uses, for features and for labels."""
     keys = ["set", "cutoff_date", "period_end_excl"]
-    days = period_frame(spark, periods).selectExpr(*keys, """inline(array(
+    return period_frame(spark, periods).selectExpr(*keys, """inline(array(
         named_struct('is_label', false, 'first', period_start, 'last', date_sub(period_end_excl, 1)),
         named_struct('is_label', true, 'first', label_start, 'last', date_sub(label_end_excl, 1))
     ))""").selectExpr(*keys, "is_label", "explode(sequence(first, last)) AS event_date")
-    size = sum(
-        (p.period_end_excl - p.period_start).days + (p.label_end_excl - p.label_start).days
-        for p in periods
+
+
+def _constant(values: Sequence, kind: str) -> Column:
+    """A list as one literal; a tree with an expression for each entry would slow the planner."""
+    return F.from_json(F.lit(json.dumps(values, default=str)), kind)
+
+
+def windows_of(day: Column, windows: Sequence[tuple[date, date]]) -> Column:
+    """The numbers of the half-open windows that hold ``day``, from an index in the expression itself.
+
+    Days are cut into blocks as wide as the median window. A block lists the windows that touch
+    it, so a day looks at those of its block alone, whatever the number of windows.
+    """
+    origin = min(s for s, _ in windows)
+    width = int(median((e - s).days for s, e in windows))
+    blocks: list[list[int]] = [[] for _ in range((max(e for _, e in windows) - origin).days // width + 1)]
+    for i, (start, end) in enumerate(windows):
+        for b in range((start - origin).days // width, ((end - origin).days - 1) // width + 1):
+            blocks[b].append(i)
+    offset = F.datediff(day, F.lit(origin))
+    near = F.get(_constant(blocks, "array<array<int>>"), F.floor(offset / width).cast("int"))
+    starts, ends = (_constant([w[k] for w in windows], "array<date>") for k in (0, 1))
+    return F.filter(near, lambda i: (F.get(starts, i) <= day) & (day < F.get(ends, i)))
+
+
+def with_periods(events: DataFrame, periods: Sequence[Period], is_label: Column) -> DataFrame:
+    """A row for each event and period whose feature window, or label window where ``is_label``, holds its day.
+
+    Adds set, cutoff_date, period_end_excl and is_label. Up to ``CALENDAR_BROADCAST_ROWS`` days in all
+    windows, the range test becomes an equality with a broadcast calendar; beyond, each event finds its
+    periods in an interval index. Neither shuffles the events.
+    """
+    marked = events.withColumn("is_label", is_label)
+    if calendar_days(periods) <= CALENDAR_BROADCAST_ROWS:
+        return marked.join(F.broadcast(calendar(events.sparkSession, periods)), ["event_date", "is_label"])
+    day = F.col("event_date")
+    found = F.when(F.col("is_label"), windows_of(day, [(p.label_start, p.label_end_excl) for p in periods])).otherwise(
+        windows_of(day, [(p.period_start, p.period_end_excl) for p in periods])
     )
-    return F.broadcast(days) if size <= CALENDAR_BROADCAST_ROWS else days
+    columns = {
+        "set": ("array<string>", [p.set for p in periods]), "cutoff_date": ("array<date>", [p.cutoff_date for p in periods]),
+        "period_end_excl": ("array<date>", [p.period_end_excl for p in periods]),
+    }
+    numbered = marked.withColumn("_period", F.explode(found))
+    return numbered.withColumns({n: F.get(_constant(v, kind), F.col("_period")) for n, (kind, v) in columns.items()}).drop("_period")

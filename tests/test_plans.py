@@ -2,6 +2,7 @@
 
 from contextlib import contextmanager
 from dataclasses import replace
+from datetime import date
 
 import pytest
 from inline import make_sources, random_rows
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import mapping as m
 from cohortlens.operators import ranking as rk
 from cohortlens.plans import datasets as ds
-from cohortlens.plans.periods import TRAIN_2025
+from cohortlens.plans.periods import TRAIN_2025, rolling_periods
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +49,14 @@ def test_only_the_calendar_is_broadcast(spark, period_plan):
     assert period_plan.count("BroadcastExchange") == 1
 
 
+def test_many_periods_neither_shuffle_nor_join_on_the_day(spark):
+    with cluster_like(spark):
+        many = rolling_periods(date(1993, 1, 1), 5000, 7, 28, 28)
+        text = plan(ds.train_test_dataset(m.sources(spark, SF), many, m.RULES))
+    assert "hashpartitioning(event_date" not in text and "Join [event_date" not in text
+    assert text.count("BroadcastExchange") == 0
+
+
 def test_number_of_scans_and_shuffles(spark, period_plan):
     # Leads, bookings, funnel, deals, opportunities, accounts: one scan each.
     assert period_plan.count("FileScan") == 6

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -78,3 +79,26 @@ def test_metrics(spark, rows):
             assert rk.calibration_bins(table).filter(same).agg(F.sum("n")).first()[0] == len(own)
             assert tuple(lift.filter(same).agg(F.sum("n"), F.sum("positives")).first()) == (len(own), len(pos))
     assert results[0] == results[1] == results[2]
+
+
+def test_interval_index_equals_the_calendar(spark, monkeypatch):
+    """Windows of any lengths, overlapping, nested, apart and equal."""
+    from datetime import date, timedelta
+
+    from cohortlens.plans import periods as pd_
+
+    rng = random.Random(9)
+    day0 = date(2024, 1, 1)
+    span = lambda: (day0 + timedelta(rng.randrange(300)), rng.choice([1, 1, 7, 30, 200]))
+    many = []
+    for i in range(60):
+        (a, n), (b, k) = span(), span()
+        many.append(pd_.Period(f"p{i % 50}", a + timedelta(n), a, a + timedelta(n), b, b + timedelta(k)))
+    days = [(rng.randrange(9), day0 + timedelta(rng.randrange(-40, 560)), rng.random() < 0.5) for _ in range(400)] + [(1, None, True)]
+    events = spark.createDataFrame(days, "user_id long, event_date date, lab boolean")
+    both = []
+    for most in (10**9, 0):
+        monkeypatch.setattr(pd_, "CALENDAR_BROADCAST_ROWS", most)
+        found = pd_.with_periods(events, many, F.col("lab"))
+        both.append(sorted(map(repr, found.select("user_id", "event_date", "lab", "set", "cutoff_date", "period_end_excl").collect())))
+    assert both[0] == both[1] and len(both[0]) > 1000
