@@ -105,10 +105,10 @@ def fit_logistic(
     prepare = _prepare(features, missing_recency)
     rows = fit.select(*features, F.col(label).cast("double").alias("label"))
     stats = fit_statistics(rows, features, missing_recency, "label").first()
-    n = stats["n"]
-    weights = {r["label"]: r["weight"] for r in balanced_weights(rows, "label").collect()}
-    if len(weights) < 2:
+    n, positives = stats["n"], int(stats["pos"] or 0)
+    if not 0 < positives < n:
         raise ValueError("The fit rows need both classes")
+    weights = {1: n / (2 * positives), 0: n / (2 * (n - positives))}
     scale = [1.0 / stats[f] if stats[f] > 0 else 1.0 for f in features]
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense(scale), inputCol="assembled", outputCol="features"

@@ -45,45 +45,48 @@ class TrainingRun:
         self._built: dict[str, DataFrame] = {}
 
     @cached_property
-    def scored(self) -> DataFrame:
-        """Train and test rows with ``y_true``, ``y_prob`` and the lower-case ``split``."""
-        rows = md.predict(self.model, self._train.unionByName(self._test))
-        return settle(rows.select(
+    def test_scored(self) -> DataFrame:
+        """Test rows with ``y_true``, ``y_prob`` and the lower-case ``split``."""
+        return self._score(self._test)
+
+    @cached_property
+    def train_scored(self) -> DataFrame:
+        """The same for the train rows, which only the metrics need."""
+        return self._score(self._train)
+
+    def _score(self, rows: DataFrame) -> DataFrame:
+        return settle(md.predict(self.model, rows).select(
             "set", "cutoff_date", "user_id", F.col(LABEL).alias("y_true"), "y_prob",
             F.lower("set").alias("split"),
         ))
 
     @cached_property
-    def score_table(self) -> DataFrame:
-        return rk.score_table(self.scored, by=["split"])
+    def test_table(self) -> DataFrame:
+        return rk.score_table(self.test_scored, by=["split"])
 
-    @property
-    def _test_table(self) -> DataFrame:
-        return self.score_table.filter("split = 'test'")
-
-    @property
-    def _test_scored(self) -> DataFrame:
-        return self.scored.filter("split = 'test'")
+    @cached_property
+    def train_table(self) -> DataFrame:
+        return rk.score_table(self.train_scored, by=["split"])
 
     def _predictions(self) -> DataFrame:
         threshold = self["test_thresholding"].first()["threshold"]
-        return rk.flag_top(self._test_scored, threshold).select(
+        return rk.flag_top(self.test_scored, threshold).select(
             "set", "cutoff_date", "user_id", "y_true", "y_prob", "y_pred_topk"
         )
 
     _BUILDERS = {
-        "metrics": lambda run: rk.metrics(run.score_table, ["split"]),
-        "test_thresholding": lambda run: rk.top_k_report(run._test_table, run.options.topk, ["split"]),
+        "metrics": lambda run: rk.metrics(run.train_table.unionByName(run.test_table), ["split"]),
+        "test_thresholding": lambda run: rk.top_k_report(run.test_table, run.options.topk, ["split"]),
         "predictions": _predictions,
         "coef_importance": lambda run: md.coefficients(run.model, run._train.sparkSession),
-        "threshold_sweep": lambda run: rk.threshold_sweep(run._test_table, by=["split"]),
+        "threshold_sweep": lambda run: rk.threshold_sweep(run.test_table, by=["split"]),
         "rec_table": lambda run: rk.recommendations(run["threshold_sweep"]),
-        "lift_table": lambda run: rk.lift_table(run._test_table, run._test_scored, by=["split"]),
-        "calibration": lambda run: rk.calibration_bins(run._test_table, by=["split"]),
-        "roc_curve": lambda run: rk.roc_points(run._test_table, ["split"]),
-        "pr_curve": lambda run: rk.pr_points(run._test_table, ["split"]),
+        "lift_table": lambda run: rk.lift_table(run.test_table, run.test_scored, by=["split"]),
+        "calibration": lambda run: rk.calibration_bins(run.test_table, by=["split"]),
+        "roc_curve": lambda run: rk.roc_points(run.test_table, ["split"]),
+        "pr_curve": lambda run: rk.pr_points(run.test_table, ["split"]),
         # Grouped by the stored value, so spellings of one set stay apart.
-        "auc_by_set": lambda run: rk.metrics(rk.score_table(run._test_scored)).select(
+        "auc_by_set": lambda run: rk.metrics(rk.score_table(run.test_scored)).select(
             "set", F.col("roc_auc").alias("auc")
         ),
         "learning_curve": lambda run: learning_curve(run._train, run.features, run.options),
@@ -91,7 +94,7 @@ class TrainingRun:
 
     def close(self) -> None:
         """Release the cached score tables; reports not yet written are computed anew."""
-        for name in ("scored", "score_table"):
+        for name in ("train_scored", "test_scored", "train_table", "test_table"):
             if name in self.__dict__:
                 self.__dict__.pop(name).unpersist()
         self._built.clear()

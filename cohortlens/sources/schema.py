@@ -119,6 +119,37 @@ def coerce_dataset(df: DataFrame) -> DataFrame:
     })
 
 
+def validate(df: DataFrame, needed: Iterable[str] = REQUIRED_COLUMNS) -> DataFrame:
+    """What a training run would refuse, as rows (rule, column, rows), from one pass over the dataset.
+
+    Rules: ``missing column`` (rows: all), ``no key`` for a NULL in a key column, ``no label``, ``bad label``
+    for one that is neither 0 nor 1, ``not a number`` for a text in a number's column, ``other set`` for rows
+    of neither split and ``empty set`` (rows: 0; the column is the split). A valid dataset gives no rows.
+    """
+    present = {c for c in needed if c in df.columns}
+    if "set" in present:
+        counted = {("empty set", s): F.count_if(F.lower("set") == s) for s in ("train", "test")}
+        counted["other set", "set"] = F.count_if(~F.coalesce(F.lower("set").isin("train", "test"), F.lit(True)))
+    else:
+        counted = {}
+    for c in [c for c in ID_COLUMNS if c in present]:
+        counted["no key", c] = F.count_if(F.col(c).isNull())
+    if LABEL in present:
+        label = F.col(LABEL).try_cast("double")
+        counted["no label", LABEL] = F.count_if(F.col(LABEL).isNull())
+        counted["bad label", LABEL] = F.count_if(F.col(LABEL).isNotNull() & ~F.coalesce(label.isin(0.0, 1.0), F.lit(False)))
+    for c in [c for c in (*COUNT_FEATURES, *RECENCY_FEATURES) if c in present]:
+        counted["not a number", c] = F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull())
+    for c in needed:
+        if c not in present:
+            counted["missing column", c] = F.count("*")
+    row = lambda rule, column, n: F.struct(F.lit(rule).alias("rule"), F.lit(column).alias("column"), n.alias("rows"))
+    listed = df.agg(*[n.alias(f"n{i}") for i, n in enumerate(counted.values())]).select(
+        F.inline(F.array(*[row(rule, c, F.col(f"n{i}")) for i, (rule, c) in enumerate(counted)]))
+    )
+    return listed.filter("rule = 'missing column' OR (rule = 'empty set') = (rows = 0)")
+
+
 def split_sets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by the ``set`` column, whatever its case."""
     train = df.filter(F.lower("set") == "train")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.events import FactsOptions
@@ -41,29 +43,83 @@ def buckets_for(df: DataFrame) -> int:
     return min(MAX_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
 
 
-def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets: int | None = None) -> DataFrame:
-    """Write ``df`` as a table, replacing an older one, and return the stored table.
+VERSION = "cohortlens.version"
+
+
+def staged_version(spark: SparkSession, name: str) -> str | None:
+    """The stored table that a staged name points to, if it is one."""
+    if not spark.catalog.tableExists(name):
+        return None
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get(VERSION)
+
+
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """All stored versions of a staged name, oldest first."""
+    database, _, table = name.rpartition(".")
+    where = f" IN {database}" if database else ""
+    found = sorted(r["tableName"] for r in spark.sql(f"SHOW TABLES{where} LIKE '{table}__v*'").collect())
+    return [f"{database}.{t}" if database else t for t in found]
 
-    The old table stays until the new one is complete, so ``df`` may read it and a failed
-    write loses nothing. With a ``key`` the table is bucketed and sorted by it, so that
-    later joins and aggregations on that key read it without a shuffle; the number of
-    buckets follows from the size unless given.
+
+def _swap(spark: SparkSession, name: str, version: str) -> None:
+    """Point ``name`` to ``version`` by replacing the view, one change in the catalog."""
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{VERSION}' = '{version}') AS SELECT * FROM {version}")
+
+
+def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a new version of a table and point ``name`` to it; return the stored rows.
+
+    The name is a view on the current version and is swapped in one step when the new one is
+    complete: a reader finds the old rows or the new ones at any time, ``df`` may read the old ones,
+    and a run that fails anywhere leaves them. The version before stays for its readers, older ones
+    are dropped. With a ``key`` a version is bucketed and sorted by it, so that later joins and
+    aggregations on that key read it without a shuffle; the number of buckets follows from the size
+    unless given. A plain table of that name becomes the oldest version.
     """
     spark = df.sparkSession
-    new, old = (f"{name}_{part}_{uuid.uuid4().hex[:8]}" for part in ("new", "old"))
+    version = f"{name}__v{time.time_ns() // 1000:017d}"
     writer = df.write.format("parquet")
     if key is not None:
         writer = writer.bucketBy(buckets or buckets_for(df), key).sortBy(key)
-    writer.saveAsTable(new)
-    if spark.catalog.tableExists(name):
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
-        spark.sql(f"DROP TABLE {old}")
-    else:
-        spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    writer.saveAsTable(version)
+    before = staged_version(spark, name)
+    if before is None and spark.catalog.tableExists(name):
+        before = f"{name}__v{0:017d}"
+        spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
+    _swap(spark, name, version)
+    for old in _versions(spark, name):
+        if before is not None and old < before:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
     return spark.read.table(name)
 
 
+def drop_staged(spark: SparkSession, name: str) -> None:
+    """Drop a staged name and all its versions; a name that does not exist is no error."""
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    for version in _versions(spark, name):
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
+
+
+def with_rank(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``_rank``, the 0-based place of a row by ``keys`` (NULL first), without a global sort.
+
+    Rows are sorted by ranges and stored with their number in the range; the totals of the ranges
+    before, a row each, are added. Rows that agree in all keys follow in any order.
+    """
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    stored = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_start")
+    )
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        stored.withColumn("_part", part).join(starts, "_part")
+        .withColumn("_rank", F.col("_start") + inside).drop("_part", "_at", "_start")
+    )
+
+
 def write_facts(facts: DataFrame, path: str, built: FactsOptions) -> None:
     """Store event facts by month, so that several datasets can read them instead of the sources.
 

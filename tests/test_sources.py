@@ -10,8 +10,15 @@ from cohortlens.operators.joins import broadcast_checked, join_salted
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import HOLDOUT_2025, TEST_2025, TRAIN_2025, WEEK_2025, Week
 from cohortlens.sources import files
-from cohortlens.sources.schema import DATASET_SCHEMA, coerce_dataset, ensure_columns, require_columns, split_sets
-from cohortlens.sources.staging import checkpoint_dir, read_facts, settle, stage_table, write_facts
+from cohortlens.sources.schema import (
+    DATASET_SCHEMA,
+    coerce_dataset,
+    ensure_columns,
+    require_columns,
+    split_sets,
+    validate,
+)
+from cohortlens.sources.staging import checkpoint_dir, drop_staged, read_facts, settle, stage_table, staged_version, write_facts
 from cohortlens.sources.tables import Rules, read_sources
 
 
@@ -126,7 +133,7 @@ def test_stage_table_is_rebuilt_and_joins_without_shuffle(spark, dataset):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for t in ("staged_a", "staged_b", "staged_plain"):
-            spark.sql(f"DROP TABLE IF EXISTS {t}")
+            drop_staged(spark, t)
 
 
 def test_staging_a_table_onto_itself_keeps_its_rows(spark, dataset):
@@ -139,7 +146,87 @@ def test_staging_a_table_onto_itself_keeps_its_rows(spark, dataset):
             stage_table(failing, "staged_self", key=None)
         assert spark.table("staged_self").count() == dataset.count()
     finally:
-        spark.sql("DROP TABLE IF EXISTS staged_self")
+        drop_staged(spark, "staged_self")
+
+
+def test_a_run_that_fails_before_the_swap_leaves_the_old_rows(spark, dataset, monkeypatch):
+    from cohortlens.sources import staging
+
+    try:
+        stage_table(dataset, "staged_swap")
+        first = staged_version(spark, "staged_swap")
+        with monkeypatch.context() as patch:
+            patch.setattr(staging, "_swap", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+            with pytest.raises(RuntimeError, match="killed"):
+                stage_table(dataset.limit(1), "staged_swap")
+        assert staged_version(spark, "staged_swap") == first
+        assert spark.table("staged_swap").count() == dataset.count()
+        reader = spark.table("staged_swap")
+        stage_table(dataset.limit(2), "staged_swap")
+        assert spark.table("staged_swap").count() == 2
+        assert reader.count() == dataset.count()  # planned before the swap, its version still stands
+        stage_table(dataset.limit(3), "staged_swap")
+        assert spark.table("staged_swap").count() == 3
+        assert len(staging._versions(spark, "staged_swap")) == 2 and not spark.catalog.tableExists(first)
+    finally:
+        drop_staged(spark, "staged_swap")
+
+
+def test_a_plain_table_becomes_a_version(spark, dataset):
+    try:
+        dataset.limit(4).write.saveAsTable("staged_plain_before")
+        assert stage_table(spark.table("staged_plain_before").limit(2), "staged_plain_before", key=None).count() == 2
+    finally:
+        drop_staged(spark, "staged_plain_before")
+
+
+def test_csv_rows_that_do_not_fit_are_kept_aside(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text(
+        "set,cutoff_date,user_id,n_qleads_90d,note\n"
+        "test,2025-07-01,a,3,fine\ntest,2025-07-01,b,many,x\ntest,2025-07-01,c\ntest,2025-07-01,d,1,x,y\n"
+        "test,soon,e,1.0,\ntest,2025-07-01,f,,\"a, b\"\ntest,never,g,none,z\n"
+    )
+    rows, rejected = files.read_csv_checked(spark, str(path))
+    assert [tuple(r)[2:] for r in rows.orderBy("user_id").collect()] == [("a", 3, "fine"), ("f", None, "a, b")]
+    assert rows.schema["cutoff_date"].dataType == T.DateType()
+    assert sorted((r.text, r.reasons) for r in rejected.collect()) == [
+        ("test,2025-07-01,b,many,x", ["n_qleads_90d: many"]), ("test,2025-07-01,c", ["columns"]), ("test,2025-07-01,d,1,x,y", ["columns"]),
+        ("test,never,g,none,z", ["cutoff_date: never", "n_qleads_90d: none"]), ("test,soon,e,1.0,", ["cutoff_date: soon"]),
+    ]
+    good, none = files.read_csv_checked(spark, str(path), T.StructType([T.StructField("note", T.StringType())]))
+    assert good.count() == 2 and none.count() == 5
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_sorted_files_have_their_rows_and_order(spark, tmp_path, fmt):
+    df = spark.range(1003).selectExpr("cast(pmod(hash(id), 400) AS int) AS k", "id AS v").withColumn("k", F.when(F.col("v") % 100 != 7, F.col("k")))
+    files.write_sorted(df.repartition(9), str(tmp_path / "out"), ["k", "v"], 250, fmt)
+    read = spark.read.option("header", True).format(fmt).load(str(tmp_path / "out"))
+    folders = sorted(p.name for p in (tmp_path / "out").glob("file=*"))
+    assert folders == [f"file={i:07d}" for i in range(5)]
+    assert all(len(list((tmp_path / "out" / f).glob("part-*"))) == 1 for f in folders)
+    got = [(r.k, int(r.v)) for f in folders for r in spark.read.option("header", True).format(fmt).load(str(tmp_path / "out" / f)).collect()]
+    want = sorted(((r.k, r.v) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(None if k is None else int(k), v) for k, v in got] == want and read.count() == 1003
+    with pytest.raises(ValueError):
+        files.write_sorted(df, str(tmp_path / "none"), [])
+
+
+def test_validation_lists_what_a_run_refuses(spark, dataset):
+    assert validate(dataset).count() == 0
+    broken = dataset.filter("set = 'train'").withColumns({
+        "user_id": F.when(F.col("user_id") != "u1", F.col("user_id")), "n_qleads_90d": F.lit("many"),
+        "target_30d": F.when(F.col("user_id") == "u2", 2).otherwise(F.lit(None)).cast("int"),
+    }).drop("n_bookings_90d", "recency_last_qlead")
+    n = broken.count()
+    one, two = (broken.filter(x).count() for x in ("user_id IS NULL", "user_id = 'u2'"))
+    got = {(r.rule, r.column): r["rows"] for r in validate(broken).collect()}
+    want = {("empty set", "test"): 0, ("missing column", "n_bookings_90d"): n, ("missing column", "recency_last_qlead"): n,
+            ("not a number", "n_qleads_90d"): n, ("no key", "user_id"): one, ("bad label", "target_30d"): two, ("no label", "target_30d"): n - two}
+    assert got == {k: v for k, v in want.items() if v or k[0] == "empty set"}
+    assert {(r.rule, r.column): r["rows"] for r in validate(dataset.limit(0)).collect()} == {("empty set", "train"): 0, ("empty set", "test"): 0}
+    assert {r.column for r in validate(dataset.withColumn("set", F.lit("other"))).collect()} == {"train", "test", "set"}
 
 
 @pytest.fixture(scope="module")
