@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.registry import FROZEN, FROZEN_INTERCEPT
+from checks.registry import FIXED_BLOCKS, FROZEN, FROZEN_INTERCEPT, RUN, RUN_INTERCEPT
 
 # The event streams: uid, oid, d (and km), distinct.
 EVENTS = """
@@ -477,3 +477,78 @@ FROM binned GROUP BY set, bin""",
     "roc_points": _metric(AT_LEAST, ROC_BODY),
     "pr_points": _metric(AT_LEAST, PR_BODY),
 }
+
+
+def _margin(coefficients: dict[str, float], intercept: float) -> str:
+    terms = " + ".join(f"({w!r}) * {_filled('km_log' if c == 'reg_km_log1p' else c)}" for c, w in coefficients.items())
+    return f"({intercept!r} + {terms})"
+
+
+def _interpolated(x: str) -> str:
+    """The value of the fixed blocks at a margin: linear between them, clipped outside."""
+    knots = [(m, pos / n) for lo, hi, n, pos in FIXED_BLOCKS for m in (lo, hi)]
+    cases = [f"WHEN {x} <= {knots[0][0]} THEN {knots[0][1]!r}"]
+    cases += [
+        f"WHEN {x} <= {b} THEN {v!r} + ({w!r} - {v!r}) * ({x} - ({a})) / ({b} - ({a}))" for (a, v), (b, w) in zip(knots, knots[1:])
+    ]
+    return f"CASE {' '.join(cases)} ELSE {knots[-1][1]!r} END::DOUBLE"
+
+
+_LOGGED = "(SELECT *, LOG10(reg_km_last + 1.0::DOUBLE) AS km_log FROM ds)"
+# Scores of a run at fixed coefficients, in place of those on the grid.
+RUN_SCORED = TRAIN_TEST + f""",
+scored AS (
+  SELECT set, cutoff_date, user_id, target_30d AS y, 1 / (1 + EXP(-{_margin(RUN, RUN_INTERCEPT)})) AS p FROM {_LOGGED})
+"""
+
+
+def _of_run(name: str, only: str = "WHERE set = 'test'", numbers: tuple[str, ...] = ()) -> str:
+    changed = ", ".join(f"ROUND({c}, 6) AS {c}" for c in numbers)
+    replace = f" REPLACE ({changed})" if numbers else ""
+    return f"SELECT set AS split, * EXCLUDE (set){replace} FROM ({ORACLE[name].replace(SCORED, RUN_SCORED)}) {only}"
+
+
+_LINE = "set || ',' || cutoff_date::VARCHAR || ',' || user_id"
+SAVED = HOLDOUT + f"""
+SELECT user_id, ROUND({_interpolated("x")}, 6) AS y_prob FROM (SELECT user_id, {_margin(FROZEN, FROZEN_INTERCEPT)} AS x FROM {_LOGGED})"""
+ORACLE |= {
+    "staged_dataset": ORACLE["dataset_train_test"],
+    "csv_dataset": ORACLE["dataset_train_test"],
+    "csv_checked_rows": TRAIN_TEST + "SELECT set, cutoff_date, user_id, n_qleads_90d FROM ds WHERE user_id::BIGINT % 7 > 1",
+    "csv_rejected_rows": TRAIN_TEST + f"""
+SELECT {_LINE} || CASE WHEN user_id::BIGINT % 7 = 0 THEN ',many' ELSE '' END AS text,
+  CASE WHEN user_id::BIGINT % 7 = 0 THEN 'n_qleads_90d: many' ELSE 'columns' END AS reasons
+FROM ds WHERE user_id::BIGINT % 7 <= 1""",
+    "sorted_export": TRAIN_TEST + """
+SELECT ((i - 1) // 200)::INTEGER AS file, COUNT(*) AS n, MIN(key) AS first_key, MAX(key) AS last_key, TRUE AS in_order
+FROM (SELECT set || ' ' || user_id AS key, ROW_NUMBER() OVER (ORDER BY set, user_id) AS i FROM ds) GROUP BY 1""",
+    "predictions_sink": ORACLE["predictions_topk"],
+    "scores_sink": ORACLE["score_holdout_fixed"],
+    "scores_without_ids": f"""
+SELECT COUNT(*) AS n, COUNT(*) AS ids, ROUND(SUM(y_prob), 4) AS total FROM ({ORACLE["score_holdout_fixed"]})""",
+    "sweep_sink": ORACLE["threshold_sweep"],
+    "metrics_document_rows": f"SELECT set AS split, roc_auc, pr_auc, brier, positive_rate FROM ({METRICS_BY_SET})",
+    "threshold_document": f"""
+SELECT topk_fraction, threshold, precision AS precision_at_k, recall AS recall_at_k, tn, fp, fn, tp
+FROM ({ORACLE["topk_threshold_report"]}) WHERE set = 'test'""",
+    "saved_model_scores": SAVED,
+    "saved_table_model_scores": SAVED,
+    "validation_findings": TRAIN_TEST + """,
+rows AS (SELECT user_id::BIGINT AS u FROM ds WHERE set = 'train')
+SELECT * FROM (
+  SELECT 'empty set' AS rule, 'test' AS "column", 0::BIGINT AS rows
+  UNION ALL SELECT 'missing column', c, COUNT(*) FROM rows, (VALUES ('n_bookings_90d'), ('recency_last_qlead')) m(c) GROUP BY c
+  UNION ALL SELECT 'no key', 'user_id', COUNT(*) FROM rows WHERE u % 4 = 0
+  UNION ALL SELECT 'no label', 'target_30d', COUNT(*) FROM rows WHERE u % 3 = 0
+  UNION ALL SELECT 'bad label', 'target_30d', COUNT(*) FROM rows WHERE u % 3 = 1
+  UNION ALL SELECT 'not a number', 'n_qleads_90d', COUNT(*) FROM rows WHERE u % 5 = 0
+) WHERE rule = 'empty set' OR rows > 0""",
+    "run_metrics": _of_run("metrics_by_set", only=""),
+    "run_predictions": f"""
+SELECT * REPLACE (ROUND(y_prob, 6) AS y_prob) FROM ({ORACLE["predictions_topk"].replace(SCORED, RUN_SCORED)})""",
+    "run_threshold": _of_run("topk_threshold_report", numbers=("threshold",)),
+    "run_sweep": _of_run("threshold_sweep", numbers=("threshold",)),
+    "run_lift": _of_run("lift_by_decile"),
+    "run_calibration": _of_run("calibration_bins"),
+    "run_auc_by_set": f"SELECT * FROM ({ORACLE['auc_by_set'].replace(SCORED, RUN_SCORED)}) WHERE set = 'test'",
+}

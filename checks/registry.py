@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,14 +19,15 @@ from cohortlens.operators import features as ft
 from cohortlens.operators import model as md
 from cohortlens.operators import ranking as rk
 from cohortlens.operators.cohorts import new_accounts, union_users
-from cohortlens.operators.isotonic import isotonic_blocks, isotonic_values
+from cohortlens.operators.isotonic import BLOCK, MODEL_BLOCKS, isotonic_blocks, isotonic_values, step_stage
 from cohortlens.operators.labels import label_universe
 from cohortlens.plans import datasets as ds
 from cohortlens.plans.periods import feature_span, label_span
 from cohortlens.plans.scoring import score_rows
-from cohortlens.plans.training import TrainOptions, fit_model, learning_curve, learning_fits, train_and_evaluate
-from cohortlens.sources.schema import LABEL, coerce_dataset, model_features, split_sets
-from cohortlens.sources.staging import settle
+from cohortlens.plans.training import TrainingRun, TrainOptions, fit_model, learning_curve, learning_fits, train_and_evaluate
+from cohortlens.sources import files
+from cohortlens.sources.schema import LABEL, coerce_dataset, model_features, split_sets, validate
+from cohortlens.sources.staging import checkpoint_dir, drop_staged, settle, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -395,6 +398,144 @@ def coefficient_names(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# -- sinks, persistence and validation: written, read back and compared ------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach."""
+    shared = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(name: str, fmt: str, query: Query) -> Query:
+    """A query's rows, written as a table and read back."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows, path = query(spark, sf), scratch(spark, name)
+        files.write_table(rows, path, fmt)
+        return files.read_table(spark, path, rows.schema, fmt)
+
+    return run
+
+
+def staged_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset staged over an older version of itself, read through its name."""
+    rows, name = rounded(train_test(spark, sf), "reg_km_log1p"), f"staged_{uuid.uuid4().hex}"
+    path = scratch(spark, "staged")
+    try:
+        stage_table(rows.filter("set = 'train'"), name)
+        stage_table(rows.filter("set = 'test'").unionByName(spark.read.table(name)), name)
+        files.write_table(spark.read.table(name), path, "parquet")
+    finally:
+        drop_staged(spark, name)
+    return files.read_table(spark, path, rows.schema, "parquet")
+
+
+def csv_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    files.write_dataset(train_test(spark, sf), path, "csv")
+    rows, rejected = files.read_csv_checked(spark, path)
+    return rounded(rows.join(rejected.select(F.col("text").alias("user_id")), "user_id", "left_anti"), "reg_km_log1p").select(*ds.DATASET_COLUMNS)
+
+
+def _broken_csv(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Dataset rows as CSV, a seventh with a text for a number and a seventh with a value too few."""
+    path, kind = scratch(spark, "broken"), F.col("user_id").cast("long") % 7
+    line = F.concat_ws(",", "set", "cutoff_date", "user_id")
+    train_test(spark, sf).select(
+        F.when(kind == 0, F.concat(line, F.lit(",many"))).when(kind == 1, line).otherwise(F.concat_ws(",", line, "n_qleads_90d"))
+        .alias("set,cutoff_date,user_id,n_qleads_90d")
+    ).write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\u0001").csv(path)
+    return files.read_csv_checked(spark, path)
+
+
+def csv_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return _broken_csv(spark, sf)[1].select("text", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def sorted_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and first and last key of sorted files, and whether each is in order."""
+    path = scratch(spark, "sorted")
+    files.write_sorted(train_test(spark, sf).select("set", "user_id", "n_qleads_90d"), path, ["set", "user_id"], 200)
+    rows = spark.read.schema("set string, user_id string, n_qleads_90d long, file int").option("header", True).csv(path)
+    key = F.concat_ws(" ", "set", "user_id")
+    line = Window.partitionBy("file").orderBy("at")
+    lines = rows.withColumns({"key": key, "at": F.monotonically_increasing_id()}).withColumn("before", F.lag("key").over(line))
+    return lines.groupBy("file").agg(
+        F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"),
+        F.bool_and(F.coalesce(F.col("before") < F.col("key"), F.lit(True))).alias("in_order"),
+    )
+
+
+def scores_without_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of rows without ids, written as several files: the generated ids are unique."""
+    model = md.fixed_model(spark, FROZEN, FROZEN_INTERCEPT)
+    path = scratch(spark, "scores")
+    files.write_table(score_rows(model, holdout(spark, sf).drop("user_id").repartition(5)), path, "parquet")
+    return spark.read.parquet(path).agg(
+        F.count("*").alias("n"), F.countDistinct("user_id").alias("ids"), F.round(F.sum(F.round("y_prob", 6)), 4).alias("total")
+    )
+
+
+def _metrics_folder(spark: SparkSession, sf: str) -> str:
+    scored = proxy_scored(spark, sf).withColumn("split", F.lower("set"))
+    table, folder = rk.score_table(scored, by=["split"]), scratch(spark, "metrics")
+    top = rk.top_k_report(table.filter("split = 'test'"), 0.1, ["split"])
+    files.write_metrics(files.metrics_document(rk.metrics(table, ["split"]), top, NEWTON_FEATURES), folder)
+    return folder
+
+
+def metrics_document_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(files.metrics_rows(spark, _metrics_folder(spark, sf)), "roc_auc", "pr_auc", "brier", "positive_rate")
+
+
+def threshold_document(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(files.thresholding_rows(spark, _metrics_folder(spark, sf)), "precision_at_k", "recall_at_k")
+
+
+#: A calibrator with given blocks: margin from and to, rows, positives.
+FIXED_BLOCKS = [(-4.0, -2.5, 10.0, 1.0), (-1.0, 0.0, 10.0, 4.0), (2.0, 9.0, 10.0, 9.0)]
+
+
+def _saved_scores(model_blocks: int) -> Query:
+    """Holdout scores of a fixed model with a fixed calibrator, saved and loaded before use."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        blocks = spark.createDataFrame(FIXED_BLOCKS, BLOCK)
+        base = md.fixed_model(spark, FROZEN, FROZEN_INTERCEPT)
+        folder = scratch(spark, "model")
+        model = PipelineModel([*base.stages, step_stage(blocks, "rawPrediction", "calibrated", model_blocks)])
+        model.write().overwrite().save(f"{folder}/model")
+        return rounded(score_rows(files.load_model(folder), holdout(spark, sf)), "y_prob")
+
+    return run
+
+
+def validation_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings on a dataset without test rows, with columns missing, labels gone and texts for numbers."""
+    number = F.col("user_id").cast("long")
+    broken = train_rows(spark, sf).drop("n_bookings_90d", "recency_last_qlead").withColumns({
+        LABEL: F.when(number % 3 == 0, F.lit(None).cast("int")).when(number % 3 == 1, F.lit(7)).otherwise(F.col(LABEL)),
+        "n_qleads_90d": F.when(number % 5 == 0, F.lit("many")).otherwise(F.col("n_qleads_90d").cast("string")),
+        "user_id": F.when(number % 4 != 0, F.col("user_id")),
+    })
+    return validate(broken)
+
+
+# Coefficients without simple ratios, so that no two different rows share a score by chance.
+RUN_INTERCEPT = -2.917341
+RUN = {c: w * (1 + 0.0137717 * (i + 1)) for i, (c, w) in enumerate(FROZEN.items())}
+
+
+def _run_report(name: str, *numbers: str) -> Query:
+    """A report of a training run at fixed coefficients."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = settle(coerce_dataset(train_test(spark, sf)))
+        train, test = split_sets(rows)
+        fixed = TrainingRun(md.fixed_model(spark, RUN, RUN_INTERCEPT), model_features(rows), TrainOptions(), train, test)
+        return rounded(fixed[name], *numbers)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "sales_lead_events": _events(ev.sales_lead_events),
     "booking_events": _events(ev.booking_events),
@@ -480,4 +621,25 @@ QUERIES: dict[str, Query] = {
     "fit_two_features": coefficients_two_features,
     "sigmoid_map": sigmoid_map,
     "coefficient_names": coefficient_names,
+    "staged_dataset": staged_dataset,
+    "csv_dataset": csv_dataset,
+    "csv_checked_rows": lambda spark, sf: _broken_csv(spark, sf)[0],
+    "csv_rejected_rows": csv_rejected,
+    "sorted_export": sorted_export,
+    "predictions_sink": _stored("predictions", "csv", flagged),
+    "scores_sink": _stored("scores", "csv", _fixed_scores(holdout)),
+    "scores_without_ids": scores_without_ids,
+    "sweep_sink": _stored("sweep", "csv", sweep),
+    "metrics_document_rows": metrics_document_rows,
+    "threshold_document": threshold_document,
+    "saved_model_scores": _saved_scores(MODEL_BLOCKS),
+    "saved_table_model_scores": _saved_scores(0),
+    "validation_findings": validation_findings,
+    "run_metrics": _run_report("metrics", "roc_auc", "pr_auc", "brier", "positive_rate"),
+    "run_predictions": _run_report("predictions", "y_prob"),
+    "run_threshold": _run_report("test_thresholding", "threshold", "precision", "recall"),
+    "run_sweep": _run_report("threshold_sweep", "threshold", "precision", "recall"),
+    "run_lift": _run_report("lift_table", "mean_p", "response_rate", "lift"),
+    "run_calibration": _run_report("calibration", "mean_predicted", "positive_fraction"),
+    "run_auc_by_set": _run_report("auc_by_set", "auc"),
 }
