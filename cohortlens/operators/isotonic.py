@@ -117,8 +117,9 @@ def isotonic_blocks(points: DataFrame, ranges: int | None = None, rows_per_range
     ).filter("n > 0"))
     if ranges is None:
         ranges = max(1, math.ceil(merged.count() / rows_per_range))
+    ranged = merged.repartitionByRange(ranges, "margin") if ranges > 1 else merged.coalesce(1)
     pooled = settle(
-        merged.repartitionByRange(ranges, "margin").sortWithinPartitions("margin")
+        ranged.sortWithinPartitions("margin")
         .mapInArrow(_pool_range, f"part int, {BLOCK}, in_n double, in_pos double")
     )
     if ranges == 1:

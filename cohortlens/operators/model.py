@@ -7,6 +7,7 @@ included.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.scalars import user_bucket
 from cohortlens.operators.isotonic import MODEL_BLOCKS, StepMap, isotonic_blocks, step_stage
+from cohortlens.operators.newton import fit_nested
 from cohortlens.sources.schema import LABEL, RECENCY_FEATURES, ensure_columns
 from cohortlens.sources.staging import settle
 
@@ -94,34 +96,28 @@ def fit_logistic(
     missing_recency: float = MISSING_RECENCY,
     label: str = LABEL,
 ) -> PipelineModel:
-    """Logistic regression on features divided by their population deviation.
+    """Logistic regression on features divided by their population deviation, by Newton passes.
 
-    The penalty weighs against the summed loss (``C``), as opposed to Spark's
-    ``regParam``, which weighs against the mean loss. A constant feature keeps its
-    scale.
+    The penalty weighs against the summed loss (``C``). A constant feature keeps its scale.
     """
     if penalty not in ("l2", "elasticnet"):
         raise ValueError(f"Unknown penalty: {penalty}")
-    prepare = _prepare(features, missing_recency)
-    rows = fit.select(*features, F.col(label).cast("double").alias("label"))
-    stats = fit_statistics(rows, features, missing_recency, "label").first()
-    n, positives = stats["n"], int(stats["pos"] or 0)
-    if not 0 < positives < n:
-        raise ValueError("The fit rows need both classes")
-    weights = {1: n / (2 * positives), 0: n / (2 * (n - positives))}
-    scale = [1.0 / stats[f] if stats[f] > 0 else 1.0 for f in features]
+    x = imputed(features, missing_recency)
+    named = {f"{_PREFIX}{f}": x[f] for f in features}
+    rows = fit.select(F.lit(0).alias("group"), F.col(label).cast("double").alias("label"), *[c.alias(n) for n, c in named.items()])
+    ridge_share = 1.0 - (l1_ratio if penalty == "elasticnet" else 0.0)
+    found = fit_nested(settle(rows), list(named), 1, ridge_share, C)[0]
     scaler = ElementwiseProduct(
-        scalingVec=Vectors.dense(scale), inputCol="assembled", outputCol="features"
-    )
-    ready = scaler.transform(PipelineModel(prepare).transform(rows)).select(
-        "features", "label",
-        F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]).alias("weight"),
-    )
-    logistic = LogisticRegression(
-        weightCol="weight", maxIter=MAX_ITER, standardization=False,
-        regParam=1.0 / (C * n), elasticNetParam=l1_ratio if penalty == "elasticnet" else 0.0,
+        scalingVec=Vectors.dense(found.scale.tolist()), inputCol="assembled", outputCol="features"
     )
-    return PipelineModel([*prepare, scaler, logistic.fit(ready)])
+    return PipelineModel([*_prepare(features, missing_recency), scaler, _logistic(fit.sparkSession, found.scaled, found.intercept)])
+
+
+def _logistic(spark: SparkSession, coefficients: Sequence[float], intercept: float) -> LogisticRegressionModel:
+    """Spark's own model with given coefficients."""
+    weights = _py2java(spark.sparkContext, Vectors.dense([float(c) for c in coefficients]))
+    ml = spark._jvm.org.apache.spark.ml.classification
+    return LogisticRegressionModel(ml.LogisticRegressionModel(f"logistic_{uuid.uuid4().hex[:12]}", weights, float(intercept)))
 
 
 def fixed_model(spark: SparkSession, coefficients: dict[str, float], intercept: float, missing_recency: float = MISSING_RECENCY) -> PipelineModel:
@@ -129,10 +125,9 @@ def fixed_model(spark: SparkSession, coefficients: dict[str, float], intercept:
     scaler = ElementwiseProduct(
         scalingVec=Vectors.dense([1.0] * len(coefficients)), inputCol="assembled", outputCol="features"
     )
-    ml = spark._jvm.org.apache.spark.ml
-    weights = _py2java(spark.sparkContext, Vectors.dense(list(coefficients.values())))
-    logistic = ml.classification.LogisticRegressionModel("fixed_logistic", weights, float(intercept))
-    return PipelineModel([*_prepare(list(coefficients), missing_recency), scaler, LogisticRegressionModel(logistic)])
+    return PipelineModel([
+        *_prepare(list(coefficients), missing_recency), scaler, _logistic(spark, list(coefficients.values()), intercept)
+    ])
 
 
 def loss_slopes(model: PipelineModel, fit: DataFrame, penalty: str, l1_ratio: float, C: float, label: str = LABEL) -> DataFrame:

@@ -23,12 +23,13 @@ TOLERANCE = 1e-9
 
 @dataclass
 class NestedFit:
-    """One sample's fit: ``coefficients`` belong to the features as they are, ``scaled`` to those over their deviation."""
+    """One sample's fit: ``coefficients`` belong to the features as they are, ``scaled`` to those times ``scale``."""
 
     rows: int
     intercept: float
     coefficients: np.ndarray
     scaled: np.ndarray
+    scale: np.ndarray
 
 
 def _group_statistics(rows: DataFrame, names: Sequence[str], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,4 +143,4 @@ def fit_nested(
             done[s] = np.abs(beta[s] - kept[s]).max() < TOLERANCE
         if done.all():
             break
-    return [NestedFit(int(n[s]), float(beta[s, -1]), beta[s, :-1] * scale[s], beta[s, :-1]) for s in range(groups)]
+    return [NestedFit(int(n[s]), float(beta[s, -1]), beta[s, :-1] * scale[s], beta[s, :-1], scale[s]) for s in range(groups)]
