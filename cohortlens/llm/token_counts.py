@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cohortlens.llm.common import table
-from cohortlens.llm.token_ids import slices
+from cohortlens.llm.common import table, valid_texts
+from cohortlens.llm.token_ids import byte_letters, slices
 
 LIMIT = 2048
 LAST = 256  # added to the last byte of a word
@@ -38,17 +38,12 @@ WARM = 24
 #: States after which a worker starts its transducer anew.
 MOST_STATES = 120_000
 SLOT_BITS = 22
-SPACE, LETTER, NUMBER, OTHER = range(4)
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
+#: Below this code point no character combines with others, and lower case and NFC never change.
+STABLE = 0x300
 ABSENT = 1 << 60
 
 
-def byte_letters() -> list[str]:
-    """The printable character by which byte-level vocabularies write each byte."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
 class Transducer:
     """Deterministic transducer of a BPE vocabulary with marked word ends, compiled on demand."""
 
@@ -217,20 +212,30 @@ class TokenCounter:
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, model["end_of_word_suffix"])
         self.special = re.compile("|".join(re.escape(t["content"]) for t in described["added_tokens"]) or "(?!)")
-        kinds = np.full(0x110000, OTHER, np.uint8)
-        for code in range(0x110000):
-            category = unicodedata.category(chr(code))[0]
-            if category in "LN":
-                kinds[code] = LETTER if category == "L" else NUMBER
-        for code in [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]:
-            kinds[code] = SPACE
-        self.kinds = kinds
+        self.tokenizer = Tokenizer.from_file(file)
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+
+    def _kinds(self, codes: np.ndarray) -> np.ndarray:
+        """The class of each character as the library's own pattern sees it, asked once a character.
+
+        Between two letters a letter stays inside one piece, and white space makes no piece. Between
+        two other marks a mark does, a number does not.
+        """
+        kind = self.kinds[codes]
+        if (kind == UNKNOWN).any():
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            for code in np.unique(codes[kind == UNKNOWN]).tolist():
+                c = chr(code)
+                pieces = len(split(f"a{c}a"))
+                self.kinds[code] = LETTER if pieces == 1 else SPACE if pieces == 2 else OTHER if len(split(f"!{c}!")) == 1 else NUMBER
+            kind = self.kinds[codes]
+        return kind
 
     def _symbols(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of a normalised text, and the byte of the text that each stands for."""
         data = np.frombuffer(text.encode(), np.uint8)
         codes = data if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        kind = self.kinds[codes]
+        kind = self._kinds(codes)
         last = np.ones(len(codes), bool)
         last[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == NUMBER)
         # 's 't 'm 'd 're 've 'll after anything but another mark are words of their own
@@ -259,10 +264,8 @@ class TokenCounter:
         """Counts of texts without special strings."""
         joined = "\n".join(texts)
         if not joined.isascii():
-            if not unicodedata.is_normalized("NFC", joined):
-                texts = [unicodedata.normalize("NFC", t) for t in texts]
-            # a final sigma is not told apart
-            texts = [t.replace("Σ", "σ").lower() for t in texts]
+            normal = self.tokenizer.normalizer.normalize_str
+            texts = [t.lower() if t.isascii() or max(t) < chr(STABLE) else normal(t) for t in texts]
             joined = "\n".join(texts)
         else:
             joined = joined.lower()
@@ -319,7 +322,8 @@ def token_counts(
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit.
 
     ``vocabulary`` is a tokenizers file with a BPE model that marks word ends. A null text
-    counts as empty, with 0 bytes and tokens. Rows that share a doc_id are counted each by
+    counts as empty, with 0 bytes and tokens; what is not UTF-8 in a text counts as a
+    replacement character. Rows that share a doc_id are counted each by
     itself, a null id stays null. Other columns are ignored, an empty table gives an empty
     result.
     """
@@ -328,7 +332,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.string())
+            texts = valid_texts(batch.column(1))
             for rows in slices(texts):
                 part = texts[rows.start:rows.stop]
                 n = counter(file).count(part.to_pylist())
