@@ -18,7 +18,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import table
+from cohortlens.llm.common import table, valid_texts
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many.
@@ -156,16 +156,17 @@ def contamination(
     ``n_hit`` counts the words inside any occurrence of a window, ``item_ids`` lists the
     items of those windows (as strings, sorted, once each; a null id is the empty string)
     and ``spans`` their character ranges in the original text. Null and empty texts have no
-    words, an item without words no window. Other columns are ignored, an empty table of
+    words, an item without words no window; what is not UTF-8 in a text reads as a replacement
+    character. Other columns are ignored, an empty table of
     documents gives an empty result, an empty benchmark no hits.
     """
     scanner = Scanner(docs, benchmark, item_col, item_text_col, window, block_chars, max_chars)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, item_ids, spans = [], [], [], []
-            for value in batch.column(1):
+            for value in valid_texts(batch.column(1)):
                 text = value.as_py() or ""
                 words, ranges, items = scanner.scan(text)
                 at = [x.span() for x in WORD.finditer(text)] if ranges else []
@@ -186,20 +187,25 @@ def contamination(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Null and empty texts have no words and stay; rows that share an id are judged each by itself.
+    Columns may have any names; an empty table gives an empty result, an empty benchmark all rows.
+    """
     scanner = Scanner(docs, benchmark, **options)
     at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = []
-            for value in batch.column(at):
+            for value in valid_texts(batch.column(0).field(at)):
                 words, ranges, _ = scanner.scan(value.as_py() or "")
                 hit = sum(b - a for a, b in ranges)
                 clean.append(hit == 0 or LEAST_SHARE * hit < words)
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).select("row.*")
 
 
 def is_contaminated() -> Column:

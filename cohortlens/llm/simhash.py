@@ -40,9 +40,9 @@ BLOCK_PAIRS = list(combinations(range(4), 2))
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a text; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a text in UTF-8; 0 without words. Wrong bytes count as they are."""
+    words = (text or b"").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
+            marks = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1).cast(pa.binary())], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
 
     return picked.mapInArrow(mark, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -128,7 +128,7 @@ def simhash_groups(
 
     ``component_id`` is the smallest doc_id reachable by links of two differing bits or
     fewer, itself included. Texts without words share the fingerprint zero and link like
-    any other. A row without a doc_id takes part and never names a component that has ids.
+    any other; bytes that are not UTF-8 count as they are. A row without a doc_id takes part and never names a component that has ids.
     Rows that share a doc_id are rows of their own. Other columns are ignored, an empty
     table gives an empty result.
     """
@@ -148,19 +148,18 @@ def simhash_groups(
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each component, that of the smallest doc_id, with all its columns.
 
-    Of rows with that doc_id, the one of the smallest text hash stays.
+    Of rows with that doc_id, the one of the smallest text hash stays; a row without a doc_id only
+    where no row of its component has one. Null and empty texts are one component. Columns may have
+    any names; an empty table gives an empty result.
     """
-    names = {c.lower() for c in docs.columns}
-    mark = next(f"row_mark{i or ''}" for i in range(len(names) + 1) if f"row_mark{i or ''}" not in names)
-    marked = docs.withColumn(mark, F.xxhash64(text_col))
-    groups = simhash_groups(
-        docs.select(F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col)).alias("doc_id"), F.col(text_col).alias("text")),
-        **options,
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("mark"), F.col(f"`{text_col}`").alias("text"),
     )
+    groups = simhash_groups(rows.select(F.struct(F.col("id").isNull(), "id", "mark").alias("doc_id"), "text"), **options)
     keep = groups.select(F.col("component_id").alias("keep")).distinct().select("keep.*").toDF("no_id", "keep_id", "keep_mark").drop("no_id")
-    same = marked[id_col].eqNullSafe(keep["keep_id"]) & (marked[mark] == keep["keep_mark"])
-    joined = marked.join(keep, same, "left_semi")
-    return joined.dropDuplicates([id_col, mark]).drop(mark)
+    joined = rows.drop("text").join(keep, F.expr("id <=> keep_id AND mark = keep_mark"), "left_semi")
+    return joined.dropDuplicates(["id", "mark"]).select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

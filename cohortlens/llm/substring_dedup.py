@@ -40,8 +40,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8; wrong bytes count as they are."""
+    return (text or b"").split()
 
 
 def _sequence_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def _read(docs: DataFrame, id_type: str, window: int, prefix: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, shas, anchors = [], [], []
-            for value in batch.column(1):
+            for value in batch.column(1).cast(pa.binary()):
                 words = words_of(value.as_py())
                 n_words.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).digest())
@@ -99,8 +100,9 @@ def _suffixes(held: DataFrame, id_type: str, window: int, prefix: int) -> DataFr
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, starts, labels = [], [], [], []
+            texts = batch.column(1).cast(pa.binary())
             for row in range(batch.num_rows):
-                anchors, hashes = anchored_windows(words_of(batch.column(1)[row].as_py()), window, prefix)
+                anchors, hashes = anchored_windows(words_of(texts[row].as_py()), window, prefix)
                 live = batch.column(3)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.flatnonzero(np.isin(anchors, live))
                 at = at[np.argsort(anchors[at], kind="stable")]
@@ -174,8 +176,9 @@ def _cut(flagged: DataFrame, id_type: str, window: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept, spans = [], [], [], []
+            texts = batch.column(1).cast(pa.binary())
             for row in range(batch.num_rows):
-                words = words_of(batch.column(1)[row].as_py())
+                words = words_of(texts[row].as_py())
                 starts = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
                 depth = np.zeros(len(words) + 1, np.int32)
                 np.add.at(depth, starts, 1)

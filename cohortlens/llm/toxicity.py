@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.llm.common import settle, table
 from cohortlens.llm.token_ids import slices
@@ -45,7 +46,8 @@ WORD_BYTES = np.array([
     b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b
     for b in range(256)
 ], np.uint8)
-PAD = max(WIDTHS) - 1
+#: Blanks after a text: enough for a text without words to have a place for every filter.
+PAD = max(WIDTHS)
 
 
 def distinct_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -91,8 +93,9 @@ class Network:
     def features(self, vectors: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maxima of all filters for each text, the place of each, and the padded words.
 
-        ``vectors`` holds the distinct words' vectors. Padding of zero vectors keeps texts apart
-        and gives a text without words the features of the padding.
+        ``vectors`` holds the distinct words' vectors. A text is followed by zero vectors, and a
+        filter counts only where it ends within the text and these, so a score depends on its own
+        text alone; a text without words has the features of the zero vectors.
         """
         total = len(words) + PAD * len(sizes)
         starts = np.cumsum(sizes + PAD) - (sizes + PAD)
@@ -110,6 +113,8 @@ class Network:
             reach = np.zeros((total, FILTERS), np.float32)
             for k in range(len(kernel)):
                 reach += (vectors @ kernel[k])[padded[k:k + total]]
+            for k in range(1, len(kernel)):  # places from which a filter would reach into the next text
+                reach[ends + PAD - k] = -np.inf
             cols = slice(i * FILTERS, (i + 1) * FILTERS)
             top = np.maximum.reduceat(reach, starts, axis=0)
             maxima[:, cols] = top
@@ -230,11 +235,12 @@ def labelled_sample(docs: DataFrame, known: DataFrame, train_rows: int, train_ch
         top = known.filter(F.col("toxic") == kind).orderBy(order, "doc_id").limit(min(train_rows, own - own // 3))
         drawn += [(r.doc_id, kind) for r in top.collect()]
     picked = docs.sparkSession.createDataFrame(drawn, known.select("doc_id").schema.add("toxic", "integer"))
+    # Of rows that share an id, one is learned.
     rows = (
         docs.join(F.broadcast(picked), "doc_id").filter(F.char_length("text") <= train_chars)
-        .select("doc_id", "text", "toxic").collect()
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     )
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    rows.sort(key=lambda r: r.doc_id)
     return rows, counts.get(0, 0) / max(counts.get(1, 0), 1)
 
 
@@ -274,11 +280,13 @@ def fit_network(docs: DataFrame, known: DataFrame, train_rows: int, train_chars:
 
 def fit(
     docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, cut: float = CUT,
-) -> tuple[Network, dict, DataFrame]:
-    """The trained network, the threshold of each language, and (doc_id, lang, score) of every row.
+    row_text: int | None = None,
+) -> tuple[dict, DataFrame]:
+    """The threshold of each language, and (doc_id, lang, score) of every row.
 
     ``docs``: doc_id, text, lang. Thresholds cover all labelled rows, with their whole texts,
-    but the held-out quarter and the rows learned from.
+    but the held-out quarter and the rows learned from. With ``row_text``, ``docs`` also has a
+    struct ``row``, which holds the text at that place and stays with the score.
     """
     labels = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "toxic")
     known = settle(known_labels(labels), "toxicity-labels")
@@ -288,17 +296,17 @@ def fit(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(BINS + 1) / BINS
         for batch in batches:
-            scores = sent.value.all_scores(batch.column(1).cast(pa.string()))
+            texts = batch.column(2) if row_text is None else batch.column(2).field(row_text)
+            scores = sent.value.all_scores(pc.fill_null(texts.cast(pa.string()), ""))
             bins = np.searchsorted(edges, scores, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array(bins, pa.int32())],
-                names=["doc_id", "lang", "score", "bin"],
-            )
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array(bins, pa.int32()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns[:len(out)], names=out.names)
 
-    id_type, lang_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "lang"))
+    out = T.StructType([*(docs.schema[c] for c in ("doc_id", "lang")), T.StructField("score", T.DoubleType()), T.StructField("bin", T.IntegerType())])
+    if row_text is not None:
+        out = out.add(docs.schema["row"])
     scored = settle(
-        docs.select("doc_id", "text", "lang").mapInArrow(score, f"doc_id {id_type}, lang {lang_type}, score double, bin int"),
-        "toxicity-scores",
+        docs.select("doc_id", "lang", "text" if row_text is None else "row").mapInArrow(score, out), "toxicity-scores"
     )
     used = F.broadcast(docs.sparkSession.createDataFrame(learned, known.select("doc_id").schema))
     counts = (
@@ -306,7 +314,15 @@ def fit(
         .groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).collect()
     )
     thresholds = language_thresholds([tuple(r) for r in counts], ratio, cut)
-    return net, thresholds, scored.select("doc_id", "lang", "score")
+    return thresholds, scored.drop("bin")
+
+
+def _threshold(thresholds: dict, cut: float) -> Column:
+    """The threshold of a row's language."""
+    threshold = F.lit(cut)
+    for lang, value in sorted(thresholds.items(), key=repr):
+        threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(threshold)
+    return threshold
 
 
 def toxicity(
@@ -327,34 +343,35 @@ def toxicity(
     Rows that share a doc_id are scored each by itself, a null id is not held out. Other
     columns are ignored, an empty table gives an empty result.
     """
-    picked = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")
-    )
-    _, thresholds, scored = fit(picked, labels, train_rows, train_chars, cut)
-    threshold = F.lit(cut)
-    for lang, value in sorted(thresholds.items(), key=repr):
-        threshold = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(threshold)
+    thresholds, scored = fit(_picked(docs, id_col, text_col, lang_col), labels, train_rows, train_chars, cut)
+    threshold = _threshold(thresholds, cut)
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"),
         threshold.alias("threshold"), (F.col("score") >= threshold).alias("rejected"),
     )
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` below their language's threshold, with all their columns."""
-    picked = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    net, thresholds, _ = fit(picked, labels, **options)
-    sent = docs.sparkSession.sparkContext.broadcast((net, thresholds))
-    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+def _picked(docs: DataFrame, id_col: str, text_col: str, lang_col: str, *more: Column) -> DataFrame:
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        F.col(f"`{lang_col}`").alias("lang"), *more,
+    )
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, thresholds = sent.value
-        for batch in batches:
-            scores = net.all_scores(pc.fill_null(batch.column(text_at).cast(pa.string()), ""))
-            limits = np.array([thresholds.get(x, CUT) for x in batch.column(lang_at).to_pylist()], np.float64)
-            yield batch.filter(pa.array(scores < limits, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+def accepted_documents(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    cut: float = CUT, **options,
+) -> DataFrame:
+    """The rows of ``docs`` below their language's threshold, with all their columns.
+
+    Each row is scored once and kept with its score, rows that share an id each by themselves. A
+    null or empty text has the score of a text without words, a null language its own threshold.
+    Columns may have any names; an empty table gives an empty result.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    picked = _picked(docs, id_col, text_col, lang_col, row)
+    thresholds, scored = fit(picked, labels, cut=cut, row_text=docs.columns.index(text_col), **options)
+    return scored.filter(F.col("score") < _threshold(thresholds, cut)).select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
