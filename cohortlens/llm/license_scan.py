@@ -1,7 +1,7 @@
 """License scans: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs are the blocks between blank lines, their lines joined; long ones are read in
-overlapping windows of words. They become hashed word unigrams and bigrams. A sparse
+Paragraphs are the blocks between blank lines, their lines joined. Words and word pairs are
+hashed once a block; long blocks are read in overlapping windows of these hashes. A sparse
 multinomial logistic regression, trained by Spark ML on sentences built from license names,
 on sentences of license texts and on paragraphs of the corpus, gives each family a
 probability. The unknown class is calibrated for each family: it counts only where its odds
@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ NAMES = {
     "AGPL": ["gnu affero general public license", "affero gpl", "agpl 3.0", "agplv3"],
     "Apache": ["apache license", "apache license version 2.0", "apache 2.0", "asl 2.0"],
     "Artistic": ["artistic license", "artistic license 2.0"],
-    "BSD": ["bsd license", "3 clause bsd license", "2 clause bsd license", "bsd 3 clause", "new bsd license"],
+    "BSD": ["bsd license", "3 clause bsd license", "2 clause bsd license", "bsd 3 clause", "bsd 2 clause", "new bsd license"],
     "BSL": ["boost software license", "boost software license 1.0"],
     "CC-BY": ["creative commons attribution license", "cc by 4.0", "cc by 3.0", "cc attribution 4.0 international"],
     "CC-BY-NC": ["creative commons attribution noncommercial license", "cc by nc 4.0", "cc by nc 3.0", "cc by nc"],
@@ -57,9 +57,9 @@ NAMES = {
     "CC-BY-ND": ["creative commons attribution noderivatives license", "cc by nd 4.0", "cc by nd"],
     "CC-BY-SA": ["creative commons attribution sharealike license", "cc by sa 4.0", "cc by sa 3.0", "cc by sa"],
     "EPL": ["eclipse public license", "eclipse public license 2.0", "epl 2.0"],
-    "GPL": ["gnu general public license", "gnu general public license version 3", "gnu gpl", "gpl 3.0", "gplv2", "gplv3"],
+    "GPL": ["gnu general public license", "gnu general public license version 3", "gnu gpl", "gpl 2.0", "gpl 3.0", "gpl version 2", "gpl version 3", "gplv2", "gplv3"],
     "ISC": ["isc license", "isc licence"],
-    "LGPL": ["gnu lesser general public license", "lgpl 2.1", "lgplv3", "gnu lgpl"],
+    "LGPL": ["gnu lesser general public license", "lgpl 2.1", "lgpl 3.0", "lgplv3", "gnu lgpl"],
     "MIT": ["mit license", "mit licence", "the mit license mit", "expat license"],
     "MPL": ["mozilla public license", "mozilla public license 2.0", "mpl 2.0"],
     "proprietary": ["all rights reserved", "proprietary and confidential", "no part may be reproduced without permission"],
@@ -90,6 +90,14 @@ SENTENCES = {
     "MPL": ["this source code form is subject to the terms of the mozilla public license"],
     "public-domain": ["this is free and unencumbered software released into the public domain"],
 }
+# Public identifiers of licenses, which count after the marker of such a line.
+IDENTIFIERS = {
+    "AGPL": ["agpl 3.0"], "Apache": ["apache 2.0"], "Artistic": ["artistic 2.0"], "BSD": ["bsd 2 clause", "bsd 3 clause"],
+    "BSL": ["bsl 1.0"], "CC-BY": ["cc by 4.0"], "CC-BY-NC": ["cc by nc 4.0"], "CC-BY-NC-SA": ["cc by nc sa 4.0"],
+    "CC-BY-ND": ["cc by nd 4.0"], "CC-BY-SA": ["cc by sa 4.0"], "EPL": ["epl 2.0"], "GPL": ["gpl 2.0", "gpl 3.0"], "ISC": ["isc"],
+    "LGPL": ["lgpl 2.1", "lgpl 3.0"], "MIT": ["mit"], "MPL": ["mpl 2.0"], "public-domain": ["cc0 1.0", "unlicense"],
+}
+MARKER = "spdx license identifier"
 FRAMES = [
     "{}", "the {}", "licensed under {}", "licensed under the {}", "released under the {}", "released under {}",
     "this work is licensed under the {}", "this work is licensed under {}", "distributed under the terms of the {}",
@@ -109,14 +117,21 @@ NO_LICENSE = [
 
 def tokens(text: Column) -> Column:
     """Words of a paragraph: runs of ASCII letters and digits in lower case."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.when(F.length(plain) > 0, F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+
+
+def _hashes(words: str) -> tuple[Column, Column]:
+    """Hashes of the words, and of each word with the next."""
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    after = F.slice(words, F.lit(2), F.size(words))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), after, lambda a, b: F.xxhash64(a, b))
+    return single, pairs
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """``df`` with hashed unigrams and bigrams of its column ``words``."""
-    pairs = NGram(n=2, inputCol="words", outputCol="word_pairs").transform(df)
-    both = pairs.withColumn("grams", F.concat("words", "word_pairs")).drop("word_pairs")
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(both)
+    """``df`` with the vector of its column ``grams``, hashes of words and pairs."""
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df)
 
 
 def _grams(words: list[str]) -> set:
@@ -125,13 +140,17 @@ def _grams(words: list[str]) -> set:
 
 def _template_words() -> dict[str, list[list[str]]]:
     """The words of every name and sentence, by family."""
+    marked = {family: [f"{MARKER} {i}" for i in own] for family, own in IDENTIFIERS.items()}
     return {
-        family: [re.findall("[a-z0-9]+", t) for t in names + SENTENCES.get(family, [])] for family, names in NAMES.items()
+        family: [re.findall("[a-z0-9]+", t) for t in names + SENTENCES.get(family, []) + marked.get(family, [])]
+        for family, names in NAMES.items()
     }
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(family, names, longer): the distinct words and word pairs of every name and sentence of a family.
+    """(family, names, longer): the distinct words and word pairs of every name and sentence of a family, and how many confirm it.
+
+    An identifier after its marker has to stand there whole.
 
     The pattern ``longer`` matches names of other families that would pass for a name of
     this one, such as the Lesser General Public License for the General one.
@@ -144,18 +163,20 @@ def templates(spark: SparkSession) -> DataFrame:
             and len(_grams(mine) & _grams(other)) >= CONFIRMED * len(_grams(mine))
         }
         pattern = "|".join(sorted(longer, key=lambda n: (-len(n), n)))
-        grams = [sorted(g if isinstance(g, str) else " ".join(g) for g in _grams(mine)) for mine in own]
-        rows.append((family, grams, f"(?<= )({pattern})(?= )" if pattern else "(?!)"))
-    return spark.createDataFrame(rows, "family string, names array<array<string>>, longer string")
+        marker = MARKER.split()
+        names = [
+            (sorted(g if isinstance(g, str) else " ".join(g) for g in _grams(mine)), 1.0 if mine[:len(marker)] == marker else CONFIRMED)
+            for mine in own
+        ]
+        rows.append((family, names, f"(?<= )({pattern})(?= )" if pattern else "(?!)"))
+    return spark.createDataFrame(rows, "family string, names array<struct<grams: array<string>, share: double>>, longer string")
 
 
 def _named(words: Column) -> Column:
     """Whether the words contain a license name or sentence as it stands."""
     own = [t for texts in _template_words().values() for t in texts]
     plain = F.concat(F.lit(" "), F.concat_ws(" ", words), F.lit(" "))
-    found = F.lit(False)
-    for t in own:
-        found = found | F.contains(plain, F.lit(f" {' '.join(t)} "))
+    found = F.rlike(plain, F.lit(f" ({'|'.join(sorted({' '.join(t) for t in own}))}) "))
     marks = F.array(*[F.lit(w) for w in sorted({max(t, key=len) for t in own})])
     return F.when(F.arrays_overlap(words, marks), found).otherwise(F.lit(False))
 
@@ -164,6 +185,7 @@ def _examples(spark: SparkSession, settings: list[str]) -> DataFrame:
     """Names in frames, sentences, and both before, after and amid corpus text without a license."""
     rows = [(f, frame.format(n)) for f, own in NAMES.items() for n in own for frame in FRAMES]
     rows += [(f, t) for f, own in SENTENCES.items() for t in own for _ in range(len(FRAMES) // 3)]
+    rows += [(f, f"{MARKER} {i}") for f, own in IDENTIFIERS.items() for i in own for _ in range(len(FRAMES) // 3)]
     at = 0
     for family, own in _template_words().items():
         for t in own:
@@ -188,10 +210,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _windows(words: Column) -> Column:
-    """Overlapping windows over the words; one where they fit into it."""
+def _windows(words: str, single: str, pairs: str) -> Column:
+    """Overlapping windows (words, grams) over the words and their hashes; one where they fit into it."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - (WINDOW - STRIDE) - 1, F.lit(0)), F.lit(STRIDE))
-    return F.transform(starts, lambda at: F.slice(words, at + 1, F.lit(WINDOW)))
+    return F.transform(starts, lambda at: F.struct(
+        F.slice(words, at + 1, F.lit(WINDOW)).alias("words"),
+        F.concat(F.slice(single, at + 1, F.lit(WINDOW)), F.slice(pairs, at + 1, F.lit(WINDOW - 1))).alias("grams"),
+    ))
 
 
 def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[LogisticRegressionModel, list[str]]:
@@ -225,7 +250,7 @@ def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[Logistic
     rows = settle(examples.select(label[F.col("family")].alias("label"), tokens(F.col("paragraph")).alias("words")).coalesce(2), "license-examples")
     model = LogisticRegression(
         family="multinomial", regParam=1e-4, elasticNetParam=0.1, maxIter=60, standardization=False
-    ).fit(_features(rows).select("label", "features"))
+    ).fit(_features(rows.withColumn("grams", F.concat(*_hashes("words")))).select("label", "features"))
     return model, families
 
 
@@ -269,16 +294,21 @@ def license_scan(
     blocks = _blocks(docs, id_col, text_col)
     model, families = train(blocks, clean_rows)
     words = F.coalesce(tokens(F.col("paragraph")), F.array().cast("array<string>"))
-    read = blocks.select("row", "doc_id", "n_lines", "block", words.alias("all")).select(
-        "row", "doc_id", "n_lines", "block", F.explode(_windows(F.col("all"))).alias("words")
+    single, pairs = _hashes("all")
+    # Few blocks hold a name; only their windows are looked at for one.
+    read = (
+        blocks.select("row", "doc_id", "n_lines", "block", words.alias("all"))
+        .withColumns({"single": single, "pairs": pairs, "some": _named(F.col("all"))})
+        .select("row", "doc_id", "n_lines", "block", "some", F.explode(_windows("all", "single", "pairs")).alias("window"))
+        .select("row", "doc_id", "n_lines", "block", "some", "window.*")
     )
     scored = model.transform(_features(read)).select(
-        "row", "doc_id", "n_lines", "block", "words", vector_to_array("probability").alias("p")
+        "row", "doc_id", "n_lines", "block", "words", "some", vector_to_array("probability").alias("p")
     )
     known = F.transform(F.slice("p", 1, len(families) - 1), lambda x: x / (x + F.element_at("p", -1)))
     filled = F.size("words") > 0
     scored = (
-        scored.withColumn("odds", known).withColumn("named", _named(F.col("words")))
+        scored.withColumn("odds", known).withColumn("named", F.when(F.col("some"), _named(F.col("words"))).otherwise(F.lit(False)))
         .withColumn("listed", filled & (F.array_max("odds") >= LEAST_PROBABILITY))
     )
     # One pass scores all windows; only those that may count go on, a row for each document.
@@ -308,7 +338,7 @@ def license_scan(
         .join(F.broadcast(templates(spark)), "family", "left").withColumn("rest", rest)
         .withColumn("grams", F.concat("rest", F.zip_with("rest", F.slice("rest", F.lit(2), F.size("rest")), lambda x, y: F.concat_ws(" ", x, y))))
         .withColumn("confirmed", F.coalesce(
-            F.exists("names", lambda n: F.size(F.array_intersect(n, F.col("grams"))) >= CONFIRMED * F.size(n)), F.lit(False)
+            F.exists("names", lambda n: F.size(F.array_intersect(n["grams"], F.col("grams"))) >= n["share"] * F.size(n["grams"])), F.lit(False)
         ))
     )
     found = F.when(F.col("confirmed"), F.struct("family", F.col("odds").alias("probability"), F.trim(plain).alias("paragraph")))

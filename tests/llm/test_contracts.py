@@ -312,6 +312,51 @@ def test_license_scan_of_wrapped_lines_bodies_and_several_names(spark):
     assert got[1].n_paragraphs == 2 and got[1].n_licensed == 1 and got[10].n_paragraphs == 2
 
 
+def test_license_identifiers_and_versions(spark):
+    rows = [
+        (1, "// SPDX-License-Identifier: MIT"), (2, "Licensed under GPL version 2"), (3, "This library: LGPL-3.0, see the file."),
+        (4, "This file is under the BSD-2-Clause license"), (5, "SPDX-License-Identifier: Apache-2.0"), (6, "SPDX-License-Identifier: CC-BY-NC-4.0"),
+        (7, "the identifier of the mit building"), (8, "# SPDX-License-Identifier: GPL-2.0-or-later\n\nint main"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.unionByName(table(spark, SF, "documents").selectExpr("doc_id + 1000 AS doc_id", "text"))
+    got = {r.doc_id: r.families for r in license_scan(docs).filter("doc_id < 1000").collect()}
+    assert got == {1: ["MIT"], 2: ["GPL"], 3: ["LGPL"], 4: ["BSD"], 5: ["Apache"], 6: ["CC-BY-NC"], 7: [], 8: ["GPL"]}
+
+
+def test_license_windows_and_odds_by_brute_force(spark):
+    """Every window of every block, its features and its odds, recomputed from the words."""
+    from cohortlens.llm import license_scan as ls
+
+    docs = spark.createDataFrame([(1, "one two " * 150 + "\n\nthree"), (2, "The MIT License, x"), (3, ""), (4, None), (5, "a")], "doc_id long, text string")
+    blocks = ls._blocks(docs, "doc_id", "text")
+    words = F.coalesce(ls.tokens(F.col("paragraph")), F.array().cast("array<string>"))
+    single, pairs = ls._hashes("all")
+    read = blocks.select("doc_id", "block", words.alias("all")).withColumns({"single": single, "pairs": pairs}).select(
+        "doc_id", "block", F.explode(ls._windows("all", "single", "pairs")).alias("w")).select("doc_id", "block", "w.*")
+    got = sorted((r.doc_id, r.block or 0, r.words, sorted(r.grams)) for r in read.collect())
+    want, seen = [], {}
+    for i, text in [(1, "one two " * 150 + "\n\nthree"), (2, "The MIT License, x"), (3, ""), (4, ""), (5, "a")]:
+        for b, part in enumerate(re.split(r"\n[ \t\x0b\f\r]*(?=\n)", text)):
+            w = re.findall("[a-z0-9]+", part.lower())
+            for at in range(0, max(len(w) - (ls.WINDOW - ls.STRIDE) - 1, 0) + 1, ls.STRIDE):
+                want.append((i, b, w[at:at + ls.WINDOW]))
+    assert [g[:3] for g in got] == sorted(want)
+    keys = {x for _, _, w in want for x in [*w, *zip(w, w[1:])]}
+    hashed = spark.createDataFrame([([k] if isinstance(k, str) else list(k),) for k in keys], "k array<string>").select(
+        "k", F.when(F.size("k") == 1, F.xxhash64(F.get("k", F.lit(0)))).otherwise(F.xxhash64(F.get("k", F.lit(0)), F.get("k", F.lit(1)))).alias("h"))
+    seen = {tuple(r.k): r.h for r in hashed.collect()}
+    for _, _, w, grams in got:
+        assert grams == sorted([seen[(x,)] for x in w] + [seen[p] for p in zip(w, w[1:])])
+    # the odds that come out of the scan are those of the model's coefficients over the distinct features
+    model, families = ls.train(blocks, 50)
+    from pyspark.ml.functions import vector_to_array
+    row = model.transform(ls._features(read.filter("doc_id = 2"))).select("features", vector_to_array("probability").alias("p")).first()
+    margin = model.coefficientMatrix.toArray()[:, row.features.indices].sum(axis=1) + model.interceptVector.toArray()
+    p = np.exp(margin - margin.max())
+    assert row.p == pytest.approx((p / p.sum()).tolist(), abs=1e-9) and families[int(np.argmax(p))] == "MIT"
+
+
 def brute_substring(rows):
     split = lambda t: re.findall(rf"[^{SPACE[1:-1]}]+", t or "")
     first = {}
