@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import settle, table
 
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 #: Corpus paragraphs used as examples without a license: about as many, of twice as many drawn.
 CLEAN_ROWS = 2000
 #: Share of the windows without a license name that may pass as a family.
@@ -210,13 +210,13 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _windows(words: str, single: str, pairs: str) -> Column:
-    """Overlapping windows (words, grams) over the words and their hashes; one where they fit into it."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - (WINDOW - STRIDE) - 1, F.lit(0)), F.lit(STRIDE))
-    return F.transform(starts, lambda at: F.struct(
-        F.slice(words, at + 1, F.lit(WINDOW)).alias("words"),
-        F.concat(F.slice(single, at + 1, F.lit(WINDOW)), F.slice(pairs, at + 1, F.lit(WINDOW - 1))).alias("grams"),
-    ))
+def _windows(blocks: DataFrame, *kept: str) -> DataFrame:
+    """The ``kept`` columns, words and grams of overlapping windows over ``all`` and its hashes; one where they fit into it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - (WINDOW - STRIDE) - 1, F.lit(0)), F.lit(STRIDE))
+    grams = F.concat(F.slice("single", F.col("at") + 1, F.lit(WINDOW)), F.slice("pairs", F.col("at") + 1, F.lit(WINDOW - 1)))
+    return blocks.select(*kept, "all", "single", "pairs", F.explode(starts).alias("at")).select(
+        *kept, F.slice("all", F.col("at") + 1, F.lit(WINDOW)).alias("words"), grams.alias("grams")
+    )
 
 
 def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[LogisticRegressionModel, list[str]]:
@@ -296,11 +296,10 @@ def license_scan(
     words = F.coalesce(tokens(F.col("paragraph")), F.array().cast("array<string>"))
     single, pairs = _hashes("all")
     # Few blocks hold a name; only their windows are looked at for one.
-    read = (
+    read = _windows(
         blocks.select("row", "doc_id", "n_lines", "block", words.alias("all"))
-        .withColumns({"single": single, "pairs": pairs, "some": _named(F.col("all"))})
-        .select("row", "doc_id", "n_lines", "block", "some", F.explode(_windows("all", "single", "pairs")).alias("window"))
-        .select("row", "doc_id", "n_lines", "block", "some", "window.*")
+        .withColumns({"single": single, "pairs": pairs, "some": _named(F.col("all"))}),
+        "row", "doc_id", "n_lines", "block", "some",
     )
     scored = model.transform(_features(read)).select(
         "row", "doc_id", "n_lines", "block", "words", "some", vector_to_array("probability").alias("p")
