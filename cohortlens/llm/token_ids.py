@@ -25,7 +25,7 @@ from cohortlens.llm.common import new_path, table, valid_texts
 #: Pieces remembered per Python worker before the memory is emptied.
 REMEMBERED = 300_000
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
