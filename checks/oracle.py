@@ -298,7 +298,7 @@ raw AS (
   SELECT CAST(('0x' || SUBSTR(MD5(user_id), 1, 8))::BIGINT % 100 AS INTEGER) AS b, {_filled("n_qleads_90d")} AS r1,
     {_filled("recency_last_booking")} AS r2, target_30d::DOUBLE AS y FROM ds WHERE set = 'train'),
 size AS (
-  SELECT f, COUNT(*) AS n, SUM(y) AS pos, STDDEV_POP(r1) AS z1, STDDEV_POP(r2) AS z2
+  SELECT f, COUNT(*) AS n, SUM(y) AS pos, COALESCE(NULLIF(STDDEV_POP(r1), 0), 1) AS z1, COALESCE(NULLIF(STDDEV_POP(r2), 0), 1) AS z2
   FROM {LIMITS} JOIN raw ON b < limit_b GROUP BY f),
 fitrows AS MATERIALIZED (
   SELECT f, r1 / z1 AS x1, r2 / z2 AS x2, y, n, CASE WHEN y = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w
