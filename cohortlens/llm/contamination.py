@@ -3,22 +3,25 @@
 Every distinct benchmark word becomes one code point, every window a short string, and
 the automaton of all windows scans a document's words once. Hits are mapped back to
 character offsets of the original text. A benchmark larger than one block gives
-several automata that scan one after the other in the same task.
+several automata that scan one after the other in the same task; one that is too large to be
+sent to the executors is read in parts, each of which adds its hits to the rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.llm.common import table, valid_texts
+from cohortlens.llm.common import settle, table, valid_texts
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many.
@@ -26,7 +29,7 @@ LEAST_SHARE = 20
 #: A benchmark block holds at most this many characters of item text (one larger item is a
 #: block by itself); it bounds the memory of an automaton.
 BLOCK_CHARS = 4_000_000
-#: The whole benchmark goes to the executors; larger ones are refused.
+#: Characters of the benchmark that go to the driver and the executors at a time; a larger one is scanned in parts.
 MAX_BENCHMARK_CHARS = 64_000_000
 
 #: Byte table: A-Z to lower case, all ASCII that is no word character to a blank.
@@ -98,17 +101,27 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(
-    benchmark: DataFrame, item_col: str, text_col: str, block_chars: int, max_chars: int
-) -> list[list[tuple[str, str]]]:
-    """The items on the driver, after a check of their size."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+def benchmark_parts(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> list[DataFrame]:
+    """The items (item, text), all together up to ``max_chars`` characters, else in parts of about half as many.
+
+    Equal items are the same; only an item that is larger than ``max_chars`` makes a part that is.
+    """
+    items = benchmark.select(
+        F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    )
     size = items.agg(F.sum(F.char_length("text") + 64)).first()[0] or 0
-    if size > max_chars:
-        raise ValueError(f"the benchmark has {size} characters, more than {max_chars}; scan it in parts")
+    if size <= max_chars:
+        return [items]
+    stored = settle(items.distinct().withColumn("hash", F.xxhash64("item", "text")), "benchmark-items")
+    n = -(-2 * size // max_chars)
+    return [stored.filter(F.pmod("hash", F.lit(n)) == i).select("item", "text") for i in range(n)]
+
+
+def benchmark_blocks(part: DataFrame, block_chars: int) -> list[list[tuple[str, str]]]:
+    """The items of a part on the driver."""
     blocks: list[list[tuple[str, str]]] = [[]]
     filled = 0
-    for item, text in sorted((r.item or "", r.text or "") for r in items.collect()):
+    for item, text in sorted((r.item, r.text) for r in part.collect()):
         if filled and filled + len(text) > block_chars:
             blocks.append([])
             filled = 0
@@ -118,21 +131,20 @@ def benchmark_blocks(
 
 
 class Scanner:
-    """Scans texts in tasks with the automata of a benchmark that was sent to the executors."""
+    """Scans texts in tasks with the automata of a part of the benchmark that was sent to the executors."""
 
-    def __init__(
-        self, docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
-        window: int = WINDOW, block_chars: int = BLOCK_CHARS, max_chars: int = MAX_BENCHMARK_CHARS,
-    ) -> None:
-        blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars, max_chars)
+    def __init__(self, part: DataFrame, window: int, block_chars: int) -> None:
+        blocks = benchmark_blocks(part, block_chars)
         self.key = hashlib.sha256(repr((window, blocks)).encode("utf-8", "surrogatepass")).hexdigest()
         self.window = window
-        self.blocks = docs.sparkSession.sparkContext.broadcast(blocks)
+        self.blocks = part.sparkSession.sparkContext.broadcast(blocks)
 
-    def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """Number of words, merged word ranges of the hits, items hit."""
+    def scan(
+        self, text: str, ranges: Iterable[tuple[int, int]] = (), items: Iterable[str] = ()
+    ) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, merged word ranges of the hits, items hit; with those found before."""
         words = words_of(text)
-        ranges, items = [], set()
+        ranges, items = list(ranges), set(items)
         for m in _matchers(self.blocks, self.window, self.key):
             found, ids = m.scan(words)
             ranges += found
@@ -140,6 +152,54 @@ class Scanner:
         return len(words), merge(ranges), items
 
 
+def _before(batch: pa.RecordBatch) -> Iterable[tuple[list[tuple[int, int]], list[str]]]:
+    """The hits that the parts before have found in the rows of a batch."""
+    if batch.num_columns == 1:
+        return repeat(([], []))
+    ranges = ([(r["begin"], r["end"]) for r in found] for found in batch.column(1).to_pylist())
+    return zip(ranges, batch.column(2).to_pylist())
+
+
+RANGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+
+def scan_parts(
+    rows: DataFrame, at: int, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS, max_chars: int = MAX_BENCHMARK_CHARS,
+) -> tuple[DataFrame, Scanner]:
+    """``rows`` with the hits of all parts of the benchmark but the last, and the scanner of that one.
+
+    ``rows`` has a column ``row``, a struct whose field ``at`` is the text. Between two parts the rows are
+    written with the word ranges and items found so far; a benchmark of one part adds nothing to them.
+    """
+    *earlier, last = benchmark_parts(benchmark, item_col, item_text_col, max_chars)
+    for i, part in enumerate(earlier):
+        scanner = Scanner(part, window, block_chars)
+
+        def add(batches: Iterator[pa.RecordBatch], scanner: Scanner = scanner) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ranges, items = [], []
+                for value, before in zip(valid_texts(batch.column(0).field(at)), _before(batch)):
+                    _, found, ids = scanner.scan(value.as_py() or "", *before)
+                    ranges.append([{"begin": a, "end": b} for a, b in found])
+                    items.append(sorted(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(ranges, RANGES), pa.array(items, pa.list_(pa.string()))], names=["row", "ranges", "items"]
+                )
+
+        rows = settle(rows.mapInArrow(add, _with_hits(rows)), f"contamination-{i}")
+        scanner.blocks.unpersist()
+    return rows, Scanner(last, window, block_chars)
+
+
+def _with_hits(rows: DataFrame) -> T.StructType:
+    """The schema of rows with their word ranges and items."""
+    pair = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    return T.StructType([
+        rows.schema["row"], T.StructField("ranges", T.ArrayType(pair)), T.StructField("items", T.ArrayType(T.StringType()))
+    ])
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -160,15 +220,15 @@ def contamination(
     character. Other columns are ignored, an empty table of
     documents gives an empty result, an empty benchmark no hits.
     """
-    scanner = Scanner(docs, benchmark, item_col, item_text_col, window, block_chars, max_chars)
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    picked = docs.select(F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).alias("row"))
+    rows, scanner = scan_parts(picked, 1, benchmark, item_col, item_text_col, window, block_chars, max_chars)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, item_ids, spans = [], [], [], []
-            for value in valid_texts(batch.column(1)):
+            for value, before in zip(valid_texts(batch.column(0).field(1)), _before(batch)):
                 text = value.as_py() or ""
-                words, ranges, items = scanner.scan(text)
+                words, ranges, items = scanner.scan(text, *before)
                 at = [x.span() for x in WORD.finditer(text)] if ranges else []
                 n_words.append(words)
                 n_hit.append(sum(b - a for a, b in ranges))
@@ -176,14 +236,13 @@ def contamination(
                 spans.append([{"begin": at[a][0], "end": at[b - 1][1]} for a, b in ranges])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                    pa.array(item_ids, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
+                    batch.column(0).field(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                    pa.array(item_ids, pa.list_(pa.string())), pa.array(spans, RANGES),
                 ],
                 names=["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return picked.mapInArrow(scan, OUT.format(id=picked.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(scan, OUT.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -192,20 +251,20 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     Null and empty texts have no words and stay; rows that share an id are judged each by itself.
     Columns may have any names; an empty table gives an empty result, an empty benchmark all rows.
     """
-    scanner = Scanner(docs, benchmark, **options)
     at = docs.columns.index(text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows, scanner = scan_parts(whole, at, benchmark, **options)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = []
-            for value in valid_texts(batch.column(0).field(at)):
-                words, ranges, _ = scanner.scan(value.as_py() or "")
+            for value, before in zip(valid_texts(batch.column(0).field(at)), _before(batch)):
+                words, ranges, _ = scanner.scan(value.as_py() or "", *before)
                 hit = sum(b - a for a, b in ranges)
                 clean.append(hit == 0 or LEAST_SHARE * hit < words)
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.select(["row"]).filter(pa.array(clean, pa.bool_()))
 
-    return rows.mapInArrow(keep, rows.schema).select("row.*")
+    return rows.mapInArrow(keep, whole.schema).select("row.*")
 
 
 def is_contaminated() -> Column:

@@ -10,7 +10,6 @@ fits; one that does not fit is passed over and the smaller ones behind it go on
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -59,56 +58,84 @@ def min_cost_flow(
 ) -> dict[tuple[str, object], int]:
     """Words that each pattern sends to each of its sources, as much of the quotas as can be met at least cost.
 
-    A pattern's first pass is free and pass ``k`` costs ``k - 1`` a word. Augments along
-    cheapest paths with potentials, so every step ends a pass or meets a quota.
+    A pattern's first pass is free and pass ``k`` costs ``k - 1`` a word. A way from the start to a
+    quota costs what the pass that it begins with does, so passes are opened in order of their
+    cost, and at each cost as much is sent as the passes opened so far let through. All shortest
+    ways are filled together, so the rounds follow the length of the ways, not their number.
     """
     nodes: dict[object, int] = {}
     at = lambda name: nodes.setdefault(name, len(nodes))
     start, end = at(("start",)), at(("end",))
-    arcs: list[list[int]] = []  # to, room, cost; the reverse arc follows
-    leaving: dict[int, list[int]] = {}
-
-    def arc(a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            leaving.setdefault(x, []).append(len(arcs))
-            arcs.append([y, r, c])
-        return len(arcs) - 2
-
-    sent = {}
+    to: list[int] = []  # an arc and its reverse follow each other
+    room: list[int] = []
+    leaving: dict[int, list[int]] = {start: [], end: []}
+
+    def arc(a: int, b: int, most: int) -> int:
+        for x, y, r in ((a, b, most), (b, a, 0)):
+            leaving.setdefault(x, []).append(len(to))
+            to.append(y)
+            room.append(r)
+        return len(to) - 2
+
+    entries, sent = {}, {}
     for p in sorted(supply):
-        for k in range(passes):
-            arc(start, at(("pattern", p)), supply[p], k)
+        entries[p] = arc(start, at(("pattern", p)), 0)
         for s in members[p]:
-            sent[p, s] = arc(at(("pattern", p)), at(("source", s)), passes * supply[p], 0)
+            sent[p, s] = arc(at(("pattern", p)), at(("source", s)), passes * supply[p])
     for s in sorted(quota, key=lambda s: (s is None, s or "")):
-        arc(at(("source", s)), end, quota[s], 0)
-
-    potential = [0] * len(nodes)
+        arc(at(("source", s)), end, quota[s])
+
+    for _ in range(passes):
+        for p, i in entries.items():
+            room[i] += supply[p]
+        while depth := _depths(leaving, to, room, start, end):
+            _fill_shortest(leaving, to, room, start, end, depth)
+    return {key: room[i ^ 1] for key, i in sent.items()}
+
+
+def _depths(leaving: dict[int, list[int]], to: list[int], room: list[int], start: int, end: int) -> dict[int, int]:
+    """Arcs from the start to each node that can be reached, none if the end cannot."""
+    depth, level = {start: 0}, [start]
+    while level and end not in depth:
+        after = []
+        for x in level:
+            for i in leaving[x]:
+                if room[i] > 0 and to[i] not in depth:
+                    depth[to[i]] = depth[x] + 1
+                    after.append(to[i])
+        level = after
+    return depth if end in depth else {}
+
+
+def _fill_shortest(
+    leaving: dict[int, list[int]], to: list[int], room: list[int], start: int, end: int, depth: dict[int, int]
+) -> None:
+    """Sends along ways of the least length until none is left; each arc is given up once."""
+    tried = dict.fromkeys(depth, 0)
+    way: list[int] = []
+    x = start
     while True:
-        cost, came = {start: 0}, {}
-        heap = [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > cost[x]:
-                continue
-            for i in leaving.get(x, []):
-                y, room, c = arcs[i]
-                new = d + c + potential[x] - potential[y]
-                if room > 0 and new < cost.get(y, 1 << 62):
-                    cost[y], came[y] = new, i
-                    heapq.heappush(heap, (new, y))
-        if end not in cost:
-            return {key: arcs[i ^ 1][1] for key, i in sent.items()}
-        far = max(cost.values())
-        potential = [potential[x] + cost.get(x, far) for x in range(len(nodes))]
-        path, x = [], end
-        while x != start:
-            path.append(came[x])
-            x = arcs[came[x] ^ 1][0]
-        flow = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= flow
-            arcs[i ^ 1][1] += flow
+        if x == end:
+            flow = min(room[i] for i in way)
+            for i in way:
+                room[i] -= flow
+                room[i ^ 1] += flow
+            del way[next(k for k, i in enumerate(way) if not room[i]):]
+            x = to[way[-1]] if way else start
+        arcs = leaving[x]
+        while tried[x] < len(arcs):
+            i = arcs[tried[x]]
+            if room[i] > 0 and depth.get(to[i]) == depth[x] + 1:
+                break
+            tried[x] += 1
+        if tried[x] < len(arcs):
+            way.append(i)
+            x = to[i]
+        elif way:
+            x = to[way.pop() ^ 1]
+            tried[x] += 1
+        else:
+            return
 
 
 @dataclass

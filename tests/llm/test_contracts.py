@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on the edge cases, and on tables that are empty or have more columns."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlens.llm.common import settle, table
-from cohortlens.llm.contamination import clean_documents, contamination, is_contaminated
+from cohortlens.llm.contamination import benchmark_parts, clean_documents, contamination, is_contaminated
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.line_dedup import line_dedup
@@ -111,8 +112,22 @@ def test_contamination(spark):
     text = {i: t for i, t, *_ in ROWS}
     for r in got.filter("n_hit > 0 AND doc_id <> 14").collect():
         assert sum(len(words(text[r.doc_id][s.begin:s.end])) for s in r.spans) == r.n_hit
-    with pytest.raises(ValueError, match="characters"):
-        contamination(documents(spark), benchmark(spark), max_chars=10)
+    spans = lambda df: sorted(map(repr, df.collect()))
+    assert spans(contamination(documents(spark), benchmark(spark), max_chars=400)) == spans(got.drop("bad"))
+
+
+def test_benchmark_in_parts(spark):
+    doubled = benchmark(spark).union(benchmark(spark))
+    parts = benchmark_parts(doubled, "item_id", "text", 400)
+    assert len(parts) > 2
+    held = [tuple(r) for part in parts for r in part.collect()]
+    assert sorted(held) == sorted((str(i or ""), t or "") for i, t in BENCHMARK)
+    docs = documents(spark, clashing=True)
+    kept = clean_documents(docs, doubled, max_chars=400)
+    assert kept.columns == docs.columns
+    assert rows_of(kept) == rows_of(clean_documents(docs, benchmark(spark)))
+    assert kept.count() < docs.count()
+    assert clean_documents(docs.limit(0), doubled, max_chars=400).count() == 0
 
 
 def brute_fingerprint(text):
@@ -251,6 +266,44 @@ def test_flow_of_overlapping_sources():
     assert sum(repeated.values()) == 100 and repeated["ab", "b"] == 20 and repeated["ab", "a"] == 30
 
 
+def test_flow_is_cheapest_at_every_pass():
+    from cohortlens.llm.mixing import min_cost_flow
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sources = [f"s{i}" for i in range(rng.integers(1, 5))]
+        members = {f"p{i}": sorted(rng.choice(sources, rng.integers(1, len(sources) + 1), replace=False).tolist()) for i in range(rng.integers(1, 8))}
+        supply = {p: int(rng.integers(0, 30)) for p in members}
+        quota = {s: int(rng.integers(0, 90)) for s in sources}
+        passes = int(rng.integers(1, 4))
+        flow = min_cost_flow(supply, members, quota, passes)
+        assert all(n >= 0 for n in flow.values())
+        into = {s: sum(n for (_, t), n in flow.items() if t == s) for s in sources}
+        assert all(into[s] <= quota[s] for s in sources)
+        out = {p: sum(n for (q, _), n in flow.items() if q == p) for p in members}
+        for k in range(1, passes + 1):
+            # What the first k passes carry is as much as any cut lets through.
+            cuts = [
+                sum(quota[s] for s in inside) + sum(k * supply[p] for p, m in members.items() if not set(m) <= inside)
+                for inside in (set(np.array(sources)[[b >> i & 1 == 1 for i in range(len(sources))]].tolist()) for b in range(1 << len(sources)))
+            ]
+            assert sum(min(out[p], k * supply[p]) for p in members) == min(cuts)
+        assert all(out[p] <= passes * supply[p] for p in members)
+
+
+def test_flow_of_many_patterns():
+    from cohortlens.llm.mixing import min_cost_flow
+
+    rng = np.random.default_rng(6)
+    members = {f"p{i}": [f"s{x}" for x in np.flatnonzero(rng.random(40) < 0.1)] or ["s0"] for i in range(20_000)}
+    supply = {p: int(rng.integers(1, 10_000)) for p in members}
+    quota = {f"s{x}": int(1.5 * sum(supply.values()) * (1 + x % 3) / 79) for x in range(40)}
+    start = time.perf_counter()
+    flow = min_cost_flow(supply, members, quota, 2)
+    assert time.perf_counter() - start < 10
+    assert sum(flow.values()) == min(sum(quota.values()), 2 * sum(supply.values()))
+
+
 def test_mix_of_arrays_of_sources(spark):
     rows = [(i, "w " * (i % 9 + 1), [["a"], ["b"], ["a", "b"], None, []][i % 5]) for i in range(500)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
