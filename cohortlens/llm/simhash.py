@@ -1,14 +1,13 @@
-"""SimHash near-dedup with pivot distance tables.
+"""SimHash near-dedup: block pairs find candidates, pivot distances discard, Hamming distances verify.
 
 Documents become 64-bit fingerprints over word shingles; equal fingerprints are one
-row from there on. The table of a fingerprint holds its Hamming distances to
-reference fingerprints. Two kinds of reference are used:
-
-* the zero and unit patterns of four 16-bit blocks, whose distances fix the block's
-  bits; with two differing bits at most, two of the four blocks have every such
-  distance equal, so fingerprints meet by the six pairs of blocks;
-* 16 seeded patterns over all bits: a pair that met is discarded if any of these
-  distances differs by more than two (triangle inequality).
+row from there on.
+
+* Candidates meet by equality of two of four 16-bit blocks: with two differing bits at
+  most, two blocks are equal. No distance is computed for this.
+* Every fingerprint has a table of its Hamming distances to 16 seeded reference
+  fingerprints. A pair that met is discarded if any of these distances differs by more
+  than two (triangle inequality).
 
 Survivors are verified by their Hamming distance. A block pair with very many
 fingerprints is not paired at all: there, fingerprints meet at every pattern within

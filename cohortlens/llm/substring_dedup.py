@@ -1,18 +1,18 @@
 """Substring dedup: word windows that an earlier document also holds are removed.
 
-A suffix tree over all word positions, cut at window depth and built in parts:
+Groups of suffixes by prefix, as in a suffix tree that is built in parts, but without the
+tree: windows have one fixed length, so equal windows are all that is asked for, and their
+64-bit hashes are compared and shuffled in place of suffixes.
 
 1. Of the suffixes that start inside a window only one is kept as the window's anchor,
    the start of its smallest hashed word sequence of ``PREFIX`` words. Equal windows
    have equal anchors at the same place.
-2. The anchor's prefix groups the suffixes. A prefix held by a single text has no inner
-   node below it and is dropped, which leaves the repeated part of the corpus.
-3. A group of memory size becomes one subtree, held as the sorted hashed labels of its
-   paths down to window depth. A group that is larger gets a longer prefix, the whole
-   window, at which its paths are the deep nodes themselves and only need counting.
-4. A node at window depth with two or more documents is a repeat; its windows start in
-   its smallest document and are removed from all others. Consecutive such windows
-   make the maximal repeats.
+2. The anchor's prefix groups the suffixes. A prefix held by a single text has no repeat
+   and is dropped, which leaves the repeated part of the corpus.
+3. The hashed windows of a group of memory size are sorted in one task, equal ones side by
+   side. A group that is larger is divided by the whole window and only counted.
+4. A window with two or more documents is a repeat; it is removed from all but the
+   smallest document in which it starts. Consecutive such windows make the maximal repeats.
 
 Identical texts are one row until the end, and so are the equal label lists of many
 documents.
