@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import ratio, top_count
-from cohortlens.operators.joins import broadcast_checked
+from cohortlens.operators.joins import BROADCAST_ROWS
 
 ROWS_PER_RANGE = 1_000_000
 
@@ -265,8 +265,9 @@ def lift_table(
     A score whose rows all fall into one decile is counted from the score table. Only
     the at most ``q - 1`` scores per group that cross a border need their rows ranked;
     since md5 spreads evenly and sorts by prefix, such a score is cut into cells of about
-    ``rows_per_cell`` rows that are ranked side by side. ``scored`` must give the same
-    scores each time it is read; settle it if they are costly or come from a model.
+    ``rows_per_cell`` rows that are ranked side by side. Where no score crosses a border,
+    ``scored`` is not read. It must give the same scores each time it is read; settle it if
+    they are costly or come from a model.
     """
     by = list(by)
     first = _decile(F.col("cum_n") - F.col("n"), q)
@@ -278,9 +279,14 @@ def lift_table(
 
     # Hexadecimal digits of the md5 that name a cell: enough for the rows of the tie.
     digits = F.ceil(F.log(16.0, F.greatest(_d("n") / F.lit(float(rows_per_cell)), F.lit(1.0)))).cast("int")
-    crossing = broadcast_checked(placed.filter("_first < _last").select(
+    crossing = placed.filter("_first < _last").select(
         *by, "score", "total_n", (F.col("cum_n") - F.col("n")).alias("_start"), digits.alias("_digits")
-    ))
+    )
+    borders = crossing.count()  # reads the score table only
+    if not borders:
+        return _lift_of(whole, by)
+    if borders <= BROADCAST_ROWS:
+        crossing = F.broadcast(crossing)
     tied = _same(
         scored.select(*by, F.col(score).cast("double").alias("score"), F.col(label).alias("_y"),
                       F.col(user).cast("string").alias("_user")),
@@ -302,7 +308,12 @@ def lift_table(
         F.col("score").alias("score_sum"),
     )
 
-    bins = whole.unionByName(ranked).groupBy(*by, "decile").agg(
+    return _lift_of(whole.unionByName(ranked), by)
+
+
+def _lift_of(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The lift table of partial counts (decile, n, pos, score_sum) per group."""
+    bins = counted.groupBy(*by, "decile").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("positives"), F.sum("score_sum").alias("score_sum")
     )
     group = Window.partitionBy(*by)  # at most q rows each

@@ -161,6 +161,21 @@ def test_lift_bin_sizes(spark):
     assert [got[d] for d in range(1, 11)] == [3, 2, 3, 2, 3, 2, 3, 2, 3, 2]
 
 
+def test_lift_reads_rows_only_for_scores_across_borders(spark):
+    """Distinct scores are counted from the score table alone, and nothing stays cached."""
+    rows = [("test", str(i), i % 2, i / 25) for i in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    table = rk.score_table(df)
+    unread = df.withColumn("user_id", F.raise_error(F.lit("read")).cast("string"))
+    assert rk.lift_table(table, unread).agg(F.sum("n")).first()[0] == 25
+    table.unpersist()
+    tied = spark.createDataFrame([("test", str(i), i % 2, 0.5) for i in range(20)], SCHEMA)
+    table = rk.score_table(tied)
+    cached = spark._jsc.sc().getPersistentRDDs().size()
+    assert rk.lift_table(table, tied).count() == 10
+    assert spark._jsc.sc().getPersistentRDDs().size() == cached
+
+
 @pytest.mark.parametrize("rows,rows_per_range", CASES)
 def test_calibration_bins_match_numpy(spark, rows, rows_per_range):
     table = rk.score_table(spark.createDataFrame(rows, SCHEMA), rows_per_range=rows_per_range)
