@@ -34,11 +34,28 @@ def settle(df: DataFrame) -> DataFrame:
         return df.persist()
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_path = path
+    return settled
+
+
+def release(settled: DataFrame) -> None:
+    """Let go of a frame from ``settle`` that no later step reads."""
+    path = getattr(settled, "settled_path", None)
+    if path is None:
+        settled.unpersist()
+        return
+    spark = settled.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def buckets_for(df: DataFrame) -> int:
-    """Buckets of about ``BUCKET_BYTES`` by the optimizer's size of ``df``."""
+    """Buckets of about ``BUCKET_BYTES`` by the optimizer's size of ``df``.
+
+    That is the stored size of files and cached rows; of a frame with joins it is their product
+    and says nothing, so such a frame has to be settled and computed first.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(MAX_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
 
@@ -66,6 +83,11 @@ def _swap(spark: SparkSession, name: str, version: str) -> None:
     spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('{VERSION}' = '{version}') AS SELECT * FROM {version}")
 
 
+def _write_buckets(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Store ``df`` dealt by the hash that bucketing uses, so that there are as many files as buckets."""
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a new version of a table and point ``name`` to it; return the stored rows.
 
@@ -74,14 +96,23 @@ def stage_table(df: DataFrame, name: str, key: str | None = "user_id", buckets:
     and a run that fails anywhere leaves them. The version before stays for its readers, older ones
     are dropped. With a ``key`` a version is bucketed and sorted by it, so that later joins and
     aggregations on that key read it without a shuffle; the number of buckets follows from the size
-    unless given. A plain table of that name becomes the oldest version.
+    of the computed rows unless given, and a task writes one bucket as one file. A plain table of that
+    name becomes the oldest version.
     """
     spark = df.sparkSession
     version = f"{name}__v{time.time_ns() // 1000:017d}"
-    writer = df.write.format("parquet")
-    if key is not None:
-        writer = writer.bucketBy(buckets or buckets_for(df), key).sortBy(key)
-    writer.saveAsTable(version)
+    if key is None:
+        df.write.format("parquet").saveAsTable(version)
+    elif buckets is not None:
+        _write_buckets(df, version, key, buckets)
+    else:
+        settled = settle(df)
+        if settled.is_cached:
+            settled.count()
+        try:
+            _write_buckets(settled, version, key, buckets_for(settled))
+        finally:
+            release(settled)
     before = staged_version(spark, name)
     if before is None and spark.catalog.tableExists(name):
         before = f"{name}__v{0:017d}"

@@ -136,6 +136,22 @@ def test_stage_table_is_rebuilt_and_joins_without_shuffle(spark, dataset):
             drop_staged(spark, t)
 
 
+def test_buckets_follow_the_rows_and_not_the_estimate_of_a_join(spark):
+    src = make_sources(spark, **random_rows(11))
+    joined = ds.train_test_dataset(src, [TRAIN_2025, TEST_2025])
+    for _ in range(3):  # the optimizer multiplies the sizes of both sides
+        joined = joined.join(joined.select("set", "cutoff_date", "user_id"), ["set", "cutoff_date", "user_id"])
+    try:
+        for buckets in (None, 3):
+            staged = stage_table(joined, "staged_joined", buckets=buckets)
+            stored = spark.read.table(staged_version(spark, "staged_joined"))
+            about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {staged_version(spark, 'staged_joined')}").collect()}
+            assert about["Num Buckets"] == str(buckets or 1) and len(stored.inputFiles()) <= (buckets or 1)
+            assert staged.count() == joined.count() > 0
+    finally:
+        drop_staged(spark, "staged_joined")
+
+
 def test_staging_a_table_onto_itself_keeps_its_rows(spark, dataset):
     try:
         stage_table(dataset, "staged_self")
