@@ -51,11 +51,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return settled
 
 
-def discard(settled: DataFrame) -> None:
-    """Delete the files of a frame from ``settle`` that no later step reads."""
-    jvm = settled.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(settled.settled_path)
-    path.getFileSystem(settled.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``settle`` that no later step reads."""
+    for settled in frames:
+        jvm = settled.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(settled.settled_path)
+        path.getFileSystem(settled.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def valid_texts(texts: pa.Array) -> pa.Array:

@@ -218,7 +218,8 @@ def substring_dedup(
     word ranges removed, the document's maximal repeats of earlier text. Null and empty
     texts have no words, shorter texts no windows. A row without a doc_id is kept whole and
     removes nothing. Rows that share a doc_id remove nothing from each other. Other columns
-    are ignored, an empty table gives an empty result.
+    are ignored, an empty table gives an empty result. ``docs`` is read three times, the last
+    time with the result.
     """
     spark = docs.sparkSession
     picked = docs.select(
@@ -247,13 +248,15 @@ def substring_dedup(
     # Prefixes that more than one text holds.
     shared = settle(held.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "substring-shared")
     live = settle(held.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("live")), "substring-live")
-    discard(read)
-    free_shuffles(spark)
-    texts = settle(picked.join(live, "doc_id"), "substring-texts")
+    discard(read, firsts, shared)
     free_shuffles(spark)
+    # No copy of the texts is stored: here and for the cut they come from the table.
     suffixes = settle(
-        _suffixes(texts, id_type, window, prefix).withColumn("list_key", F.xxhash64("labels")), "substring-suffixes"
+        _suffixes(picked.join(live, "doc_id"), id_type, window, prefix).withColumn("list_key", F.xxhash64("labels")),
+        "substring-suffixes",
     )
+    discard(live)
+    free_shuffles(spark)
 
     # Equal label lists are one row in their group: the windows of all documents but the
     # smallest are repeats, and the smallest stands for them in the subtree.
@@ -266,13 +269,14 @@ def substring_dedup(
         lists.join(sizes, "anchor").filter("n > 1 OR rows > 1").select("anchor", "list_key", "least_id", "rows"),
         "substring-about",
     )
+    discard(lists, sizes)
     placed = settle(
         suffixes.join(about, ["anchor", "list_key"]).filter("doc_id > least_id OR rows > 1")
         .withColumn("labels", F.when(F.col("doc_id") == F.col("least_id"), F.col("labels")))
         .select("doc_id", "text_key", "anchor", "starts", "labels", "rows"),
         "substring-placed",
     )
-    discard(suffixes)
+    discard(suffixes, about)
     free_shuffles(spark)
     in_lists = placed.filter("labels IS NULL").select("doc_id", "text_key", "starts")
     own = placed.filter("labels IS NOT NULL").select("anchor", "labels", "starts", "doc_id", "text_key", "rows")
@@ -301,6 +305,8 @@ def substring_dedup(
         .join(whole, ["doc_id", "text_key"], "left_semi"),
         "substring-starts",
     )
+    discard(placed, paths, nodes)
+    free_shuffles(spark)
     no_span = F.array().cast("array<struct<begin:int,end:int>>")
     copies = rows.filter("copied").select(
         "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"),
@@ -311,7 +317,7 @@ def substring_dedup(
         "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("sha")).alias("kept_sha256"),
         F.lit(None).cast("string").alias("kept_text"), no_span.alias("repeats"),
     )
-    cut = _cut(texts.join(starts, ["doc_id", "text_key"]), id_type, window)
+    cut = _cut(picked.join(starts, ["doc_id", "text_key"]), id_type, window)
     # A row without an id never equals another in the anti join and so stays in ``untouched``.
     return copies.unionByName(untouched).unionByName(cut)
 

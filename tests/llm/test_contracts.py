@@ -447,6 +447,20 @@ def test_substring_dedup(spark, group_rows):
         assert sum(s.end - s.begin for s in r.repeats) == r.n_removed
 
 
+def test_substring_dedup_stores_no_texts_and_keeps_what_the_result_reads(spark, monkeypatch):
+    from pathlib import Path
+
+    from cohortlens.llm import substring_dedup as module
+
+    settled = []
+    monkeypatch.setattr(module, "settle", lambda df, name: settled.append(settle(df, name)) or settled[-1])
+    got = substring_dedup(documents(spark))
+    assert not any("text" in s.columns for s in settled)
+    kept = [Path(s.settled_path).name.rsplit("-", 1)[0] for s in settled if Path(s.settled_path).exists()]
+    assert sorted(kept) == ["substring-rows", "substring-starts"]
+    assert got.count() == documents(spark).count()
+
+
 def test_token_counts(spark):
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rows = ROWS + [(100 + k, t, "en", "a") for k, t in enumerate(["ab" * 20_000, "中" * 900, "x'dx ''s 's's re're", "Ĳǅ K"])]
