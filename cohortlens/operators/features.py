@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.km import km_columns
 from cohortlens.functions.scalars import in_range
 from cohortlens.operators.events import BOOKING, LEAD, REGISTER, SCHEDULE, SIGNALS, TX
-from cohortlens.plans.periods import Period, Week, with_periods
+from cohortlens.plans.periods import Period, Week, in_runs, of_period, run_of, with_periods
 
 KEYS = ["set", "cutoff_date", "user_id"]
 
@@ -33,6 +33,14 @@ def _total(test: str) -> str:
     return f"coalesce(sum(CASE WHEN {test} THEN n END), 0L)"
 
 
+def _km_order(skip_null: bool) -> tuple[str, str]:
+    """Which events count for the last reading, and what the last one has the highest value of."""
+    test = f"kind = '{REGISTER}'" + (" AND km IS NOT NULL" if skip_null else "")
+    day = "cast(unix_date(event_date) AS decimal(7, 0)) * 100000000000000000000BD"
+    reading = "coalesce(cast(km AS decimal(20, 0)) + 9223372036854775809BD, 0BD)"
+    return test, f"{day} + {reading}"
+
+
 def last_km(skip_null: bool) -> str:
     """Reading of the newest register day, the highest one if the day has several.
 
@@ -41,10 +49,8 @@ def last_km(skip_null: bool) -> str:
     reading above none): a struct would not fit a fixed-width buffer, and Spark would
     sort all facts instead of hashing them.
     """
-    test = f"kind = '{REGISTER}'" + (" AND km IS NOT NULL" if skip_null else "")
-    day = "cast(unix_date(event_date) AS decimal(7, 0)) * 100000000000000000000BD"
-    reading = "coalesce(cast(km AS decimal(20, 0)) + 9223372036854775809BD, 0BD)"
-    return f"max_by(km, CASE WHEN {test} THEN {day} + {reading} END)"
+    test, order = _km_order(skip_null)
+    return f"max_by(km, CASE WHEN {test} THEN {order} END)"
 
 
 def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
@@ -53,8 +59,12 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     Signals count in the feature window and won deals in the label window of each
     period; the events find their periods without a shuffle, one aggregation produces all columns, and
     partial aggregation leaves each task at most one row per period and user. Users
-    who only have deals are kept here with no signals.
+    who only have deals are kept here with no signals. Periods that overlap much are taken
+    as runs (``period_runs``).
     """
+    ordered = in_runs(periods)
+    if ordered is not None:
+        return each_period(period_runs(facts, ordered, skip_null_km), ordered)
     dated = with_periods(facts, periods, F.col("kind") == TX)
     last = lambda k: f"max(CASE WHEN kind = '{k}' THEN event_date END)"
     aggregates = [f"{_total(f'kind = {k!r}')} AS {COUNT_NAMES[k]}" for k in SIGNALS]
@@ -66,6 +76,61 @@ def period_features(facts: DataFrame, periods: Sequence[Period], skip_null_km: b
     return dated.groupBy(*KEYS).agg(*map(F.expr, aggregates))
 
 
+def period_runs(facts: DataFrame, periods: Sequence[Period], skip_null_km: bool = False) -> DataFrame:
+    """The features per user for runs of periods, from ``_first`` to before ``_end``, in which they stay the same.
+
+    ``periods`` are in the order of ``in_runs``. An event enters at the first of its periods and
+    leaves after the last, so it makes two rows, whatever the number of its periods; running sums
+    over the entries and exits of a user, at most one row for each period, give the counts. The
+    newest event that has entered leaves last. Recency columns hold the last day until
+    ``each_period``.
+    """
+    is_tx, day = F.col("kind") == TX, F.col("event_date")
+    runs = zip(
+        run_of(day, [(p.label_start, p.label_end_excl) for p in periods]),
+        run_of(day, [(p.period_start, p.period_end_excl) for p in periods]),
+    )
+    first, end = (F.when(is_tx, label).otherwise(feature) for label, feature in runs)
+    edges = (
+        facts.select("kind", "user_id", "event_date", "n", "km", first.alias("_enter"), end.alias("_leave"))
+        .filter("_enter < _leave")
+        .selectExpr("kind", "user_id", "event_date", "n", "km", """inline(array(
+            named_struct('_first', _enter, '_sign', 1L), named_struct('_first', _leave, '_sign', -1L)))""")
+    )
+    read, order = _km_order(skip_null_km)
+    order = f"CASE WHEN {read} AND _sign = 1 THEN {order} END"
+    net = lambda test, n: f"coalesce(sum(CASE WHEN {test} THEN _sign * {n} END), 0L)"
+    steps = [f"{net(f'kind = {k!r}', 'n')} AS {COUNT_NAMES[k]}" for k in SIGNALS]
+    steps += [f"max(CASE WHEN kind = '{k}' AND _sign = 1 THEN event_date END) AS {RECENCY_NAMES[k]}" for k in SIGNALS]
+    steps += [
+        f"{net(read, 1)} AS _readings", f"max_by(km, {order}) AS reg_km_last", f"max({order}) AS _order",
+        f"{net(f'kind = {TX!r}', 1)} AS _deals",
+    ]
+    per_user = Window.partitionBy("user_id").orderBy("_first")
+    so_far = per_user.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = {c: F.sum(c).over(so_far) for c in [*COUNT_NAMES.values(), "_readings", "_deals"]}
+    running |= {c: F.max(c).over(so_far) for c in RECENCY_NAMES.values()}
+    running |= {"reg_km_last": F.max_by("reg_km_last", "_order").over(so_far), "_end": F.lead("_first").over(per_user)}
+    states = edges.groupBy("user_id", "_first").agg(*map(F.expr, steps)).select(
+        "user_id", "_first", *[column.alias(name) for name, column in running.items()]
+    )
+    return states.filter(" OR ".join(f"{c} > 0" for c in [*COUNT_NAMES.values(), "_deals"])).select(
+        "user_id", "_first", "_end", *COUNT_NAMES.values(),
+        *[F.when(F.col(COUNT_NAMES[k]) > 0, F.col(RECENCY_NAMES[k])).alias(RECENCY_NAMES[k]) for k in SIGNALS],
+        F.when(F.col("_readings") > 0, F.col("reg_km_last")).alias("reg_km_last"),
+        F.when(F.col("_deals") > 0, 1).otherwise(0).alias("target_30d"),
+    )
+
+
+def each_period(runs: DataFrame, periods: Sequence[Period]) -> DataFrame:
+    """One row per period and user from the rows of ``period_runs``."""
+    rows = runs.withColumn("_period", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)))
+    rows = rows.withColumns(of_period(F.col("_period"), periods))
+    return rows.withColumns({c: F.datediff("period_end_excl", c) for c in RECENCY_NAMES.values()}).select(
+        *KEYS, *COUNT_NAMES.values(), *RECENCY_NAMES.values(), "reg_km_last", "target_30d"
+    )
+
+
 def kind_aggregates(facts: DataFrame, accounts: DataFrame) -> DataFrame:
     """Number of events and last day per stream and user, leads only of ``accounts``."""
     per_user = facts.groupBy("kind", "user_id").agg(

@@ -11,7 +11,7 @@ from cohortlens.functions.scalars import inferred_origin
 from cohortlens.operators import features as ft
 from cohortlens.operators.cohorts import new_accounts
 from cohortlens.operators.events import KINDS, SIGNALS, FactsOptions, eligible_accounts, facts, facts_for
-from cohortlens.plans.periods import Period, Week, feature_span, label_span
+from cohortlens.plans.periods import Period, Week, feature_span, in_runs, label_span
 from cohortlens.sources.schema import DATASET_COLUMNS, WEEKLY_COLUMNS
 from cohortlens.sources.tables import Rules, Sources
 
@@ -41,8 +41,12 @@ def signal_features(
         )
     else:
         events = facts_for(events, FactsOptions(rules, *spans, km_mode, km_in_key))
+    accounts, ordered = eligible_accounts(sources.accounts, rules), in_runs(periods)
+    if ordered is not None:  # the accounts meet a user's runs, not each of the periods
+        runs = ft.keep_leads_of(ft.period_runs(events, ordered, skip_null_km), accounts)
+        return ft.each_period(ft.with_signals(runs), ordered)
     features = ft.period_features(events, periods, skip_null_km)
-    return ft.with_signals(ft.keep_leads_of(features, eligible_accounts(sources.accounts, rules)))
+    return ft.with_signals(ft.keep_leads_of(features, accounts))
 
 
 def universe_by_signal(

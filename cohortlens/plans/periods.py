@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CALENDAR_BROADCAST_ROWS = 200_000
+#: Windows that hold a day, on average, from which periods count as runs.
+OVERLAP = 4
 
 
 @dataclass(frozen=True)
@@ -149,9 +152,36 @@ def with_periods(events: DataFrame, periods: Sequence[Period], is_label: Column)
     found = F.when(F.col("is_label"), windows_of(day, [(p.label_start, p.label_end_excl) for p in periods])).otherwise(
         windows_of(day, [(p.period_start, p.period_end_excl) for p in periods])
     )
+    return marked.withColumn("_period", F.explode(found)).withColumns(of_period(F.col("_period"), periods)).drop("_period")
+
+
+def in_runs(periods: Sequence[Period]) -> list[Period] | None:
+    """The periods in an order in which every day lies in consecutive ones, if they overlap much and have one.
+
+    That is where no window begins or ends before that of an earlier period, and each set and cutoff
+    day belongs to one period.
+    """
+    bounds = lambda p: (p.period_start, p.period_end_excl, p.label_start, p.label_end_excl)
+    ordered = sorted(periods, key=bounds)
+    days = sum((end - first).days for first, end in (feature_span(periods), label_span(periods)))
+    if calendar_days(periods) < OVERLAP * days or len({(p.set, p.cutoff_date) for p in periods}) < len(periods):
+        return None
+    steps = zip(map(bounds, ordered), map(bounds, ordered[1:]))
+    return ordered if all(x <= y for a, b in steps for x, y in zip(a, b)) else None
+
+
+def run_of(day: Column, windows: Sequence[tuple[date, date]]) -> tuple[Column, Column]:
+    """First and end of the run of ``windows``, in the order of ``in_runs``, that hold ``day``; the same or NULL where none does."""
+    starts, ends = [w[0] for w in windows], [w[1] for w in windows]
+    days = [starts[0] + timedelta(days=i) for i in range((ends[-1] - starts[0]).days)]
+    offset = F.datediff(day, F.lit(starts[0]))
+    return tuple(F.get(_constant([bisect_right(b, d) for d in days], "array<int>"), offset) for b in (ends, starts))
+
+
+def of_period(number: Column, periods: Sequence[Period]) -> dict[str, Column]:
+    """set, cutoff_date and period_end_excl of the period with that number."""
     columns = {
         "set": ("array<string>", [p.set for p in periods]), "cutoff_date": ("array<date>", [p.cutoff_date for p in periods]),
         "period_end_excl": ("array<date>", [p.period_end_excl for p in periods]),
     }
-    numbered = marked.withColumn("_period", F.explode(found))
-    return numbered.withColumns({n: F.get(_constant(v, kind), F.col("_period")) for n, (kind, v) in columns.items()}).drop("_period")
+    return {n: F.get(_constant(v, kind), number) for n, (kind, v) in columns.items()}

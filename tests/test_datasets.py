@@ -3,6 +3,7 @@ from datetime import date, timedelta
 
 import pytest
 from inline import at, digits, expected_dataset, integer, make_sources, random_rows, streams
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators import events as ev
@@ -236,3 +237,22 @@ def test_digit_parsing(spark):
     assert values == [12000, 15000000, 125, None]
     values = [r[0] for r in floats.select(F.expr(parse_km("km", kind, "cast"))).collect()]
     assert values == [12000, 15000000, 13, None]
+
+
+@pytest.mark.parametrize("skip_null", [False, True])
+@pytest.mark.parametrize("step, length, horizon", [(1, 30, 10), (3, 40, 25), (2, 15, 90)])
+def test_overlapping_periods_as_runs_give_the_rows_of_each_period_alone(spark, skip_null, step, length, horizon):
+    from functools import reduce
+
+    from cohortlens.operators import features as ft
+    from cohortlens.operators.events import facts
+    from cohortlens.plans.periods import feature_span, in_runs, label_span, rolling_periods
+
+    periods = rolling_periods(date(2025, 3, 1), 24, step, length, horizon)
+    assert in_runs(periods[::-1]) == periods and in_runs(periods[:2]) is None and in_runs([*periods, periods[0]]) is None
+    src = make_sources(spark, **random_rows(21, hot=True))
+    events = facts(src, Rules(), feature_span(periods), label_span(periods), km_in_key=True).persist()
+    got = ft.period_features(events, periods[::-1], skip_null)
+    want = reduce(DataFrame.unionByName, [ft.period_features(events, [p], skip_null) for p in periods])
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr) and got.count() > 100

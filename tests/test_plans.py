@@ -57,6 +57,14 @@ def test_many_periods_neither_shuffle_nor_join_on_the_day(spark):
     assert text.count("BroadcastExchange") == 0
 
 
+def test_events_of_overlapping_periods_are_not_multiplied_before_they_are_shuffled(spark):
+    with cluster_like(spark):
+        text = plan(ds.signal_features(m.sources(spark, SF), m.ROLLING, m.RULES))
+    # a plan is printed from its result down: the periods of a run come last, after all joins and sums
+    assert text.count("explode(") == 1
+    assert text.index("explode(") < min(text.index(word) for word in ("Exchange", "Join", "Aggregate"))
+
+
 def test_number_of_scans_and_shuffles(spark, period_plan):
     # Leads, bookings, funnel, deals, opportunities, accounts: one scan each.
     assert period_plan.count("FileScan") == 6
