@@ -254,6 +254,21 @@ def train(paragraphs: DataFrame, clean_rows: int = CLEAN_ROWS) -> tuple[Logistic
     return model, families
 
 
+def scorer(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model for scoring: its probability alone, from coefficients in a dense matrix.
+
+    Spark ML keeps the coefficients sparse and then runs through all of them for every window; a
+    dense matrix is asked only for the features of the window. The sums add the same terms in the
+    same order.
+    """
+    jvm = model._java_obj
+    dense = type(model)(model._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel", jvm.uid(),
+        jvm.coefficientMatrix().toDense(), jvm.interceptVector(), model.numClasses, True,
+    ))
+    return dense.setRawPredictionCol("").setPredictionCol("")
+
+
 def thresholds(scanned: DataFrame, families: list[str]) -> dict[str, float]:
     """The odds from which a family counts: all but ``FALSE_SHARE`` of the windows without a license name are below.
 
@@ -301,7 +316,7 @@ def license_scan(
         .withColumns({"single": single, "pairs": pairs, "some": _named(F.col("all"))}),
         "row", "doc_id", "n_lines", "block", "some",
     )
-    scored = model.transform(_features(read)).select(
+    scored = scorer(model).transform(_features(read)).select(
         "row", "doc_id", "n_lines", "block", "words", "some", vector_to_array("probability").alias("p")
     )
     known = F.transform(F.slice("p", 1, len(families) - 1), lambda x: x / (x + F.element_at("p", -1)))

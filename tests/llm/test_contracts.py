@@ -602,3 +602,19 @@ def test_license_thresholds_cover_all_windows(spark):
     for n, want in ((10, 0.5), (11, 0.801)):
         rows = [(5_000, []), (5_000, [window(0.8005)] * n + [window(0.99, True)] * 50)]
         assert thresholds(spark.createDataFrame(rows, schema), ["x", "y", "unknown"]) == {"x": want, "y": 0.5}
+
+
+def test_license_scorer_has_a_dense_matrix_and_the_same_probabilities(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import DenseMatrix
+
+    from cohortlens.llm.license_scan import _features, scorer
+
+    rows = spark.range(60).selectExpr("cast(id % 3 AS double) AS label", "array(id % 3, id % 7, id % 11) AS grams")
+    features = _features(rows)
+    model = LogisticRegression(family="multinomial", regParam=0.01, elasticNetParam=0.5).fit(features)
+    fast = scorer(model)
+    assert not isinstance(model.coefficientMatrix, DenseMatrix) and isinstance(fast.coefficientMatrix, DenseMatrix)
+    got = fast.transform(features)
+    assert "rawPrediction" not in got.columns and "prediction" not in got.columns
+    assert got.select("grams", "probability").collect() == model.transform(features).select("grams", "probability").collect()
