@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.km import parse_km
 from cohortlens.functions.scalars import in_range
-from cohortlens.operators.joins import join_salted
+from cohortlens.operators.joins import join_salted, semi_hashed
 from cohortlens.sources.tables import Rules, Sources
 
 LEAD, BOOKING, REGISTER, SCHEDULE, TX = "lead", "booking", "register", "schedule", "tx"
@@ -113,21 +113,25 @@ def _won_rows(history: DataFrame, rules: Rules, span: Span) -> DataFrame:
     )
 
 
-def opportunity_users(opportunities: DataFrame, rules: Rules) -> DataFrame:
-    """Distinct ``(opportunity_id, user_id)`` with a flag for won deals that count."""
+def _opportunity_rows(opportunities: DataFrame, rules: Rules) -> DataFrame:
     counts = F.expr(rules.opportunity) & F.col("recordtypename").isin(
         *rules.sales_types, *rules.supply_types
     )
-    return (
-        opportunities.filter("id IS NOT NULL AND accountid IS NOT NULL")
-        .select(
-            F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id"),
-            F.coalesce(counts, F.lit(False)).alias("deal"),
-        )
-        .groupBy("opportunity_id", "user_id").agg(F.bool_or("deal").alias("deal"))
+    return opportunities.filter("id IS NOT NULL AND accountid IS NOT NULL").select(
+        F.col("id").alias("opportunity_id"), F.col("accountid").alias("user_id"),
+        F.coalesce(counts, F.lit(False)).alias("deal"),
     )
 
 
+def opportunity_users(opportunities: DataFrame, rules: Rules, only_users: DataFrame | None = None) -> DataFrame:
+    """Distinct ``(opportunity_id, user_id)`` with a flag for won deals that count, of ``only_users`` if given."""
+    rows, key = _opportunity_rows(opportunities, rules), ["opportunity_id", "user_id"]
+    if only_users is not None:
+        # Dealt anew, so that adaptive execution may split a user with very many opportunities.
+        rows = semi_hashed(rows, only_users, "user_id").repartition(*key)
+    return rows.groupBy(*key).agg(F.bool_or("deal").alias("deal"))
+
+
 def facts(
     sources: Sources,
     rules: Rules,
@@ -149,7 +153,8 @@ def facts(
     ``features.keep_leads_of``).
 
     ``only_users`` is a frame of ``user_id``: streams of users and the opportunities'
-    owners are semi-joined with it, whatever its size.
+    owners are semi-joined with it, whatever its size, and streams of opportunities with
+    the opportunities that are left, all before anything is reduced or sorted.
     """
     by_user = []
     if LEAD in kinds:
@@ -170,17 +175,21 @@ def facts(
     if by_user:
         rows = reduce(DataFrame.unionByName, by_user)
         if only_users is not None:
-            rows = rows.join(only_users, "user_id", "left_semi")
+            rows = semi_hashed(rows, only_users, "user_id")
         parts.append(rows.distinct().selectExpr(*columns[:4], "1L AS n", no_km))
     if by_opp:
-        owners = opportunity_users(sources.opportunities, rules)
-        if only_users is not None:
-            owners = owners.join(only_users, "user_id", "left_semi")
+        owners = opportunity_users(sources.opportunities, rules, only_users)
         rows = reduce(DataFrame.unionByName, by_opp)
         day_key = ["kind", "opportunity_id", "event_date"]
+        event_key = [*day_key, "km"] if km_in_key else day_key
+        if only_users is not None:
+            theirs = semi_hashed(_opportunity_rows(sources.opportunities, rules), only_users, "user_id")
+            # Dealt anew, so that adaptive execution may split an opportunity with very many rows.
+            rows = semi_hashed(rows, theirs.select("opportunity_id"), "opportunity_id").repartition(*event_key)
+            owners = owners.hint("shuffle_hash")
         n = "1L"
         if km_in_key:
-            rows = rows.dropDuplicates([*day_key, "km"])
+            rows = rows.dropDuplicates(event_key)
             n = "count(*)"
         rows = rows.groupBy(*day_key).agg(F.expr(f"{n} AS n"), F.expr("max(km) AS km"))
         owned = rows.join(owners, "opportunity_id")

@@ -27,6 +27,15 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def semi_hashed(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The ``rows`` whose ``on`` is among ``keys``, which are few against the rows but of any number.
+
+    Both sides are shuffled and a task keeps the distinct keys of its partition in a hash table; the
+    rows pass by it. A merge join would sort them, the ones to drop included, in a task's memory.
+    """
+    return rows.join(keys.hint("shuffle_hash"), on, "left_semi")
+
+
 def join_salted(
     facts: DataFrame,
     side: DataFrame,

@@ -11,6 +11,7 @@ from cohortlens.functions.scalars import inferred_origin
 from cohortlens.operators import features as ft
 from cohortlens.operators.cohorts import new_accounts
 from cohortlens.operators.events import KINDS, SIGNALS, FactsOptions, eligible_accounts, facts, facts_for
+from cohortlens.operators.joins import semi_hashed
 from cohortlens.plans.periods import Period, Week, feature_span, in_runs, label_span
 from cohortlens.sources.schema import DATASET_COLUMNS, WEEKLY_COLUMNS
 from cohortlens.sources.tables import Rules, Sources
@@ -104,18 +105,19 @@ def weekly_features(
 ) -> DataFrame:
     """The accounts of the week with their trailing counts, recencies and label.
 
-    Events are semi-joined with the cohort, whatever its size; adaptive execution chooses
-    the join. ``events`` are stored facts of all days (``fanout``) or of the days before
+    Events are semi-joined with the cohort, whatever its size, by its ids in hash tables
+    (``semi_hashed``). ``events`` are stored facts of all days (``fanout``) or of the days before
     the horizon, with readings in the key.
     """
-    cohort = new_accounts(sources.accounts, rules, week)
+    # A shuffle of its own, which the planner keeps and reuses: the cohort is computed once for its joins.
+    cohort = new_accounts(sources.accounts, rules, week).hint("rebalance", "user_id")
     users = cohort.select("user_id")
     spans = (None, None) if fanout else (None, week.as_of), (week.as_of, week.horizon_end)
     # Every cohort account passes the account rule, so its leads all count.
     if events is None:
         events = facts(sources, rules, *spans, km_mode=km_mode, km_in_key=True, only_users=users)
     else:
-        events = facts_for(events, FactsOptions(rules, *spans, km_mode, True)).join(users, "user_id", "left_semi")
+        events = semi_hashed(facts_for(events, FactsOptions(rules, *spans, km_mode, True)), users, "user_id")
     features = ft.trailing_features(events, week)
     if fanout:
         features = ft.fan_out(features)

@@ -123,6 +123,55 @@ def test_weekly_events_are_semi_joined_and_no_job_runs_before(spark, threshold,
     assert df.schema["reg_km_last"].dataType.simpleString() == "bigint"
 
 
+@pytest.mark.parametrize("fanout", [True, False])
+def test_weekly_rows_of_others_go_before_they_are_sorted_or_reduced(spark, fanout):
+    with cluster_like(spark):
+        lines = plan(ds.weekly_features(m.sources_with_creation(spark, SF), m.WEEK, m.RULES, fanout=fanout)).splitlines()
+    semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+    assert semi and all("ShuffledHashJoin" in lines[i] for i in semi)
+    # leads, bookings, funnel, deals, and the opportunities for owners and for either stream of theirs
+    assert len(semi) == 7
+    for i in semi:  # a plan is printed from its result down, the left side of a join first
+        scan = next(k for k, line in enumerate(lines) if k > i and "FileScan" in line)
+        assert not any(word in line for line in lines[i:scan] for word in ("Sort", "Aggregate"))
+
+
+def test_an_opportunity_with_most_rows_is_split_where_it_meets_the_cohort(spark):
+    week, hot = m.WEEK, 200_000
+    days = f"timestamp_ntz'{week.as_of}' - make_interval(0, 0, 0, 1 + cast(id % 60 AS int))"
+    funnel = spark.range(hot + 1000).selectExpr(
+        f"if(id < {hot}, 7, id) AS opportunity_id", f"{days} AS fecha_registro", "cast(NULL AS timestamp_ntz) AS fecha_inspeccion_agendada",
+        "'N' AS country_iso", "true AS flag_register", "false AS flag_online_schedule", "id AS km",
+    )
+    src = m.sources_with_creation(spark, SF)
+    accounts = spark.range(1, 3).selectExpr(
+        "id", "'1' AS personmobilephone", "'X' AS segment",
+        f"timestamp_ntz'{week.week_start}' - make_interval(cast(id - 1 AS int)) AS createddate",
+    )
+    opportunities = spark.sql("SELECT 7L AS id, 1L AS accountid, 'x' AS recordtypename UNION ALL SELECT id, 2L, 'x' FROM range(1000, 3000)")
+    src = replace(src, register_funnel=funnel, accounts=accounts, opportunities=opportunities)
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        with cluster_like(spark):
+            df = ds.weekly_features(src, week, m.RULES, km_mode="raw", fanout=True)
+            rows = df.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [(r["user_id"], r["n_registers_90d"], r["reg_km_last"]) for r in rows] == [(1, hot, hot - 1)]
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert any("LeftSemi" in line and "skew=true" in line for line in final.splitlines())
+    # the cohort is computed once for all its joins
+    shuffles = [line for line in final.splitlines() if "REBALANCE_PARTITIONS_BY_COL" in line]
+    assert sum("ReusedExchange" not in line for line in shuffles) == 1, shuffles
+
+
 def test_only_the_asked_for_streams_are_read(spark):
     src = m.sources(spark, SF)
     with cluster_like(spark):
